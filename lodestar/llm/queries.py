@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, sharding
+from lodestar.llm import mixing, neardup, sharding
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +17,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.uniform_tree(40), sharding.uniform_tree(41))
 
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op9_shard_tree": op9_shard_tree}
-SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL}
+QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_near_duplicates": op2_near_duplicates, "op9_shard_tree": op9_shard_tree}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op2_near_duplicates": neardup.NEAR_SQL}
