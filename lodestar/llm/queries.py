@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, neardup, sharding
+from lodestar.llm import decontam, mixing, neardup, sharding
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,22 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.uniform_tree(40), sharding.uniform_tree(41))
 
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_near_duplicates": op2_near_duplicates, "op9_shard_tree": op9_shard_tree}
-SQL: dict[str, str] = {"op1_mix_sources": mixing.MIX_SQL, "op2_near_duplicates": neardup.NEAR_SQL}
+QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_shard_tree": op9_shard_tree,
+}
+SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.MIX_SQL,
+    "op2_near_duplicates": neardup.NEAR_SQL,
+    "op7_decontaminate": decontam.CONTAMINATED_SQL,
+}
