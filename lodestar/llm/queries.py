@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, langid, mixing, neardup, sharding
+from lodestar.llm import decontam, langid, mixing, neardup, sharding, urlfilter
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,18 @@ def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.uniform_tree(40), sharding.uniform_tree(41))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.train(pages))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_duplicates": op2_near_duplicates,
     "op5_language_id": op5_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op9_shard_tree": op9_shard_tree,
+    "op10_url_filter": op10_url_filter,
 }
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
