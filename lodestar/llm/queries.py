@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, langid, mixing, neardup, sharding, urlfilter
+from lodestar.llm import decontam, langid, media, mixing, neardup, sharding, urlfilter
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op6_avi_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_duplicates": op2_near_duplicates,
     "op5_language_id": op5_language_id,
+    "op6_avi_frames": op6_avi_frames,
     "op7_decontaminate": op7_decontaminate,
     "op9_shard_tree": op9_shard_tree,
     "op10_url_filter": op10_url_filter,
