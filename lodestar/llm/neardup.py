@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, pieces, text_buffer
+from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer
 from lodestar.llm.shingles import mixed, permutations, shingles
 
-#: 28 bands of two permutations: a pair at 0.8 is missed by all bands with a chance of 4e-7.
-BANDS = 28
+#: 24 bands of two permutations: a pair at 0.8 is missed by all bands with a chance of 3e-6.
+BANDS = 24
+#: Members of a family that one task compares with as many others.
+BLOCK = 512
 PIECE = 1 << 20
 
 
@@ -83,32 +85,70 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(u, v, x, y) to (u, v, common, total) of the full sets x and y."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(len(batch), bool)
+            common, total = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             left, right = batch.column(2), batch.column(3)
             for i in range(len(batch)):
                 x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                good[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good))
+                common[i] = (y[np.minimum(at, len(y) - 1)] == x).sum() if len(y) else 0
+                total[i] = len(x) + len(y) - common[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(total)], names=["u", "v", "common", "total"])
+
+    return run
+
+
+def _search_block(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between a block's open members (rest) and its members: of those that would join two
+    labels already joined within the block, the first only."""
+
+    def run(block: pa.Table) -> pa.Table:
+        rest, node, label = (block.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "node", "label"))
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in block.column("hashes").combine_chunks()]
+        asked, among = np.flatnonzero(rest), np.flatnonzero(~rest)
+        found: list[tuple[int, int]] = []
+        if len(asked) and len(among):
+            vocabulary = np.unique(np.concatenate([sets[i] for i in asked]))
+            values = np.concatenate([sets[i] for i in among])
+            sizes = np.array([len(sets[i]) for i in among])
+            at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+            place = np.where(vocabulary[at] == values, at, len(vocabulary))
+            first = np.cumsum(sizes) - sizes
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for i in asked:
+                own = np.zeros(len(vocabulary) + 1, bool)
+                own[np.searchsorted(vocabulary, sets[i])] = True
+                common = np.add.reduceat(own[place], first, dtype=np.int64)
+                for k in np.flatnonzero(100 * common >= percent * (sizes + len(sets[i]) - common)):
+                    a, b = root(int(label[i])), root(int(label[among[k]]))
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        found.append((int(node[i]), int(node[among[k]])))
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) with the least node reachable, for every node of an edge (u, v).
+    """(node, label) with the least node reachable, for every node of an edge (u, v) of longs.
 
     Each round takes the least label among neighbours and then the label's own label; both tables
-    are checkpointed, and only counts reach the driver."""
+    are checkpointed, and only whether anything changed reaches the driver."""
     both = cut(edges.select("u", "v").union(edges.select("v", "u")))
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")))
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
         nearer = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -120,6 +160,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key has several nodes."""
+    several = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("key")
+    return cut(keys.join(several, "key", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -128,47 +174,61 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     own text and may differ; equal rows have equal results. A null id takes part in no link: its
     component_id is null and it is kept. An empty table gives no rows. Other columns aren't read.
 
-    Candidates: in each band bucket every member is paired with three hubs, not with each other.
-    Where a bucket still spans several components after that, members of different components
-    are paired, so that no candidate pair between different components is left untested."""
+    The members of a band bucket are compared with the bucket's first node, not with each other.
+    Members less than half like it are dealt with anew among themselves, with a first node of their
+    own. By the triangle inequality of the Jaccard distance, two that could be linked at 80 percent
+    are then both at least 0.3 like one first node: these likenesses make families. A
+    family whose links leave it in several parts is searched further: its members outside the
+    largest part, in blocks, against all its members."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(texts.dtypes)["id"]
     sketches = cut(texts.mapInArrow(_sketch(width, bands), f"id {id_type}, n long, s1 long, s2 long, bands array<long>"))
     nodes = sketches.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    nodes = cut(nodes.withColumn("node", F.struct(F.col("id"), F.col("s1").alias("s"))))
-    keys = nodes.select("node", "n", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("h1"), F.max("node").alias("h2"), F.min_by("node", F.xxhash64("node")).alias("h3")).filter("h1 != h2")
-    members = cut(keys.join(hubs, "key"))
-    ordered = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
-    pairs = members.select("node", F.explode(F.array_distinct(F.array("h1", "h2", "h3"))).alias("hub")).filter("node != hub")
-    tried = cut(pairs.select(*ordered(F.col("node"), F.col("hub"))).distinct())
-
-    def confirmed(candidates: DataFrame) -> DataFrame:
-        wanted = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
-        near = texts.filter("id is not null").join(wanted.select(F.col("node.id").alias("id")).distinct(), "id", "left_semi")
-        sets = near.mapInArrow(_sets(width), f"id {id_type}, s long, hashes binary")
-        sets = cut(sets.select(F.struct("id", "s").alias("node"), "hashes").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-        left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x"))
-        right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
-        node = dict(candidates.dtypes)["u"]
-        return cut(candidates.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_confirm(percent), f"u {node}, v {node}"))
-
-    links = confirmed(tried)
-    labels = components(links)
-    labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    open_ = cut(labelled.join(mixed_keys, "key", "left_semi"))
-    a, b = open_.alias("a"), open_.alias("b")
-    fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    rest = a.join(b, fits).select(*ordered(F.col("a.node"), F.col("b.node"))).distinct().join(tried, ["u", "v"], "left_anti")
-    rest = cut(rest)
-    if rest.limit(1).count():
-        more = confirmed(rest)
-        if more.limit(1).count():
-            labels = components(links.union(more))
-    grouped = nodes.join(labels, "node", "left").filter("copies > 1 or label is not null")
-    known = cut(grouped.select("s1", "s2", "n", F.coalesce("label.id", "id").alias("component")))
-    out = sketches.drop("bands").join(known, ["s1", "s2", "n"], "left")
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    members = _shared(nodes.select("node", F.explode("bands").alias("key")))
+
+    wanted = cut(members.select("node").distinct().join(nodes, "node").select("node", "id", F.col("s1").alias("s")))
+    near = texts.filter("id is not null").join(broadcast_checked(wanted.select("id").distinct(), 1_000_000), "id", "left_semi")
+    sets = near.mapInArrow(_sets(width), f"id {id_type}, s long, hashes binary").join(broadcast_checked(wanted, 1_000_000), ["id", "s"])
+    sets = cut(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
+
+    family = max(1, 50 - (100 - percent))
+    likeness: DataFrame | None = None
+    while members.limit(1).count():
+        hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+        pairs = cut(members.join(hubs, "key").filter("node != hub"))
+        tried = pairs.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+        left, right = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
+        judged = cut(tried.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(_compare(), "u long, v long, common long, total long"))
+        likeness = judged if likeness is None else likeness.union(judged)
+        unlike = judged.filter("100 * common < 50 * total").select(F.col("u").alias("hub"), F.col("v").alias("node"))
+        members = _shared(pairs.join(unlike, ["hub", "node"], "left_semi").select("node", "key"))
+
+    sized = sketches.drop("bands")
+    if likeness is not None:
+        links = likeness.filter(100 * F.col("common") >= percent * F.col("total")).select("u", "v")
+        labels = components(links)
+        families = components(likeness.filter(100 * F.col("common") >= family * F.col("total")).select("u", "v")).withColumnRenamed("label", "family")
+        parts = cut(families.join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label")))
+        counts = parts.groupBy("family", "label").agg(F.count("*").alias("n"))
+        open_ = counts.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max("n").alias("most"), F.max_by("label", "n").alias("largest"))
+        open_ = cut(open_.filter("parts > 1 and size > 2").select("family", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("rests")))
+        if open_.limit(1).count():
+            inside = parts.join(open_, "family").join(sets, "node")
+            hashed = F.xxhash64("node")
+            among = inside.withColumn("rest", F.lit(False)).withColumn("block", F.pmod(hashed, F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+            asked = inside.filter("label != largest").withColumn("rest", F.lit(True)).withColumn("part", F.pmod(hashed, F.col("rests")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            columns = ["family", "block", "part", "rest", "node", "label", "hashes"]
+            more = cut(among.select(columns).union(asked.select(columns)).groupBy("family", "block", "part").applyInArrow(_search_block(percent), "u long, v long"))
+            if more.limit(1).count():
+                labels = components(links.union(more))
+        named = nodes.select("node", "s1", "s2", "n", "id", "copies").join(labels, "node", "left")
+        least = named.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
+        named = named.join(least, "label", "left").filter("copies > 1 or label is not null")
+    else:
+        named = nodes.filter("copies > 1").withColumn("least", F.col("id"))
+    known = cut(named.select("s1", "s2", "n", F.coalesce("least", "id").alias("component")))
+    out = sized.join(known, ["s1", "s2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"),
