@@ -26,9 +26,12 @@ WINDOW = CORE + 2 * MARGIN
 HIDDEN, EMBED, TAGS = 8, 6, 1 + len(KINDS)
 BATCH = 1024
 PIECE = 1 << 18
-TRAIN_STEPS, TRAIN_BATCH, TRAIN_WINDOW, TRAIN_SEED = 300, 96, 64, 5
+#: Made-up training texts, the characters seen of each, and how they are gone through.
+TRAIN_TEXTS, TRAIN_WINDOW, TRAIN_BATCH, TRAIN_STEPS, TRAIN_SEED = 6000, 64, 64, 450, 5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: An address that is spelt out; a bare `at` needs a bare `dot`.
+_SPELT = re.compile(r"(?i)[a-z0-9._%+-]+(?: ?[(\[]at[)\]] ?[a-z0-9-]+(?:(?:\.| ?[(\[]dot[)\]] ?)[a-z0-9-]+)+| at [a-z0-9-]+(?: dot [a-z0-9-]+)+|@[a-z0-9-]+(?:\.[a-z0-9-]+)+)")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 # no match begins within a run of digits: what fails at its start fails further on
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -164,18 +167,19 @@ Weights = dict[str, np.ndarray]
 
 def _initial(rng: np.random.Generator) -> Weights:
     k = HIDDEN + EMBED
+    single = lambda w: {n: v.astype(np.float32) for n, v in w.items()}
     gates = rng.normal(0, 1 / np.sqrt(k), (2, 4 * HIDDEN, k))
     bias = np.zeros((2, 4 * HIDDEN, 1))
     bias[:, HIDDEN : 2 * HIDDEN] = 1.0
-    return {"embed": rng.normal(0, 0.5, (EMBED, CLASSES)), "gates": gates, "bias": bias, "out": rng.normal(0, 0.3, (TAGS, 2 * HIDDEN)), "out_bias": np.zeros((TAGS, 1)), "moves": np.zeros((TAGS, TAGS))}
+    return single({"embed": rng.normal(0, 0.5, (EMBED, CLASSES)), "gates": gates, "bias": bias, "out": rng.normal(0, 0.3, (TAGS, 2 * HIDDEN)), "out_bias": np.zeros((TAGS, 1)), "moves": np.zeros((TAGS, TAGS))})
 
 
 def _gradients(w: Weights, symbols: np.ndarray, tags: np.ndarray) -> tuple[float, Weights]:
     """Mean negative log-likelihood of tag sequences (T, B) and its gradient."""
     steps, batch = symbols.shape
-    h, c = np.zeros((2, HIDDEN, batch)), np.zeros((2, HIDDEN, batch))
+    h, c = np.zeros((2, HIDDEN, batch), np.float32), np.zeros((2, HIDDEN, batch), np.float32)
     seen: list[tuple[np.ndarray, ...]] = []
-    hidden = np.empty((steps, 2, HIDDEN, batch))
+    hidden = np.empty((steps, 2, HIDDEN, batch), np.float32)
     both = np.stack([symbols, symbols[::-1]], 1)
     for t in range(steps):
         x = np.concatenate([h, w["embed"][:, both[t]].transpose(1, 0, 2)], axis=1)
@@ -206,13 +210,13 @@ def _gradients(w: Weights, symbols: np.ndarray, tags: np.ndarray) -> tuple[float
     pair = np.exp(ahead[:-1, :, None] + moves + (emit[1:] + behind[1:])[:, None] - total)
     d_moves = pair.sum((0, 3))
     np.add.at(d_moves, (tags[:-1], tags[1:]), -1.0)
-    scale = 1.0 / (batch * steps)
+    scale = np.float32(1.0 / (batch * steps))
     grad = {"moves": d_moves * scale, "out": np.einsum("tkb,thb->kh", d_emit, states) * scale, "out_bias": d_emit.sum((0, 2))[:, None] * scale}
     d_states = w["out"].T @ d_emit * scale
     d_hidden = np.stack([d_states[:, :HIDDEN], d_states[::-1, HIDDEN:]], 1)
     grad |= {"gates": np.zeros_like(w["gates"]), "bias": np.zeros_like(w["bias"]), "embed": np.zeros_like(w["embed"])}
-    dh, dc = np.zeros((2, HIDDEN, batch)), np.zeros((2, HIDDEN, batch))
-    d_x = np.empty((steps, 2, EMBED, batch))
+    dh, dc = np.zeros((2, HIDDEN, batch), np.float32), np.zeros((2, HIDDEN, batch), np.float32)
+    d_x = np.empty((steps, 2, EMBED, batch), np.float32)
     for t in range(steps - 1, -1, -1):
         x, i, f, o, g, before, th = seen[t]
         dh = dh + d_hidden[t]
@@ -243,18 +247,17 @@ class Tagger:
         self.stay = float(m[1:, 1:].max() - m[0, 0])
         self.toll = self.stay + float(m[0, 0] - m[0, 1:].max()) + float(m[0, 0] - m[1:, 0].max())
 
-    def emissions(self, symbols: np.ndarray) -> np.ndarray:
-        """(CORE, TAGS, B) of windows (WINDOW, B)."""
+    def emissions(self, symbols: np.ndarray, out: np.ndarray) -> None:
+        """Writes the emissions (CORE, TAGS, B) of windows (WINDOW, B) to out."""
         batch = symbols.shape[1]
-        both = np.stack([symbols, symbols[::-1]], 1)
         x = np.zeros((2, HIDDEN + EMBED + 1, batch), np.float32)
         c, part, z = np.zeros((2, HIDDEN, batch), np.float32), np.empty((2, HIDDEN, batch), np.float32), np.empty((2, 4 * HIDDEN, batch), np.float32)
         hidden = np.empty((WINDOW, 2, HIDDEN, batch), np.float32)
         gate = z[:, : 3 * HIDDEN]
         i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
         for t in range(WINDOW):
-            for d in (0, 1):
-                np.take(self.embed, both[t, d], axis=1, out=x[d, HIDDEN:], mode="clip")
+            np.take(self.embed, symbols[t], axis=1, out=x[0, HIDDEN:], mode="clip")
+            np.take(self.embed, symbols[WINDOW - 1 - t], axis=1, out=x[1, HIDDEN:], mode="clip")
             np.matmul(self.gates, x, out=z)
             np.tanh(z, out=z)
             gate *= 0.5
@@ -266,76 +269,104 @@ class Tagger:
             np.multiply(o, part, out=x[:, :HIDDEN])
             hidden[t] = x[:, :HIDDEN]
         ahead, behind = hidden[MARGIN : MARGIN + CORE, 0], hidden[::-1][MARGIN : MARGIN + CORE, 1]
-        return np.matmul(self.out[:, :HIDDEN], ahead) + np.matmul(self.out[:, HIDDEN:], behind) + self.out_bias
-
-    def decode(self, emit: np.ndarray) -> np.ndarray:
-        """Best tags of a stretch (T, TAGS) between characters that are outside."""
-        steps = len(emit)
-        score = emit[0] + self.moves[0]
-        back = np.zeros((steps, TAGS), np.int8)
-        for t in range(1, steps):
-            paths = score[:, None] + self.moves
-            back[t] = paths.argmax(0)
-            score = paths.max(0) + emit[t]
-        tags = np.zeros(steps, np.int8)
-        tags[-1] = (score + self.moves[:, 0]).argmax()
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
-        return tags
-
-    def tag(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(first, end, tag) of the runs that aren't outside, in texts at starts[i]:starts[i + 1]."""
+        np.matmul(self.out[:, :HIDDEN], ahead, out=out)
+        out += np.matmul(self.out[:, HIDDEN:], behind)
+        out += self.out_bias
+
+    def decode(self, emit: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        """Best tags of stretches begin:begin + length, between characters that are outside, of emissions (CORE, TAGS, windows).
+
+        Stretches of like length are searched together; what fills the shorter ones up is outside."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(begin)
+        order = np.argsort(length, kind="stable")
+        filler = np.array([0.0] + [-1e6] * (TAGS - 1), np.float32)
+        for a in range(0, len(order), 256):
+            own = order[a : a + 256]
+            steps = int(length[own].max())
+            at = begin[own] + np.arange(steps)[:, None]
+            inside = np.arange(steps)[:, None] < length[own]
+            at = np.minimum(at, CORE * emit.shape[2] - 1)
+            values = np.where(inside[..., None], emit[at % CORE, :, at // CORE], filler)
+            score = values[0] + self.moves[0]
+            back = np.zeros((steps, len(own), TAGS), np.int8)
+            for t in range(1, steps):
+                paths = score[:, :, None] + self.moves
+                back[t] = paths.argmax(1)
+                score = paths.max(1) + values[t]
+            tags = np.zeros((steps, len(own)), np.int8)
+            tags[-1] = (score + self.moves[:, 0]).argmax(1)
+            rows = np.arange(len(own))
+            for t in range(steps - 1, 0, -1):
+                tags[t - 1] = back[t, rows, tags[t]]
+            for k, i in enumerate(own.tolist()):
+                out[i] = tags[: length[i], k]
+        return out
+
+    def tag(self, symbols: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, first, end, tag) of the runs that aren't outside, in texts at starts[i]:starts[i + 1]."""
         n = np.diff(starts)
-        per = -(-n // CORE)
-        text = np.repeat(np.arange(len(n)), per)
-        first = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        begin = starts[:-1][text] + first * CORE
-        low, high = starts[:-1][text], starts[1:][text]
-        if not len(begin):
-            return
-        emit = np.empty((len(symbols), TAGS), np.float32)
-        for a in range(0, len(begin), BATCH):
-            at = begin[a : a + BATCH] - MARGIN + np.arange(WINDOW)[:, None]
-            inside = (at >= low[a : a + BATCH]) & (at < high[a : a + BATCH])
-            cores = self.emissions(np.where(inside, symbols[np.clip(at, 0, len(symbols) - 1)], PAD))
-            own = inside[MARGIN : MARGIN + CORE]
-            emit[at[MARGIN : MARGIN + CORE][own]] = cores.transpose(0, 2, 1)[own]
-        # the best sum of a run through each character, texts parted by what no run can bridge
-        lead = np.full(len(symbols) + len(starts), -1e6)
-        place = np.arange(len(symbols)) + np.repeat(np.arange(len(n)), n) + 1
-        lead[place] = emit[:, 1:].max(axis=1) - emit[:, 0] + np.float32(self.stay)
+        if not len(symbols):
+            return []
+        # each text begins a window's core and is followed by MARGIN pads at least
+        per = -(-(n + MARGIN) // CORE) * (n > 0)
+        laid = np.concatenate(([0], np.cumsum(per))) * CORE
+        count = int(laid[-1]) // CORE
+        padded = np.full(laid[-1] + 2 * MARGIN, PAD, np.intp)
+        padded[np.arange(len(symbols)) + np.repeat(laid[:-1] - starts[:-1], n) + MARGIN] = symbols
+        windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::CORE]
+        emit, lead = np.empty((CORE, TAGS, count), np.float32), np.empty((count, CORE))
+        for a in range(0, count, BATCH):
+            own = emit[:, :, a : a + BATCH] if count <= BATCH else np.empty((CORE, TAGS, min(BATCH, count - a)), np.float32)
+            self.emissions(np.ascontiguousarray(windows[a : a + BATCH].T), own)
+            if count > BATCH:
+                emit[:, :, a : a + BATCH] = own
+            best = own[:, 1]
+            for k in range(2, TAGS):
+                best = np.maximum(best, own[:, k])
+            lead[a : a + BATCH] = (best - own[:, 0]).T
+        # the best sum of a run through each character; no run bridges a pad
+        lead = lead.reshape(-1)
+        lead += self.stay
+        lead[padded[MARGIN : MARGIN + len(lead)] == PAD] = -1e6
         sums = np.concatenate(([0.0], np.cumsum(lead)))
-        ending = sums[1:] - np.minimum.accumulate(sums[:-1])
-        beginning = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
-        where = np.flatnonzero((ending + beginning - lead)[place] > self.toll - 1e-3)
+        through = sums[1:] - np.minimum.accumulate(sums[:-1])
+        through += np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
+        through -= lead
+        where = np.flatnonzero(through > self.toll - 1e-3)
         if not len(where):
-            return
-        text_of = np.searchsorted(starts, where, "right")
-        breaks = np.flatnonzero((np.diff(where) != 1) | (np.diff(text_of) != 0)) + 1
-        for a, b in zip(np.concatenate(([0], breaks)), np.concatenate((breaks, [len(where)])), strict=True):
-            tags = self.decode(emit[where[a] : where[b - 1] + 1])
-            edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                if tags[x]:
-                    yield int(where[a + x]), int(where[a + y - 1]) + 1, int(tags[x])
+            return []
+        heads = np.concatenate(([0], np.flatnonzero(np.diff(where) != 1) + 1))
+        begins, lengths = where[heads], np.diff(np.append(heads, len(where)))
+        tags = self.decode(emit, begins, lengths)
+        row = np.concatenate([np.append(t, np.int8(0)) for t in tags])
+        place = np.arange(len(row)) + np.repeat(begins - (np.cumsum(lengths + 1) - lengths - 1), lengths + 1)
+        edges = np.flatnonzero(np.diff(row, prepend=0, append=0))
+        runs = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if row[a]]
+        out = []
+        for a, b in runs:
+            text = int(np.searchsorted(laid, place[a], "right")) - 1
+            out.append((text, int(place[a] - laid[text]), int(place[b - 1] - laid[text]) + 1, int(row[a])))
+        return out
 
 
 @lru_cache(maxsize=2)
 def trained(steps: int = TRAIN_STEPS, seed: int = TRAIN_SEED) -> Tagger:
-    """Trains the network on made-up labelled texts: `steps` batches of TRAIN_BATCH windows, Adam."""
+    """Trains the network on TRAIN_TEXTS made-up labelled texts: `steps` batches, Adam."""
     rng, made = np.random.Generator(np.random.PCG64(seed)), random.Random(seed)
     w = _initial(rng)
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    all_symbols, all_tags = np.zeros((TRAIN_TEXTS, TRAIN_WINDOW), np.int64), np.zeros((TRAIN_TEXTS, TRAIN_WINDOW), np.int64)
+    for b in range(TRAIN_TEXTS):
+        text, spans = labelled_text(made, 14)
+        marks = np.zeros(len(text), np.int64)
+        for x, y, kind in spans:
+            marks[x:y] = KINDS.index(kind) + 1
+        skip = made.randrange(0, 24)
+        own = classes_of(np.frombuffer(text.encode(), np.uint8))[skip : skip + TRAIN_WINDOW]
+        all_symbols[b, : len(own)], all_tags[b, : len(own)] = own, marks[skip : skip + TRAIN_WINDOW]
     for step in range(1, steps + 1):
-        symbols, tags = np.zeros((TRAIN_WINDOW, TRAIN_BATCH), np.int64), np.zeros((TRAIN_WINDOW, TRAIN_BATCH), np.int64)
-        for b in range(TRAIN_BATCH):
-            text, spans = labelled_text(made, 14)
-            marks = np.zeros(len(text), np.int64)
-            for x, y, kind in spans:
-                marks[x:y] = KINDS.index(kind) + 1
-            skip = made.randrange(0, 24)
-            own = classes_of(np.frombuffer(text.encode(), np.uint8))[skip : skip + TRAIN_WINDOW]
-            symbols[: len(own), b], tags[: len(own), b] = own, marks[skip : skip + TRAIN_WINDOW]
+        chosen = rng.integers(0, TRAIN_TEXTS, TRAIN_BATCH)
+        symbols, tags = all_symbols[chosen].T, all_tags[chosen].T
         _, grad = _gradients(w, symbols, tags)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         rate = 0.02 * min(1.0, 2.0 * (1 - step / (steps + 1)))
@@ -343,7 +374,7 @@ def trained(steps: int = TRAIN_STEPS, seed: int = TRAIN_SEED) -> Tagger:
             g = grad[k] * min(1.0, 0.5 / (norm + 1e-12))
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
-            w[k] = w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            w[k] = (w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return Tagger(w)
 
 
@@ -351,7 +382,7 @@ def plausible(text: str, kind: str) -> bool:
     """Whether a decoded span can be of its kind at all."""
     digits = sum("0" <= c <= "9" for c in text)
     if kind == "email":
-        return len(text) >= 6 and bool(re.search(r"(?i)@|\bat\b", text)) and bool(re.search(r"(?i)\.|\bdot\b", text))
+        return bool(_SPELT.fullmatch(text))
     return {"ip": 4 <= digits <= 12 and len(re.findall("[0-9]+", text)) == 4, "card": 12 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
 
 
@@ -373,9 +404,8 @@ def find(raw: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[tuple[lis
     for i in np.flatnonzero(hint[starts[1:]] > hint[starts[:-1]]).tolist():
         base = base_spans(text(i))
         out[i] = (base, list(base))
-    for a, b, tag in tagger.tag(symbols, starts):
-        i = int(np.searchsorted(starts, a, "right")) - 1
-        x, y, kind = a - int(starts[i]), b - int(starts[i]), KINDS[tag - 1]
+    for i, x, y, tag in tagger.tag(symbols, starts):
+        kind = KINDS[tag - 1]
         piece = text(i)[x:y]
         x, y = x + len(piece) - len(piece.lstrip()), y - (len(piece) - len(piece.rstrip()))
         if plausible(text(i)[x:y], kind) and not any(s < y and x < e for s, e, _ in out[i][0]):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, langid, media, mixing, neardup, sharding, urlfilter
+from lodestar.llm import decontam, langid, media, mixing, neardup, pii, sharding, urlfilter
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.uniform_tree(40), sharding.uniform_tree(41))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op5_language_id": op5_language_id,
     "op6_avi_frames": op6_avi_frames,
     "op7_decontaminate": op7_decontaminate,
+    "op8_personal_data": op8_personal_data,
     "op9_shard_tree": op9_shard_tree,
     "op10_url_filter": op10_url_filter,
 }
