@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, langid, media, mixing, neardup, pii, sharding, suffixdedup, urlfilter
+from lodestar.llm import chat, decontam, langid, media, mixing, neardup, pii, sharding, suffixdedup, urlfilter
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.format_chats(chat.transcripts(turns), chat.train(turns))
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_chat_format": op3_chat_format,
     "op4_repeated_passages": op4_repeated_passages,
     "op5_language_id": op5_language_id,
     "op6_avi_frames": op6_avi_frames,
