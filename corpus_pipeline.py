@@ -1,10 +1,49 @@
-"""Corpus preparation as a chain of stages, each written and reread as Parquet."""
+"""Corpus preparation as a chain of stages, each written and reread as Parquet.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last
+return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lodestar.llm import decontam, langid, mixing, neardup, sharding
+
+SHARDS = 40
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no learned language: without a letter, or coded in over 8 bits a byte by the best."""
+    return langid.accepted(docs, langid.train(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates (five words, 0.8)."""
+    return neardup.keep_one(docs, width=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws documents by their sources' target weights; one drawn several times comes as many times."""
+    return mixing.drawn(docs)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard(docs, sharding.uniform_tree(SHARDS), sharding.uniform_tree(SHARDS + 1))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("shard", assign_shards),
+]
 
 #: Language ID is a trained model, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
