@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, text_buffer
+from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer
 from lodestar.llm.shingles import permutations, shingles
 
 #: The least window similarity of an item at 0.8 is 0.19; all of 64 minima miss with a chance of 1e-6.
@@ -163,8 +163,8 @@ def contaminated(
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that hold no test item, with their columns. Rows with a null id are judged by nothing and stay."""
-    hit = contaminated(docs, benchmark, width, percent, id_col, text_col).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("__hit"), "left_anti")
+    hit = cut(contaminated(docs, benchmark, width, percent, id_col, text_col).select(F.col("doc_id").alias("__hit")).distinct())
+    return docs.join(broadcast_checked(hit, 1_000_000), F.col(id_col) == F.col("__hit"), "left_anti")
 
 
 #: DuckDB's form of contaminated() with its default parameters.

@@ -86,6 +86,20 @@ def mix(
     return drawn.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def drawn(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, each as often as mix() draws it, with their columns.
+
+    The copies drawn for an id that several rows have (null is one) are dealt among them: each gets
+    the whole part of the mean and, by a hash of the row, one more with the chance of the rest."""
+    copies = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    share = F.col("__copies") / F.col("__rows")
+    chance = F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).cast("double") / 2.0**64 + 0.5
+    rows = docs.withColumn("__chance", chance).join(copies, F.col(id_col).eqNullSafe(F.col("__id")))
+    times = F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(F.floor(share) + (F.col("__chance") < share - F.floor(share)).cast("long"))
+    rows = rows.withColumn("__times", times.cast("int")).filter("__times > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: DuckDB's form of mix() with its default parameters.
 MIX_SQL = """
 WITH sized AS (

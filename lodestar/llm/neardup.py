@@ -239,15 +239,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with their columns; of rows of one id that are kept, one.
+    """The rows of docs that near_duplicates() keeps, with their columns.
 
+    Of an id that several rows have, one row stays (by a hash of its text) if any of them is kept.
     Rows with a null id have no identity to be compared by and stay."""
-    marks = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col)
-    kept = marks.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    marks = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).filter("doc_id is not null")
+    ids = cut(marks.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("any")).filter("rows > 1 or not any"))
+    apart = broadcast_checked(ids.select(F.col("doc_id").alias("__id")), 1_000_000)
+    again = broadcast_checked(ids.filter("any").select(F.col("doc_id").alias("__id")), 1_000_000)
+    single = docs.join(apart, F.col(id_col) == F.col("__id"), "left_anti")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    rows = rows.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
-    return rows.unionByName(docs.filter(F.col(id_col).isNull()))
+    several = docs.join(again, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
+    return single.unionByName(several)
 
 
 #: DuckDB's form of near_duplicates() with its default parameters.
