@@ -20,6 +20,8 @@ from lodestar.llm.shingles import mixed, permutations, shingles
 BANDS = 24
 #: Members of a family that one task compares with as many others.
 BLOCK = 512
+#: First nodes of a band bucket that its other members are compared with, one after the other.
+ROUNDS = 2
 PIECE = 1 << 20
 
 
@@ -177,9 +179,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     The members of a band bucket are compared with the bucket's first node, not with each other.
     Members less than half like it are dealt with anew among themselves, with a first node of their
     own. By the triangle inequality of the Jaccard distance, two that could be linked at 80 percent
-    are then both at least 0.3 like one first node: these likenesses make families. A
-    family whose links leave it in several parts is searched further: its members outside the
-    largest part, in blocks, against all its members."""
+    are then both at least 0.3 like one first node: these likenesses make families. What is left of
+    a bucket after ROUNDS is a family as it is. A family whose links leave it in several parts is
+    searched further: its members outside the largest part, in blocks, against all its members."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(texts.dtypes)["id"]
     sketches = cut(texts.mapInArrow(_sketch(width, bands), f"id {id_type}, n long, s1 long, s2 long, bands array<long>"))
@@ -194,7 +196,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
 
     family = max(1, 50 - (100 - percent))
     likeness: DataFrame | None = None
-    while members.limit(1).count():
+    for _ in range(ROUNDS):
+        if not members.limit(1).count():
+            break
         hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
         pairs = cut(members.join(hubs, "key").filter("node != hub"))
         tried = pairs.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
@@ -208,7 +212,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     if likeness is not None:
         links = likeness.filter(100 * F.col("common") >= percent * F.col("total")).select("u", "v")
         labels = components(links)
-        families = components(likeness.filter(100 * F.col("common") >= family * F.col("total")).select("u", "v")).withColumnRenamed("label", "family")
+        left_over = members.join(members.groupBy("key").agg(F.min("node").alias("hub")), "key").filter("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+        kin = likeness.filter(100 * F.col("common") >= family * F.col("total")).select("u", "v").union(left_over)
+        families = components(kin).withColumnRenamed("label", "family")
         parts = cut(families.join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label")))
         counts = parts.groupBy("family", "label").agg(F.count("*").alias("n"))
         open_ = counts.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max("n").alias("most"), F.max_by("label", "n").alias("largest"))
