@@ -1,14 +1,320 @@
-"""Named queries over the driver's tables and their DuckDB SQL."""
+"""Named queries over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from lodestar.functions import text as tx
+from lodestar.operators import bm25, context, dense, embedding, evaluation, fusion, rerank
+from lodestar.operators.chunking import Chunker
+from lodestar.operators.filters import FilterPolicy, matches
+from lodestar.plans import oracles, service
+from lodestar.plans.config import RetrievalConfig
+from lodestar.plans.retrieval import Retriever, completed
+from lodestar.sources.store import merged
+
+Query = Callable[[SparkSession, str], DataFrame]
+CONFIG = RetrievalConfig(thresholds={"hybrid": 0.545})
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks: published if labelled as good, else drafts."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    status = F.when(F.col("quality") == 1, F.lit("published")).otherwise(F.lit("draft"))
+    rows = docs.join(labels, "doc_id", "left")
+    return completed(rows.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("source_file"), F.col("lang").alias("language"), status.alias("status"), tx.first_sentence(F.col("text")).alias("context_summary")))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def retriever(spark: SparkSession, sf_dir: str) -> Retriever:
+    """All chunks may be found, drafts too."""
+    return Retriever(corpus(spark, sf_dir), CONFIG, FilterPolicy({}))
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retriever(spark, sf_dir).retrieve(questions(spark, sf_dir), "hybrid").results
+
+
+def clean_text_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.clean_text(F.col("html")).alias("clean"))
+
+
+def first_sentence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.first_sentence(F.col("text")).alias("sentence"))
+
+
+def bm25_token_counts(spark, sf_dir):
+    tokens = tx.bm25_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"))
+
+
+def hash_tokens(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.hash_tokens(F.col("text"))).alias("token"))
+    return rows.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+
+
+def count_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
+
+
+def truncated_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.truncate_to_tokens(F.col("text"), F.lit(50)).alias("head"))
+
+
+def chunk_metadata(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.chunk_hash(text).alias("chunk_hash"), tx.language(text).alias("language"), tx.document_type(F.col("source")).alias("document_type"), tx.point_id(tx.chunk_hash(text)).alias("point_id"))
+
+
+def normalized_evidence(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.normalize_evidence(F.col("text")).alias("evidence"))
+
+
+def recursive_chunks(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("source_file"), F.lit(1).alias("page_number"), F.lit(False).alias("used_ocr"))
+    return Chunker().chunks(pages).select("doc_id", "chunk_ordinal", "chunk_hash", "text", "language", "document_type", "status")
+
+
+def _hashed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source", tx.chunk_hash(F.col("text")).alias("chunk_hash"))
+
+
+def _unique(rows):
+    return fusion.first_wins(rows, ["chunk_hash"], ["doc_id"])
+
+
+def dedup_first_wins(spark, sf_dir):
+    return _unique(_hashed(spark, sf_dir)).select("chunk_hash", "doc_id")
+
+
+def existing_semi(spark, sf_dir):
+    rows = _hashed(spark, sf_dir)
+    stored = rows.filter("doc_id % 2 = 0").select("chunk_hash")
+    return _unique(rows.filter("doc_id % 2 = 1")).join(stored, "chunk_hash", "left_semi").select("chunk_hash")
+
+
+def pending_anti(spark, sf_dir):
+    rows = _hashed(spark, sf_dir)
+    stored = rows.filter("doc_id % 2 = 0").select("chunk_hash")
+    return _unique(rows.filter("doc_id % 2 = 1")).join(stored, "chunk_hash", "left_anti").select("chunk_hash", "doc_id")
+
+
+def upsert_merge(spark, sf_dir):
+    rows = _hashed(spark, sf_dir).select("chunk_hash", "doc_id")
+    return merged(_unique(rows.filter("doc_id % 2 = 0")), _unique(rows.filter("doc_id % 3 = 0")))
+
+
+def ingestion_stats(spark, sf_dir):
+    rows = _hashed(spark, sf_dir)
+    incoming = rows.filter("doc_id % 2 = 1")
+    stored = rows.filter("doc_id % 2 = 0").select("chunk_hash").distinct().withColumn("known", F.lit(1))
+    seen = incoming.groupBy("chunk_hash").agg(F.count("*").alias("n")).join(stored, "chunk_hash", "left")
+    return seen.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("created"), F.count("*").alias("unique_chunks"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.count("known").alias("existing"), (F.count("*") - F.count("known")).alias("pending")
+    )
+
+
+def hash_embedding_long(spark, sf_dir):
+    return embedding.embed_long(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def vector_dimensions(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").cast("long").alias("dimensions")).agg(F.count("*").alias("vectors"))
+
+
+def _vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    return rows.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), rows
+
+
+def dense_topk(spark, sf_dir):
+    asked, rows = _vectors(spark, sf_dir)
+    return dense.nearest(asked, rows, 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def dense_topk_filtered(spark, sf_dir):
+    asked, rows = _vectors(spark, sf_dir)
+    return dense.nearest(asked, rows.filter(matches({"label": 1})), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def bm25_term_stats(spark, sf_dir):
+    return bm25.index(corpus(spark, sf_dir)).terms
+
+
+def bm25_corpus_stats(spark, sf_dir):
+    return bm25.index(corpus(spark, sf_dir)).corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def bm25_topk(spark, sf_dir):
+    return retriever(spark, sf_dir).sparse(questions(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def bm25_filtered_topk(spark, sf_dir):
+    found = Retriever(corpus(spark, sf_dir), CONFIG).sparse(questions(spark, sf_dir), 10, {"language": "en"})
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def hashed_dense_topk(spark, sf_dir):
+    return retriever(spark, sf_dir).dense(questions(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def rrf_fusion(spark, sf_dir):
+    own, asked = retriever(spark, sf_dir), questions(spark, sf_dir)
+    fused = fusion.fuse({"dense": own.dense(asked, 30), "sparse": own.sparse(asked, 30)}, 30)
+    return fused.select("query_id", "chunk_id", "rank", "dense_rank", "sparse_rank", "sources", F.round("score", 9).alias("score"))
+
+
+def _results(rows):
+    return rows.select("query_id", "chunk_id", "rank", "backend", F.round("rerank_score", 6).alias("score"))
+
+
+def hybrid_rerank(spark, sf_dir):
+    return _results(hybrid(spark, sf_dir))
+
+
+def dense_rerank(spark, sf_dir):
+    return _results(retriever(spark, sf_dir).retrieve(questions(spark, sf_dir), "dense").results)
+
+
+def sparse_rerank(spark, sf_dir):
+    return _results(retriever(spark, sf_dir).retrieve(questions(spark, sf_dir), "sparse").results)
+
+
+def dense_only(spark, sf_dir):
+    own = Retriever(corpus(spark, sf_dir), CONFIG, FilterPolicy({}), reranker=None)
+    return own.retrieve(questions(spark, sf_dir), "dense").results.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def hybrid_wide(spark, sf_dir):
+    return retriever(spark, sf_dir).hybrid_wide(questions(spark, sf_dir), 3).select("query_id", "chunk_id", F.col("rank"), F.round("score", 6).alias("score"))
+
+
+def retrieval_diagnostics(spark, sf_dir):
+    return retriever(spark, sf_dir).retrieve(questions(spark, sf_dir), "hybrid").diagnostics
+
+
+def relevance_threshold(spark, sf_dir):
+    return service.relevant(hybrid(spark, sf_dir), 0.545).select("query_id", "chunk_id", "rank")
+
+
+def context_selection(spark, sf_dir):
+    blocks = context.select_blocks(hybrid(spark, sf_dir), 1200, 2)
+    return blocks.select("query_id", "chunk_id", "n", "tokens", "header")
+
+
+def per_document_cap(spark, sf_dir):
+    blocks = context.select_blocks(hybrid(spark, sf_dir), 10**9, 1)
+    return blocks.select("query_id", "source_file", "chunk_id", "n")
+
+
+def context_strings(spark, sf_dir):
+    return context.build(hybrid(spark, sf_dir), 1200, 2).select("query_id", "context", "token_count", "chunks")
+
+
+def refusal_decision(spark, sf_dir):
+    found = hybrid(spark, sf_dir)
+    good = service.relevant(found, 0.545)
+    blocks = context.select_blocks(good, 1200, 2)
+    count = lambda rows, name: rows.groupBy("query_id").agg(F.count("*").alias(name))
+    rows = questions(spark, sf_dir).select("query_id").join(count(found, "results"), "query_id", "left").join(count(good, "relevant"), "query_id", "left").join(count(blocks, "blocks"), "query_id", "left")
+    rows = service.refusal_reason(rows.withColumn("valid", F.lit(True)))
+    return rows.select("query_id", F.col("reason").isNotNull().alias("refused"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def answers(spark, sf_dir):
+    chunks = corpus(spark, sf_dir)
+    own = service.Service(Retriever(chunks, CONFIG, FilterPolicy({})), config=CONFIG)
+    return own.query(questions(spark, sf_dir), "hybrid").select("query_id", "answer", "refused", "refusal_reason", "final_chunks", "context_tokens")
+
+
+def parent_expansion(spark, sf_dir):
+    chunks = corpus(spark, sf_dir)
+    children = chunks.withColumn("parent_id", F.when(F.col("chunk_id") % 10 != 0, (F.col("chunk_id") - F.col("chunk_id") % 10).cast("string")))
+    rows = context.expand_parents(children.withColumn("own_id", F.col("chunk_id")), chunks)
+    return rows.select("own_id", "chunk_id", "child_chunk_id", "source_file")
+
+
+def citation_validation(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    answer = F.concat(F.coalesce("text", F.lit("")), F.lit(" [S"), (F.col("turn") % 5).cast("string"), F.lit("] [S1] [S"), (F.col("turn") % 5).cast("string"), F.lit("]"))
+    found = context.validate_citations(answer, F.array(F.lit("S1"), F.lit("S2"), F.lit("S3")))
+    joined = {k: F.array_join(found[k], ",") for k in ("referenced", "invalid")}
+    return rows.select("conv_id", "turn", joined["referenced"].alias("referenced"), joined["invalid"].alias("invalid"), found["valid"].alias("valid"))
+
+
+def _golden(spark, sf_dir):
+    """Questions whose evidence is in the corpus are answerable; its sources are expected."""
+    chunks = corpus(spark, sf_dir)
+    asked = questions(spark, sf_dir)
+    reference = evaluation.evidence_chunks(asked.withColumn("evidence", F.col("query")), chunks)
+    sources = reference.join(chunks.select("chunk_id", "source_file"), "chunk_id").groupBy("query_id").agg(F.collect_set("source_file").alias("expected_sources"))
+    rows = asked.join(sources, "query_id", "left")
+    return rows.withColumn("answerable", F.col("expected_sources").isNotNull()).withColumn("expected_sources", F.coalesce("expected_sources", F.array().cast("array<string>"))), reference, chunks
+
+
+def evidence_containment(spark, sf_dir):
+    return _golden(spark, sf_dir)[1]
+
+
+def _observed(spark, sf_dir):
+    golden, _, chunks = _golden(spark, sf_dir)
+    found = Retriever(chunks, CONFIG, FilterPolicy({})).sparse(questions(spark, sf_dir), 10).join(chunks.select("chunk_id", "source_file"), "chunk_id")
+    return evaluation.judged(golden, found.select("query_id", "rank", F.round("score", 6).alias("score"), "source_file"))
+
+
+def threshold_calibration(spark, sf_dir):
+    return evaluation.calibrate(_observed(spark, sf_dir)).select(F.round("threshold", 6).alias("threshold"))
+
+
+def retrieval_metrics(spark, sf_dir):
+    row = evaluation.metrics(_observed(spark, sf_dir))
+    return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
+
+
+def context_recall(spark, sf_dir):
+    golden, reference, chunks = _golden(spark, sf_dir)
+    found = Retriever(chunks, CONFIG, FilterPolicy({})).sparse(questions(spark, sf_dir), 3)
+    return evaluation.context_recall(golden, reference, found).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+def incremental_ingest_stream(spark, sf_dir):
+    """Every content hash of documents, stored once by the stream; the run's folder is in the shared checkpoint folder."""
+    import tempfile
+    import uuid
+
+    from lodestar.sources.store import ChunkStore
+    from lodestar.streaming.ingest import ingest_stream
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")
+    here = f"{shared.rstrip('/')}/ingest-{uuid.uuid4()}"
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    ingest_stream(spark, f"{sf_dir}/documents.parquet", schema, f"{here}/store", f"{here}/progress")
+    stored = ChunkStore(spark, f"{here}/store").read()
+    return spark.createDataFrame([], "chunk_hash string, point_id string") if stored is None else stored.select("chunk_hash", "point_id")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid search with reranking of every benchmark text."""
+    return hybrid_rerank(spark, sf_dir)
+
+
+_ALL: tuple[Query, ...] = (
+    clean_text_pages, first_sentence, bm25_token_counts, hash_tokens, count_tokens, truncated_texts, chunk_metadata, normalized_evidence, recursive_chunks,
+    dedup_first_wins, existing_semi, pending_anti, upsert_merge, ingestion_stats, hash_embedding_long, vector_dimensions, dense_topk, dense_topk_filtered,
+    bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_filtered_topk, hashed_dense_topk, rrf_fusion, hybrid_rerank, dense_rerank, sparse_rerank, dense_only, hybrid_wide,
+    retrieval_diagnostics, relevance_threshold, context_selection, per_document_cap, context_strings, refusal_decision, answers, parent_expansion,
+    citation_validation, evidence_containment, threshold_calibration, retrieval_metrics, context_recall, incremental_ingest_stream,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = oracles.SQL
