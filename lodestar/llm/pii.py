@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import pieces, text_buffer
 
 KINDS = ("email", "ip", "card", "phone")
-CORE, MARGIN = 96, 16
+CORE, MARGIN = 224, 16
 WINDOW = CORE + 2 * MARGIN
-HIDDEN, EMBED, TAGS = 8, 6, 1 + len(KINDS)
-BATCH = 1024
-PIECE = 1 << 18
+HIDDEN, EMBED, TAGS = 6, 6, 1 + len(KINDS)
+BATCH = 512
+PIECE = 1 << 19
 #: Made-up training texts, the characters seen of each, and how they are gone through.
 TRAIN_TEXTS, TRAIN_WINDOW, TRAIN_BATCH, TRAIN_STEPS, TRAIN_SEED = 6000, 64, 64, 450, 5
 
@@ -234,18 +234,23 @@ def _gradients(w: Weights, symbols: np.ndarray, tags: np.ndarray) -> tuple[float
 
 
 class Tagger:
-    """Frozen weights in single precision; gates are scaled so that one tanh serves all four."""
+    """Frozen weights in single precision.
+
+    A logistic gate is (1 + tanh(z / 2)) / 2: the inner half is in the gates' weights, so that one
+    tanh serves all four, and the outer half of the output gate is in what reads the state."""
 
     def __init__(self, w: Weights):
         half = np.ones((4 * HIDDEN, 1))
         half[: 3 * HIDDEN] = 0.5
+        w = w | {"gates": w["gates"].copy(), "out": w["out"] * 0.5}
+        w["gates"][:, :, :HIDDEN] *= 0.5
         self.embed = np.concatenate([w["embed"], np.ones((1, CLASSES))]).astype(np.float32)
         self.gates = (np.concatenate([w["gates"], w["bias"]], axis=2) * half).astype(np.float32)
         self.out, self.out_bias, self.moves = w["out"].astype(np.float32), w["out_bias"].astype(np.float32), w["moves"].astype(np.float32)
         m = w["moves"]
-        #: A run of personal data gains at most the sum of (best tag's lead + stay) over it, less toll.
-        self.stay = float(m[1:, 1:].max() - m[0, 0])
-        self.toll = self.stay + float(m[0, 0] - m[0, 1:].max()) + float(m[0, 0] - m[1:, 0].max())
+        #: A run of personal data gains at most the sum of its tags' leads and stays over it, less toll.
+        self.stay = m[1:, 1:].max(axis=0) - m[0, 0]
+        self.toll = float((self.stay + m[0, 0] - m[0, 1:]).min() + (m[0, 0] - m[1:, 0]).min())
 
     def emissions(self, symbols: np.ndarray, out: np.ndarray) -> None:
         """Writes the emissions (CORE, TAGS, B) of windows (WINDOW, B) to out."""
@@ -253,21 +258,21 @@ class Tagger:
         x = np.zeros((2, HIDDEN + EMBED + 1, batch), np.float32)
         c, part, z = np.zeros((2, HIDDEN, batch), np.float32), np.empty((2, HIDDEN, batch), np.float32), np.empty((2, 4 * HIDDEN, batch), np.float32)
         hidden = np.empty((WINDOW, 2, HIDDEN, batch), np.float32)
+        read = np.take(self.embed, symbols, axis=1, mode="clip")
         gate = z[:, : 3 * HIDDEN]
         i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
         for t in range(WINDOW):
-            np.take(self.embed, symbols[t], axis=1, out=x[0, HIDDEN:], mode="clip")
-            np.take(self.embed, symbols[WINDOW - 1 - t], axis=1, out=x[1, HIDDEN:], mode="clip")
+            x[0, HIDDEN:], x[1, HIDDEN:] = read[:, t], read[:, WINDOW - 1 - t]
             np.matmul(self.gates, x, out=z)
             np.tanh(z, out=z)
-            gate *= 0.5
-            gate += 0.5
+            gate += 1
             c *= f
             np.multiply(i, g, out=part)
             c += part
+            c *= 0.5
             np.tanh(c, out=part)
-            np.multiply(o, part, out=x[:, :HIDDEN])
-            hidden[t] = x[:, :HIDDEN]
+            np.multiply(o, part, out=hidden[t])
+            x[:, :HIDDEN] = hidden[t]
         ahead, behind = hidden[MARGIN : MARGIN + CORE, 0], hidden[::-1][MARGIN : MARGIN + CORE, 1]
         np.matmul(self.out[:, :HIDDEN], ahead, out=out)
         out += np.matmul(self.out[:, HIDDEN:], behind)
@@ -280,25 +285,34 @@ class Tagger:
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(begin)
         order = np.argsort(length, kind="stable")
         filler = np.array([0.0] + [-1e6] * (TAGS - 1), np.float32)
+        moves = self.moves[:, :, None]
         for a in range(0, len(order), 256):
             own = order[a : a + 256]
             steps = int(length[own].max())
-            at = begin[own] + np.arange(steps)[:, None]
-            inside = np.arange(steps)[:, None] < length[own]
-            at = np.minimum(at, CORE * emit.shape[2] - 1)
-            values = np.where(inside[..., None], emit[at % CORE, :, at // CORE], filler)
-            score = values[0] + self.moves[0]
-            back = np.zeros((steps, len(own), TAGS), np.int8)
+            at = np.minimum(begin[own] + np.arange(steps)[:, None], CORE * emit.shape[2] - 1)
+            outside = np.arange(steps)[:, None] >= length[own]
+            values = np.empty((steps, TAGS, len(own)), np.float32)
+            for k in range(TAGS):
+                values[:, k] = emit[:, k][at % CORE, at // CORE]
+                values[:, k][outside] = filler[k]
+            score = np.empty((steps, TAGS, len(own)), np.float32)
+            score[0] = values[0] + self.moves[0][:, None]
             for t in range(1, steps):
-                paths = score[:, :, None] + self.moves
-                back[t] = paths.argmax(1)
-                score = paths.max(1) + values[t]
-            tags = np.zeros((steps, len(own)), np.int8)
-            tags[-1] = (score + self.moves[:, 0]).argmax(1)
-            rows = np.arange(len(own))
+                np.max(score[t - 1][:, None] + moves, axis=0, out=score[t])
+                score[t] += values[t]
+            # where the best path is outside all along, its score is the sum of that path
+            best = (score[-1] + self.moves[:, :1]).max(0)
+            for i in own.tolist():
+                out[i] = np.zeros(length[i], np.int8)
+            some = np.flatnonzero(best > values[:, 0].sum(0) + self.moves[0, 0] * (steps + 1) + 1e-3)
+            if not len(some):
+                continue
+            score = np.ascontiguousarray(score[:, :, some])
+            tags = np.zeros((steps, len(some)), np.int8)
+            tags[-1] = (score[-1] + self.moves[:, :1]).argmax(0)
             for t in range(steps - 1, 0, -1):
-                tags[t - 1] = back[t, rows, tags[t]]
-            for k, i in enumerate(own.tolist()):
+                tags[t - 1] = (score[t - 1] + self.moves[:, tags[t]]).argmax(0)
+            for k, i in enumerate(own[some].tolist()):
                 out[i] = tags[: length[i], k]
         return out
 
@@ -320,13 +334,12 @@ class Tagger:
             self.emissions(np.ascontiguousarray(windows[a : a + BATCH].T), own)
             if count > BATCH:
                 emit[:, :, a : a + BATCH] = own
-            best = own[:, 1]
+            best = own[:, 1] + self.stay[0]
             for k in range(2, TAGS):
-                best = np.maximum(best, own[:, k])
+                np.maximum(best, own[:, k] + self.stay[k - 1], out=best)
             lead[a : a + BATCH] = (best - own[:, 0]).T
         # the best sum of a run through each character; no run bridges a pad
         lead = lead.reshape(-1)
-        lead += self.stay
         lead[padded[MARGIN : MARGIN + len(lead)] == PAD] = -1e6
         sums = np.concatenate(([0.0], np.cumsum(lead)))
         through = sums[1:] - np.minimum.accumulate(sums[:-1])
