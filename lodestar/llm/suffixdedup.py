@@ -26,7 +26,7 @@ from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer
 from lodestar.llm.shingles import _INVERSE, _BASE, _powers, mixed
 from lodestar.llm.suffixes import common_prefixes, suffix_order, words8
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 STRINGS = LENGTH - GRAM + 1
 #: Bytes of text in a batch, on average, and for a shard.
 BATCH_BYTES = 4 << 20
@@ -40,10 +40,14 @@ _INVERSE2 = pow(_BASE2, -1, 2**64)
 _SPREAD = np.random.Generator(np.random.PCG64(99)).integers(0, 2**64, 256, np.uint64)
 
 
+def _gram(words: np.ndarray, at: np.ndarray | slice, step: Callable[[int], np.ndarray | slice]) -> np.ndarray:
+    return mixed(mixed(words[at] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[step(8)])) + words[step(16)])
+
+
 def gram_hashes(words: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes at each place but the last GRAM - 1, from the place's eight-byte words."""
     n = len(words) - GRAM + 1
-    return mixed(words[:n] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[8 : 8 + n]))
+    return _gram(words, slice(0, n), lambda k: slice(k, k + n))
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,8 +128,13 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[order[a]]), order[a:b]
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The bits of hashes that lists hold."""
+    return (hashes >> np.uint64(33)).astype(np.uint32)
+
+
 def list_anchors(shards: int) -> Callable[[pa.Table], pa.Table]:
-    """(1) batch to (shard, batch, hashes, several): its distinct anchors, and whether several ids have them."""
+    """(1) batch to (shard, batch, hashes): its distinct anchors, flagged if several ids have them."""
 
     def run(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
@@ -136,19 +145,25 @@ def list_anchors(shards: int) -> Callable[[pa.Table], pa.Table]:
             hashes.append(own)
             owners.append(ids[row[np.searchsorted(offsets, at, "right") - 1]])
         hashed, owner = np.concatenate(hashes), np.concatenate(owners)
+        if not len(hashed):
+            return _ANCHORS.empty_table()
         order = np.lexsort((owner, hashed))
         hashed, owner = hashed[order], owner[order]
-        head = np.flatnonzero(np.concatenate(([True], hashed[1:] != hashed[:-1]))) if len(hashed) else np.zeros(0, np.int64)
-        several = owner[head] != owner[np.append(head[1:], len(owner)) - 1] if len(head) else np.zeros(0, bool)
+        head = np.flatnonzero(np.concatenate(([True], hashed[1:] != hashed[:-1])))
+        several = owner[head] != owner[np.append(head[1:], len(owner)) - 1]
         distinct = hashed[head]
-        rows = [(s, batch, distinct[i].tobytes(), several[i].tobytes()) for s, i in _by_shard((distinct % np.uint64(shards)).astype(np.int64))]
-        return pa.Table.from_pylist([dict(zip(("shard", "batch", "hashes", "several"), r, strict=True)) for r in rows], _ANCHORS)
+        listed = short(distinct) | several * _FLAG
+        rows = [{"shard": s, "batch": batch, "hashes": listed[i].tobytes()} for s, i in _by_shard((distinct % np.uint64(shards)).astype(np.int64))]
+        return pa.Table.from_pylist(rows, _ANCHORS)
 
     return run
 
 
-_ANCHORS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())])
-_KEPT = pa.schema([("batch", pa.int64()), ("hashes", pa.binary()), ("frequent", pa.binary())])
+#: Lists hold 31 bits of a hash and a flag. A shard has some 500,000 anchors at any size of the whole,
+#: so one in some thousands is taken for another's; that adds contexts to judge and changes no verdict.
+_FLAG = np.uint32(1 << 31)
+_ANCHORS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary())])
+_KEPT = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("hashes", pa.binary())])
 _CONTEXTS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("text", "length", "place", "id", "row", "start")), ("verdicts", pa.binary())])
 _VERDICTS = pa.schema([("batch", pa.int64()), ("verdicts", pa.binary())])
 _VERDICT = np.dtype([("row", "<i4"), ("start", "<i4"), ("strings", "<u8")])
@@ -165,20 +180,21 @@ def _blobs(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keep_anchors(table: pa.Table) -> pa.Table:
-    """(2) a shard's lists to (batch, hashes, frequent): anchors that several documents have."""
-    hashes, sizes = _blobs(table.column("hashes"), np.uint64)
-    several, _ = _blobs(table.column("several"), bool)
+    """(2) a shard's lists to (batch, shard, hashes): anchors that several documents have, flagged if frequent."""
+    listed, sizes = _blobs(table.column("hashes"), np.uint32)
+    if not len(listed):
+        return _KEPT.empty_table()
+    hashes, several = listed & ~_FLAG, listed >= _FLAG
     source = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(hashes, kind="stable")
-    head = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(hashes) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
     count = np.diff(np.append(head, len(hashes)))
-    kept = (count > 1) | (np.logical_or.reduceat(several[order], head) if len(head) else np.zeros(0, bool))
+    kept = (count > 1) | np.logical_or.reduceat(several[order], head)
     keep, frequent = np.empty(len(hashes), bool), np.empty(len(hashes), bool)
     keep[order], frequent[order] = np.repeat(kept, count), np.repeat(count >= FREQUENT, count)
-    rows = []
-    for batch, i in _by_shard(np.where(keep, source, -1)[keep] if len(keep) else source):
-        own = np.flatnonzero(keep)[i]
-        rows.append({"batch": table.column("batch")[batch].as_py(), "hashes": hashes[own].tobytes(), "frequent": frequent[own].tobytes()})
+    left, marked = np.flatnonzero(keep), hashes | frequent * _FLAG
+    shard = table.column("shard")[0].as_py()
+    rows = [{"batch": table.column("batch")[b].as_py(), "shard": shard, "hashes": marked[left[i]].tobytes()} for b, i in _by_shard(source[left])]
     return pa.Table.from_pylist(rows, _KEPT)
 
 
@@ -189,16 +205,17 @@ def cut_contexts(shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not len(table) or not len(kept):
             return _CONTEXTS.empty_table()
         batch = table.column("batch")[0].as_py()
-        known, _ = _blobs(kept.column("hashes"), np.uint64)
-        frequent, _ = _blobs(kept.column("frequent"), bool)
+        marked, sizes = _blobs(kept.column("hashes"), np.uint32)
+        known = np.repeat(kept.column("shard").to_numpy(), sizes).astype(np.uint64) << np.uint64(32) | (marked & ~_FLAG)
         order = np.argsort(known)
-        known, frequent = known[order], frequent[order]
+        known, frequent = known[order], marked[order] >= _FLAG
         ids, parts, _, _ = stretches(table)
         found: list[list[np.ndarray]] = []
         for raw, offsets, row, base in parts:
             at, first, last, hashed = anchors(raw, offsets)
-            slot = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-            own = known[slot] == hashed
+            asked = (hashed % np.uint64(shards)) << np.uint64(32) | short(hashed)
+            slot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            own = known[slot] == asked
             at, first, last, hashed, often = at[own], first[own], last[own], hashed[own], frequent[slot[own]]
             if not len(at):
                 continue
@@ -283,7 +300,7 @@ def judge_contexts(table: pa.Table) -> pa.Table:
         held = np.flatnonzero(place[merged] != _LOOSE)
         words = words8(text)
         at = start[merged[held]] + place[merged[held]]
-        anchor = mixed(words[at] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[at + 8]))
+        anchor = _gram(words, at, lambda k: at + k)
         sorted_anchor = np.sort(anchor)
         count = np.searchsorted(sorted_anchor, anchor, "right") - np.searchsorted(sorted_anchor, anchor)
         several = held[count > 1]
