@@ -28,11 +28,22 @@ class Index:
         return Index(self.postings.persist(), self.terms.persist(), self.corpus.persist())
 
 
-def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Index:
-    """Statistics over all chunks, whatever a later search filters."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term and qtf, how often the query has it."""
+    return askable(queries).select("query_id", F.explode(bm25_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", terms: DataFrame | None = None) -> Index:
+    """Statistics over all chunks, whatever a later search filters.
+
+    With terms (term) the index holds these alone, and others aren't even shuffled; counts of the
+    terms and of the corpus are the same."""
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
     lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"), "tokens")
-    postings = lengths.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    words = lengths.select("chunk_id", "dl", F.explode("tokens").alias("term"))
+    if terms is not None:
+        words = words.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
+    postings = words.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     return Index(postings.select("chunk_id", "term", "tf", "dl"), terms, corpus)
@@ -50,7 +61,7 @@ def search(queries: DataFrame, idx: Index, limit: int, candidates: DataFrame | N
 
     The query's terms, counted as often as it repeats them, are the small side of the join."""
     positive(limit=limit)
-    asked = askable(queries).select("query_id", F.explode(bm25_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = query_terms(queries)
     known = asked.join(idx.terms, "term").crossJoin(F.broadcast(idx.corpus))
     postings = idx.postings if candidates is None else idx.postings.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
     scored = postings.join(broadcast_if_small(known), "term")

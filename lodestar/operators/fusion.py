@@ -27,12 +27,14 @@ def fuse(rankings: dict[str, DataFrame], limit: int, rank_constant: int = RANK_C
     rankings: source name to (query_id, chunk_id, rank), in order of precedence. A list votes once for
     a chunk, by its first place; the vote is 1 / (rank_constant + place), ties go to the lesser id."""
     positive(rank_constant=rank_constant)
-    votes = None
+    votes: DataFrame | None = None
     for name, ranked in rankings.items():
         place = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
         own = ranked.select("query_id", "chunk_id", F.row_number().over(place).alias("place"), F.lit(name).alias("source"))
         own = own.groupBy("query_id", "chunk_id", "source").agg(F.min("place").alias("place"))
         votes = own if votes is None else votes.unionByName(own)
+    # the few votes are dealt anew here, lest plans above rely on how a union happens to be partitioned
+    votes = votes.repartition("query_id", "chunk_id")
     rank_of = lambda name: F.min(F.when(F.col("source") == name, F.col("place"))).alias(f"{name}_rank")
     fused = votes.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(1.0 / (rank_constant + F.col("place"))), DIGITS).alias("score"), rank_of("dense"), rank_of("sparse"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")

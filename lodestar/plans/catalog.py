@@ -299,7 +299,8 @@ def incremental_ingest_stream(spark, sf_dir):
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")
     here = f"{shared.rstrip('/')}/ingest-{uuid.uuid4()}"
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
-    ingest_stream(spark, f"{sf_dir}/documents.parquet", schema, f"{here}/store", f"{here}/progress")
+    # a pattern, for the table may be a file or a folder
+    ingest_stream(spark, f"{sf_dir}/documents.parque[t]", schema, f"{here}/store", f"{here}/progress")
     stored = ChunkStore(spark, f"{here}/store").read()
     return spark.createDataFrame([], "chunk_hash string, point_id string") if stored is None else stored.select("chunk_hash", "point_id")
 

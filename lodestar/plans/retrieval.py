@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.jobs import cut
 from lodestar.operators import bm25, dense, embedding, fusion, rerank
 from lodestar.operators.filters import FilterPolicy, Value, askable, matches
 from lodestar.plans.config import MODES, RetrievalConfig
@@ -58,7 +59,7 @@ class Retriever:
 
     def sparse(self, queries: DataFrame, limit: int, filters: Mapping[str, Value] | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank by BM25; statistics are those of all chunks."""
-        index = self.index or bm25.index(self.chunks)
+        index = self.index or bm25.index(self.chunks, terms=bm25.query_terms(queries))
         return bm25.search(queries, index, limit, self._allowed(filters))
 
     def _described(self, queries: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -68,19 +69,17 @@ class Retriever:
 
     def _branch(self, search, queries: DataFrame, filters, guarded: bool) -> tuple[DataFrame | None, bool]:
         if not guarded:
-            return search(queries, self.config.candidate_k, filters), False
+            return cut(search(queries, self.config.candidate_k, filters)), False
         try:
-            found = search(queries, self.config.candidate_k, filters).persist()
-            found.count()
-            return found, False
+            return cut(search(queries, self.config.candidate_k, filters)), False
         except Exception:  # one failing branch must not end a hybrid search
             return None, True
 
     def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False) -> Outcome:
         """Candidates, fusion for hybrid, rerank to rerank_k, first final_k.
 
-        guarded runs each branch and the reranker at once and goes on without what fails; otherwise
-        the plan is lazy and a failure is the action's."""
+        The candidates, few rows that cost the most, are checkpointed. guarded goes on without a branch
+        or reranker that fails; otherwise the failure is raised."""
         mode = mode or self.config.mode
         if mode not in MODES:
             raise ValueError(f"unsupported mode: {mode}")

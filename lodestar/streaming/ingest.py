@@ -15,7 +15,7 @@ def ingest_stream(spark: SparkSession, source: str, schema, store_path: str, che
 
     Every micro-batch keeps the first row of each content hash and appends those that aren't stored.
     A batch that is repeated after a failure finds its rows stored and adds none."""
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source).withColumn("chunk_hash", chunk_hash(F.col(text_col))).filter(F.col(text_col).isNotNull())
+    rows = spark.readStream.schema(schema).parquet(source).withColumn("chunk_hash", chunk_hash(F.col(text_col))).filter(F.col(text_col).isNotNull())
     store = ChunkStore(spark, store_path)
 
     def add(batch: DataFrame, _: int) -> None:
