@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
             among = inside.withColumn("rest", F.lit(False)).withColumn("block", F.pmod(hashed, F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
             asked = inside.filter("label != largest").withColumn("rest", F.lit(True)).withColumn("part", F.pmod(hashed, F.col("rests")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             columns = ["family", "block", "part", "rest", "node", "label", "hashes"]
-            more = cut(among.select(columns).union(asked.select(columns)).groupBy("family", "block", "part").applyInArrow(_search_block(percent), "u long, v long"))
+            more = cut(among.select(columns).union(asked.select(columns)).repartition("family", "block", "part").groupBy("family", "block", "part").applyInArrow(_search_block(percent), "u long, v long"))
             if more.limit(1).count():
                 labels = components(links.union(more))
         named = nodes.select("node", "s1", "s2", "n", "id", "copies").join(labels, "node", "left")
