@@ -20,6 +20,8 @@ from lodestar.llm.shingles import mixed, permutations, shingles
 BANDS = 24
 #: Members of a family that one task compares with as many others.
 BLOCK = 512
+#: Rows of a side, once counted, up to which a join broadcasts it.
+SMALL = 500_000
 #: First nodes of a band bucket that its other members are compared with, one after the other.
 ROUNDS = 2
 PIECE = 1 << 20
@@ -152,9 +154,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("u", "v").union(edges.select("v", "u")))
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")))
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        nearer = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        known = broadcast_checked(labels, SMALL)
+        near = both.join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
+        nearer = near.join(known, F.col("u") == F.col("node")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = known.select(F.col("node").alias("via"), F.col("label").alias("further"))
         step = nearer.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
         step = cut(step)
         if step.filter(F.col("old") != F.col("label")).limit(1).count() == 0:
@@ -190,8 +193,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     members = _shared(nodes.select("node", F.explode("bands").alias("key")))
 
     wanted = cut(members.select("node").distinct().join(nodes, "node").select("node", "id", F.col("s1").alias("s")))
-    near = texts.filter("id is not null").join(broadcast_checked(wanted.select("id").distinct(), 1_000_000), "id", "left_semi")
-    sets = near.mapInArrow(_sets(width), f"id {id_type}, s long, hashes binary").join(broadcast_checked(wanted, 1_000_000), ["id", "s"])
+    near = texts.filter("id is not null").join(broadcast_checked(wanted.select("id").distinct(), SMALL), "id", "left_semi")
+    sets = near.mapInArrow(_sets(width), f"id {id_type}, s long, hashes binary").join(broadcast_checked(wanted, SMALL), ["id", "s"])
     sets = cut(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
     family = max(1, 50 - (100 - percent))
@@ -206,7 +209,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
         judged = cut(tried.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(_compare(), "u long, v long, common long, total long"))
         likeness = judged if likeness is None else likeness.union(judged)
         unlike = judged.filter("100 * common < 50 * total").select(F.col("u").alias("hub"), F.col("v").alias("node"))
-        members = _shared(pairs.join(unlike, ["hub", "node"], "left_semi").select("node", "key"))
+        members = _shared(pairs.join(broadcast_checked(unlike, SMALL), ["hub", "node"], "left_semi").select("node", "key"))
 
     sized = sketches.drop("bands")
     if likeness is not None:
@@ -220,7 +223,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
         open_ = counts.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max("n").alias("most"), F.max_by("label", "n").alias("largest"))
         open_ = cut(open_.filter("parts > 1 and size > 2").select("family", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("rests")))
         if open_.limit(1).count():
-            inside = parts.join(open_, "family").join(sets, "node")
+            inside = cut(parts.join(broadcast_checked(open_, SMALL), "family"))
+            inside = sets.join(broadcast_checked(inside, SMALL), "node")
             hashed = F.xxhash64("node")
             among = inside.withColumn("rest", F.lit(False)).withColumn("block", F.pmod(hashed, F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
             asked = inside.filter("label != largest").withColumn("rest", F.lit(True)).withColumn("part", F.pmod(hashed, F.col("rests")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -228,13 +232,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
             more = cut(among.select(columns).union(asked.select(columns)).repartition("family", "block", "part").groupBy("family", "block", "part").applyInArrow(_search_block(percent), "u long, v long"))
             if more.limit(1).count():
                 labels = components(links.union(more))
-        named = nodes.select("node", "s1", "s2", "n", "id", "copies").join(labels, "node", "left")
+        named = nodes.select("node", "s1", "s2", "n", "id", "copies").join(broadcast_checked(labels, SMALL), "node", "left")
         least = named.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-        named = named.join(least, "label", "left").filter("copies > 1 or label is not null")
+        named = named.join(broadcast_checked(cut(least), SMALL), "label", "left").filter("copies > 1 or label is not null")
     else:
         named = nodes.filter("copies > 1").withColumn("least", F.col("id"))
     known = cut(named.select("s1", "s2", "n", F.coalesce("least", "id").alias("component")))
-    out = sized.join(known, ["s1", "s2", "n"], "left")
+    out = sized.join(broadcast_checked(known, SMALL), ["s1", "s2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"),
@@ -251,8 +255,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     Rows with a null id have no identity to be compared by and stay."""
     marks = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).filter("doc_id is not null")
     ids = cut(marks.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("any")).filter("rows > 1 or not any"))
-    apart = broadcast_checked(ids.select(F.col("doc_id").alias("__id")), 1_000_000)
-    again = broadcast_checked(ids.filter("any").select(F.col("doc_id").alias("__id")), 1_000_000)
+    apart = broadcast_checked(ids.select(F.col("doc_id").alias("__id")), SMALL)
+    again = broadcast_checked(ids.filter("any").select(F.col("doc_id").alias("__id")), SMALL)
     single = docs.join(apart, F.col(id_col) == F.col("__id"), "left_anti")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
     several = docs.join(again, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
