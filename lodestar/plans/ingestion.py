@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.jobs import cut
 from lodestar.functions.text import first_sentence
@@ -54,7 +55,7 @@ def summarized(chunks: DataFrame, summarize: Summarize | None = None) -> DataFra
                     out.append(None)
             yield batch.append_column("_summary", pa.array(out, pa.string()))
 
-    asked = chunks.mapInArrow(run, chunks.schema.add("_summary", "string"))
+    asked = chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("_summary", T.StringType())]))
     missing = F.col("_summary").isNull()
     return asked.withColumns({"context_summary": F.coalesce("_summary", own), "summary_fallback": missing}).drop("_summary")
 
@@ -74,7 +75,7 @@ def embedded(chunks: DataFrame, embed: Embed | None = None, batch_size: int = EM
                     vectors = [None] * len(some)
                 yield some.append_column("vector", pa.array(vectors, pa.list_(pa.float64())))
 
-    return chunks.mapInArrow(run, chunks.schema.add("vector", "array<double>"))
+    return chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass

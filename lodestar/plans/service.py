@@ -13,7 +13,7 @@ from lodestar.functions.prompts import correction
 from lodestar.operators import context
 from lodestar.operators.filters import Value
 from lodestar.plans.config import RetrievalConfig, from_environment
-from lodestar.plans.retrieval import Retriever
+from lodestar.plans.retrieval import Retriever, completed
 
 # The answer of a refusal, and its reasons in the order in which they are looked for.
 REFUSAL = "知识库无法回答该问题。"
@@ -83,7 +83,7 @@ class Service:
 def build_service(chunks: DataFrame, generator: Generator = extractive, env: Mapping[str, str] | None = None) -> Service:
     """A service over a chunks table by environment settings."""
     config = from_environment(env)
-    return Service(Retriever(chunks, config), generator, chunks, config)
+    return Service(Retriever(chunks, config), generator, completed(chunks), config)
 
 
 MAX_QUERY = 2000
