@@ -70,7 +70,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     joined = word.copy()
     for j in range(1, width):
         joined *= _JOIN
-        joined[: n - j] += word[j:]
+        joined[: max(n - j, 0)] += word[j:]
     valid = np.ones(n, bool)
     for j in range(1, width):
         last = at[1:] - j

@@ -122,6 +122,9 @@ def gather(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number and the places that have it."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     heads = np.flatnonzero(np.diff(shard[order], prepend=-1))
     for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True):
