@@ -112,7 +112,7 @@ def pending_anti(spark, sf_dir):
 
 def upsert_merge(spark, sf_dir):
     rows = _hashed(spark, sf_dir).select("chunk_hash", "doc_id")
-    return merged(_unique(rows.filter("doc_id % 2 = 0")), _unique(rows.filter("doc_id % 3 = 0")))
+    return merged(_unique(rows.filter("doc_id % 2 = 0")), _unique(rows.filter("doc_id % 2 = 1 or doc_id % 3 = 0")))
 
 
 def ingestion_stats(spark, sf_dir):
@@ -135,7 +135,7 @@ def vector_dimensions(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
-    return rows.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), rows
+    return rows.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), rows
 
 
 def dense_topk(spark, sf_dir):

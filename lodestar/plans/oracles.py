@@ -145,7 +145,7 @@ def _nearest(where: str) -> str:
     return f"""SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score,
          row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id)::INT AS rank
-  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND {where}) WHERE rank <= 10"""
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND {where}) WHERE rank <= 10"""
 
 
 _TOP = "SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score FROM {0} WHERE rank <= 10"
@@ -165,7 +165,7 @@ SQL: dict[str, str] = {
     "dedup_first_wins": f"SELECT {_HASH} AS chunk_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "existing_semi": f"SELECT chunk_hash FROM ({_ODD}) WHERE chunk_hash IN ({_EVEN})",
     "pending_anti": f"SELECT chunk_hash, doc_id FROM ({_ODD}) WHERE chunk_hash NOT IN ({_EVEN})",
-    "upsert_merge": f"SELECT chunk_hash, coalesce(min(CASE WHEN doc_id % 3 = 0 THEN doc_id END), min(doc_id)) AS doc_id FROM (SELECT {_HASH} AS chunk_hash, doc_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) GROUP BY 1",
+    "upsert_merge": f"SELECT chunk_hash, coalesce(min(CASE WHEN doc_id % 2 = 1 OR doc_id % 3 = 0 THEN doc_id END), min(doc_id)) AS doc_id FROM (SELECT {_HASH} AS chunk_hash, doc_id FROM documents) GROUP BY 1",
     "ingestion_stats": f"SELECT coalesce(sum(n), 0)::BIGINT AS created, count(*) AS unique_chunks, coalesce(sum(n - 1), 0)::BIGINT AS duplicates, count(CASE WHEN known THEN 1 END) AS existing, count(CASE WHEN NOT known THEN 1 END) AS pending FROM (SELECT chunk_hash, n, chunk_hash IN ({_EVEN}) AS known FROM (SELECT {_HASH} AS chunk_hash, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY 1))",
     "hash_embedding_long": _with(("bins",), "SELECT id AS doc_id, idx, value FROM bins WHERE kind = 0"),
     "vector_dimensions": "SELECT len(embedding)::BIGINT AS dimensions, count(*) AS vectors FROM embeddings GROUP BY 1",
