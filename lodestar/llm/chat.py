@@ -177,9 +177,10 @@ def transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     more than MOST rows (repeated turn numbers, or a null id that many rows have) is dealt into
     shares by a hash of its rows' turn and text. Null turns count as 0."""
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.coalesce(F.col(turn_col), F.lit(0)).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # on the scan, where a task run again numbers alike
     rows = rows.withColumn("part", F.floor(F.col("turn") / F.lit(SPAN))).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     large = rows.groupBy("conv", "part").agg(F.count("*").alias("n")).filter(F.col("n") > MOST).select("conv", "part", F.ceil(F.col("n") / (MOST / 2)).alias("shares"))
-    dealt = rows.join(large, ["conv", "part"], "left").withColumn("share", F.when(F.col("shares").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("turn", "text", F.monotonically_increasing_id()), F.col("shares"))))
+    dealt = rows.join(large, ["conv", "part"], "left").withColumn("share", F.when(F.col("shares").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("turn", "text", "row"), F.col("shares"))))
     groups = dealt.groupBy("conv_id", "part", "share").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
