@@ -9,7 +9,8 @@ batches' contexts by binary search and, where contexts of an anchor differ, buil
 array and common prefixes: suffixes that share LENGTH bytes are one string, whose least id decides;
 (5) the verdicts return to the batches. Strings never leave their anchor's shard, so shards need no
 merging with one another, and whatever one batch repeats is sent once. Of an anchor that very many
-batches have, the strings themselves are sent to shards of their own."""
+batches have, the strings themselves are sent, each as 64 bits of one hash to the shard that another,
+independent one names: with a shard's half million strings, one pair in 10^8 shards is mistaken."""
 
 from __future__ import annotations
 
@@ -167,7 +168,7 @@ def list_anchors(shards: int) -> Callable[[pa.Table], pa.Table]:
 _FLAG = np.uint32(1 << 31)
 _ANCHORS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary())])
 _KEPT = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("hashes", pa.binary())])
-_CONTEXTS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("text", "length", "place", "id", "row", "start")), ("verdicts", pa.binary())])
+_CONTEXTS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("text", "length", "place", "id", "row", "start", "string", "string_id", "string_row", "string_start", "verdicts"))])
 _VERDICTS = pa.schema([("batch", pa.int64()), ("verdicts", pa.binary())])
 _VERDICT = np.dtype([("row", "<i4"), ("start", "<i4"), ("strings", "<u8")])
 
@@ -250,8 +251,16 @@ def cut_contexts(shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         chosen = np.flatnonzero(sent)
         for s, i in _by_shard(shard[chosen]):
             i = chosen[i]
-            text = b"".join(raws[p][a : a + n].tobytes() for p, a, n in zip(part[i].tolist(), start[i].tolist(), length[i].tolist(), strict=True))
-            rows.append({"shard": s, "batch": batch, "text": text, "length": length[i].astype(np.uint8).tobytes(), "place": place[i].astype(np.uint8).tobytes(), "id": owner[i].astype(np.int64).tobytes(), "row": row[i].astype(np.int32).tobytes(), "start": where[i].astype(np.int32).tobytes()})
+            loose = i[place[i] == _LOOSE]
+            i = i[place[i] != _LOOSE]
+            own = {"shard": s, "batch": batch}
+            if len(i):
+                text = b"".join(raws[p][a : a + n].tobytes() for p, a, n in zip(part[i].tolist(), start[i].tolist(), length[i].tolist(), strict=True))
+                own |= {"text": text, "length": length[i].astype(np.uint8).tobytes(), "place": place[i].astype(np.uint8).tobytes()}
+                own |= {"id": owner[i].astype(np.int64).tobytes(), "row": row[i].astype(np.int32).tobytes(), "start": where[i].astype(np.int32).tobytes()}
+            if len(loose):
+                own |= {"string": h2[loose].tobytes(), "string_id": owner[loose].astype(np.int64).tobytes(), "string_row": row[loose].astype(np.int32).tobytes(), "string_start": where[loose].astype(np.int32).tobytes()}
+            rows.append(own)
         return pa.Table.from_pylist(rows, _CONTEXTS)
 
     return run
@@ -277,9 +286,30 @@ def least_ids(text: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.n
     return out
 
 
+def judge_strings(table: pa.Table) -> list[dict]:
+    """Verdicts on single strings, which a shard of their first hash tells apart by their second."""
+    mine = table.filter(pc.is_valid(table.column("string")))
+    keys, sizes = _blobs(mine.column("string"), np.uint64)
+    if not len(keys):
+        return []
+    ids, row, where = (_blobs(mine.column(c), k)[0] for c, k in (("string_id", np.int64), ("string_row", np.int32), ("string_start", np.int32)))
+    order = np.lexsort((ids, keys))
+    head = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    least = np.empty(len(keys), np.int64)
+    least[order] = np.repeat(ids[order][head], np.diff(np.append(head, len(keys))))
+    hit = np.flatnonzero(least < ids)
+    rows = []
+    for b, i in _by_shard(np.repeat(np.arange(len(sizes)), sizes)[hit]):
+        verdict = np.zeros(len(i), _VERDICT)
+        verdict["row"], verdict["start"], verdict["strings"] = row[hit[i]], where[hit[i]], 1
+        rows.append({"batch": mine.column("batch")[b].as_py(), "verdicts": verdict.tobytes()})
+    return rows
+
+
 def judge_contexts(table: pa.Table) -> pa.Table:
     """(4) a shard's contexts to verdicts by batch: which strings start in a smaller id as well."""
     rows = [{"batch": b, "verdicts": v} for b, v in zip(table.column("batch").to_pylist(), table.column("verdicts").to_pylist(), strict=True) if v]
+    rows += judge_strings(table)
     mine = table.filter(pc.is_valid(table.column("text")))
     if len(mine):
         text, _ = _blobs(mine.column("text"), np.uint8)
@@ -300,13 +330,12 @@ def judge_contexts(table: pa.Table) -> pa.Table:
         group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
         least = ids[merged]
         # anchors with several contexts
-        held = np.flatnonzero(place[merged] != _LOOSE)
         words = words8(text)
-        at = start[merged[held]] + place[merged[held]]
+        at = start[merged] + place[merged]
         anchor = _gram(words, at, lambda k: at + k)
         sorted_anchor = np.sort(anchor)
         count = np.searchsorted(sorted_anchor, anchor, "right") - np.searchsorted(sorted_anchor, anchor)
-        several = held[count > 1]
+        several = np.flatnonzero(count > 1)
         strings = (length - LENGTH + 1)[merged]
         ends = np.cumsum(strings)
         minimum = np.repeat(least, strings)
