@@ -22,6 +22,8 @@ BANDS = 24
 BLOCK = 512
 #: Rows of a side, once counted, up to which a join broadcasts it.
 SMALL = 500_000
+#: Edges in a task of components().
+TASK_ROWS = 200_000
 #: First nodes of a band bucket that its other members are compared with, one after the other.
 ROUNDS = 2
 PIECE = 1 << 20
@@ -150,16 +152,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the least node reachable, for every node of an edge (u, v) of longs.
 
     Each round takes the least label among neighbours and then the label's own label; both tables
-    are checkpointed, and only whether anything changed reaches the driver."""
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")))
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")))
+    are checkpointed, in parts of TASK_ROWS edges, and only whether anything changed reaches the driver."""
+    tasks = max(1, -(-edges.count() // TASK_ROWS))
+    both = cut(edges.select("u", "v").union(edges.select("v", "u")).coalesce(tasks))
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")).coalesce(tasks))
     while True:
         known = broadcast_checked(labels, SMALL)
         near = both.join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
         nearer = near.join(known, F.col("u") == F.col("node")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = known.select(F.col("node").alias("via"), F.col("label").alias("further"))
         step = nearer.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        step = cut(step)
+        step = cut(step.coalesce(tasks))
         if step.filter(F.col("old") != F.col("label")).limit(1).count() == 0:
             return step.select("node", "label")
         labels = step.select("node", "label")
