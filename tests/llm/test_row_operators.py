@@ -370,3 +370,30 @@ def test_a_conversation_of_many_rows_is_dealt_out(spark):
     turns = spark.range(1000).select(F.lit(7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("hello there?").alias("text"))
     raw = chat.transcripts(turns)
     assert raw.count() > 5 and raw.select(F.sum(F.size(F.split("text", "there"))) - F.count("*")).first()[0] == 1000
+
+
+@pytest.mark.parametrize("fan", [256, 2])
+def test_parts_of_a_conversation_have_the_turns_of_the_whole(spark, monkeypatch, fan):
+    monkeypatch.setattr(chat, "FAN", fan)
+    rng = random.Random(2)
+    say = lambda a, b: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(a, b)))
+    role = lambda k: "user" if k % 2 == 0 else "assistant"
+    text = lambda k: say(2, 6) + "?" if k % 2 == 0 else f"{say(20, 40)}.\n\n{say(10, 20)}." + rng.choice(["", "\n"])
+    rows = [(c, k, role(k), text(k)) for c in range(60) for k in range(4)]
+    rows += [(c, k, role(k), text(k)) for c in range(100, 108) for k in range(rng.choice([127, 128, 129, 700]))]  # long, in all styles
+    rows += [(None, k // 9, role(k), text(k)) for k in range(600)]  # repeated turn numbers
+    rows += [(200, k, None, "" if k < 300 else f"{say(3, 9)}") for k in range(600)]  # parts without lines, and no markers
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.train(turns)
+    raw = chat.transcripts(turns)
+    got = {}
+    for r in sorted(chat.format_chats(raw, model).collect(), key=lambda r: (r["part"], r["number"])):
+        got.setdefault(r["conv_id"], []).append((r["number"], r["turn"], r["role"], r["text"]))
+    assert raw.filter("not whole").select("conv_id").distinct().count() >= 4
+    for conv in {r[0] for r in rows}:
+        own = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0], r[1] or "", r[2]))
+        style = zlib.crc32(f"style {conv}".encode())
+        whole = chat.raw_transcript([r[1:] for r in own], style)
+        assert [t[2:] for t in got.get(conv, [])] == model.parse(whole), conv
+        assert [t[0] for t in got[conv]] == list(range(len(got[conv])))
+        assert [t[1] for t in got[conv]] == sorted(t[1] for t in got[conv])
