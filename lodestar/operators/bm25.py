@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.jobs import broadcast_if_small
 from lodestar.functions.text import bm25_tokens
-from lodestar.operators.filters import askable, positive
+from lodestar.operators.filters import askable, positive, query_matches
 
 K1, B = 1.5, 0.75
 #: Scores are rounded before they rank, so that the order of a sum doesn't.
@@ -56,15 +57,18 @@ def weight(k1: float = K1, b: float = B) -> Column:
     return idf * F.col("tf") * (F.lit(k1) + 1) / norm
 
 
-def search(queries: DataFrame, idx: Index, limit: int, candidates: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def search(queries: DataFrame, idx: Index, limit: int, candidates: DataFrame | None = None, k1: float = K1, b: float = B, fields: Sequence[str] = ()) -> DataFrame:
     """query_id, chunk_id, score, rank of each query's best chunks; candidates (chunk_id) restricts them.
 
-    The query's terms, counted as often as it repeats them, are the small side of the join."""
+    With fields, columns of candidates, each query's columns filter_* restrict them further. The query's terms, counted as often as it repeats them, are the small side of the join."""
     positive(limit=limit)
     asked = query_terms(queries)
     known = asked.join(idx.terms, "term").crossJoin(F.broadcast(idx.corpus))
     postings = idx.postings if candidates is None else idx.postings.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
-    scored = postings.join(broadcast_if_small(known), "term")
+    if fields:
+        known = known.join(queries.select("query_id", *[f"filter_{f}" for f in fields]), "query_id")
+        postings = postings.join(candidates.select("chunk_id", *fields).dropDuplicates(["chunk_id"]), "chunk_id")
+    scored = postings.join(broadcast_if_small(known), "term").filter(query_matches(fields))
     scores = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight(k1, b)), DIGITS).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scores.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

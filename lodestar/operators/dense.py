@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,24 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)]
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, limit: int, id_col: str = "chunk_id", vector_col: str = "vector") -> DataFrame:
+def _permitted(filters: list[pa.Array], fields: list[pa.Array], shape: tuple[int, int]) -> np.ndarray:
+    """query_matches() of every chunk (row) and query (column)."""
+    out = np.ones(shape, bool)
+    for wanted, own in zip(filters, fields, strict=True):
+        asked = np.array(wanted.to_pylist(), object)
+        out &= (asked == None)[None, :] | (np.array(own.to_pylist(), object)[:, None] == asked[None, :])  # noqa: E711
+    return out
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, limit: int, id_col: str = "chunk_id", vector_col: str = "vector", fields: Sequence[str] = ()) -> DataFrame:
     """query_id, chunk_id, score, rank of each query's nearest chunks.
 
-    Filters belong before this: they prune the scan. Every batch of vectors is multiplied with the
+    Filters that all queries share belong before this: they prune the scan. Those of single queries
+    are columns filter_* of queries for the fields, and hold before the ranking. Every batch of vectors is multiplied with the
     queries at once and keeps its own best, so that few rows are shuffled. queries has query_id and
     vector; those of one pass are the only thing that tasks hold besides a batch."""
     positive(limit=limit)
-    asked = queries.select("query_id", "vector")
+    asked = queries.select("query_id", "vector", *[f"filter_{f}" for f in fields])
     count = asked.count()
     passes = max(1, -(-count // QUERIES_PER_PASS))
     id_type, query_type = dict(chunks.dtypes)[id_col], dict(asked.dtypes)["query_id"]
@@ -41,20 +51,25 @@ def nearest(queries: DataFrame, chunks: DataFrame, limit: int, id_col: str = "ch
     for k in range(passes):
         block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k).toArrow()
         ids, matrix = block.column(0).combine_chunks(), _unit(_rows(block.column(1).combine_chunks()))
+        filters = [c.combine_chunks() for c in block.columns[2:]]
 
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, filters=filters) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 valid = batch.filter(batch.column(1).is_valid())
                 if not len(valid) or not len(matrix):
                     continue
                 scores = np.round(_unit(_rows(valid.column(1))) @ matrix.T, DIGITS) + 0.0
+                if filters:
+                    scores[~_permitted(filters, valid.columns[2:], scores.shape)] = -np.inf
                 names = np.array(valid.column(0).to_pylist())
                 by_name = np.argsort(names, kind="stable")
                 order = by_name[np.argsort(-scores[by_name], axis=0, kind="stable")[:limit]]
                 q = np.broadcast_to(np.arange(len(matrix)), order.shape)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q.reshape(-1))), valid.column(0).take(pa.array(order.reshape(-1))), pa.array(scores[order, q].reshape(-1))], names=["query_id", "chunk_id", "score"])
+                some = ~np.isneginf(scores[order, q])
+                q, order = q[some], order[some]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), valid.column(0).take(pa.array(order)), pa.array(scores[order, q])], names=["query_id", "chunk_id", "score"])
 
-        part = chunks.select(id_col, vector_col).mapInArrow(search, f"query_id {query_type}, chunk_id {id_type}, score double")
+        part = chunks.select(id_col, vector_col, *fields).mapInArrow(search, f"query_id {query_type}, chunk_id {id_type}, score double")
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

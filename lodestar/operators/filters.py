@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,7 +33,7 @@ def matches(filters: Mapping[str, Value]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v)) for k, v in filters.items()), F.lit(True))
 
 
-def query_matches(fields: list[str], prefix: str = "filter_") -> Column:
+def query_matches(fields: Sequence[str], prefix: str = "filter_") -> Column:
     """For a join of queries and chunks: each non-null filter column of the query equals the chunk's field."""
     return reduce(lambda a, b: a & b, (F.col(prefix + f).isNull() | (F.col(prefix + f) == F.col(f)) for f in fields), F.lit(True))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import bm25_tokens
 
+LOGGER = logging.getLogger(__name__)
 LEXICAL_WEIGHT = 0.7
 DIGITS = 9
 #: A reranker takes (candidates, limit) and returns them with score, rerank_score and rerank_rank.
@@ -41,5 +43,6 @@ def with_fallback(candidates: DataFrame, limit: int, reranker: Reranker) -> tupl
         ranked.persist().count()
         return ranked, False
     except Exception:  # a reranker is foreign code; what it raises must not end the search
+        LOGGER.exception("the reranker failed; going on with the order before it")
         plain = candidates.filter(F.col("rank") <= limit)
         return plain.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rerank_rank", F.lit(None).cast("int")), True

@@ -16,13 +16,15 @@ from lodestar.sources.store import ChunkStore
 
 
 def evaluate_modes(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | None = None) -> DataFrame:
-    """One row of metrics for dense, dense with rerank and hybrid with rerank; latency is the batch's time over its questions."""
+    """One row of metrics for dense, dense with rerank and hybrid with rerank; latency is the batch's time over its questions.
+
+    A question's filters (column filters) hold before dense and sparse ranking; a branch or reranker that fails is left out."""
     config = config or RetrievalConfig(final_k=10)
     runs = {"dense": (dense_pipeline(chunks, config), "dense"), "dense+rerank": (dense_rerank_pipeline(chunks, config), "dense"), "hybrid+rerank": (Retriever(chunks, config), "hybrid")}
     out = None
     for label, (retriever, mode) in runs.items():
         begun = time.monotonic()
-        results = retriever.retrieve(questions, mode).results.persist()
+        results = retriever.retrieve(questions, mode, guarded=True).results.persist()
         results.count()
         spent = (time.monotonic() - begun) * 1000 / max(1, questions.count())
         seen = results.select("query_id", "rank", F.coalesce("rerank_score", "score").alias("score"), "source_file")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.jobs import cut
 from lodestar.operators import bm25, dense, embedding, fusion, rerank
-from lodestar.operators.filters import FilterPolicy, Value, askable, matches
+from lodestar.operators.filters import USER_FIELDS, FilterPolicy, Value, askable, matches
 from lodestar.plans.config import MODES, RetrievalConfig
 
+LOGGER = logging.getLogger(__name__)
 #: Columns that results carry of their chunk.
 CARRIED = ("chunk_hash", "text", "source_file", "page_number", "document_type", "language", "status", "context_summary", "parent_id")
 
@@ -33,7 +35,9 @@ class Outcome:
 
 @dataclass
 class Retriever:
-    """Searches chunks (chunk_id, text, metadata, optional vector) for queries (query_id, query, optional vector)."""
+    """Searches chunks (chunk_id, text, metadata, optional vector) for queries (query_id, query, optional vector).
+
+    A column filters of queries, map<string,string>, has each query's own metadata filters."""
 
     chunks: DataFrame
     config: RetrievalConfig = field(default_factory=RetrievalConfig)
@@ -48,19 +52,35 @@ class Retriever:
     def _allowed(self, filters: Mapping[str, Value] | None) -> DataFrame:
         return self.chunks.filter(matches(self.policy.apply(filters)))
 
+    def _own(self, queries: DataFrame) -> tuple[DataFrame, list[str]]:
+        """queries with a column filter_* for every field that their own filters may name, and these fields; system filters win."""
+        if "filters" not in queries.columns:
+            return queries, []
+        named = queries.select(F.explode(F.map_keys("filters")).alias("field")).distinct().collect()
+        asked = self.policy.apply({r["field"]: "" for r in named})
+        fields = [f for f in USER_FIELDS if f in asked and f not in self.policy.system]
+        return queries.withColumns({f"filter_{f}": F.try_element_at("filters", F.lit(f)) for f in fields}), fields
+
     def dense(self, queries: DataFrame, limit: int, filters: Mapping[str, Value] | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank by cosine; filtered before the search."""
+        queries, fields = self._own(queries)
         asked, allowed = askable(queries), self._allowed(filters)
+        described = allowed.select("chunk_id", *fields)
         if "vector" not in asked.columns:
             asked = self.embed(asked, "query_id", "query")
+            if fields:
+                asked = asked.join(queries.select("query_id", *[f"filter_{f}" for f in fields]), "query_id")
         if "vector" not in allowed.columns:
             allowed = self.embed(allowed, "chunk_id", "text")
-        return dense.nearest(asked, allowed, limit)
+            if fields:
+                allowed = allowed.join(described, "chunk_id")
+        return dense.nearest(asked, allowed, limit, fields=fields)
 
     def sparse(self, queries: DataFrame, limit: int, filters: Mapping[str, Value] | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank by BM25; statistics are those of all chunks."""
+        queries, fields = self._own(queries)
         index = self.index or bm25.index(self.chunks, terms=bm25.query_terms(queries))
-        return bm25.search(queries, index, limit, self._allowed(filters))
+        return bm25.search(queries, index, limit, self._allowed(filters), fields=fields)
 
     def _described(self, queries: DataFrame, ranked: DataFrame) -> DataFrame:
         """Ranked ids with the query's text and the chunk's fields; only these few rows meet the texts."""
@@ -73,6 +93,7 @@ class Retriever:
         try:
             return cut(search(queries, self.config.candidate_k, filters)), False
         except Exception:  # one failing branch must not end a hybrid search
+            LOGGER.exception("a search failed; going on without it")
             return None, True
 
     def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False) -> Outcome:
@@ -84,6 +105,7 @@ class Retriever:
         if mode not in MODES:
             raise ValueError(f"unsupported mode: {mode}")
         self.policy.apply(filters)
+        self._own(queries)  # raises for unsupported fields, guarded or not
         config = self.config
         branches = {name: self._branch(getattr(self, name), queries, filters, guarded)[0] for name in ("dense", "sparse") if mode in (name, "hybrid")}
         found = {name: rows for name, rows in branches.items() if rows is not None}

@@ -54,8 +54,8 @@ class Service:
     def query(self, queries: DataFrame, mode: str = "dense", filters: Mapping[str, Value] | None = None) -> DataFrame:
         """query_id, answer, citations, refused, refusal_reason, final_chunks, context_tokens of every query.
 
-        Queries whose answer cites nothing or unknown sources are asked once more, with a correction."""
-        outcome = self.retriever.retrieve(queries, mode, filters)
+        Queries whose answer cites nothing or unknown sources are asked once more, with a correction. A branch or reranker that fails is left out."""
+        outcome = self.retriever.retrieve(queries, mode, filters, guarded=True)
         results = outcome.results
         good = relevant(results, self.config.threshold_of(mode))
         expanded = good if self.parents is None else context.expand_parents(good, self.parents)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import rerank
 from lodestar.operators.chunking import Chunker
 from lodestar.operators.filters import FilterPolicy
-from lodestar.plans import service
+from lodestar.plans import evaluate, service
 from lodestar.plans.config import RetrievalConfig, from_environment
 from lodestar.plans.ingestion import Ingestion
 from lodestar.plans.retrieval import Retriever
@@ -141,3 +141,24 @@ def test_merged(spark):
 def test_policy_reaches_dense_search(chunks, queries):
     drafts = Retriever(chunks, policy=FilterPolicy({"status": "draft"})).dense(queries, 5)
     assert {r["chunk_id"] for r in drafts.collect()} == {"zz-1"}
+
+
+def test_each_question_has_its_own_filters(spark, chunks):
+    asked = [("a", "IAM access denied bucket", True, ["s3.md"], {"source_file": "s3.md"}), ("b", "IAM access denied bucket", True, ["iam.pdf"], {}), ("c", "IAM access bucket", True, ["s3.md"], {"source_file": "s3.md", "status": "draft"}), ("d", "IAM access bucket", False, [], {"language": "fr"})]
+    questions = spark.createDataFrame(asked, "query_id string, query string, answerable boolean, expected_sources array<string>, filters map<string,string>")
+    for mode in ("dense", "sparse", "hybrid"):
+        found = Retriever(chunks).retrieve(questions, mode).results.select("query_id", "chunk_id").collect()
+        got = {q: {r["chunk_id"] for r in found if r["query_id"] == q} for q in "abcd"}
+        assert got["a"] == got["c"] == {"s3-1"} and "iam-1" in got["b"] and got["d"] == set()
+    rows = evaluate.evaluate_modes(chunks, questions).collect()
+    assert len(rows) == 3 and all(r["mrr"] == 1.0 and r["refusal_accuracy"] == 1.0 for r in rows)
+    with pytest.raises(ValueError):
+        Retriever(chunks).retrieve(questions.withColumn("filters", F.create_map(F.lit("owner"), F.lit("x"))), "hybrid", guarded=True)
+
+
+def test_service_goes_on_without_a_failing_branch_and_reranker(chunks, queries):
+    def broken(*_):
+        raise RuntimeError
+
+    own = service.Service(Retriever(chunks, embed=broken, reranker=broken), config=RetrievalConfig(threshold=0.0))
+    assert not own.query(queries.filter("query_id = 1"), "hybrid").first()["refused"]
