@@ -36,10 +36,10 @@ _FILTER_BITS = 20
 class ItemIndex:
     """The items of one pass: shingle sets, and sorted minima by size class."""
 
-    def __init__(self, ids: list, texts: list[str | None], width: int, percent: int):
+    def __init__(self, ids: list, texts: list[str | None], width: int, percent: int, id_type: pa.DataType | None = None):
         raw, offsets = text_buffer(pa.array(texts, pa.string()))
         hashes, at = shingles(raw, offsets, width)
-        self.ids, self.width, self.percent = ids, width, percent
+        self.ids, self.width, self.percent, self.id_type = ids, width, percent, id_type
         self.sets = [np.unique(hashes[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
         a, b = permutations(PERMUTATIONS, 11)
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -129,6 +129,15 @@ def _search(index: ItemIndex, item_type: pa.DataType) -> Callable[[Iterator[pa.R
     return run
 
 
+def _indexes(items: DataFrame, width: int, percent: int) -> Iterator[ItemIndex]:
+    """Indexes of (item, text), as many as their number and bytes ask for."""
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-rows // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
+    for k in range(passes):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).toArrow()
+        yield ItemIndex(part.column(0).to_pylist(), part.column(1).to_pylist(), width, percent, part.schema.field(0).type)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -151,22 +160,37 @@ def contaminated(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type, item_type = dict(texts.dtypes)["id"], dict(items.dtypes)["item"]
     schema = f"doc_id {id_type}, item_id {item_type}, item_shingles long, common long"
-    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    passes = max(1, -(-rows // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
-    found = []
-    for k in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).toArrow()
-        index = ItemIndex(part.column(0).to_pylist(), part.column(1).to_pylist(), width, percent)
-        found.append(texts.mapInArrow(_search(index, part.schema.field(0).type), schema))
+    found = [texts.mapInArrow(_search(index, index.id_type), schema) for index in _indexes(items, width, percent)]
     return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("common") / F.col("item_shingles"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that hold no test item, with their columns. Rows with a null id are judged by nothing and stay."""
+    """The rows of docs that hold no test item, with their columns. Rows are dropped by id, so those with a null id stay; without_items() judges each row."""
     hit = cut(contaminated(docs, benchmark, width, percent, id_col, text_col).select(F.col("doc_id").alias("__hit")).distinct())
     return docs.join(broadcast_checked(hit, 1_000_000), F.col(id_col) == F.col("__hit"), "left_anti")
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that hold no test item, with their columns; each is judged by its own text, whatever its id."""
+    at = docs.columns.index(text_col)
+
+    def without(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, offsets = text_buffer(batch.column(at))
+                keep = np.ones(len(batch), bool)
+                for a, b in pieces(offsets, PIECE):
+                    keep[[a + d for d, *_ in index.find(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    items = benchmark.select(F.col("item_id").alias("item"), F.col("text")).filter(F.col("text").isNotNull())
+    for index in _indexes(items, width, percent):
+        docs = docs.mapInArrow(without(index), docs.schema)
+    return docs
+
+
 #: DuckDB's form of contaminated() with its default parameters.
 CONTAMINATED_SQL = r"""
 WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),

@@ -255,7 +255,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     """The rows of docs that near_duplicates() keeps, with their columns.
 
     Of an id that several rows have, one row stays (by a hash of its text) if any of them is kept.
-    Rows with a null id have no identity to be compared by and stay."""
+    Rows with a null id have no identity to be compared by and stay; keep_rows() judges each row."""
     marks = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).filter("doc_id is not null")
     ids = cut(marks.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("any")).filter("rows > 1 or not any"))
     apart = broadcast_checked(ids.select(F.col("doc_id").alias("__id")), SMALL)
@@ -266,6 +266,22 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     return single.unionByName(several)
 
 
+def keep_rows(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of every component, with its columns: that of the least id, null last, else the first.
+
+    Rows are told apart by their place in the scan, so docs must be read from a file or checkpoint
+    (or mapped from one row by row); null and repeated ids are judged each by its own text."""
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    marks = cut(near_duplicates(keyed, width, percent, id_col="__row", text_col=text_col).select("doc_id", "component_id", "kept"))
+    several = broadcast_checked(cut(marks.filter("not kept").select("component_id").distinct()), SMALL)
+    members = marks.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("__row"), "component_id")
+    named = keyed.select("__row", F.col(id_col).alias("id")).join(broadcast_checked(cut(members), SMALL), "__row")
+    named = cut(named)
+    chosen = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))["__row"].alias("chosen"))
+    gone = cut(named.join(chosen, "component_id").filter(F.col("__row") != F.col("chosen")).select("__row"))
+    return keyed.join(broadcast_checked(gone, SMALL), "__row", "left_anti").select(docs.columns)
+
+
 #: DuckDB's form of near_duplicates() with its default parameters.
 NEAR_SQL = r"""
 WITH RECURSIVE w AS (

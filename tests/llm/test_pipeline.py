@@ -67,3 +67,18 @@ def test_near_sql_and_queries_agree(spark, folder):
 
 def test_parameters():
     assert (neardup.BANDS, decontam.PERMUTATIONS, langid.ORDER) == (24, 64, 4)
+
+
+def test_null_and_repeated_ids_are_judged_by_their_texts(spark, folder, tmp_path):
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("the and of ing tion er ou".split()) for _ in range(2)) for _ in range(n))
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    own = [say(40) for _ in range(4)]
+    rows = [(None, own[0]), (5, own[0]), (None, own[0] + " x"), (6, own[1]), (6, own[2]), (None, own[3]), (None, f"{say(20)} {item}"), (6, f"{item} {say(20)}"), (None, None), (None, None)]
+    spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda d: sorted(((r["doc_id"] or 0, r["text"] or "") for r in d.collect()))
+    once = pipeline.drop_near_duplicates(spark, docs, folder)
+    assert got(once) == sorted((i or 0, t or "") for k, (i, t) in enumerate(rows) if k not in (0, 2))
+    clean = pipeline.decontaminate(spark, once, folder)
+    assert got(clean) == sorted((i or 0, t or "") for k, (i, t) in enumerate(rows) if k not in (0, 2, 6, 7))
