@@ -224,7 +224,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
         parts = cut(families.join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label")))
         counts = parts.groupBy("family", "label").agg(F.count("*").alias("n"))
         open_ = counts.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max("n").alias("most"), F.max_by("label", "n").alias("largest"))
-        open_ = cut(open_.filter("parts > 1 and size > 2").select("family", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("rests")))
+        # two nodes were compared already, unless they are only what is left of a bucket
+        alone = F.lit(False)
+        if members.limit(1).count():
+            spared = left_over.select(F.col("u").alias("node")).distinct().join(families, "node").select("family").distinct()
+            open_ = open_.join(spared.withColumn("spared", F.lit(True)), "family", "left")
+            alone = F.coalesce("spared", F.lit(False))
+        open_ = cut(open_.filter((F.col("parts") > 1) & ((F.col("size") > 2) | alone)).select("family", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("rests")))
         if open_.limit(1).count():
             inside = cut(parts.join(broadcast_checked(open_, SMALL), "family"))
             inside = sets.join(broadcast_checked(inside, SMALL), "node")

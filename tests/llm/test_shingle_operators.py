@@ -191,3 +191,21 @@ def test_components_of_chains(spark):
     got = {r["node"]: r["label"] for r in neardup.components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[102] == 100
     assert neardup.components(edges.filter(F.lit(False))).count() == 0
+
+
+def test_two_nodes_left_over_in_a_bucket_are_compared(spark, monkeypatch):
+    import numpy as np
+
+    def by_size(hashes, at, bands=24):  # documents of one size share all buckets
+        n = np.diff(at)
+        return np.repeat(n[n > 0].astype(np.uint64)[:, None], bands, axis=1)
+
+    monkeypatch.setattr(neardup, "band_keys", by_size)
+    rng = random.Random(13)
+    rows = []
+    for g in range(24):
+        first = words(rng, 30 + g)
+        rows += [(4 * g + i, t) for i, t in enumerate([first, first + "x", words(rng, 30 + g), words(rng, 30 + g)])]
+    rows = [(i, " ".join(f"{w}{k}" for k, w in enumerate(t.split()))) for i, t in rows]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i - 1 if i % 4 == 1 else i for i in got}
