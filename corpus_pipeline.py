@@ -1,10 +1,13 @@
-"""Corpus preparation as a chain of stages, each written and reread as Parquet.
+"""Corpus preparation as a chain of stages, each but the last written and reread as Parquet.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last
 return the columns of documents."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontam, langid, mixing, neardup, sharding
@@ -50,8 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Applies all stages to the documents table.
+
+    What a stage returns is written to the folder that spark.checkpoint.dir names and read again; it
+    is deleted when the next stage is written. The last stage's input stays for the result."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lodestar-pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        at = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = at
+    return STAGES[-1][1](spark, docs, sf_dir)

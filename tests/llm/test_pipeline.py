@@ -82,3 +82,19 @@ def test_null_and_repeated_ids_are_judged_by_their_texts(spark, folder, tmp_path
     assert got(once) == sorted((i or 0, t or "") for k, (i, t) in enumerate(rows) if k not in (0, 2))
     clean = pipeline.decontaminate(spark, once, folder)
     assert got(clean) == sorted((i or 0, t or "") for k, (i, t) in enumerate(rows) if k not in (0, 2, 6, 7))
+
+
+def test_run_writes_and_rereads_every_stage(spark, folder, monkeypatch):
+    seen = []
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            seen.append((name, {f.split("/")[-2] for f in docs.inputFiles()}))
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(pipeline, "STAGES", [watched(*s) for s in pipeline.STAGES])
+    assert pipeline.run(spark, folder).count() > 0
+    names = [n for n, _ in pipeline.STAGES]
+    assert seen == list(zip(names, [{"documents.parquet"}, *({n} for n in names)], strict=False))
