@@ -27,11 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
-    """Marks df, already cut, for broadcast if it is counted to have at most max_rows rows.
+#: Bytes of data that a broadcast may have.
+BROADCAST_BYTES = 16 << 20
 
-    Beyond that it is returned as it is and the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def broadcast_checked(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df, already cut, for broadcast if it is counted to have at most max_rows rows and max_bytes bytes.
+
+    Beyond that it is returned as it is and the join shuffles. Numbers count as eight bytes."""
+    lengths = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    width = sum(lengths, F.lit(8 * len(df.columns)).cast("long"))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def md5_bits(column, digits: int = 13):

@@ -2,7 +2,7 @@
 
 Every permutation gives a document its minimum and its maximum, two values for one evaluation.
 Bands of four such values find candidates; a candidate is linked only if its full shingle sets
-pass. Documents of equal shingle sets are one node from the start, so copies cost nothing later."""
+pass (shingles are compared by 64 bits of hash). Documents of equal shingle sets are one node from the start, so copies cost nothing later."""
 
 from __future__ import annotations
 
@@ -18,8 +18,10 @@ from lodestar.llm.shingles import mixed, permutations, shingles
 
 #: 24 bands of two permutations: a pair at 0.8 is missed by all bands with a chance of 3e-6.
 BANDS = 24
-#: Members of a family that one task compares with as many others.
-BLOCK = 512
+#: Bytes of sets of a family's members that one task compares with as many others.
+BLOCK_BYTES = 16 << 20
+#: Pairs that share a rare shingle, held at once in a block.
+PAIRS = 1 << 21
 #: Rows of a side, once counted, up to which a join broadcasts it.
 SMALL = 500_000
 #: Edges in a task of components().
@@ -91,6 +93,13 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+
+
 def _compare() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(u, v, x, y) to (u, v, common, total) of the full sets x and y."""
 
@@ -100,72 +109,140 @@ def _compare() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
             left, right = batch.column(2), batch.column(3)
             for i in range(len(batch)):
                 x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common[i] = (y[np.minimum(at, len(y) - 1)] == x).sum() if len(y) else 0
+                common[i] = _common(x, y)
                 total[i] = len(x) + len(y) - common[i]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(total)], names=["u", "v", "common", "total"])
 
     return run
 
 
+def _rare(sets: list[np.ndarray], vocabulary: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, set) of each set's rarest shingles, of which two sets alike by percent have one in common."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    ranks = rank[np.searchsorted(vocabulary, np.concatenate(sets))]
+    order = np.lexsort((ranks, owner))
+    within = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    few = order[within <= (sizes - -(-sizes * percent // 100))[owner]]
+    return ranks[few], owner[few]
+
+
+def alike_pairs(asked: list[np.ndarray], among: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For every set asked that has any: its place and the places of the sets among that may be alike.
+
+    Shingles are ranked by how many sets of the two lists have them. Sets that are alike share one of
+    their first n - percent * n + 1 by rank, and neither is too small for the other."""
+    vocabulary, count = np.unique(np.concatenate(asked + among), return_counts=True)
+    rank = np.empty(len(vocabulary), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(vocabulary))
+    (left, who), (right, whom) = _rare(asked, vocabulary, rank, percent), _rare(among, vocabulary, rank, percent)
+    order = np.argsort(right, kind="stable")
+    right, whom = right[order], whom[order]
+    low = np.searchsorted(right, left)
+    many = np.searchsorted(right, left, "right") - low
+    own, others = np.array([len(s) for s in asked]), np.array([len(s) for s in among])
+    upto = np.cumsum(np.bincount(who, many, len(asked)).astype(np.int64))
+    at = np.searchsorted(who, np.arange(len(asked) + 1))
+    first = 0
+    while first < len(asked):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, "right")))
+        some = slice(at[first], at[last])
+        n = many[some]
+        if n.sum():
+            entry = np.repeat(low[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs = np.unique(np.repeat(who[some], n) * len(among) + whom[entry])
+            x, y = pairs // len(among), pairs % len(among)
+            fit = 100 * np.minimum(own[x], others[y]) >= percent * np.maximum(own[x], others[y])
+            x, y = x[fit], y[fit]
+            heads = np.flatnonzero(np.diff(x, prepend=-1))
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True):
+                yield int(x[a]), y[a:b]
+        first = last
+
+
 def _search_block(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Links between a block's open members (rest) and its members: of those that would join two
     labels already joined within the block, the first only."""
 
     def run(block: pa.Table) -> pa.Table:
         rest, node, label = (block.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "node", "label"))
-        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in block.column("hashes").combine_chunks()]
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for c in block.column("hashes").chunks for v in c]
         asked, among = np.flatnonzero(rest), np.flatnonzero(~rest)
         found: list[tuple[int, int]] = []
         if len(asked) and len(among):
-            vocabulary = np.unique(np.concatenate([sets[i] for i in asked]))
-            values = np.concatenate([sets[i] for i in among])
-            sizes = np.array([len(sets[i]) for i in among])
-            at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
-            place = np.where(vocabulary[at] == values, at, len(vocabulary))
-            first = np.cumsum(sizes) - sizes
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
                 while parent.get(x, x) != x:
-                    x = parent[x]
+                    parent[x] = x = parent.get(parent[x], parent[x])
                 return x
 
-            for i in asked:
-                own = np.zeros(len(vocabulary) + 1, bool)
-                own[np.searchsorted(vocabulary, sets[i])] = True
-                common = np.add.reduceat(own[place], first, dtype=np.int64)
-                for k in np.flatnonzero(100 * common >= percent * (sizes + len(sets[i]) - common)):
-                    a, b = root(int(label[i])), root(int(label[among[k]]))
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        found.append((int(node[i]), int(node[among[k]])))
+            for i, places in alike_pairs([sets[i] for i in asked], [sets[i] for i in among], percent):
+                own = sets[asked[i]]
+                mine = root(int(label[asked[i]]))
+                for k in places.tolist():
+                    if (theirs := root(int(label[among[k]]))) == mine:
+                        continue
+                    other = sets[among[k]]
+                    common = _common(own, other)
+                    if 100 * common >= percent * (len(own) + len(other) - common):
+                        parent[max(mine, theirs)] = mine = min(mine, theirs)
+                        found.append((int(node[asked[i]]), int(node[among[k]])))
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) with the least node reachable, for every node of an edge (u, v) of longs.
-
-    Each round takes the least label among neighbours and then the label's own label; both tables
-    are checkpointed, in parts of TASK_ROWS edges, and only whether anything changed reaches the driver."""
-    tasks = max(1, -(-edges.count() // TASK_ROWS))
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).coalesce(tasks))
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")).coalesce(tasks))
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (u, v), and for each the least node that these edges reach."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    least = np.arange(len(nodes))
     while True:
-        known = broadcast_checked(labels, SMALL)
-        near = both.join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        nearer = near.join(known, F.col("u") == F.col("node")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = known.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        step = nearer.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        step = cut(step.coalesce(tasks))
-        if step.filter(F.col("old") != F.col("label")).limit(1).count() == 0:
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+        x, y = least[a], least[b]
+        if (x == y).all():
+            return nodes, nodes[least]
+        low = np.minimum(x, y)
+        np.minimum.at(least, x, low)
+        np.minimum.at(least, y, low)
+        while ((further := least[least]) != least).any():
+            least = further
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges to (u, v): every node but the least of its part, after that least one."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        nodes, least = contracted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        some = nodes != least
+        yield pa.RecordBatch.from_arrays([pa.array(least[some]), pa.array(nodes[some])], names=["u", "v"])
+
+
+def components(edges: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(node, label) with the least node reachable, for every node of an edge (u, v) of longs; u is not v.
+
+    Every task contracts its own task_rows edges to stars. If there are several tasks, their stars are
+    merged by turns: each node's greater neighbours are hung on the least neighbour of all (large
+    star), then its lesser ones and itself on the least (small star), until nothing changes. Nodes are
+    shuffled, never collected or broadcast; edges don't grow in number; only a count and a checksum
+    of the edges reach the driver."""
+    edges = cut(edges.select("u", "v"))
+    tasks = max(1, -(-edges.count() // task_rows))
+    star = cut(edges.coalesce(tasks).mapInArrow(_contract, "u long, v long"))
+    mark = None
+    while tasks > 1:
+        both = star.select(F.col("u").alias("x"), F.col("v").alias("y")).union(star.select("v", "u"))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("u"))
+        large = both.filter("y > x").join(least, "x").select("u", F.col("y").alias("v")).distinct()
+        lesser = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(lesser, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v")))).alias("e")).select("e.u", "e.v")
+        star = cut(small.filter("u != v").distinct().coalesce(tasks))
+        now = tuple(star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == mark:
+            break
+        mark = now
+    return star.select(F.col("v").alias("node"), F.col("u").alias("label")).union(star.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -187,13 +264,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     own. By the triangle inequality of the Jaccard distance, two that could be linked at 80 percent
     are then both at least 0.3 like one first node: these likenesses make families. What is left of
     a bucket after ROUNDS is a family as it is. A family whose links leave it in several parts is
-    searched further: its members outside the largest part, in blocks, against all its members."""
+    searched further: its members outside the largest part, in blocks, against all its members. A
+    block of BLOCK_BYTES on either side compares those only that share one of their rarest shingles."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(texts.dtypes)["id"]
     sketches = cut(texts.mapInArrow(_sketch(width, bands), f"id {id_type}, n long, s1 long, s2 long, bands array<long>"))
     nodes = sketches.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    members = _shared(nodes.select("node", F.explode("bands").alias("key")))
+    members = _shared(nodes.select("node", "n", F.explode("bands").alias("key")))
 
     wanted = cut(members.select("node").distinct().join(nodes, "node").select("node", "id", F.col("s1").alias("s")))
     near = texts.filter("id is not null").join(broadcast_checked(wanted.select("id").distinct(), SMALL), "id", "left_semi")
@@ -205,14 +283,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     for _ in range(ROUNDS):
         if not members.limit(1).count():
             break
-        hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-        pairs = cut(members.join(hubs, "key").filter("node != hub"))
-        tried = pairs.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+        hubs = members.groupBy("key").agg(F.min(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h")).select("key", "h.*")
+        pairs = cut(members.join(hubs, "key").filter("node != hub").withColumn("sized", 100 * F.least("n", "hub_n") >= family * F.greatest("n", "hub_n")))
+        # sets of too different sizes are known to be unlike; the greater one isn't copied
+        tried = pairs.filter("sized").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
         left, right = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
         judged = cut(tried.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(_compare(), "u long, v long, common long, total long"))
         likeness = judged if likeness is None else likeness.union(judged)
         unlike = judged.filter("100 * common < 50 * total").select(F.col("u").alias("hub"), F.col("v").alias("node"))
-        members = _shared(pairs.join(broadcast_checked(unlike, SMALL), ["hub", "node"], "left_semi").select("node", "key"))
+        apart = pairs.filter("sized").join(broadcast_checked(cut(unlike), SMALL), ["hub", "node"], "left_semi")
+        members = _shared(pairs.filter("not sized").select("node", "n", "key").union(apart.select("node", "n", "key")))
 
     sized = sketches.drop("bands")
     if likeness is not None:
@@ -221,16 +301,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
         left_over = members.join(members.groupBy("key").agg(F.min("node").alias("hub")), "key").filter("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
         kin = likeness.filter(100 * F.col("common") >= family * F.col("total")).select("u", "v").union(left_over)
         families = components(kin).withColumnRenamed("label", "family")
-        parts = cut(families.join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label")))
-        counts = parts.groupBy("family", "label").agg(F.count("*").alias("n"))
-        open_ = counts.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max("n").alias("most"), F.max_by("label", "n").alias("largest"))
+        parts = families.join(labels, "node", "left").join(nodes.select("node", "n"), "node")
+        parts = cut(parts.select("family", "node", F.coalesce("label", "node").alias("label"), (8 * F.col("n")).alias("bytes")))
+        counts = parts.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        most = F.max(F.struct("bytes", "label"))
+        open_ = counts.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.sum("bytes").alias("bytes"), most["bytes"].alias("most"), most["label"].alias("largest"))
         # two nodes were compared already, unless they are only what is left of a bucket
         alone = F.lit(False)
         if members.limit(1).count():
             spared = left_over.select(F.col("u").alias("node")).distinct().join(families, "node").select("family").distinct()
             open_ = open_.join(spared.withColumn("spared", F.lit(True)), "family", "left")
             alone = F.coalesce("spared", F.lit(False))
-        open_ = cut(open_.filter((F.col("parts") > 1) & ((F.col("size") > 2) | alone)).select("family", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("rests")))
+        open_ = cut(open_.filter((F.col("parts") > 1) & ((F.col("size") > 2) | alone)).select("family", "largest", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.ceil((F.col("bytes") - F.col("most")) / BLOCK_BYTES).cast("int").alias("rests")))
         if open_.limit(1).count():
             inside = cut(parts.join(broadcast_checked(open_, SMALL), "family"))
             inside = sets.join(broadcast_checked(inside, SMALL), "node")

@@ -16,6 +16,8 @@ _BASE = int(_RNG.integers(0, 2**62)) * 2 + 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _JOIN = np.uint64(int(_RNG.integers(0, 2**62)) * 2 + 1)
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes whose words are hashed at once.
+STRETCH = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,11 +56,29 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     opens[edges] = solid[edges]
     closes[edges[1:] - 1] = solid[edges[1:] - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_LETTER[raw] * _powers(_BASE, n), out=sums[1:])
-    hashes = mixed((sums[end] - sums[start]) * _powers(_INVERSE, n)[start])
-    return hashes, np.searchsorted(start, offsets)
+    return _word_hashes(raw, start, end), np.searchsorted(start, offsets)
+
+
+def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word raw[start:end], summed STRETCH bytes at a time, however long a text or word is."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        upto = max(at + 1, int(np.searchsorted(end, start[at] + STRETCH, "right")))
+        low, high = int(start[at]), int(end[upto - 1])
+        if high - low <= STRETCH:
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_LETTER[raw[low:high]] * _powers(_BASE, high - low), out=sums[1:])
+            first = start[at:upto] - low
+            out[at:upto] = (sums[end[at:upto] - low] - sums[first]) * _powers(_INVERSE, high - low)[first]
+        else:  # a word longer than a stretch is alone
+            value = 0
+            for x in range(low, high, STRETCH):
+                own = _LETTER[raw[x : min(x + STRETCH, high)]]
+                value += int((own * _powers(_BASE, len(own))).sum(dtype=np.uint64)) * pow(_BASE, x - low, 2**64)
+            out[at] = value % 2**64
+        at = upto
+    return mixed(out)
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -70,8 +70,10 @@ def test_near_duplicates(spark, seed):
     assert sorted(((r[0] is None, r[0] or 0), *r[1:]) for r in got.collect()) == near_brute(rows)
 
 
-def test_near_duplicate_families_are_searched(spark):
+@pytest.mark.parametrize("block", [16 << 20, 4000])
+def test_near_duplicate_families_are_searched(spark, monkeypatch, block):
     """Many unlike copies of one text: links beyond the first nodes are found."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block)
     rng = random.Random(5)
     base, rows = words(rng, 60).split(), []
     for i in range(120):
@@ -191,6 +193,53 @@ def test_components_of_chains(spark):
     got = {r["node"]: r["label"] for r in neardup.components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[102] == 100
     assert neardup.components(edges.filter(F.lit(False))).count() == 0
+    rng = random.Random(2)
+    made = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(400, i) for i in range(401, 460)]
+    made = [(u, v) for u, v in made if u != v]
+    label = {x: x for e in made for x in e}
+    while any(label[u] != label[v] for u, v in made):
+        for u, v in made:
+            label[u] = label[v] = min(label[u], label[v])
+    many = spark.createDataFrame(made, "u long, v long").repartition(5)
+    for task_rows in (1000, 60):
+        got = neardup.components(many, task_rows).collect()
+        assert len(got) == len(label) and {r["node"]: r["label"] for r in got} == label
+
+
+def test_rare_shingles_find_all_that_are_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (1, 2, 5, 40, 200):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for _ in range(12):
+            own = base.copy()
+            own[rng.random(size) < 0.08] = rng.integers(0, 2**63, 1)
+            sets.append(np.unique(own))
+    for percent in (80, 50, 100):
+        found = {(i, int(k)) for i, places in neardup.alike_pairs(sets, sets, percent) for k in places}
+        for i, x in enumerate(sets):
+            for k, y in enumerate(sets):
+                common = len(set(x.tolist()) & set(y.tolist()))
+                assert 100 * common < percent * (len(x) + len(y) - common) or (i, k) in found
+
+
+def test_a_long_text_is_hashed_in_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestar.llm import shingles as module
+
+    rng = random.Random(6)
+    texts = [words(rng, 300), "x" * 500 + " " + "y" * 90, "", words(rng, 3), "z" * 64]
+    raw, offsets = text_buffer(pa.array(texts))
+    whole = shingles(raw, offsets, 4)
+    monkeypatch.setattr(module, "STRETCH", 64)
+    assert all((a == b).all() for a, b in zip(whole, shingles(raw, offsets, 4), strict=True))
+    long = np.frombuffer(("word " * 13_000_000).encode(), np.uint8)
+    monkeypatch.setattr(module, "STRETCH", 1 << 20)
+    assert shingles(long, np.array([0, len(long)]), 5)[1].tolist() == [0, 12_999_996]
 
 
 def test_two_nodes_left_over_in_a_bucket_are_compared(spark, monkeypatch):
