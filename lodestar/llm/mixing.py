@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import broadcast_checked, cut, words_count
+from lodestar.llm.common import broadcast_checked, cut, md5_bits, words_count
 
 #: Expected copies are held in units of 1 / UNIT, so that prefix sums are exact and reruns agree.
 UNIT = 1 << 24
-SALTS = 64
+#: Hash ranges of a size class, at least, and rows of the whole for each further one.
+SALTS, ROWS_PER_SALT = 64, 1 << 20
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_ratio: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -40,25 +41,27 @@ def size_class(size: Column) -> Column:
     return (digits * 8 + F.expr("cast(shiftright(size, greatest(length(bin(size)) - 4, 0)) & 7 as int)")).cast("int")
 
 
-def draw_copies(rows: DataFrame, offset_seed: str, salts: int = SALTS) -> DataFrame:
+def draw_copies(rows: DataFrame, offset_seed: str, ties: tuple[str, ...] = (), salts: int = SALTS) -> DataFrame:
     """Adds `copies` to rows with source_rank, size, doc_id and long `expected` (in 1 / UNIT).
 
-    Expected copies are prefix-summed within a source, in order of size class, salt, size and id,
-    one offset drawn from the seed and the source is added, and a row is emitted once for every
-    whole unit its own step crosses. The order by size makes each source's words come near its
-    target. Sums run within (source, class, salt) and are shifted by the sums of earlier groups, so
-    a source that holds most rows is still spread over many tasks."""
+    Expected copies are prefix-summed within a source, in order of size class, hash of the id, size
+    and id, one offset drawn from the seed and the source is added, and a row is emitted once for
+    every whole unit its own step crosses. The order by size makes each source's words come near its
+    target. A class's rows are cut by ranges of the hash into salts (a power of two) groups, whose
+    sums shift the later ones: a source that holds most rows is spread over many tasks, and how many
+    doesn't change the result."""
     group = ["source_rank", "class", "salt"]
-    salted = rows.withColumn("class", size_class(F.col("size"))).withColumn("salt", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int") % salts)
+    spread = md5_bits(F.col("doc_id"))
+    salted = rows.withColumn("class", size_class(F.col("size"))).withColumn("spread", spread).withColumn("salt", F.shiftright("spread", 52 - salts.bit_length() + 1).cast("int"))
     sums = salted.groupBy(*group).agg(F.sum("expected").alias("step"))
     earlier = Window.partitionBy("source_rank").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     shifts = cut(sums.select(*group, F.coalesce(F.sum("step").over(earlier), F.lit(0)).alias("shift")))
-    within = Window.partitionBy(*group).orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*group).orderBy("spread", "size", "doc_id", *ties).rowsBetween(Window.unboundedPreceding, 0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{offset_seed}/"), F.col("source_rank").cast("string"))), 1, 6), 16, 10).cast("long")
     upto = salted.withColumn("upto", F.sum("expected").over(within)).join(broadcast_checked(shifts, 200_000), group)
     end = F.col("shift") + F.col("upto") + offset
     copies = F.floor(end / F.lit(UNIT)) - F.floor((end - F.col("expected")) / F.lit(UNIT))
-    return upto.withColumn("copies", copies.cast("long")).drop("class", "salt", "upto", "shift")
+    return upto.withColumn("copies", copies.cast("long")).drop("class", "salt", "spread", "upto", "shift")
 
 
 def mix(
@@ -70,33 +73,38 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     seed: str = "mix",
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every row.
+    """doc_id, source, size, source_size, target, copies and taken for every row, and the columns ties.
 
     Null or empty texts have size 0 and take nothing but may be drawn; a source without words has
     target 0; null is a source of its own, the last; rows of one id (null too) are drawn apart,
-    and equal ones are interchangeable; an empty table gives no rows. Other columns aren't read.
-    The sizes are checkpointed, so texts are read once."""
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_count(F.col(text_col)).alias("size")))
+    and those of one size are interchangeable unless the columns ties put them in order; an empty table
+    gives no rows. Other columns aren't read. The sizes are checkpointed, so texts are read once."""
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_count(F.col(text_col)).alias("size"), *ties))
+    salts = max(SALTS, 1 << (sized.count() // ROWS_PER_SALT).bit_length())
     goal = broadcast_checked(cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_ratio, share)), 100_000)
     wanted = goal.withColumnRenamed("source", "goal_source").withColumnRenamed("rank", "source_rank")
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))).otherwise(F.lit(0)).cast("long")
     rows = sized.join(wanted, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source").withColumn("expected", rate)
-    drawn = draw_copies(rows, seed)
-    return drawn.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    drawn = draw_copies(rows, seed, ties, salts)
+    return drawn.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *ties)
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, each as often as mix() draws it, with their columns.
 
-    The copies drawn for an id that several rows have (null is one) are dealt among them: each gets
-    the whole part of the mean and, by a hash of the row, one more with the chance of the rest."""
-    copies = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    share = F.col("__copies") / F.col("__rows")
-    chance = F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).cast("double") / 2.0**64 + 0.5
-    rows = docs.withColumn("__chance", chance).join(copies, F.col(id_col).eqNullSafe(F.col("__id")))
-    times = F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(F.floor(share) + (F.col("__chance") < share - F.floor(share)).cast("long"))
-    rows = rows.withColumn("__times", times.cast("int")).filter("__times > 0")
+    Rows are told apart by two hashes of all their columns (those of map type aside), never by their
+    place, and meet their copies by these, so that neither null nor repeated ids share a task. Rows
+    that agree in all columns are the same row several times: they come as often as all of them were drawn."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    keyed = docs.withColumns({f"__key{k}": F.xxhash64(F.lit(k), *[c.isNull() for c in columns], *columns) for k in (0, 1)})
+    keys = ("__key0", "__key1")
+    copies = mix(keyed, id_col=id_col, ties=keys, **options).groupBy(*keys).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    rows = keyed.join(copies, list(keys))
+    # of several equal rows one stands for all: that of the least place, which only says how many there are
+    several = F.when(F.col("__rows") > 1, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).otherwise(F.lit(1))
+    rows = rows.withColumn("__times", F.when(several == 1, F.col("__copies")).otherwise(F.lit(0)).cast("int")).filter("__times > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -118,11 +126,11 @@ d AS (
   SELECT z.doc_id, z.size, t.source_size, t.rank, t.target,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 16777216.0::DOUBLE) ELSE 0 END::BIGINT AS expected,
          length(bin(z.size)) * 8 + ((z.size >> greatest(length(bin(z.size)) - 4, 0)) & 7) AS class,
-         ('0x' || substr(md5(coalesce(z.doc_id::VARCHAR, '')), 1, 4))::BIGINT % 64 AS salt,
+         ('0x' || substr(md5(coalesce(z.doc_id::VARCHAR, '')), 1, 13))::BIGINT AS spread,
          ('0x' || substr(md5('mix/' || t.rank::VARCHAR), 1, 6))::BIGINT AS u
   FROM sized z JOIN t ON z.source IS NOT DISTINCT FROM t.source
 ), c AS (
-  SELECT *, sum(expected) OVER (PARTITION BY rank ORDER BY class, salt, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + u AS upto FROM d
+  SELECT *, sum(expected) OVER (PARTITION BY rank ORDER BY class, spread, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + u AS upto FROM d
 ), e AS (SELECT *, (upto // 16777216 - (upto - expected) // 16777216)::BIGINT AS copies FROM c)
 SELECT doc_id, size, source_size, target::DOUBLE AS target, copies, (copies * size)::BIGINT AS taken FROM e
 """
