@@ -47,8 +47,13 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+#: The shards that op9 deals to, and the same with one more.
+TREE = sharding.uniform_tree(40)
+GROWN = TREE.grow(sharding.uniform_leaf(40))
+
+
 def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), sharding.uniform_tree(40), sharding.uniform_tree(41))
+    return sharding.shard(table(spark, sf_dir, "documents"), TREE, GROWN)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +77,5 @@ SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
     "op2_near_duplicates": neardup.NEAR_SQL,
     "op7_decontaminate": decontam.CONTAMINATED_SQL,
+    "op9_shard_tree": sharding.shard_sql(TREE, GROWN),
 }

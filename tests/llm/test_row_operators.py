@@ -70,36 +70,86 @@ def test_drawn(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.drawn(docs.limit(0)).count() == 0
 
 
+def test_drawn_whatever_the_ids_and_the_splits(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 7, i]), f"t{i % 40} " * (1 + i % 4), rng.choice("aab")) for i in range(240)]
+    docs = docs_of(spark, rows)
+    seen = [sorted(map(str, mixing.drawn(d).collect())) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("text")))]
+    assert seen[0] == seen[1] == seen[2]
+    assert len(seen[0]) == sum(r["copies"] for r in mixing.mix(docs).collect())
+
+
+def test_salts_change_nothing(spark, monkeypatch):
+    docs = docs_of(spark, [(i, "w " * (i % 9), "ab"[i % 5 == 0]) for i in range(300)])
+    few = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "ROWS_PER_SALT", 1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == few
+
+
 # ---------------------------------------------------------------- sharding
 
 
 def test_shard(spark):
     rows = [(i, f"text {i}", "s") for i in range(400)] + ODD
-    out = sharding.shard(docs_of(spark, rows), sharding.uniform_tree(8), sharding.uniform_tree(9)).collect()
+    tree = sharding.uniform_tree(8)
+    grown = tree.grow(sharding.uniform_leaf(8))
+    out = sharding.shard(docs_of(spark, rows), tree, grown).collect()
     assert len(out) == len(rows)
     slots = {}
     for r in out:
         slots.setdefault(r["shard"], []).append(r["slot"])
-        assert r["shard"] == sharding.brute(r["doc_id"], sharding.uniform_tree(8))
+        assert r["shard"] == sharding.brute(r["doc_id"], tree) and r["grown_shard"] == sharding.brute(r["doc_id"], grown)
         assert r["grown_shard"] in (r["shard"], 8)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 8
-    known = {r["doc_id"]: r for r in out}
-    assert known[1]["size"] == 16 and known[1]["text_crc32"] == 0
-    assert known[6]["size"] == 16 + len("ünïcödé wörds".encode()) and known[6]["text_crc32"] == zlib.crc32("ünïcödé wörds".encode())
-    assert sharding.shard(docs_of(spark, ODD).limit(0), sharding.uniform_tree(2), sharding.uniform_tree(3)).count() == 0
+    known = {(r["doc_id"], r["size"], r["text_crc32"]) for r in out}
+    assert (1, 16, 0) in known and (6, 16 + len("ünïcödé wörds".encode()), zlib.crc32("ünïcödé wörds".encode())) in known
+    assert sharding.shard(docs_of(spark, ODD).limit(0), tree, grown).count() == 0
+
+
+def test_trees_of_all_shapes(spark):
+    ids = spark.range(300).select(F.col("id").cast("string").alias("key"))
+    uneven = sharding.Tree((sharding.Leaf(0, 0, 5), sharding.Leaf(2, 1, 3, 4.0), sharding.Leaf(2, 7, 1, 0.5), sharding.Leaf(2, 7, 0), sharding.Leaf(9, 0, 2, 0.0)))
+    trees = {"one": sharding.uniform_tree(1), "uneven": uneven, "more": uneven.grow(sharding.Leaf(2, 1, 8, 2.0)).grow(sharding.Leaf(4, 0, 9)), "forty": sharding.uniform_tree(40)}
+    for r in sharding.assigned(ids, F.col("key"), trees).collect():
+        assert all(r[name] == sharding.brute(r["key"], tree) for name, tree in trees.items())
+    with pytest.raises(ValueError):
+        sharding.levels((sharding.Leaf(0, 0, 0, 0.0),))
+
+
+def test_region_and_rack_matter():
+    leaf = lambda s, region: sharding.Leaf(region, 0, s)
+    wide, apart = sharding.Tree(tuple(leaf(s, s) for s in range(6))), sharding.Tree(tuple(leaf(s, s // 3) for s in range(6)))
+    assert 0.5 < sum(sharding.brute(i, wide) != sharding.brute(i, apart) for i in range(1000)) / 1000
+    # region 1 weighs more: rows move from region 0 into it, and none within a region
+    heavy = apart.reweighted({3: 2.0, 4: 2.0, 5: 2.0})
+    moves = [(a, b) for i in range(3000) if (a := sharding.brute(i, apart)) != (b := sharding.brute(i, heavy))]
+    assert moves and all(a < 3 <= b for a, b in moves) and abs(len(moves) / 3000 - 1 / 6) < 0.03
 
 
-def test_a_changed_weight_moves_rows_only_through_its_shard():
+def test_a_changed_weight_moves_rows_only_through_its_subtree():
     old = sharding.uniform_tree(40)
-    new = sharding.reweighted(old, {7: 2.5})
+    new = old.reweighted({7: 2.5})
     counts = [0] * 40
     for i in range(4000):
         a, b = sharding.brute(i, old), sharding.brute(i, new)
-        assert a == b or b == 7
+        if a != b:  # into region 0; within it into rack 1; within that into shard 7
+            assert b < 20 and (a >= 20 or 5 <= b < 10) and (not 5 <= a < 10 or b == 7)
         counts[b] += 1
     assert abs(counts[7] / 4000 - 2.5 / 41.5) < 0.02 and min(counts) > 50
 
 
+def test_grown_shards_take_their_share_and_move_nothing_else():
+    trees = [sharding.uniform_tree(10)]
+    for s in range(10, 14):
+        trees.append(trees[-1].grow(sharding.uniform_leaf(s)))
+    counts = [0] * 14
+    for i in range(4000):
+        path = [sharding.brute(i, t) for t in trees]
+        assert all(b in (a, 9 + k) for k, (a, b) in enumerate(zip(path, path[1:], strict=False), 1))
+        counts[path[-1]] += 1
+    assert max(counts) < 1.35 * 4000 / 14 and min(counts) > 0.65 * 4000 / 14
+
+
 # ---------------------------------------------------------------- language
 
 
