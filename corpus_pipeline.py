@@ -11,8 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontam, langid, mixing, neardup, sharding
-
-SHARDS = 40
+from lodestar.llm.queries import GROWN, TREE
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
-    return sharding.shard(docs, sharding.uniform_tree(SHARDS), sharding.uniform_tree(SHARDS + 1))
+    return sharding.shard(docs, TREE, GROWN)
 
 
 STAGES = [
