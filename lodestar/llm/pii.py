@@ -26,6 +26,8 @@ WINDOW = CORE + 2 * MARGIN
 HIDDEN, EMBED, TAGS = 8, 6, 1 + len(KINDS)
 BATCH = 512
 PIECE = 1 << 19
+#: Windows whose emissions are held at once.
+KEPT = 8192
 #: Made-up training texts, the characters seen of each, and how they are gone through.
 TRAIN_TEXTS, TRAIN_WINDOW, TRAIN_BATCH, TRAIN_STEPS, TRAIN_SEED = 6000, 64, 64, 450, 5
 
@@ -78,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
             end = at + 1
         at = text.find("@", max(end, at + 1))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p) <= 255 for p in (part.lstrip("0") or "0" for part in m[0].split("."))):
             out.append((m.start(), m.end(), "ip"))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -316,8 +318,28 @@ class Tagger:
                 out[i] = tags[: length[i], k]
         return out
 
+    def _through(self, lead: np.ndarray) -> np.ndarray:
+        """Whether the best sum of a run through each character passes the toll; sums are carried from PIECE to PIECE."""
+        behind = np.empty(len(lead), np.float32)
+        starts = range(0, len(lead), PIECE)
+        carry = 0.0
+        for a in starts:
+            sums = np.concatenate(([0.0], np.cumsum(lead[a : a + PIECE], dtype=np.float64)))
+            behind[a : a + PIECE] = sums[1:] - np.minimum.accumulate(np.concatenate(([-carry], sums[1:-1])))
+            carry = max(0.0, float(behind[min(a + PIECE, len(lead)) - 1]))
+        out, carry = np.empty(len(lead), bool), 0.0
+        for a in reversed(starts):
+            own = lead[a : a + PIECE]
+            sums = np.concatenate(([0.0], np.cumsum(own[::-1], dtype=np.float64)))
+            ahead = (sums[1:] - np.minimum.accumulate(np.concatenate(([-carry], sums[1:-1]))))[::-1]
+            out[a : a + PIECE] = behind[a : a + PIECE] + ahead - own > self.toll - 2e-3
+            carry = max(0.0, float(ahead[0]))
+        return out
+
     def tag(self, symbols: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, first, end, tag) of the runs that aren't outside, in texts at starts[i]:starts[i + 1]."""
+        """(text, first, end, tag) of the runs that aren't outside, in texts at starts[i]:starts[i + 1].
+
+        Emissions are kept for KEPT windows; those of a longer text are computed again where a run may be."""
         n = np.diff(starts)
         if not len(symbols):
             return []
@@ -325,40 +347,54 @@ class Tagger:
         per = -(-(n + MARGIN) // CORE) * (n > 0)
         laid = np.concatenate(([0], np.cumsum(per))) * CORE
         count = int(laid[-1]) // CORE
-        padded = np.full(laid[-1] + 2 * MARGIN, PAD, np.intp)
-        padded[np.arange(len(symbols)) + np.repeat(laid[:-1] - starts[:-1], n) + MARGIN] = symbols
+        padded = np.full(laid[-1] + 2 * MARGIN, PAD, np.uint8)
+        for i in np.flatnonzero(n).tolist():
+            padded[laid[i] + MARGIN : laid[i] + MARGIN + n[i]] = symbols[starts[i] : starts[i + 1]]
         windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::CORE]
-        emit, lead = np.empty((CORE, TAGS, count), np.float32), np.empty((count, CORE))
+        lead = np.empty((count, CORE), np.float32)
+        emit = np.empty((CORE, TAGS, count if count <= KEPT else 0), np.float32)
         for a in range(0, count, BATCH):
-            own = emit[:, :, a : a + BATCH] if count <= BATCH else np.empty((CORE, TAGS, min(BATCH, count - a)), np.float32)
-            self.emissions(np.ascontiguousarray(windows[a : a + BATCH].T), own)
-            if count > BATCH:
+            many = min(BATCH, count - a)
+            own = emit if many == count else np.empty((CORE, TAGS, many), np.float32)
+            self.emissions(np.ascontiguousarray(windows[a : a + BATCH].T, np.intp), own)
+            if own is not emit and count <= KEPT:
                 emit[:, :, a : a + BATCH] = own
             best = own[:, 1] + self.stay[0]
             for k in range(2, TAGS):
                 np.maximum(best, own[:, k] + self.stay[k - 1], out=best)
             lead[a : a + BATCH] = (best - own[:, 0]).T
-        # the best sum of a run through each character; no run bridges a pad
+        # no run bridges a pad
         lead = lead.reshape(-1)
         lead[padded[MARGIN : MARGIN + len(lead)] == PAD] = -1e6
-        sums = np.concatenate(([0.0], np.cumsum(lead)))
-        through = sums[1:] - np.minimum.accumulate(sums[:-1])
-        through += np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
-        through -= lead
-        where = np.flatnonzero(through > self.toll - 1e-3)
+        where = np.flatnonzero(self._through(lead))
         if not len(where):
             return []
         heads = np.concatenate(([0], np.flatnonzero(np.diff(where) != 1) + 1))
         begins, lengths = where[heads], np.diff(np.append(heads, len(where)))
-        tags = self.decode(emit, begins, lengths)
-        row = np.concatenate([np.append(t, np.int8(0)) for t in tags])
-        place = np.arange(len(row)) + np.repeat(begins - (np.cumsum(lengths + 1) - lengths - 1), lengths + 1)
-        edges = np.flatnonzero(np.diff(row, prepend=0, append=0))
-        runs = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if row[a]]
+        del lead, where
+        tags: list[np.ndarray] = []
+        if count <= KEPT:
+            tags = self.decode(emit, begins, lengths)
+        else:
+            first = 0
+            while first < len(begins):  # stretches in as many windows as are kept, or one longer stretch
+                last = max(first + 1, int(np.searchsorted((begins + lengths - 1) // CORE, begins[first] // CORE + KEPT)))
+                need = np.unique(np.concatenate([np.arange(x // CORE, (x + k - 1) // CORE + 1) for x, k in zip(begins[first:last].tolist(), lengths[first:last].tolist(), strict=True)]))
+                emit = np.empty((CORE, TAGS, len(need)), np.float32)
+                for a in range(0, len(need), BATCH):
+                    own = np.empty((CORE, TAGS, min(BATCH, len(need) - a)), np.float32)
+                    self.emissions(np.ascontiguousarray(windows[need[a : a + BATCH]].T, np.intp), own)
+                    emit[:, :, a : a + BATCH] = own
+                at = np.searchsorted(need, begins[first:last] // CORE) * CORE + begins[first:last] % CORE
+                tags += self.decode(emit, at, lengths[first:last])
+                first = last
         out = []
-        for a, b in runs:
-            text = int(np.searchsorted(laid, place[a], "right")) - 1
-            out.append((text, int(place[a] - laid[text]), int(place[b - 1] - laid[text]) + 1, int(row[a])))
+        for begin, own in zip(begins.tolist(), tags, strict=True):
+            edges = np.flatnonzero(np.diff(own, prepend=0, append=0))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if own[a]:
+                    text = int(np.searchsorted(laid, begin + a, "right")) - 1
+                    out.append((text, int(begin + a - laid[text]), int(begin + b - 1 - laid[text]) + 1, int(own[a])))
         return out
 
 
@@ -403,9 +439,9 @@ def find(raw: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[tuple[lis
     """(base spans, all spans) of each text."""
     lead = (raw & 0xC0) != 0x80
     symbols = _CLASS[raw[lead]]
-    upto = np.concatenate(([0], np.cumsum(lead)))
-    starts = upto[offsets]
-    hint = np.concatenate(([0], np.cumsum((symbols == DIGIT) | (symbols == 6))))  # a base span has a digit or @
+    bounds = offsets.tolist()
+    starts = np.concatenate(([0], np.cumsum([np.count_nonzero(lead[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]))).astype(np.int64)
+    hint = (symbols == DIGIT) | (symbols == 6)  # a base span has a digit or @
     texts: dict[int, str] = {}
 
     def text(i: int) -> str:
@@ -414,7 +450,7 @@ def find(raw: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[tuple[lis
         return texts[i]
 
     out: list[tuple[list[Span], list[Span]]] = [([], []) for _ in range(len(offsets) - 1)]
-    for i in np.flatnonzero(hint[starts[1:]] > hint[starts[:-1]]).tolist():
+    for i in [i for i in range(len(out)) if hint[starts[i] : starts[i + 1]].any()]:
         base = base_spans(text(i))
         out[i] = (base, list(base))
     for i, x, y, tag in tagger.tag(symbols, starts):
