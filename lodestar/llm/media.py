@@ -24,6 +24,8 @@ ACROSS, DOWN = 16, 12
 UNIT = ACROSS * DOWN
 MICROSECONDS = 40_000
 PIECE = 1 << 18
+#: Frames that are coded, decoded or measured at once.
+FRAMES = 4096
 
 _DC_COUNTS, _DC_SYMBOLS = bytes([1] * 9 + [0] * 7), bytes(range(8, -1, -1))
 _AC_COUNTS, _AC_SYMBOLS = bytes([1] + [0] * 15), bytes([0])
@@ -85,7 +87,7 @@ def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
 
-def container(chunks: bytes, at: np.ndarray) -> bytes:
+def container(chunks: bytes | memoryview, at: np.ndarray) -> bytes:
     """The AVI file around frame chunks."""
     n = len(at) - 1
     width, height = 8 * ACROSS, 8 * DOWN
@@ -99,8 +101,8 @@ def container(chunks: bytes, at: np.ndarray) -> bytes:
     if n:
         raw = np.frombuffer(chunks, np.uint8)
         index[:, 3] = raw[at[:-1, None] + np.arange(4, 8)].copy().view("<u4")[:, 0]
-    body = b"AVI " + _chunk(b"LIST", hdrl) + b"LIST" + struct.pack("<I", len(chunks) + 4) + b"movi" + chunks + _chunk(b"idx1", index.tobytes())
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    parts = [b"AVI ", _chunk(b"LIST", hdrl), b"LIST", struct.pack("<I", len(chunks) + 4), b"movi", chunks, _chunk(b"idx1", index.tobytes())]
+    return b"".join([b"RIFF", struct.pack("<I", sum(map(len, parts))), *parts])
 
 
 def parse(media: bytes) -> tuple[np.ndarray, np.ndarray, float]:
@@ -140,8 +142,9 @@ def decode(media: bytes) -> tuple[np.ndarray, float]:
     Frames of this module's own layout give one sample a block; others their luma plane."""
     starts, sizes, seconds = parse(media)
     raw = np.frombuffer(media, np.uint8)
-    if len(starts) and (raw[starts[:, None] + np.arange(len(_HEAD))] == _HEAD).all():
-        return _decode_flat(raw, starts, sizes), seconds
+    some = [slice(a, a + FRAMES) for a in range(0, len(starts), FRAMES)]
+    if some and all((raw[starts[x, None] + np.arange(len(_HEAD))] == _HEAD).all() for x in some):
+        return np.concatenate([_decode_flat(raw, starts[x], sizes[x]) for x in some]), seconds
     frames = [jpeg_luma(media[s : s + n]).reshape(-1) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
     return (np.stack(frames) if frames else np.zeros((0, UNIT), np.uint8)), seconds
 
@@ -277,8 +280,11 @@ def shots(frames: np.ndarray, bins: int = 16, window: int = 8, factor: float = 2
     n = len(frames)
     if n < 2:
         return np.zeros(min(n, 1), np.int64)
-    flat = (np.arange(n)[:, None] * bins + (frames.reshape(n, -1) >> (8 - bins.bit_length() + 1))).reshape(-1)
-    counts = np.bincount(flat, minlength=n * bins).reshape(n, bins)
+    shift, counts = 8 - bins.bit_length() + 1, np.empty((n, bins), np.int64)
+    for a in range(0, n, FRAMES):
+        some = frames[a : a + FRAMES].reshape(min(FRAMES, n - a), -1)
+        flat = (np.arange(len(some))[:, None] * bins + (some >> shift)).reshape(-1)
+        counts[a : a + FRAMES] = np.bincount(flat, minlength=len(some) * bins).reshape(-1, bins)
     diff = np.abs(np.diff(counts, axis=0)).sum(axis=1) / (2.0 * frames[0].size)
     at = np.arange(n - 1)
     low = np.maximum(at - window, 0)
@@ -298,19 +304,22 @@ def clips(media: bytes) -> list[tuple[int, float, float, int, float]]:
 
 def payloads(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts, each filled with spaces to a positive multiple of UNIT, as frames (n, UNIT), and frame offsets."""
-    n = np.diff(offsets)
-    frames = np.maximum(1, -(-n // UNIT))
+    frames = np.maximum(1, -(-np.diff(offsets) // UNIT))
     at = np.concatenate(([0], np.cumsum(frames)))
     out = np.full(at[-1] * UNIT, 32, np.uint8)
-    out[np.repeat(at[:-1] * UNIT - offsets[:-1], n) + np.arange(offsets[-1])] = raw
+    for to, a, b in zip((at[:-1] * UNIT).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out[to : to + b - a] = raw[a:b]
     return out.reshape(-1, UNIT), at
 
 
 def encode(raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
     """An AVI file for each text."""
     frames, at = payloads(raw, offsets)
-    chunks, where = encode_frames(frames)
-    whole = chunks.tobytes()
+    coded = [encode_frames(frames[a : a + FRAMES]) for a in range(0, len(frames), FRAMES)]
+    ends = np.cumsum([0, *(len(chunks) for chunks, _ in coded)])
+    where = np.concatenate([ends[:1], *(own[1:] + end for (_, own), end in zip(coded, ends[:-1], strict=True))])
+    whole = memoryview(coded[0][0] if len(coded) == 1 else np.concatenate([chunks for chunks, _ in coded]) if coded else np.zeros(0, np.uint8))
+    del coded
     for a, b in zip(at[:-1], at[1:], strict=True):
         yield container(whole[where[a] : where[b]], where[a : b + 1] - where[a])
 
