@@ -145,11 +145,9 @@ class Model:
         text, starts = padded(raw, offsets)
         if len(text) <= ORDER or not self.languages:
             return total
-        key = grams(text, ORDER)
-        step = PIECE
-        for a in range(0, len(key), step):
-            costs = self.cost_rows(key[a : a + step], ORDER)
-            # a text's places are starts[i] .. starts[i + 1] - ORDER in key, padding's stand between
+        for a in range(0, len(text) - ORDER, PIECE):
+            costs = self.cost_rows(grams(text[a : a + PIECE + ORDER], ORDER), ORDER)
+            # a text's places are starts[i] .. starts[i + 1] - ORDER, padding's stand between
             lo, hi = np.clip(starts[:-1], a, a + len(costs)) - a, np.clip(starts[1:] - ORDER, a, a + len(costs)) - a
             here = np.flatnonzero(hi > lo)
             if len(here):
@@ -173,10 +171,10 @@ class Model:
 
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether a text has a letter of any script."""
-    upto = np.concatenate(([0], np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122))))
-    out = upto[offsets[1:]] > upto[offsets[:-1]]
-    for i in np.flatnonzero(~out):
-        out[i] = any(c.isalpha() for c in raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+    plain = ((raw | 32) >= 97) & ((raw | 32) <= 122)
+    out = np.zeros(len(offsets) - 1, bool)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        out[i] = plain[a:b].any() or any(c.isalpha() for c in raw[a:b].tobytes().decode("utf-8", "replace"))
     return out
 
 
@@ -199,9 +197,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     fit = learning_rows(docs, id_col, lang_col).filter(F.col(text_col).isNotNull())
     rows = fit.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.octet_length(text_col).alias("n"))
     rows = rows.filter(F.col("n").between(1, train_bytes)).withColumn("h", F.xxhash64("id"))
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    found = rows.groupBy("lang").agg(F.count("*").alias("c"), F.avg("n").alias("m")).orderBy(F.desc("c"), "lang").limit(max_languages).collect()
     # the lowest hashes: as many rows as could fill the bound if all were of the language's mean size, twofold
-    means = {r["lang"]: (r["c"], max(1.0, r["m"])) for r in rows.filter(F.col("lang").isin(names)).groupBy("lang").agg(F.count("*").alias("c"), F.avg("n").alias("m")).collect()}
+    means = {r["lang"]: (r["c"], max(1.0, r["m"])) for r in found}
     share = F.lit(False)
     for name, (c, m) in means.items():
         part = min(1.0, 2.0 * (train_bytes / m + 20) / c)
