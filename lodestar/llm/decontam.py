@@ -76,12 +76,20 @@ class ItemIndex:
         blocks = np.empty((PERMUTATIONS, len(starts)), np.uint32)
         for p in range(PERMUTATIONS):
             np.minimum.reduceat(low * a[p] + b[p], starts, out=blocks[p])
-        found: set[tuple[int, int]] = set()
+        found: set[int] = set()
+
+        def candidates(docs: np.ndarray, keys: np.ndarray, known: np.ndarray, items: np.ndarray) -> None:
+            """Adds (document, item) of every key that is known, as one number."""
+            low = np.searchsorted(known, keys)
+            many = np.searchsorted(known, keys, "right") - low
+            some = np.flatnonzero(many)
+            _, one = np.unique(docs[some] * len(known) + low[some], return_index=True)
+            for d, a, n in zip(docs[some[one]].tolist(), low[some[one]].tolist(), many[some[one]].tolist(), strict=True):
+                found.update((d * len(self.ids) + items[a : a + n]).tolist())
+
         hit = np.flatnonzero(self.small_seen[hashes & np.uint64((1 << _FILTER_BITS) - 1)]) if len(self.small[0]) else []
         if len(hit):
-            lo, hi = (np.searchsorted(self.small[0], hashes[hit], side) for side in ("left", "right"))
-            for h, x, y in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                found.update((int(np.searchsorted(at, h, "right")) - 1, int(i)) for i in self.small[1][x:y])
+            candidates(np.searchsorted(at, hit, "right") - 1, hashes[hit], *self.small)
         for level, (keys, items, seen) in self.classes.items():
             step = 1 << level
             begin = np.flatnonzero((np.arange(first[-1]) - first[doc]) % step == 0)
@@ -93,13 +101,10 @@ class ItemIndex:
                 slot = window & np.uint32((1 << _FILTER_BITS) - 1)
                 hit = np.flatnonzero(seen[p][slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8) & 1)
                 if len(hit):
-                    key = window[hit].astype(np.uint64) << np.uint64(8) | np.uint64(p)
-                    lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                    for w, x, y in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                        found.update((int(doc[begin[w]]), int(i)) for i in items[x:y])
+                    candidates(doc[begin[hit]], window[hit].astype(np.uint64) << np.uint64(8) | np.uint64(p), keys, items)
         out = []
         whole: dict[int, np.ndarray] = {}
-        for d, i in sorted(found):
+        for d, i in (divmod(pair, len(self.ids)) for pair in sorted(found)):
             if d not in whole:
                 whole = {d: np.unique(hashes[at[d] : at[d + 1]])}
             common = int(np.isin(self.sets[i], whole[d], assume_unique=True).sum())
