@@ -23,10 +23,10 @@ RULES = (
 )
 #: Labelled URLs the trees are fitted on, at most: those of least MD5.
 TRAIN_URLS = 20_000
-TREES, DEPTH, RATE, BINS, SMOOTH = 60, 3, 0.2, 32, 5.0
+TREES, DEPTH, RATE, BINS, SMOOTH, FOLDS = 60, 3, 0.2, 32, 5.0, 5
 FEATURES = (
     "url_length", "host_length", "path_length", "query_length", "host_labels", "path_depth", "digit_ratio", "host_digit_ratio",
-    "entropy", "host_entropy", "parameters", "fragment", "hyphens", "https", "suffix_rate", "extension_rate", "first_segment_length", "longest_token",
+    "entropy", "host_entropy", "parameters", "fragment", "hyphens", "https", "first_segment_length", "longest_token", "suffix_rate", "extension_rate", "segment_rate", "suffix_segment_rate", "suffix_path_rate",
 )
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HOST = re.compile(r"[^/?#]*")
@@ -71,48 +71,69 @@ def _entropy(text: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def suffix_keys(host: str, path: str) -> tuple[str, str]:
-    """The host's last two labels and the path's extension, whose block rates are features."""
-    last = path.rpartition("/")[2]
-    return ".".join(host.split(".")[-2:]), last.rpartition(".")[2] if "." in last else ("/" if path.endswith("/") else "")
+def rate_keys(host: str, path: str) -> tuple[str, ...]:
+    """What block rates are counted by: the host's last two labels, the path's extension, its first
+    segment, that with the host's labels, and all this with the path's next character."""
+    suffix, last = ".".join(host.split(".")[-2:]), path.rpartition("/")[2]
+    extension = last.rpartition(".")[2] if "." in last else ("/" if path.endswith("/") else "")
+    segment, _, rest = path[1:].partition("/") if path.count("/") > 1 else ("", "", "")
+    return suffix, extension, segment, f"{suffix}/{segment}", f"{suffix}/{segment}/{rest[:1]}"
 
 
-def lexical(url: str, rates: tuple[dict[str, float], dict[str, float], float]) -> list[float]:
-    """FEATURES of a URL. Language codes and whole hosts are no features: rules name these."""
+def lexical(url: str) -> list[float]:
+    """FEATURES of a URL but the rates, which come last."""
     host, path = split_url(url)
     rest = url.partition("://")[2][len(host) + len(path) :] if "://" in url else url
     query, mark, _ = rest.partition("#")
     digits = sum(c.isdigit() for c in url)
-    suffix, extension = suffix_keys(host, path)
     segments = [s for s in path.split("/") if s]
     return [
         len(url), len(host), len(path), len(query), host.count(".") + bool(host), len(segments), digits / max(1, len(url)), sum(c.isdigit() for c in host) / max(1, len(host)),
         _entropy(url), _entropy(host), query.count("=") or query.count("&"), float(bool(mark)), url.count("-"), float(url.startswith("https")),
-        rates[0].get(suffix, rates[2]), rates[1].get(extension, rates[2]), len(segments[0]) if segments else 0, max(map(len, re.split(r"[^0-9A-Za-z]+", url))),
+        len(segments[0]) if segments else 0, max(map(len, re.split(r"[^0-9A-Za-z]+", url))),
     ]
 
 
+class Rates:
+    """Smoothed block rates of rate_keys(): the first three lean on the rate of all, each further one
+    on that before it, which stands for what was never seen. Each fold's URLs are also counted apart,
+    so that a URL that is learned from can be described by the others' labels."""
+
+    def __init__(self, urls: list[str], y: np.ndarray):
+        self.prior = float(y.mean())
+        self.folds = np.arange(len(urls)) % FOLDS
+        self.sums: list[dict[str, np.ndarray]] = [{} for _ in rate_keys("", "")]
+        for url, fold, label in zip(urls, self.folds, y, strict=True):
+            for key, sums in zip(rate_keys(*split_url(url)), self.sums, strict=True):
+                entry = sums.setdefault(key, np.zeros((FOLDS + 1, 2)))
+                entry[[fold, FOLDS]] += (label, 1)
+
+    def of(self, url: str, fold: int | None = None) -> list[float]:
+        """The rates of a URL, without the labels of a fold."""
+        out: list[float] = []
+        for key, sums in zip(rate_keys(*split_url(url)), self.sums, strict=True):
+            entry = sums.get(key)
+            blocked, n = (0.0, 0.0) if entry is None else entry[FOLDS] - (0 if fold is None else entry[fold])
+            out.append((blocked + SMOOTH * (out[-1] if len(out) > 2 else self.prior)) / (n + SMOOTH))
+        return out
+
+
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Thresholds at about the quantiles, each midway between two values that occur, and at even steps."""
+    distinct, steps = np.unique(values), np.linspace(0, 1, BINS + 1)[1:-1]
+    low = np.unique(np.quantile(values, steps, method="lower"))
+    low = low[low < distinct[-1]]
+    return np.unique(np.concatenate([(low + distinct[np.searchsorted(distinct, low, "right")]) / 2, distinct[0] + steps * (distinct[-1] - distinct[0])]))
+
+
 class Boosted:
     """Gradient-boosted regression trees of fixed depth on the logistic loss, fitted on binned features."""
 
     def __init__(self) -> None:
         self.base = -math.inf  # without labels nothing is blocked
-        self.rates: tuple[dict[str, float], dict[str, float], float] = ({}, {}, 0.0)
+        self.rates: Rates | None = None
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def _suffix_rates(self, urls: list[str], y: np.ndarray) -> None:
-        prior = float(y.mean())
-        tables: tuple[dict[str, float], dict[str, float]] = ({}, {})
-        for which in (0, 1):
-            sums: dict[str, list[float]] = {}
-            for url, label in zip(urls, y, strict=True):
-                entry = sums.setdefault(suffix_keys(*split_url(url))[which], [0.0, 0.0])
-                entry[0] += label
-                entry[1] += 1
-            for key, (blocked, n) in sums.items():
-                tables[which][key] = (blocked + SMOOTH * prior) / (n + SMOOTH)
-        self.rates = (*tables, prior)
-
     def fit(self, urls: list[str], blocked: list[bool]) -> Boosted:
         """Labels of one class give that class always."""
         y = np.array(blocked, float)
@@ -121,9 +142,9 @@ class Boosted:
         if y.min() == y.max():
             self.base = math.inf if y[0] else -math.inf
             return self
-        self._suffix_rates(urls, y)
-        x = np.array([lexical(u, self.rates) for u in urls])
-        edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+        self.rates = Rates(urls, y)
+        x = np.array([lexical(u) + self.rates.of(u, fold) for u, fold in zip(urls, self.rates.folds, strict=True)])
+        edges = [_edges(x[:, f]) for f in range(x.shape[1])]
         binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1)
         self.base = math.log(y.mean() / (1 - y.mean()))
         margin = np.full(len(y), self.base)
@@ -142,7 +163,8 @@ class Boosted:
                     h = np.cumsum(np.bincount(binned[rows, f], hess[rows], len(e) + 1))
                     left, right = g[:-1] ** 2 / (h[:-1] + 1), (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + 1)
                     gain = left + right - g[-1] ** 2 / (h[-1] + 1)
-                    k = int(gain.argmax())
+                    equal = np.flatnonzero(gain >= gain.max() - 1e-9)
+                    k = int(equal[len(equal) // 2])  # midway between the two sides
                     if gain[k] > best[0]:
                         best = (float(gain[k]), f, float(e[k]), k)
                 feature[node], threshold[node] = best[1], best[2]
@@ -157,7 +179,7 @@ class Boosted:
         """Whether the log-odds of block are above zero."""
         margin = np.full(len(urls), self.base)
         if self.trees and urls:
-            x = np.array([lexical(u, self.rates) for u in urls])
+            x = np.array([lexical(u) + self.rates.of(u) for u in urls])
             rows = np.arange(len(urls))
             for feature, threshold, value in self.trees:
                 at = np.zeros(len(urls), int)
@@ -187,16 +209,21 @@ def _ruled(rules: Rules, model: Boosted | None) -> Callable[[Iterator[pa.RecordB
 def train(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | None = None, url_col: str = "url", train_urls: int = TRAIN_URLS) -> Boosted:
     """Fits the trees on labelled URLs: a table (url, verdict) if given, else the URLs that a rule decides.
 
-    At most train_urls distinct ones are taken, those of least MD5, the same on every run."""
-    if labelled is None:
-        rows = pages.select(F.lit(0).alias("id"), F.col(url_col).alias("url")).filter(F.col("url").isNotNull())
-        decided = rows.select("url").distinct().select(F.col("url").alias("id"), "url").mapInArrow(_ruled(Rules(rules), None), "id string, host string, path string, rule string, verdict string")
-        labelled = decided.filter("verdict is not null").select(F.col("id").alias("url"), "verdict")
-    usable = cut(labelled.filter("url is not null and verdict in ('allow', 'block')").select("url", "verdict"))
-    # a share that holds about twice the sample, so that what tasks sort and send doesn't grow with the table
-    part = min(1.0, 2.0 * train_urls / max(1, usable.count()))
-    least = usable.filter(md5_bits(F.col("url"), 8).cast("double") / 16.0**8 <= part)
-    sample = least.orderBy(F.md5("url"), "url", "verdict").limit(train_urls).toArrow()
+    At most train_urls distinct ones are taken, those of least MD5, the same on every run. Only URLs
+    whose hash is below a bound leave the scan; the bound rises until there are enough or all."""
+    source = pages.select(F.col(url_col).alias("url")) if labelled is None else labelled.filter("verdict in ('allow', 'block')").select("url", "verdict")
+    source = source.filter(F.col("url").isNotNull())
+    part = min(1.0, 2.0 * train_urls / max(1, source.count()))
+    while True:
+        some = source.filter(md5_bits(F.col("url"), 8).cast("double") / 16.0**8 <= part).distinct()
+        if labelled is None:
+            some = some.select(F.col("url").alias("id"), "url").mapInArrow(_ruled(Rules(rules), None), "id string, host string, path string, rule string, verdict string")
+            some = some.filter("verdict is not null").select(F.col("id").alias("url"), "verdict")
+        some = cut(some)
+        if part >= 1 or some.count() >= train_urls:
+            break
+        part = min(1.0, 4 * part)
+    sample = some.orderBy(F.md5("url"), "url", "verdict").limit(train_urls).toArrow()
     return Boosted().fit(sample.column("url").to_pylist(), [v == "block" for v in sample.column("verdict").to_pylist()])
 
 
