@@ -1,16 +1,20 @@
 """Removal of repeated passages, exact to the byte (operator 4).
 
-A string of LENGTH bytes is removed where it also starts in a document of smaller id. Every such
-string holds an anchor, its GRAM bytes of least hash, so equal strings hold equal anchors at equal
-places. Documents are dealt into batches. (1) Each batch lists its anchors; (2) anchors are kept
-that several documents have; (3) each batch cuts out, around its kept anchors, the context that
-holds all strings anchored there; contexts go to the shard of their anchor; (4) a shard merges the
-batches' contexts by binary search and, where contexts of an anchor differ, builds their suffix
-array and common prefixes: suffixes that share LENGTH bytes are one string, whose least id decides;
-(5) the verdicts return to the batches. Strings never leave their anchor's shard, so shards need no
-merging with one another, and whatever one batch repeats is sent once. Of an anchor that very many
-batches have, the strings themselves are sent, each as 64 bits of one hash to the shard that another,
-independent one names: with a shard's half million strings, one pair in 10^8 shards is mistaken."""
+A string of LENGTH bytes is removed where it also starts in a document of smaller id. Documents are
+dealt into batches, the shards of the text. Every string holds an anchor, its GRAM bytes of least
+hash, so equal strings hold equal anchors at equal places. (1) Each batch lists its anchors' hashes;
+(2) those that several documents have are kept: no other string can repeat; (3) each batch builds the
+suffix array, with Kasai's common prefixes, of all its stretches with kept anchors: suffixes that
+share LENGTH bytes are one string, and where a smaller id of the batch has it, that is settled. What
+is open is cut into contexts, the bytes of an anchor's strings, which go to the anchor's number; (4)
+there the batches' sorted contexts are merged into one another by binary search, and where several
+contexts of an anchor are left, their suffix array tells which strings are equal; the least id
+decides; (5) the verdicts return to the batches.
+
+Lists and hashes only say where to look; that two strings are one is always told by their bytes
+(whole copies of a text: by SHA-256). An anchor that FREQUENT batches have is replaced by one of LONG
+bytes, of which far fewer strings hold the same, and its contexts are merged within groups of batches
+first, so that what all batches repeat reaches its number once a group."""
 
 from __future__ import annotations
 
@@ -24,31 +28,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer
-from lodestar.llm.shingles import _INVERSE, _BASE, _powers, mixed
+from lodestar.llm.shingles import mixed
 from lodestar.llm.suffixes import common_prefixes, suffix_order, words8
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM, LONG = 50, 24, 40
 STRINGS = LENGTH - GRAM + 1
 #: Bytes of text in a batch, on average, and for a shard.
 BATCH_BYTES = 4 << 20
 #: An anchor of this many batches is very frequent.
 FREQUENT = 64
-#: Bytes handled at once; longer documents are handled in stretches.
-STRETCH = 1 << 19
-_LOOSE = 255
-_BASE2 = (_BASE * 6364136223846793005 + 1442695040888963406) % 2**64 | 1
-_INVERSE2 = pow(_BASE2, -1, 2**64)
-_SPREAD = np.random.Generator(np.random.PCG64(99)).integers(0, 2**64, 256, np.uint64)
+#: Bytes whose anchors are looked for at once (longer documents come in stretches), and of one suffix array.
+STRETCH, ARRAY = 1 << 19, 4 << 20
+#: Contexts that are put into sorted order, or into keys, at once.
+RUN = 1 << 14
+_WIDTH = LENGTH + STRINGS - 1
 
 
-def _gram(words: np.ndarray, at: np.ndarray | slice, step: Callable[[int], np.ndarray | slice]) -> np.ndarray:
-    return mixed(mixed(words[at] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[step(8)])) + words[step(16)])
+def gram_hashes(words: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the `size` bytes (a multiple of eight) at the places, or at each but the last size - 1, from their eight-byte words."""
+    step = (lambda k: words[k : k + max(0, len(words) - size + 1)]) if at is None else (lambda k: words[at + k])
+    out = step(0) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(8, size, 8):
+        out = mixed(out + mixed(step(k)))
+    return mixed(out)
 
 
-def gram_hashes(words: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at each place but the last GRAM - 1, from the place's eight-byte words."""
-    n = len(words) - GRAM + 1
-    return _gram(words, slice(0, n), lambda k: slice(k, k + n))
+def least_grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """For every string's start: the place of its gram of least hash (of equal ones the first)."""
+    n, wide = len(hashes) + size - LENGTH, LENGTH - size + 1
+    low = np.uint64((1 << 24) - 1)
+    least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    width = 1
+    while width * 2 <= wide:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return (np.minimum(least[:n], least[wide - width : wide - width + n]) & low).astype(np.int64)
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,15 +71,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(np.uint64)
-    hashes = gram_hashes(words8(raw))
-    low = np.uint64((1 << 24) - 1)
-    least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-    width = 1
-    while width * 2 <= STRINGS:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: n], least[STRINGS - width : STRINGS - width + n])
-    at = (least & low).astype(np.int64)
+    hashes = gram_hashes(words8(raw), GRAM)
+    at = least_grams(hashes, GRAM)
     # no string starts in a document's last LENGTH - 1 bytes
     edge = np.zeros(len(raw) + 1, np.int32)
     edge += np.bincount(np.maximum(offsets[:-1], offsets[1:] - LENGTH + 1), minlength=len(edge)).astype(np.int32)
@@ -105,17 +112,6 @@ def stretches(table: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nd
     return ids, parts, raw, offsets
 
 
-def slice_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each slice of raw, which depend on its bytes alone."""
-    spread = _SPREAD[raw]
-    out = []
-    for base, inverse in ((_BASE, _INVERSE), (_BASE2, _INVERSE2)):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(spread * _powers(base, len(raw)), out=sums[1:])
-        out.append(mixed((sums[start + length] - sums[start]) * _powers(inverse, len(raw) + 1)[start] + length.astype(np.uint64)))
-    return out[0], out[1]
-
-
 def gather(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The slices of raw, joined."""
     ends = np.cumsum(length)
@@ -168,9 +164,12 @@ def list_anchors(shards: int) -> Callable[[pa.Table], pa.Table]:
 _FLAG = np.uint32(1 << 31)
 _ANCHORS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary())])
 _KEPT = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("hashes", pa.binary())])
-_CONTEXTS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("text", "length", "place", "id", "row", "start", "string", "string_id", "string_row", "string_start", "verdicts"))])
+#: level 0: verdicts for the batch that is the number; 1: contexts of an anchor's number; 2: contexts
+#: of frequent strings for a group of batches, with their numbers; 3: those that are left of a group.
+_CONTEXTS = pa.schema([("level", pa.int64()), ("number", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("text", "length", "place", "id", "row", "start", "numbers", "verdicts"))])
 _VERDICTS = pa.schema([("batch", pa.int64()), ("verdicts", pa.binary())])
 _VERDICT = np.dtype([("row", "<i4"), ("start", "<i4"), ("strings", "<u8")])
+_FIELDS = (("length", np.uint8), ("place", np.uint8), ("id", np.int64), ("row", np.int32), ("start", np.int32))
 
 
 def _sql(schema: pa.Schema) -> str:
@@ -202,8 +201,61 @@ def keep_anchors(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, _KEPT)
 
 
-def cut_contexts(shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """(3) a batch and its kept anchors to contexts by shard, and verdicts known within the batch."""
+def _verdicts(level: int, batch: int, row: np.ndarray, start: np.ndarray, strings: np.ndarray) -> dict:
+    verdict = np.zeros(len(row), _VERDICT)
+    verdict["row"], verdict["start"], verdict["strings"] = row, start, strings
+    return {"level": level, "number": batch, "batch": batch, "verdicts": verdict.tobytes()}
+
+
+def _bits(flags: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The flags of each context's strings in turn as one number."""
+    upto = np.cumsum(many)
+    bit = np.arange(len(flags)) - np.repeat(upto - many, many)
+    return np.add.reduceat(flags.astype(np.uint64) << bit.astype(np.uint64), upto - many)
+
+
+def _spread(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each, as many as there are."""
+    upto = np.cumsum(many)
+    return np.repeat(start - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)
+
+
+def string_groups(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for the string at each place, the same for equal strings only.
+
+    By the suffix array of the text: suffixes next to each other that share LENGTH bytes are one string."""
+    words = words8(text)
+    order = suffix_order(text, words)
+    group = np.empty(len(text), np.int64)
+    group[order] = np.cumsum(common_prefixes(text, order, LENGTH, words) < LENGTH) - 1
+    return group[place]
+
+
+def least_by(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each, the least id of its group."""
+    out = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(out, group, ids)
+    return out[group]
+
+
+def _chunks(parts: list, size: int) -> Iterator[list]:
+    """Parts of some `size` bytes together."""
+    held, total = [], 0
+    for part in parts:
+        if held and total + len(part[0]) > size:
+            yield held
+            held, total = [], 0
+        held.append(part)
+        total += len(part[0])
+    if held:
+        yield held
+
+
+def cut_contexts(shards: int, groups: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(3) a batch and its kept anchors to open contexts by number, and verdicts known within the batch.
+
+    Frequent strings go to one of some `shards` numbers at level 2, apart for each of `groups` groups of batches."""
+    coarse = max(1, shards // groups)
 
     def run(table: pa.Table, kept: pa.Table) -> pa.Table:
         if not len(table) or not len(kept):
@@ -214,181 +266,195 @@ def cut_contexts(shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         order = np.argsort(known)
         known, frequent = known[order], marked[order] >= _FLAG
         ids, parts, _, _ = stretches(table)
-        found: list[list[np.ndarray]] = []
-        for raw, offsets, row, base in parts:
-            at, first, last, hashed = anchors(raw, offsets)
-            asked = (hashed % np.uint64(shards)) << np.uint64(32) | short(hashed)
-            slot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-            own = known[slot] == asked
-            at, first, last, hashed, often = at[own], first[own], last[own], hashed[own], frequent[slot[own]]
-            if not len(at):
+        rows: list[dict] = []
+        for chunk in _chunks(parts, ARRAY):
+            texts, found, end = [], [], 0
+            for raw, offsets, row, base in chunk:
+                at, first, last, hashed = anchors(raw, offsets)
+                asked = (hashed % np.uint64(shards)) << np.uint64(32) | short(hashed)
+                slot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                own = known[slot] == asked
+                if not own.any():
+                    continue
+                at, first, last, hashed, often = at[own], first[own], last[own], hashed[own], frequent[slot[own]]
+                # stretches of strings with kept anchors, joined
+                head = np.flatnonzero(np.concatenate(([True], first[1:] != last[:-1] + 1)))
+                tail = np.append(head[1:], len(first)) - 1
+                size = last[tail] - first[head] + LENGTH
+                texts.append(gather(raw, first[head], size))
+                shift = np.repeat(end + np.cumsum(size) - size - first[head], tail - head + 1)
+                end += int(size.sum())
+                doc = np.searchsorted(offsets, first, "right") - 1
+                found.append([first + shift, last - first + 1, at - first, hashed, often, ids[row[doc]], row[doc], first - offsets[doc] + base[doc]])
+            if not texts:
                 continue
-            # contexts of the others, and single strings of the very frequent
-            many = last[often] - first[often] + 1
-            single = np.repeat(first[often] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            start = np.concatenate([first[~often], single])
-            length = np.concatenate([(last - first + LENGTH)[~often], np.full(len(single), LENGTH)])
-            place = np.concatenate([(at - first)[~often], np.full(len(single), _LOOSE)])
-            h1, h2 = slice_hashes(raw, start, length)
-            doc = np.searchsorted(offsets, start, "right") - 1
-            shard = np.concatenate([hashed[~often], h1[len(start) - len(single) :]]) % np.uint64(shards)
-            # what the stretch repeats is gathered once
-            found.append([start, length, place, h1, h2, ids[row[doc]], row[doc], start - offsets[doc] + base[doc], shard.astype(np.int64), np.full(len(start), len(found))])
-            found[-1].append(raw)
-        if not found:
-            return _CONTEXTS.empty_table()
-        raws = [f.pop() for f in found]
-        start, length, place, h1, h2, owner, row, where, shard, part = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((owner, h2, h1))
-        head = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
-        least = np.empty(len(order), owner.dtype)
-        least[order] = owner[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-        sent = owner == least
-        verdict = np.zeros((~sent).sum(), _VERDICT)
-        verdict["row"], verdict["start"] = row[~sent], where[~sent]
-        verdict["strings"] = (np.uint64(1) << (length[~sent] - LENGTH + 1).astype(np.uint64)) - np.uint64(1)
-        rows = [{"shard": batch % shards, "batch": batch, "verdicts": verdict.tobytes()}] if len(verdict) else []
-        chosen = np.flatnonzero(sent)
-        for s, i in _by_shard(shard[chosen]):
-            i = chosen[i]
-            loose = i[place[i] == _LOOSE]
-            i = i[place[i] != _LOOSE]
-            own = {"shard": s, "batch": batch}
-            if len(i):
-                text = b"".join(raws[p][a : a + n].tobytes() for p, a, n in zip(part[i].tolist(), start[i].tolist(), length[i].tolist(), strict=True))
-                own |= {"text": text, "length": length[i].astype(np.uint8).tobytes(), "place": place[i].astype(np.uint8).tobytes()}
-                own |= {"id": owner[i].astype(np.int64).tobytes(), "row": row[i].astype(np.int32).tobytes(), "start": where[i].astype(np.int32).tobytes()}
-            if len(loose):
-                own |= {"string": h2[loose].tobytes(), "string_id": owner[loose].astype(np.int64).tobytes(), "string_row": row[loose].astype(np.int32).tobytes(), "string_start": where[loose].astype(np.int32).tobytes()}
-            rows.append(own)
+            text = texts[0] if len(texts) == 1 else np.concatenate(texts)
+            begin, many, place, hashed, often, owner, row, where = (np.concatenate(x) for x in zip(*found, strict=True))
+            strings = _spread(begin, many)
+            whose = np.repeat(np.arange(len(begin)), many)
+            done = least_by(string_groups(text, strings), owner[whose]) < owner[whose]
+            settled = _bits(done, many)
+            hit = np.flatnonzero(settled)
+            if len(hit):
+                rows.append(_verdicts(0, batch, row[hit], where[hit], settled[hit]))
+            open_ = settled != (np.uint64(1) << many.astype(np.uint64)) - np.uint64(1)
+            rows += _rows(1, batch, text, *(x[open_ & ~often] for x in (begin, many, place, owner, row, where)), (hashed[open_ & ~often] % np.uint64(shards)).astype(np.int64))
+            left = np.flatnonzero(often[whose] & ~done)
+            if len(left):
+                # contexts of the longer anchors, of strings next to each other
+                start, own = strings[left], whose[left]
+                hashes = gram_hashes(words8(text), LONG)
+                at = least_grams(hashes, LONG)[start]
+                head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))))
+                many = np.diff(np.append(head, len(start)))
+                start, own, at = start[head], own[head], at[head]
+                number = (hashes[at] % np.uint64(shards)).astype(np.int64)
+                group = batch * groups // shards * coarse + number % coarse
+                for g, i in _by_shard(group):
+                    rows += _rows(2, batch, text, start[i], many[i], at[i] - start[i], owner[own[i]], row[own[i]], (where[own] + start - begin[own])[i], np.full(len(i), g), number[i])
         return pa.Table.from_pylist(rows, _CONTEXTS)
 
     return run
 
 
-def least_ids(text: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For every string of contexts text[start:start + length] in turn, the least id of a context that has it.
-
-    By the suffix array of the contexts: suffixes next to each other that share LENGTH bytes are one string."""
-    strings = length - LENGTH + 1
-    ends = np.cumsum(strings)
-    place = np.repeat(start - (ends - strings), strings) + np.arange(ends[-1])
-    number = np.full(len(text), -1, np.int64)
-    number[place] = np.arange(len(place))
-    order = suffix_order(text, LENGTH)
-    order = order[number[order] >= 0]
-    same = common_prefixes(text, order, LENGTH) >= LENGTH
-    head = np.flatnonzero(~same)
-    slot = number[order]
-    owner = np.repeat(ids, strings)[slot]
-    out = np.empty(len(place), ids.dtype)
-    out[slot] = np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(slot))))
-    return out
+def _rows(level: int, batch: int, text: np.ndarray, begin: np.ndarray, many: np.ndarray, place: np.ndarray, owner: np.ndarray, row: np.ndarray, where: np.ndarray, number: np.ndarray, numbers: np.ndarray | None = None) -> Iterator[dict]:
+    """A row of contexts for each number."""
+    length = many + LENGTH - 1
+    for n, i in _by_shard(number):
+        held = {"level": level, "number": n, "batch": batch, "text": gather(text, begin[i], length[i]).tobytes()}
+        for (name, kind), values in zip(_FIELDS, (length, place, owner, row, where), strict=True):
+            held[name] = values[i].astype(kind).tobytes()
+        yield held if numbers is None else held | {"numbers": numbers[i].astype(np.int64).tobytes()}
+
+
+def _contexts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Bytes, starts, fields and batches of the contexts in a table's rows."""
+    text, _ = _blobs(table.column("text"), np.uint8)
+    fields = {name: _blobs(table.column(name), kind)[0] for name, kind in _FIELDS}
+    fields["length"] = fields["length"].astype(np.int64)
+    sizes = _blobs(table.column("length"), np.uint8)[1]
+    batches = np.repeat(table.column("batch").to_numpy(), sizes)
+    return text, np.cumsum(fields["length"]) - fields["length"], fields, batches
+
+
+def union(into: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Two sorted arrays without repeats merged, by a binary search for each of the second in the first."""
+    at = np.searchsorted(into, other)
+    new = np.ones(len(other), bool)
+    inner = at < len(into)
+    new[inner] = into[at[inner]] != other[inner]
+    return np.insert(into, at[new], other[new])
+
+
+def merged(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number for each context, the same for equal ones only.
+
+    Contexts are made into keys of _WIDTH bytes and their length, which stands last lest a key end in
+    zeros. RUN contexts at a time are sorted, and the runs are merged in pairs."""
+    keys = np.zeros((len(start), _WIDTH + 1), np.uint8)
+    keys[:, _WIDTH] = length
+    held = np.concatenate([text, np.zeros(_WIDTH, np.uint8)])
+    for a in range(0, len(start), RUN):
+        own = held[start[a : a + RUN, None] + np.arange(_WIDTH)]
+        own[np.arange(_WIDTH) >= length[a : a + RUN, None]] = 0
+        keys[a : a + RUN, :_WIDTH] = own
+    keys = keys.reshape(-1).view(f"S{_WIDTH + 1}")
+    runs = [np.unique(keys[a : a + RUN]) for a in range(0, len(keys), RUN)]
+    while len(runs) > 1:
+        runs = [union(runs[i], runs[i + 1]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return np.searchsorted(runs[0], keys)
+
+
+def premerge(table: pa.Table) -> pa.Table:
+    """A group's level-2 contexts to level-3 ones by their own number: those that no smaller id of the group has, and verdicts on the others."""
+    text, start, fields, batches = _contexts(table)
+    numbers, _ = _blobs(table.column("numbers"), np.int64)
+    least = least_by(merged(text, start, fields["length"]), fields["id"])
+    rows: list[dict] = []
+    many = fields["length"] - LENGTH + 1
+    for b, i in _by_shard(batches):
+        later = i[least[i] < fields["id"][i]]
+        if len(later):
+            rows.append(_verdicts(0, b, fields["row"][later], fields["start"][later], (np.uint64(1) << many[later].astype(np.uint64)) - np.uint64(1)))
+        first = i[least[i] == fields["id"][i]]
+        rows += _rows(3, b, text, start[first], many[first], *(fields[c][first] for c in ("place", "id", "row", "start")), numbers[first])
+    return pa.Table.from_pylist(rows, _CONTEXTS)
+
+
+def judge(table: pa.Table, gram: int) -> pa.Table:
+    """(4) a number's contexts to verdicts by batch: which strings start in a smaller id as well."""
+    text, start, fields, batches = _contexts(table)
+    length, ids = fields["length"], fields["id"]
+    # merge the batches' contexts: equal ones become one with the least id
+    group = merged(text, start, length)
+    order = np.argsort(group, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1])))
+    group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+    one, least = order[head], np.minimum.reduceat(ids[order], head)
+    # anchors with several contexts: equal strings have the least id of all their contexts
+    anchor = gram_hashes(words8(text), gram, start[one] + fields["place"][one])
+    _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[which] > 1)
+    many = (length - LENGTH + 1)[one]
+    ends = np.cumsum(many)
+    minimum = np.repeat(least, many)
+    if len(several):
+        size = length[one[several]]
+        joined = gather(text, start[one[several]], size)
+        own = many[several]
+        minimum[_spread((ends - many)[several], own)] = least_by(string_groups(joined, _spread(np.cumsum(size) - size, own)), np.repeat(least[several], own))
+    # every context's strings against its own id
+    own = many[group]
+    smaller = _bits(minimum[_spread((ends - many)[group], own)] < np.repeat(ids, own), own)
+    rows = []
+    for b, i in _by_shard(batches):
+        i = i[smaller[i] != 0]
+        if len(i):
+            rows.append(_verdicts(0, b, fields["row"][i], fields["start"][i], smaller[i]))
+    return pa.Table.from_pylist(rows, _CONTEXTS)
 
 
-def judge_strings(table: pa.Table) -> list[dict]:
-    """Verdicts on single strings, which a shard of their first hash tells apart by their second."""
-    mine = table.filter(pc.is_valid(table.column("string")))
-    keys, sizes = _blobs(mine.column("string"), np.uint64)
-    if not len(keys):
-        return []
-    ids, row, where = (_blobs(mine.column(c), k)[0] for c, k in (("string_id", np.int64), ("string_row", np.int32), ("string_start", np.int32)))
-    order = np.lexsort((ids, keys))
-    head = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-    least = np.empty(len(keys), np.int64)
-    least[order] = np.repeat(ids[order][head], np.diff(np.append(head, len(keys))))
-    hit = np.flatnonzero(least < ids)
-    rows = []
-    for b, i in _by_shard(np.repeat(np.arange(len(sizes)), sizes)[hit]):
-        verdict = np.zeros(len(i), _VERDICT)
-        verdict["row"], verdict["start"], verdict["strings"] = row[hit[i]], where[hit[i]], 1
-        rows.append({"batch": mine.column("batch")[b].as_py(), "verdicts": verdict.tobytes()})
-    return rows
-
-
-def judge_contexts(table: pa.Table) -> pa.Table:
-    """(4) a shard's contexts to verdicts by batch: which strings start in a smaller id as well."""
-    rows = [{"batch": b, "verdicts": v} for b, v in zip(table.column("batch").to_pylist(), table.column("verdicts").to_pylist(), strict=True) if v]
-    rows += judge_strings(table)
-    mine = table.filter(pc.is_valid(table.column("text")))
-    if len(mine):
-        text, _ = _blobs(mine.column("text"), np.uint8)
-        length, sizes = _blobs(mine.column("length"), np.uint8)
-        place, _ = _blobs(mine.column("place"), np.uint8)
-        ids, _ = _blobs(mine.column("id"), np.int64)
-        row, _ = _blobs(mine.column("row"), np.int32)
-        where, _ = _blobs(mine.column("start"), np.int32)
-        source = np.repeat(np.arange(len(sizes)), sizes)
-        length = length.astype(np.int64)
-        start = np.cumsum(length) - length
-        h1, h2 = slice_hashes(text, start, length)
-        # merge the batches' contexts: equal ones become one with the least id
-        order = np.lexsort((ids, h2, h1))
-        head = np.flatnonzero(np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))))
-        merged = order[head]
-        group = np.empty(len(order), np.int64)
-        group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
-        least = ids[merged]
-        # anchors with several contexts
-        words = words8(text)
-        at = start[merged] + place[merged]
-        anchor = _gram(words, at, lambda k: at + k)
-        sorted_anchor = np.sort(anchor)
-        count = np.searchsorted(sorted_anchor, anchor, "right") - np.searchsorted(sorted_anchor, anchor)
-        several = np.flatnonzero(count > 1)
-        strings = (length - LENGTH + 1)[merged]
-        ends = np.cumsum(strings)
-        minimum = np.repeat(least, strings)
-        if len(several):
-            some = merged[several]
-            size = length[some]
-            joined = gather(text, start[some], size)
-            found = least_ids(joined, np.cumsum(size) - size, size, least[several])
-            own = strings[several]
-            minimum[np.repeat((ends - strings)[several] - (np.cumsum(own) - own), own) + np.arange(own.sum())] = found
-        # every context's strings against its own id
-        many = strings[group]
-        upto = np.cumsum(many)
-        bit = np.arange(upto[-1]) - np.repeat(upto - many, many)
-        smaller = minimum[np.repeat((ends - strings)[group], many) + bit] < np.repeat(ids, many)
-        bits = np.add.reduceat(smaller.astype(np.uint64) << bit.astype(np.uint64), upto - many)
-        hit = np.flatnonzero(bits)
-        for b, i in _by_shard(source[hit]):
-            i = hit[i]
-            verdict = np.zeros(len(i), _VERDICT)
-            verdict["row"], verdict["start"], verdict["strings"] = row[i], where[i], bits[i]
-            rows.append({"batch": mine.column("batch")[b].as_py(), "verdicts": verdict.tobytes()})
-    return pa.Table.from_pylist(rows, _VERDICTS)
+def settle(table: pa.Table) -> pa.Table:
+    """The rows of one level and number: level 1 and 3 are judged, level 2 is merged, verdicts stay as they are."""
+    level = table.column("level")[0].as_py()
+    if level == 2:
+        return premerge(table)
+    return judge(table, GRAM if level == 1 else LONG) if level else table
 
 
 def covered(table: pa.Table, verdicts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, bytes, offsets of a batch, and which bytes go."""
     ids, _, raw, offsets = stretches(table)
     verdict, _ = _blobs(verdicts.column("verdicts"), _VERDICT) if len(verdicts) else (np.zeros(0, _VERDICT), None)
-    edge = np.zeros(len(raw) + 1, np.int64)
-    if len(verdict):
-        bit = verdict["strings"][:, None] >> np.arange(STRINGS, dtype=np.uint64) & np.uint64(1)
-        which, shift = np.nonzero(bit)
-        start = offsets[verdict["row"][which]] + verdict["start"][which] + shift
-        edge += np.bincount(start, minlength=len(edge)) - np.bincount(start + LENGTH, minlength=len(edge))
-    return ids, raw, offsets, np.cumsum(edge)[:-1] > 0
+    gone = np.zeros(len(raw), bool)
+    for a in range(0, len(verdict), RUN):
+        some = verdict[a : a + RUN]
+        which, shift = np.nonzero(some["strings"][:, None] >> np.arange(STRINGS, dtype=np.uint64) & np.uint64(1))
+        gone[offsets[some["row"][which]] + some["start"][which] + shift] = True
+    # a string's start stands for its LENGTH bytes, which are all in its document
+    width = 1
+    while width < LENGTH:
+        more = min(width, LENGTH - width)
+        gone[more:] |= gone[:-more].copy()
+        width += more
+    return ids, raw, offsets, gone
+
+
+_REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def remove(table: pa.Table, verdicts: pa.Table) -> pa.Table:
-    """(5) a batch and its verdicts to doc_id, n_bytes, n_removed, n_spans, kept."""
+    """(5) a batch and its verdicts to doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if not len(table):
-        return pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]).empty_table()
+        return _REMOVED.empty_table()
     ids, raw, offsets, gone = covered(table, verdicts)
-    upto = np.concatenate(([0], np.cumsum(gone)))
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1]
-    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-    opens[heads] = gone[heads]
-    spans = np.concatenate(([0], np.cumsum(opens)))
-    kept = raw[~gone].tobytes()
-    ends = offsets - upto[offsets]
-    digest = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return pa.table({"doc_id": ids, "n_bytes": np.diff(offsets), "n_removed": np.diff(upto[offsets]), "n_spans": np.diff(spans[offsets]), "kept_sha256": pa.array(digest, pa.string())})
+    rows = []
+    for i, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = gone[a:b]
+        removed = int(np.count_nonzero(own))
+        spans = int(np.count_nonzero(own[1:] & ~own[:-1])) + int(own[:1].sum()) if removed else 0
+        rows.append((i, b - a, removed, spans, hashlib.sha256(raw[a:b][~own] if removed else raw[a:b]).hexdigest()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _REMOVED.types, strict=True)], schema=_REMOVED)
 
 
 def kept_texts(table: pa.Table, verdicts: pa.Table) -> pa.Table:
@@ -402,8 +468,10 @@ def kept_texts(table: pa.Table, verdicts: pa.Table) -> pa.Table:
 
 def _searched(docs: DataFrame, batch_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows decided without a search, searched rows by batch, verdicts by batch)."""
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("ids must be whole numbers")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.md5("text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     copies = rows.filter("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     copies = broadcast_checked(cut(copies.select("digest", "first")), 1_000_000)
     size = F.octet_length("text")
@@ -411,11 +479,15 @@ def _searched(docs: DataFrame, batch_bytes: int, id_col: str, text_col: str) ->
     searched = (F.octet_length("text") >= LENGTH) & F.col("id").isNotNull() & ~F.col("copy")
     total = rows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
     count = max(1, -(-total // batch_bytes))
-    batches = marked.filter(searched).select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("batch"), "id", "text")
+    batches = marked.filter(searched).select(F.pmod(F.xxhash64("id", "digest"), F.lit(count)).alias("batch"), "id", "text")
     listed = batches.groupBy("batch").applyInArrow(list_anchors(count), _sql(_ANCHORS))
     kept = listed.groupBy("shard").applyInArrow(keep_anchors, _sql(_KEPT))
-    contexts = batches.groupBy("batch").cogroup(kept.groupBy("batch")).applyInArrow(cut_contexts(count), _sql(_CONTEXTS))
-    verdicts = contexts.groupBy("shard").applyInArrow(judge_contexts, _sql(_VERDICTS))
+    # as many batches in a group as groups, but FREQUENT at least
+    groups = max(1, min(-(-count // FREQUENT), int(count**0.5)))
+    contexts = batches.groupBy("batch").cogroup(kept.groupBy("batch")).applyInArrow(cut_contexts(count, groups), _sql(_CONTEXTS))
+    for _ in range(2):
+        contexts = contexts.groupBy("level", "number").applyInArrow(settle, _sql(_CONTEXTS))
+    verdicts = contexts.select("batch", "verdicts")
     return marked.filter(~searched).select("id", "text", "copy"), batches, verdicts
 
 
@@ -425,7 +497,8 @@ def repeated_passages(docs: DataFrame, batch_bytes: int = BATCH_BYTES, id_col: s
     A text equal to that of a smaller id goes whole if it has LENGTH bytes. Null and empty texts
     have no bytes; texts under LENGTH bytes stay; rows of one id don't count as smaller than each
     other and equal ones have equal results; a row with a null id loses nothing and costs no other
-    row anything; an empty table gives no rows. Other columns aren't read."""
+    row anything; an empty table gives no rows; ids that aren't whole numbers raise ValueError. Other
+    columns aren't read."""
     decided, batches, verdicts = _searched(docs, batch_bytes, id_col, text_col)
     size = F.octet_length("text").cast("long")
     gone = F.col("copy") & (size >= LENGTH)

@@ -147,18 +147,25 @@ def test_repeated_passages(spark):
     assert suffixdedup.repeated_passages(docs.limit(0)).count() == 0
 
 
-def test_very_frequent_passages_and_long_texts(spark, monkeypatch):
+def test_very_frequent_passages_and_long_texts(monkeypatch):
     monkeypatch.setattr(suffixdedup, "STRETCH", 256)
     rng = random.Random(9)
     shared = words(rng, 25)
-    rows = [(i, words(rng, rng.randint(0, 300)) + shared + words(rng, 5)) for i in range(12)]
-    for frequent in (2, 64):
+    phrase = words(rng, 7)[:30]
+    rows = [(i, words(rng, rng.randint(0, 300)) + shared + words(rng, 5) + phrase + "".join(rng.choice("ab") for _ in range(4)) + shared[:40]) for i in range(14)]
+    rows.append((20, "".join(x + phrase for x in ("aa", "ab", "ba", "bb") * 6) + "\0" * 80 + shared))
+    rows.append((21, "\0" * 70 + shared[3:] + "\0" * 61))
+    want = sorted(suffixdedup.brute(rows))
+    for frequent, array, run in ((2, 1 << 20, 1 << 14), (64, 1 << 20, 4), (3, 700, 2)):
         monkeypatch.setattr(suffixdedup, "FREQUENT", frequent)
-        batches = [[r for r in rows if r[0] % 5 == b] for b in range(5)]
-        assert _in_process(batches, 3) == sorted(suffixdedup.brute(rows))
+        monkeypatch.setattr(suffixdedup, "ARRAY", array)
+        monkeypatch.setattr(suffixdedup, "RUN", run)
+        for groups in (1, 2, 5):
+            batches = [[r for r in rows if r[0] % 5 == b] for b in range(5)]
+            assert _in_process(batches, 5, groups) == want
 
 
-def _in_process(batches, shards):
+def _in_process(batches, shards, groups):
     """The five steps without Spark, so that patched limits hold."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -167,23 +174,38 @@ def _in_process(batches, shards):
     by = lambda t, column: [t.filter(pc.equal(t[column], v)) for v in t[column].unique().to_pylist()]
     listed = pa.concat_tables([suffixdedup.list_anchors(shards)(t) for t in tables.values()])
     kept = pa.concat_tables([suffixdedup.keep_anchors(t) for t in by(listed, "shard")])
-    contexts = pa.concat_tables([suffixdedup.cut_contexts(shards)(t, kept.filter(pc.equal(kept["batch"], b))) for b, t in tables.items()])
-    verdicts = pa.concat_tables([suffixdedup.judge_contexts(t) for t in by(contexts, "shard")])
+    contexts = pa.concat_tables([suffixdedup.cut_contexts(shards, groups)(t, kept.filter(pc.equal(kept["batch"], b))) for b, t in tables.items()])
+    for _ in range(2):
+        contexts = pa.concat_tables([suffixdedup.settle(n) for t in by(contexts, "level") for n in by(t, "number")])
+    verdicts = contexts.select(["batch", "verdicts"])
     out = pa.concat_tables([suffixdedup.remove(t, verdicts.filter(pc.equal(verdicts["batch"], b))) for b, t in tables.items()])
     return sorted(tuple(r.values()) for r in out.to_pylist())
 
 
+def test_merging_contexts_by_binary_search():
+    import numpy as np
+
+    rng = random.Random(10)
+    texts = [bytes(rng.choice(b"\0ab") for _ in range(rng.choice([50, 51, 76]))) for _ in range(30)]
+    texts += [t[:50] for t in texts] + texts[:9] + [texts[0][:50] + b"\0"]
+    raw, length = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    group = suffixdedup.merged(raw, np.cumsum(length) - length, length)
+    assert all((a == b) == (x == y) for a, x in zip(texts, group, strict=True) for b, y in zip(texts, group, strict=True))
+
+
 def test_suffix_arrays():
     import numpy as np
 
     from lodestar.llm.suffixes import common_prefixes, suffix_order
 
     rng = np.random.default_rng(3)
-    for n, alphabet in ((1, 2), (7, 1), (60, 2), (400, 3), (300, 255)):
+    for n, alphabet in ((0, 2), (1, 2), (7, 1), (8, 1), (9, 1), (60, 2), (400, 3), (300, 255), (2000, 2)):
         raw = rng.integers(0, alphabet, n).astype(np.uint8)
         text = raw.tobytes()
         want = sorted(range(n), key=lambda i: text[i:])
         assert suffix_order(raw).tolist() == want
+        if n < 2:
+            continue
         shared = [0] + [next((k for k in range(20) if a + k >= n or b + k >= n or text[a + k] != text[b + k]), 20) for a, b in zip(want, want[1:], strict=False)]
         assert common_prefixes(raw, np.array(want), 20).tolist() == shared
 
