@@ -19,7 +19,7 @@ from lodestar.llm.shingles import mixed, permutations, shingles
 #: 24 bands of two permutations: a pair at 0.8 is missed by all bands with a chance of 3e-6.
 BANDS = 24
 #: Bytes of sets of a family's members that one task compares with as many others.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Pairs that share a rare shingle, held at once in a block.
 PAIRS = 1 << 21
 #: Rows of a side, once counted, up to which a join broadcasts it.

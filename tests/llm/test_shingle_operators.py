@@ -70,7 +70,7 @@ def test_near_duplicates(spark, seed):
     assert sorted(((r[0] is None, r[0] or 0), *r[1:]) for r in got.collect()) == near_brute(rows)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 4000])
+@pytest.mark.parametrize("block", [4 << 20, 4000])
 def test_near_duplicate_families_are_searched(spark, monkeypatch, block):
     """Many unlike copies of one text: links beyond the first nodes are found."""
     monkeypatch.setattr(neardup, "BLOCK_BYTES", block)
