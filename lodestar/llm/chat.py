@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import broadcast_checked, cut
 
-#: Labelled turns that are learned from, at most, and roles.
-TRAIN_TURNS, MAX_ROLES, SMOOTH = 20_000, 8, 0.5
+#: Labelled turns that are learned from, at most, and their most frequent roles.
+TRAIN_TURNS, MAX_ROLES, SMOOTH = 20_000, 32, 0.5
 #: Rows of a conversation that make one part, and parts that are combined at once.
 MOST, FAN = 128, 256
 #: Log probabilities are multiples of this, so that their sums are exact in any order.
@@ -215,15 +215,17 @@ def held_out(column):
 
 
 def train(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", train_turns: int = TRAIN_TURNS) -> RoleModel:
-    """A model from at most train_turns labelled turns of conversations that aren't held out, those of least hash of the id."""
-    rows = turns.select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """A model from at most train_turns labelled turns of conversations that aren't held out, those of least
+    hash of the id, in order of turn (null as 0), role and text: the same on every run. Of more than
+    MAX_ROLES roles among them the most frequent are learned; others can't be predicted."""
+    rows = turns.select(F.col(conv_col).cast("string").alias("conv"), F.coalesce(F.col(turn_col), F.lit(0)).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.filter(F.col("conv").isNotNull() & F.col("role").isNotNull() & ~held_out(F.col("conv"))).withColumn("h", F.xxhash64("conv"))
     count = rows.count()
     part = min(1.0, 1.2 * train_turns / max(1, count))
-    sample = rows.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= part).limit(2 * train_turns)
+    sample = rows.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= part).orderBy("h", "conv", "turn", "role", "text").limit(train_turns)
     taken: dict[str, list[tuple[int, str, str]]] = {}
-    for r in sorted(sample.toArrow().to_pylist(), key=lambda r: (r["h"], r["conv"], r["turn"] or 0, r["role"], r["text"]))[:train_turns]:
-        taken.setdefault(r["conv"], []).append((r["turn"] or 0, r["role"], r["text"]))
+    for r in sample.toArrow().to_pylist():
+        taken.setdefault(r["conv"], []).append((r["turn"], r["role"], r["text"]))
     return RoleModel([[(role, text) for _, role, text in t] for t in taken.values()])
 
 
