@@ -5,12 +5,12 @@ return the columns of documents."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontam, langid, mixing, neardup, sharding
+from lodestar.llm.common import shared_folder
 from lodestar.llm.queries import GROWN, TREE
 
 
@@ -56,7 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage returns is written to the folder that spark.checkpoint.dir names and read again; it
     is deleted when the next stage is written. The last stage's input stays for the result."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lodestar-pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         at = f"{folder}/{name}"
