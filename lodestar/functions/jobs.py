@@ -4,21 +4,40 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast once it has been counted.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of data up to which a side is broadcast once it has been measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that setting is missing a temporary one is made if Spark runs within this machine alone, as
+    in tests; on a cluster RuntimeError is raised."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lodestar-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the reliable checkpoint folder that spark.checkpoint.dir names (a local one only where it is unset)."""
+    """df, written to the reliable checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count shows at most `rows` rows; else as it is, and joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, marked for broadcast if it is measured to have at most `rows` rows and BROADCAST_BYTES bytes; else as it is, and joins shuffle.
+
+    Texts and arrays count by their length as JSON or text, all else as eight bytes."""
+    long = [f for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    sizes = [F.octet_length(F.col(f.name) if f.dataType.typeName() in ("string", "binary") else F.to_json(F.col(f.name))) for f in long]
+    width = sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(8 * len(df.columns)).cast("long"))
+    count, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if count <= rows and size <= BROADCAST_BYTES else df

@@ -1,4 +1,4 @@
-"""Prompt texts for external providers, as columns."""
+"""Prompt texts for external providers."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def summary_prompt(chunk: Column) -> Column:
-    return F.concat(F.lit("State in one factual sentence what this passage of a support knowledge base covers and when it helps. No additions, lists or headings.\n\nPassage:\n"), chunk, F.lit("\n\nSentence:"))
+def summary_prompt(chunk: str) -> str:
+    return f"State in one factual sentence what this passage of a support knowledge base covers and when it helps. No additions, lists or headings.\n\nPassage:\n{chunk}\n\nSentence:"
 
 
 def answer_prompt(question: Column, context: Column, correction: Column) -> Column:

@@ -81,11 +81,17 @@ def hash_tokens(column: Column) -> Column:
 
 
 def bm25_tokens(column: Column) -> Column:
-    """Latin words, then CJK characters, then bigrams of the characters in turn."""
+    """Latin words, then CJK characters, then bigrams of the characters in turn.
+
+    The characters are matched once and handed to the function that pairs them as one value."""
+
+    def with_pairs(single: Column) -> Column:
+        many = F.greatest(F.size(single) - 1, F.lit(0))
+        return F.concat(single, F.zip_with(F.slice(single, 1, many), F.slice(single, 2, many), lambda a, b: F.concat(a, b)))
+
     single = F.regexp_extract_all(column, F.lit(CJK), F.lit(0))
-    last = F.size(single)
-    pairs = F.when(last > 1, F.transform(F.sequence(F.lit(1), F.greatest(last - 1, F.lit(1))), lambda i: F.concat(F.get(single, i - 1), F.get(single, i)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.regexp_extract_all(F.lower(column), F.lit(LATIN_TOKEN), F.lit(0)), single, pairs)
+    cjk = F.when(column.rlike(CJK), F.get(F.transform(F.array(single), with_pairs), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.regexp_extract_all(F.lower(column), F.lit(LATIN_TOKEN), F.lit(0)), cjk)
 
 
 def count_tokens(column: Column) -> Column:
@@ -96,7 +102,7 @@ def count_tokens(column: Column) -> Column:
 @F.pandas_udf(StringType())
 def truncate_to_tokens(text: pd.Series, limit: pd.Series) -> pd.Series:
     """The text up to the end of its limit-th token."""
-    token = re.compile(r"[A-Za-z0-9_./:-]+|[一-鿿]|[^\s]")
+    token = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", BUDGET_TOKEN))
 
     def one(value: str | None, most: float) -> str:
         if value is None or most != most or most <= 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.jobs import broadcast_if_small
@@ -25,13 +25,26 @@ class Index:
     terms: DataFrame
     corpus: DataFrame
 
-    def persist(self) -> Index:
-        return Index(self.postings.persist(), self.terms.persist(), self.corpus.persist())
+    def save(self, folder: str) -> Index:
+        """The index written to a folder (overwritten) and read from there: fitted once, searched many times.
+
+        Postings are dealt and sorted by term, so that a search reads the row groups of its terms."""
+        spark = self.postings.sparkSession
+        self.postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
+        postings = spark.read.parquet(f"{folder}/postings")
+        postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+        self.corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
+        return load(spark, folder)
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    """An index that save() wrote."""
+    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "corpus")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term and qtf, how often the query has it."""
-    return askable(queries).select("query_id", F.explode(bm25_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return askable(queries).select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", terms: DataFrame | None = None) -> Index:
@@ -39,7 +52,8 @@ def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", t
 
     With terms (term) the index holds these alone, and others aren't even shuffled; counts of the
     terms and of the corpus are the same."""
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    # a list of one list, exploded: the tokens are a column of their own, which no later use computes again
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(F.array(bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("tokens"))
     lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"), "tokens")
     words = lengths.select("chunk_id", "dl", F.explode("tokens").alias("term"))
     if terms is not None:
@@ -63,7 +77,7 @@ def search(queries: DataFrame, idx: Index, limit: int, candidates: DataFrame | N
     With fields, columns of candidates, each query's columns filter_* restrict them further. The query's terms, counted as often as it repeats them, are the small side of the join."""
     positive(limit=limit)
     asked = query_terms(queries)
-    known = asked.join(idx.terms, "term").crossJoin(F.broadcast(idx.corpus))
+    known = idx.terms.join(broadcast_if_small(asked), "term").crossJoin(F.broadcast(idx.corpus))
     postings = idx.postings if candidates is None else idx.postings.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
     if fields:
         known = known.join(queries.select("query_id", *[f"filter_{f}" for f in fields]), "query_id")

@@ -23,9 +23,10 @@ def budget_from_characters(characters: int) -> int:
 def expand_parents(results: DataFrame, parents: DataFrame, status: str | None = "published") -> DataFrame:
     """Results whose parent_id is a known parent's chunk_id become that parent.
 
-    The child's rank stays and its id is kept as child_chunk_id. Parents of another status are not
-    let in by their children."""
-    fields = ["chunk_id", "text", "source_file", "page_number", "context_summary"]
+    The child's rank and scores stay and its id is kept as child_chunk_id; all other columns that both
+    have are the parent's. Parents of another status are not let in by their children; None lets in all."""
+    own = ("query_id", "query", "rank", "retrieval_rank", "dense_rank", "sparse_rank", "rerank_rank", "rerank_score", "score", "sources", "backend")
+    fields = [c for c in results.columns if c in parents.columns and c not in own]
     known = parents if status is None else parents.filter(F.col("status") == status)
     known = first_wins(known, ["chunk_id"], ["chunk_id"]).select(*[F.col(f).alias(f"_p_{f}") for f in fields])
     joined = results.join(known, F.nullif(F.col("parent_id").cast("string"), F.lit("")) == F.col("_p_chunk_id").cast("string"), "left")

@@ -14,6 +14,8 @@ from lodestar.operators.filters import positive
 DIGITS = 9
 #: Queries that a pass over the vectors holds; more are asked in further passes.
 QUERIES_PER_PASS = 4096
+#: Vectors that are multiplied at once, and scores that are held at once.
+VECTORS, SCORES = 2048, 1 << 21
 
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
@@ -35,13 +37,48 @@ def _permitted(filters: list[pa.Array], fields: list[pa.Array], shape: tuple[int
     return out
 
 
+class _Best:
+    """The best chunks of each query so far: more scores, ids last; what is beyond the limit goes as rows come in."""
+
+    def __init__(self, queries: int, limit: int):
+        self.queries, self.limit = queries, limit
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, scores: np.ndarray, first: int, names: np.ndarray) -> None:
+        """scores of chunks (rows) for the queries from number `first` on (columns)."""
+        floor = -np.inf
+        if len(scores) > self.limit:
+            floor = np.partition(scores, len(scores) - self.limit, axis=0)[len(scores) - self.limit]
+        row, column = np.nonzero((scores >= floor) & ~np.isneginf(scores))
+        self.found.append((column + first, scores[row, column], names[row]))
+        self.size += len(row)
+        if self.size > max(1 << 16, 4 * self.queries * self.limit):
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, scores and ids of the best."""
+        if not self.found:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        query, score, name = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        _, place = np.unique(name, return_inverse=True)
+        order = np.lexsort((place, -score, query))
+        query, score, name = query[order], score[order], name[order]
+        head = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(head, np.diff(np.append(head, len(query))))
+        keep = rank < self.limit
+        self.found = [(query[keep], score[keep], name[keep])]
+        self.size = int(keep.sum())
+        return self.found[0]
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, limit: int, id_col: str = "chunk_id", vector_col: str = "vector", fields: Sequence[str] = ()) -> DataFrame:
     """query_id, chunk_id, score, rank of each query's nearest chunks.
 
     Filters that all queries share belong before this: they prune the scan. Those of single queries
-    are columns filter_* of queries for the fields, and hold before the ranking. Every batch of vectors is multiplied with the
-    queries at once and keeps its own best, so that few rows are shuffled. queries has query_id and
-    vector; those of one pass are the only thing that tasks hold besides a batch."""
+    are columns filter_* of queries for the fields, and hold before the ranking. Vectors are multiplied
+    with the queries VECTORS by as many queries as SCORES allow, and a task sends its own best only.
+    queries has query_id and vector; those of one pass, and their best, are all that a task holds."""
     positive(limit=limit)
     asked = queries.select("query_id", "vector", *[f"filter_{f}" for f in fields])
     count = asked.count()
@@ -54,20 +91,23 @@ def nearest(queries: DataFrame, chunks: DataFrame, limit: int, id_col: str = "ch
         filters = [c.combine_chunks() for c in block.columns[2:]]
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, filters=filters) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                valid = batch.filter(batch.column(1).is_valid())
-                if not len(valid) or not len(matrix):
-                    continue
-                scores = np.round(_unit(_rows(valid.column(1))) @ matrix.T, DIGITS) + 0.0
-                if filters:
-                    scores[~_permitted(filters, valid.columns[2:], scores.shape)] = -np.inf
-                names = np.array(valid.column(0).to_pylist())
-                by_name = np.argsort(names, kind="stable")
-                order = by_name[np.argsort(-scores[by_name], axis=0, kind="stable")[:limit]]
-                q = np.broadcast_to(np.arange(len(matrix)), order.shape)
-                some = ~np.isneginf(scores[order, q])
-                q, order = q[some], order[some]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), valid.column(0).take(pa.array(order)), pa.array(scores[order, q])], names=["query_id", "chunk_id", "score"])
+            best, kind = _Best(len(matrix), limit), None
+            for whole in batches:
+                kind = whole.schema.field(0).type
+                valid = whole.filter(whole.column(1).is_valid())
+                for a in range(0, len(valid) if len(matrix) else 0, VECTORS):
+                    batch = valid.slice(a, VECTORS)
+                    units = _unit(_rows(batch.column(1)))
+                    names = np.array(batch.column(0).to_pylist(), object)
+                    step = max(1, SCORES // len(batch))
+                    for first in range(0, len(matrix), step):
+                        scores = np.round(units @ matrix[first : first + step].T, DIGITS) + 0.0
+                        if filters:
+                            scores[~_permitted([f.slice(first, step) for f in filters], batch.columns[2:], scores.shape)] = -np.inf
+                        best.add(scores, first, names)
+            query, score, name = best.rows()
+            if len(query):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array(name.tolist(), kind), pa.array(score)], names=["query_id", "chunk_id", "score"])
 
         part = chunks.select(id_col, vector_col, *fields).mapInArrow(search, f"query_id {query_type}, chunk_id {id_type}, score double")
         found = part if found is None else found.unionByName(part)

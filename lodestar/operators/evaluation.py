@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.jobs import broadcast_if_small
+from lodestar.functions.jobs import broadcast_if_small, cut
 from lodestar.functions.text import normalize_evidence
 
 DIGITS = 9
@@ -15,12 +15,25 @@ EDGE = 1e-9
 def evidence_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id) of chunks whose text holds one of a question's pieces of evidence.
 
-    questions: query_id and evidence (a string or an array of them); a small side, so the search is
-    one pass over the chunks."""
+    questions: query_id and evidence (a string or an array of them). A piece's words but the first and
+    last are whole words of a text that holds it: the one that fewest chunks have names the chunks that
+    are looked at. Only pieces of fewer than three words are looked for in every chunk; an empty one is in all."""
     pieces = F.col("evidence") if dict(questions.dtypes)["evidence"].startswith("array") else F.array("evidence")
-    asked = questions.select("query_id", F.explode(pieces).alias("evidence")).select("query_id", normalize_evidence(F.col("evidence")).alias("evidence")).distinct()
+    asked = questions.select("query_id", F.explode(pieces).alias("evidence")).select("query_id", normalize_evidence(F.col("evidence")).alias("evidence")).filter("evidence is not null").distinct()
     texts = chunks.select("chunk_id", normalize_evidence(F.col("text")).alias("body"))
-    return texts.join(broadcast_if_small(asked), F.col("body").contains(F.col("evidence"))).select("query_id", "chunk_id").distinct()
+    words = F.split("evidence", " ")
+    asked = cut(asked.withColumn("words", F.when(F.size(words) > 2, F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))))))
+    wanted = broadcast_if_small(asked.select(F.explode("words").alias("word")).distinct())
+    held = cut(texts.select("chunk_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(wanted, "word", "left_semi"))
+    counts = held.groupBy("word").agg(F.count("*").alias("n"))
+    keyed = asked.select("query_id", "evidence", F.explode("words").alias("word")).join(counts, "word", "left")
+    rarest = keyed.groupBy("query_id", "evidence").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
+    pairs = rarest.join(held, "word").select("query_id", "evidence", "chunk_id")
+    found = texts.join(broadcast_if_small(cut(pairs)), "chunk_id").filter(F.col("body").contains(F.col("evidence"))).select("query_id", "chunk_id")
+    short = asked.filter("words is null").select("query_id", "evidence")
+    if not short.isEmpty():
+        found = found.union(texts.join(broadcast_if_small(short), F.col("body").contains(F.col("evidence"))).select("query_id", "chunk_id"))
+    return found.distinct()
 
 
 def judged(questions: DataFrame, results: DataFrame) -> DataFrame:
@@ -38,13 +51,19 @@ def judged(questions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def thresholds(observed: DataFrame) -> DataFrame:
-    """(threshold, accuracy) of every candidate: beyond either end of the top scores and between neighbours."""
-    scores = observed.select("top_score").filter("top_score is not null").distinct()
-    line = Window.orderBy("top_score")
-    middle = scores.withColumn("next", F.lead("top_score").over(line)).filter("next is not null").select(((F.col("top_score") + F.col("next")) / 2).alias("threshold"))
-    ends = scores.agg((F.min("top_score") - EDGE).alias("lo"), (F.max("top_score") + EDGE).alias("hi")).select(F.explode(F.array("lo", "hi")).alias("threshold")).filter("threshold is not null")
-    right = (F.coalesce(F.col("top_score") >= F.col("threshold"), F.lit(False)) == F.col("answerable")).cast("double")
-    return middle.union(ends).join(observed.select("top_score", "answerable"), how="cross").groupBy("threshold").agg(F.avg(right).alias("accuracy"))
+    """(threshold, accuracy) of every candidate: beyond either end of the top scores and between neighbours.
+
+    Scores are counted once and summed up from the greatest: what is accepted at a threshold is a
+    running sum. The window has a row for each distinct score of the questions."""
+    counts = observed.filter("top_score is not null").groupBy("top_score").agg(F.count(F.when(F.col("answerable"), 1)).alias("known"), F.count(F.when(~F.col("answerable"), 1)).alias("unknown"))
+    every = observed.agg(F.count("*").alias("all"), F.count(F.when(~F.col("answerable"), 1)).alias("refusable"))
+    line = Window.orderBy(F.desc("top_score"))
+    above = lambda c: F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.select("top_score", F.lead("top_score").over(line).alias("next"), F.lag("top_score").over(line).alias("last"), above("known").alias("right"), above("unknown").alias("wrong")).crossJoin(F.broadcast(every))
+    accuracy = lambda right, wrong: (right + F.col("refusable") - wrong) / F.col("all")
+    below = F.struct(F.coalesce((F.col("top_score") + F.col("next")) / 2, F.col("top_score") - EDGE).alias("threshold"), accuracy(F.col("right"), F.col("wrong")).alias("accuracy"))
+    beyond = F.when(F.col("last").isNull(), F.struct((F.col("top_score") + EDGE).alias("threshold"), accuracy(F.lit(0), F.lit(0)).alias("accuracy")))
+    return rows.select(F.explode(F.array(below, beyond)).alias("t")).filter("t is not null").select("t.*")
 
 
 def calibrate(observed: DataFrame) -> DataFrame:

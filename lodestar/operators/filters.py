@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import strip
+
 Value = str | int | float | bool
 # What users may filter by, and what the system always asks for.
 USER_FIELDS = ("document_type", "language", "source_file", "status")
@@ -39,8 +41,8 @@ def query_matches(fields: Sequence[str], prefix: str = "filter_") -> Column:
 
 
 def askable(queries, column: str = "query"):
-    """Queries that aren't blank."""
-    return queries.filter(F.trim(F.col(column)) != "")
+    """Queries that aren't blank: more than white space of any kind."""
+    return queries.filter(strip(F.col(column)) != "")
 
 
 def positive(**limits: float) -> None:

@@ -11,9 +11,12 @@ RANK_CONSTANT = 60
 DIGITS = 12
 
 
-def identity(chunk_id: str = "chunk_id", chunk_hash: str = "chunk_hash", text: str = "text"):
-    """Chunk id, else hash, else the text's hash."""
-    return F.coalesce(F.nullif(F.col(chunk_id), F.lit("")), F.nullif(F.col(chunk_hash), F.lit("")), F.sha2(F.col(text), 256))
+def identified(chunks: DataFrame) -> DataFrame:
+    """chunks with a chunk_id in every row: where it is missing or empty, the chunk_hash, else the text's hash."""
+    if dict(chunks.dtypes)["chunk_id"] != "string":
+        return chunks
+    known = [F.nullif(F.col(c), F.lit("")) for c in ("chunk_id", "chunk_hash") if c in chunks.columns]
+    return chunks.withColumn("chunk_id", F.coalesce(*known, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
 
 
 def first_wins(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

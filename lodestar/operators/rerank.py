@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.jobs import cut
 from lodestar.functions.text import bm25_tokens
 
 LOGGER = logging.getLogger(__name__)
@@ -36,13 +39,30 @@ def lexical(candidates: DataFrame, limit: int, lexical_weight: float = LEXICAL_W
     return ranked.withColumn("score", F.col("rerank_score")).drop("_terms")
 
 
-def with_fallback(candidates: DataFrame, limit: int, reranker: Reranker) -> tuple[DataFrame, bool]:
-    """The reranker's rows, or the first `limit` candidates and True if it fails; its plan is run here to see."""
+def with_fallback(candidates: DataFrame, limit: int, reranker: Reranker, timeout: float | None = None) -> tuple[DataFrame, bool]:
+    """The reranker's rows, or the first `limit` candidates and True if it fails or takes too long.
+
+    The plan is run here, to the checkpoint folder, to see. timeout is in seconds a query that has
+    candidates; beyond all queries' time together the reranker's jobs are cancelled."""
+    tag = f"rerank-{uuid.uuid4().hex}"
+    context = candidates.sparkSession.sparkContext
+
+    def run() -> DataFrame:
+        context.addJobTag(tag)
+        try:
+            return cut(reranker(candidates, limit))
+        finally:
+            context.removeJobTag(tag)
+
+    seconds = None if timeout is None else timeout * max(1, candidates.select("query_id").distinct().count())
+    pool = ThreadPoolExecutor(1)
     try:
-        ranked = reranker(candidates, limit)
-        ranked.persist().count()
-        return ranked, False
-    except Exception:  # a reranker is foreign code; what it raises must not end the search
+        return pool.submit(run).result(seconds), False
+    except Exception as problem:  # a reranker is foreign code; what it raises must not end the search
+        if isinstance(problem, TimeoutError):
+            context.cancelJobsWithTag(tag)
         LOGGER.exception("the reranker failed; going on with the order before it")
         plain = candidates.filter(F.col("rank") <= limit)
         return plain.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rerank_rank", F.lit(None).cast("int")), True
+    finally:
+        pool.shutdown(wait=False)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions import text as tx
+from lodestar.functions.jobs import shared_folder
 from lodestar.operators import bm25, context, dense, embedding, evaluation, fusion, rerank
 from lodestar.operators.chunking import Chunker
 from lodestar.operators.filters import FilterPolicy, matches
-from lodestar.plans import oracles, service
+from lodestar.plans import evaluate, oracles, service
 from lodestar.plans.config import RetrievalConfig
+from lodestar.plans.kept import Kept, kept
 from lodestar.plans.retrieval import Retriever, completed
-from lodestar.sources.store import merged
+from lodestar.sources.store import ChunkStore, merged
+from lodestar.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = RetrievalConfig(thresholds={"hybrid": 0.545})
@@ -25,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: published if labelled as good, else drafts."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     status = F.when(F.col("quality") == 1, F.lit("published")).otherwise(F.lit("draft"))
@@ -33,13 +38,29 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completed(rows.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("source_file"), F.col("lang").alias("language"), status.alias("status"), tx.first_sentence(F.col("text")).alias("context_summary")))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with their vectors."""
+    chunks = _chunks(spark, sf_dir)
+    return chunks.join(embedding.embed(chunks, "chunk_id", "text"), "chunk_id")
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> Kept:
+    """Chunks, vectors and index of the documents, kept for the queries that follow."""
+    return kept(spark, [f"{sf_dir}/{name}.parquet" for name in ("documents", "labels")], lambda: _stored(spark, sf_dir))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingested(spark, sf_dir).chunks
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def retriever(spark: SparkSession, sf_dir: str) -> Retriever:
     """All chunks may be found, drafts too."""
-    return Retriever(corpus(spark, sf_dir), CONFIG, FilterPolicy({}))
+    own = ingested(spark, sf_dir)
+    return Retriever(own.chunks, CONFIG, FilterPolicy({}), index=own.index)
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +170,11 @@ def dense_topk_filtered(spark, sf_dir):
 
 
 def bm25_term_stats(spark, sf_dir):
-    return bm25.index(corpus(spark, sf_dir)).terms
+    return ingested(spark, sf_dir).index.terms
 
 
 def bm25_corpus_stats(spark, sf_dir):
-    return bm25.index(corpus(spark, sf_dir)).corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return ingested(spark, sf_dir).index.corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_topk(spark, sf_dir):
@@ -161,7 +182,8 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_filtered_topk(spark, sf_dir):
-    found = Retriever(corpus(spark, sf_dir), CONFIG).sparse(questions(spark, sf_dir), 10, {"language": "en"})
+    own = ingested(spark, sf_dir)
+    found = Retriever(own.chunks, CONFIG, index=own.index).sparse(questions(spark, sf_dir), 10, {"language": "en"})
     return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -192,7 +214,7 @@ def sparse_rerank(spark, sf_dir):
 
 
 def dense_only(spark, sf_dir):
-    own = Retriever(corpus(spark, sf_dir), CONFIG, FilterPolicy({}), reranker=None)
+    own = replace(retriever(spark, sf_dir), reranker=None)
     return own.retrieve(questions(spark, sf_dir), "dense").results.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -233,8 +255,7 @@ def refusal_decision(spark, sf_dir):
 
 
 def answers(spark, sf_dir):
-    chunks = corpus(spark, sf_dir)
-    own = service.Service(Retriever(chunks, CONFIG, FilterPolicy({})), config=CONFIG)
+    own = service.Service(retriever(spark, sf_dir), config=CONFIG)
     return own.query(questions(spark, sf_dir), "hybrid").select("query_id", "answer", "refused", "refusal_reason", "final_chunks", "context_tokens")
 
 
@@ -269,7 +290,7 @@ def evidence_containment(spark, sf_dir):
 
 def _observed(spark, sf_dir):
     golden, _, chunks = _golden(spark, sf_dir)
-    found = Retriever(chunks, CONFIG, FilterPolicy({})).sparse(questions(spark, sf_dir), 10).join(chunks.select("chunk_id", "source_file"), "chunk_id")
+    found = retriever(spark, sf_dir).sparse(questions(spark, sf_dir), 10).join(chunks.select("chunk_id", "source_file"), "chunk_id")
     return evaluation.judged(golden, found.select("query_id", "rank", F.round("score", 6).alias("score"), "source_file"))
 
 
@@ -284,20 +305,13 @@ def retrieval_metrics(spark, sf_dir):
 
 def context_recall(spark, sf_dir):
     golden, reference, chunks = _golden(spark, sf_dir)
-    found = Retriever(chunks, CONFIG, FilterPolicy({})).sparse(questions(spark, sf_dir), 3)
+    found = retriever(spark, sf_dir).sparse(questions(spark, sf_dir), 3)
     return evaluation.context_recall(golden, reference, found).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 def incremental_ingest_stream(spark, sf_dir):
     """Every content hash of documents, stored once by the stream; the run's folder is in the shared checkpoint folder."""
-    import tempfile
-    import uuid
-
-    from lodestar.sources.store import ChunkStore
-    from lodestar.streaming.ingest import ingest_stream
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")
-    here = f"{shared.rstrip('/')}/ingest-{uuid.uuid4()}"
+    here = f"{shared_folder(spark)}/ingest-{uuid.uuid4()}"
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
     # a pattern, for the table may be a file or a folder
     ingest_stream(spark, f"{sf_dir}/documents.parque[t]", schema, f"{here}/store", f"{here}/progress")
@@ -305,6 +319,30 @@ def incremental_ingest_stream(spark, sf_dir):
     return spark.createDataFrame([], "chunk_hash string, point_id string") if stored is None else stored.select("chunk_hash", "point_id")
 
 
+def mode_metrics(spark, sf_dir):
+    """The three modes' metrics, without their latency."""
+    golden, _, _ = _golden(spark, sf_dir)
+    own = ingested(spark, sf_dir)
+    rows = evaluate.evaluate_modes(own.chunks, golden, replace(CONFIG, final_k=10), own.index, FilterPolicy({})).drop("latency_ms")
+    return rows.select("mode", *[F.round(c, 6).alias(c) for c in rows.columns[1:]])
+
+
+def question_recall(spark, sf_dir):
+    """Recall of the hybrid search's best three, the measure of the evaluation of chunk sizes."""
+    own = ingested(spark, sf_dir)
+    rows = evaluate.question_recall(own.chunks, questions(spark, sf_dir).withColumn("evidence", F.col("query")), 3, own.index, FilterPolicy({}))
+    return rows.select("query_id", F.round("recall", 6).alias("recall"))
+
+
+def cjk_tokens(spark, sf_dir):
+    """Search tokens of texts whose words are written with characters of a number each."""
+    number = F.sequence(F.lit(1), F.least(F.col("n_chars"), F.lit(40)))
+    made = F.array_join(F.transform(number, lambda i: F.decode(F.unhex(F.hex(F.lit(0x4E00) + (F.col("doc_id") * 31 + i * 7) % 50)), "UTF-16BE")), "")
+    text = F.concat(F.substring("text", 1, 20), made, F.lit(" v1.2 "), made)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.bm25_tokens(text)).alias("at", "token"))
+    return rows.select("doc_id", F.col("at").cast("long").alias("at"), "token")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search with reranking of every benchmark text."""
     return hybrid_rerank(spark, sf_dir)
@@ -315,7 +353,7 @@ _ALL: tuple[Query, ...] = (
     dedup_first_wins, existing_semi, pending_anti, upsert_merge, ingestion_stats, hash_embedding_long, vector_dimensions, dense_topk, dense_topk_filtered,
     bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_filtered_topk, hashed_dense_topk, rrf_fusion, hybrid_rerank, dense_rerank, sparse_rerank, dense_only, hybrid_wide,
     retrieval_diagnostics, relevance_threshold, context_selection, per_document_cap, context_strings, refusal_decision, answers, parent_expansion,
-    citation_validation, evidence_containment, threshold_calibration, retrieval_metrics, context_recall, incremental_ingest_stream,
+    citation_validation, evidence_containment, threshold_calibration, retrieval_metrics, context_recall, mode_metrics, question_recall, cjk_tokens, incremental_ingest_stream,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = oracles.SQL

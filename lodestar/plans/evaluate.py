@@ -3,42 +3,56 @@
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import evaluation
+from lodestar.functions.jobs import cut
+from lodestar.operators import bm25, evaluation
 from lodestar.operators.chunking import Chunker
+from lodestar.operators.filters import FilterPolicy
 from lodestar.plans.config import RetrievalConfig
 from lodestar.plans.ingestion import Ingestion
 from lodestar.plans.retrieval import Retriever, dense_pipeline, dense_rerank_pipeline
 from lodestar.sources.store import ChunkStore
 
 
-def evaluate_modes(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | None = None) -> DataFrame:
+def evaluate_modes(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | None = None, index: bm25.Index | None = None, policy: FilterPolicy | None = None) -> DataFrame:
     """One row of metrics for dense, dense with rerank and hybrid with rerank; latency is the batch's time over its questions.
 
     A question's filters (column filters) hold before dense and sparse ranking; a branch or reranker that fails is left out."""
     config = config or RetrievalConfig(final_k=10)
-    runs = {"dense": (dense_pipeline(chunks, config), "dense"), "dense+rerank": (dense_rerank_pipeline(chunks, config), "dense"), "hybrid+rerank": (Retriever(chunks, config), "hybrid")}
-    out = None
+    common = {"index": index} | ({} if policy is None else {"policy": policy})
+    runs = {
+        "dense": (replace(dense_pipeline(chunks, config), **common), "dense"),
+        "dense+rerank": (replace(dense_rerank_pipeline(chunks, config), **common), "dense"),
+        "hybrid+rerank": (Retriever(chunks, config, **common), "hybrid"),
+    }
+    asked, out = max(1, questions.count()), None
     for label, (retriever, mode) in runs.items():
         begun = time.monotonic()
-        results = retriever.retrieve(questions, mode, guarded=True).results.persist()
-        results.count()
-        spent = (time.monotonic() - begun) * 1000 / max(1, questions.count())
+        results = cut(retriever.retrieve(questions, mode, guarded=True).results)
+        spent = (time.monotonic() - begun) * 1000 / asked
         seen = results.select("query_id", "rank", F.coalesce("rerank_score", "score").alias("score"), "source_file")
         row = evaluation.metrics(evaluation.judged(questions, seen)).select(F.lit(label).alias("mode"), F.lit(spent).alias("latency_ms"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def question_recall(chunks: DataFrame, questions: DataFrame, top_k: int = 3, index: bm25.Index | None = None, policy: FilterPolicy | None = None) -> DataFrame:
+    """query_id and recall of every question (query_id, query, evidence): hybrid search's best top_k against the chunks that hold its evidence."""
+    reference = evaluation.evidence_chunks(questions, chunks)
+    own = Retriever(chunks, index=index) if policy is None else Retriever(chunks, index=index, policy=policy)
+    retrieved = own.hybrid_wide(questions, top_k).filter(F.col("rank") <= top_k)
+    return evaluation.context_recall(questions, reference, retrieved)
+
+
 def evaluate_chunk_size(spark: SparkSession, source: str, questions: DataFrame, store_path: str, size: int, top_k: int = 3) -> DataFrame:
-    """chunk_size, chunk_count, top_k and context_recall of a folder cut to chunks of one size."""
+    """chunk_size, chunk_count, top_k, context_recall and per_question (in order of query_id) of a folder cut to chunks of one size."""
     store = ChunkStore(spark, store_path)
     Ingestion(store, Chunker(size, max(32, size // 8))).run(source)
     chunks = store.read()
-    reference = evaluation.evidence_chunks(questions, chunks)
-    retrieved = Retriever(chunks).hybrid_wide(questions, top_k).filter(F.col("rank") <= top_k)
-    recall = evaluation.context_recall(questions, reference, retrieved)
-    return recall.agg(F.lit(size).alias("chunk_size"), F.lit(chunks.count()).alias("chunk_count"), F.lit(top_k).alias("top_k"), F.avg("recall").alias("context_recall"))
+    recall = question_recall(chunks, questions, top_k)
+    each = F.transform(F.array_sort(F.collect_list(F.struct("query_id", "recall"))), lambda r: r["recall"])
+    return recall.agg(F.lit(size).alias("chunk_size"), F.lit(chunks.count()).alias("chunk_count"), F.lit(top_k).alias("top_k"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("context_recall"), each.alias("per_question"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
@@ -17,7 +18,9 @@ from lodestar.operators.chunking import Chunker
 from lodestar.sources import files
 from lodestar.sources.store import ChunkStore, first_chunks
 
-EMBED_BATCH = 32
+EMBED_BATCH, CONCURRENCY = 32, 4
+#: Files without content that are named one by one; the number of others is told.
+NAMED = 100
 #: From texts to vectors, for one batch; an exception loses that batch alone.
 Embed = Callable[[list[str]], list[list[float]]]
 #: From a text to its summary; an exception gives the extractive one.
@@ -45,15 +48,16 @@ def summarized(chunks: DataFrame, summarize: Summarize | None = None) -> DataFra
     if summarize is None:
         return chunks.withColumns({"context_summary": own, "summary_fallback": F.lit(False)})
 
+    def attempt(text: str) -> str | None:
+        try:
+            return summarize(text)
+        except Exception:  # a provider may fail in any way
+            return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[str | None] = []
-            for text in batch.column("text").to_pylist():
-                try:
-                    out.append(summarize(text))
-                except Exception:  # a provider may fail in any way
-                    out.append(None)
-            yield batch.append_column("_summary", pa.array(out, pa.string()))
+            with ThreadPoolExecutor(CONCURRENCY) as pool:
+                yield batch.append_column("_summary", pa.array(list(pool.map(attempt, batch.column("text").to_pylist())), pa.string()))
 
     asked = chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("_summary", T.StringType())]))
     missing = F.col("_summary").isNull()
@@ -96,7 +100,9 @@ class Ingestion:
         seen, good = per_file.agg(F.count("*"), F.count("chunks")).first()
         stats.files_seen, stats.files_succeeded, stats.files_failed = seen, good, seen - good
         stats.pages_parsed, stats.chunks_created = pages.count(), chunks.count()
-        stats.warnings += [f"no usable content: {r['path']}" for r in per_file.filter("chunks is null").select("path").orderBy("path").limit(100).collect()]
+        stats.warnings += [f"no usable content: {r['path']}" for r in per_file.filter("chunks is null").select("path").orderBy("path").limit(NAMED).collect()]
+        if stats.files_failed > NAMED:
+            stats.warnings.append(f"no usable content: {stats.files_failed - NAMED} more files")
         return self.add(chunks, stats)
 
     def add(self, chunks: DataFrame, stats: Stats | None = None) -> Stats:
@@ -113,6 +119,9 @@ class Ingestion:
         if not new:
             return stats
         rows = cut(embedded(summarized(pending, self.summarize), self.embed))
+        fallbacks = rows.filter("summary_fallback").count()
+        if fallbacks:
+            stats.warnings.append(f"{fallbacks} chunks have extractive summaries instead")
         whole = rows.filter("vector is not null")
         sizes = [r[0] for r in whole.select(F.size("vector")).distinct().limit(2).collect()]
         lost = new - whole.count()

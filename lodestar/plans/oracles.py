@@ -69,7 +69,7 @@ def _reranked(name: str, limit: int) -> tuple[tuple[str, ...], str]:
     share = f"len(list_intersect(list_distinct({TOKENS.format('q.query')}), {TOKENS.format(body)}))::DOUBLE / len(list_distinct({TOKENS.format('q.query')}))"
     return (
         (name, "q", "chunks"),
-        f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, before) AS rank FROM (SELECT r.query_id, r.chunk_id, r.rank AS before, c.source_file, c.text, c.context_summary, round(0.7::DOUBLE * ({share}) + (1 - 0.7::DOUBLE) * greatest(0, r.score / CASE WHEN max(abs(r.score)) OVER (PARTITION BY r.query_id) > 0 THEN max(abs(r.score)) OVER (PARTITION BY r.query_id) ELSE 1 END), 9) AS rerank_score FROM {name} r JOIN q USING (query_id) JOIN chunks c USING (chunk_id)) QUALIFY rank <= {limit}",
+        f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, before) AS rank FROM (SELECT r.query_id, r.chunk_id, r.rank AS before, c.source_file, c.text, c.context_summary, round(0.7::DOUBLE * ({share}) + (1 - 0.7::DOUBLE) * greatest(0, r.score / CASE WHEN max(abs(r.score)) OVER (PARTITION BY r.query_id) > 0 THEN max(abs(r.score)) OVER (PARTITION BY r.query_id) ELSE 1 END), 9) AS rerank_score FROM (SELECT * FROM {name} WHERE rank <= 20) r JOIN q USING (query_id) JOIN chunks c USING (chunk_id)) QUALIFY rank <= {limit}",
     )
 
 
@@ -110,6 +110,45 @@ _PARTS["calibrated"] = (
 )
 
 
+_PARTS["answer_blocks"] = _blocks("good", 8000, 2)
+_UNIT = r"(?:\s*(?:[A-Za-z0-9_./:-]+|[\x{4e00}-\x{9fff}]|[^\s]))"
+_PAYLOAD = "CASE WHEN trim(context_summary) <> '' THEN 'Context summary: ' || trim(context_summary) || chr(10) || text ELSE text END"
+_PARTS["strings"] = (
+    ("blocks",),
+    f"SELECT query_id, n, head + least(whole, room) AS tokens, header || chr(10) || CASE WHEN whole > room THEN regexp_extract({_PAYLOAD}, '^{_UNIT}{{' || least(room, 1000) || '}}{_UNIT}{{' || greatest(room - 1000, 0) || '}}') ELSE {_PAYLOAD} END AS block FROM blocks",
+)
+_PARTS["shown"] = (("hybrid", "q"), "SELECT query_id, count(*) AS final_chunks FROM hybrid GROUP BY 1")
+_METRICS = """SELECT '{mode}' AS mode, round(threshold, 6) AS threshold, round(sum(CASE WHEN answerable AND first <= 5 THEN 1.0::DOUBLE ELSE 0 END) / greatest(count(CASE WHEN answerable THEN 1 END), 1), 6) AS recall_at_5,
+  round(sum(CASE WHEN answerable AND first <= 10 THEN 1.0::DOUBLE ELSE 0 END) / greatest(count(CASE WHEN answerable THEN 1 END), 1), 6) AS recall_at_10,
+  round(sum(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first, 0) ELSE 0 END) / greatest(count(CASE WHEN answerable THEN 1 END), 1), 6) AS mrr,
+  round(sum(CASE WHEN answerable AND shown5 > 0 THEN matched5::DOUBLE / shown5 ELSE 0 END) / greatest(count(CASE WHEN answerable THEN 1 END), 1), 6) AS context_precision,
+  round(sum(CASE WHEN NOT answerable AND NOT coalesce(top_score >= threshold, false) THEN 1.0::DOUBLE ELSE 0 END) / greatest(count(CASE WHEN NOT answerable THEN 1 END), 1), 6) AS refusal_accuracy,
+  round(sum(CASE WHEN answerable AND coalesce(top_score >= threshold, false) THEN 1.0::DOUBLE ELSE 0 END) / greatest(count(CASE WHEN answerable THEN 1 END), 1), 6) AS acceptance_accuracy
+  FROM {observed}, {calibrated} GROUP BY threshold"""
+_PARTS["dense_re10"], _PARTS["hybrid10"] = _reranked("dense", 10), _reranked("fused", 10)
+
+
+def _mode(name: str, source: str, score: str) -> None:
+    """Pieces observed_<name> and calibrated_<name>: a mode's judged questions and its threshold."""
+    expected = "(q.query_id, c.source_file) IN (SELECT (query_id, source_file) FROM evidence)"
+    _PARTS[f"observed_{name}"] = (
+        ("q", source, "evidence", "chunks"),
+        f"""SELECT q.query_id, q.query_id IN (SELECT query_id FROM evidence) AS answerable, max(CASE WHEN s.rank = 1 THEN s.{score} END) AS top_score, min(CASE WHEN {expected} THEN s.rank END) AS first,
+  count(CASE WHEN s.rank <= 5 AND {expected} THEN 1 END) AS matched5, count(CASE WHEN s.rank <= 5 THEN 1 END) AS shown5
+  FROM q LEFT JOIN {source} s ON s.query_id = q.query_id AND s.rank <= 10 LEFT JOIN chunks c ON c.chunk_id = s.chunk_id GROUP BY q.query_id""",
+    )
+    for piece in ("candidates", "calibrated"):
+        _PARTS[f"{piece}_{name}"] = (
+            (f"observed_{name}", *((f"candidates_{name}",) if piece == "calibrated" else ())),
+            _PARTS[piece][1].replace("observed", f"observed_{name}").replace("FROM candidates", f"FROM candidates_{name}"),
+        )
+
+
+_MODES = {"dense": ("dense", "score"), "dense+rerank": ("dense_re10", "rerank_score"), "hybrid+rerank": ("hybrid10", "rerank_score")}
+for _name, (_source, _score) in _MODES.items():
+    _mode(_name.replace("+", "_"), _source, _score)
+
+
 def _with(names: tuple[str, ...], select: str) -> str:
     """select after the pieces it needs, each once and after its own needs."""
     order: list[str] = []
@@ -209,6 +248,35 @@ SQL: dict[str, str] = {
   round(sum(CASE WHEN answerable AND coalesce(top_score >= threshold, false) THEN 1.0::DOUBLE ELSE 0 END) / greatest(count(CASE WHEN answerable THEN 1 END), 1), 6) AS acceptance_accuracy
   FROM observed, calibrated GROUP BY threshold""",
     ),
+    "truncated_texts": f"SELECT doc_id, CASE WHEN {BUDGET.format('text')} > 50 THEN regexp_extract(text, '^{_UNIT}{{50}}') ELSE text END AS head FROM documents",
+    "context_strings": _with(
+        ("strings",),
+        "SELECT query_id, '<retrieved_context>' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY n) || chr(10) || '</retrieved_context>' AS context, (sum(tokens) + 6)::BIGINT AS token_count, count(*) AS chunks FROM strings GROUP BY 1",
+    ),
+    "retrieval_diagnostics": _with(
+        ("q", "dense", "sparse", "fused", "shown"),
+        "SELECT query_id, (SELECT count(*) FROM dense d WHERE d.query_id = q.query_id) AS dense_candidates, (SELECT count(*) FROM sparse d WHERE d.query_id = q.query_id) AS sparse_candidates, (SELECT count(*) FROM fused d WHERE d.query_id = q.query_id) AS fused, (SELECT count(*) FROM fused d WHERE d.query_id = q.query_id AND d.rank <= 20) AS reranked_candidates, coalesce((SELECT final_chunks FROM shown d WHERE d.query_id = q.query_id), 0)::BIGINT AS final_chunks, 'hybrid' AS mode, false AS reranker_fallback FROM q",
+    ),
+    "answers": _with(
+        ("q", "hybrid", "good", "answer_blocks"),
+        """SELECT query_id, CASE WHEN reason IS NULL THEN line || ' [S1]' ELSE '知识库无法回答该问题。' END AS answer, reason IS NOT NULL AS refused, reason AS refusal_reason, coalesce(chunks, results, 0)::BIGINT AS final_chunks, coalesce(tokens, 0)::BIGINT AS context_tokens
+  FROM (SELECT q.query_id, r.results, b.chunks, b.tokens, b.line, CASE WHEN r.results IS NULL THEN 'no_retrieval_results' WHEN g.n IS NULL THEN 'below_relevance_threshold' WHEN b.chunks IS NULL THEN 'empty_context' END AS reason
+    FROM q LEFT JOIN (SELECT query_id, count(*) AS results FROM hybrid GROUP BY 1) r USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM good GROUP BY 1) g USING (query_id)
+    LEFT JOIN (SELECT query_id, count(*) AS chunks, sum(head + least(whole, room)) + 6 AS tokens, max(CASE WHEN n = 1 THEN split_part('Context summary: ' || trim(context_summary), chr(10), 1) END) AS line FROM answer_blocks GROUP BY 1) b USING (query_id))""",
+    ),
+    "mode_metrics": _with(
+        tuple(f"{piece}_{m.replace('+', '_')}" for m in _MODES for piece in ("observed", "calibrated")),
+        " UNION ALL ".join(_METRICS.format(mode=m, observed=f"observed_{m.replace('+', '_')}", calibrated=f"calibrated_{m.replace('+', '_')}") for m in _MODES),
+    ),
+    "question_recall": _with(
+        ("q", "evidence", "wide_re"),
+        "SELECT q.query_id, round(coalesce(count(s.chunk_id)::DOUBLE / nullif(count(e.chunk_id), 0), 0), 6) AS recall FROM q LEFT JOIN evidence e ON e.query_id = q.query_id LEFT JOIN wide_re s ON s.query_id = e.query_id AND s.chunk_id = e.chunk_id GROUP BY q.query_id",
+    ),
+    "cjk_tokens": f"""WITH made AS (SELECT doc_id, substr(text, 1, 20) AS head, array_to_string(list_transform(range(1, least(n_chars, 40) + 1), lambda i: chr((19968 + (doc_id * 31 + i * 7) % 50)::INT)), '') AS own FROM documents),
+t AS (SELECT doc_id, head || own || ' v1.2 ' || own AS text FROM made), s AS (SELECT doc_id, {TOKENS.format('text')} AS latin, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]') AS single FROM t),
+ts AS (SELECT doc_id, list_concat(latin, single, list_transform(range(1, greatest(len(single), 1)), lambda i: single[i] || single[i + 1])) AS ts FROM s)
+SELECT doc_id, unnest(range(0, len(ts)))::BIGINT AS at, unnest(ts) AS token FROM ts""",
+    "incremental_ingest_stream": f"SELECT DISTINCT chunk_hash, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT *, sha1('\\x6b\\xa7\\xb8\\x11\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::BLOB || chunk_hash::BLOB) AS h FROM (SELECT {_HASH} AS chunk_hash FROM documents WHERE text IS NOT NULL))",
     "context_recall": _with(
         ("q", "evidence", "sparse"),
         "SELECT q.query_id, round(coalesce(count(s.chunk_id)::DOUBLE / nullif(count(e.chunk_id), 0), 0), 6) AS recall FROM q LEFT JOIN evidence e ON e.query_id = q.query_id LEFT JOIN sparse s ON s.query_id = e.query_id AND s.chunk_id = e.chunk_id AND s.rank <= 3 GROUP BY q.query_id",

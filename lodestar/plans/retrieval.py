@@ -47,7 +47,7 @@ class Retriever:
     index: bm25.Index | None = None
 
     def __post_init__(self) -> None:
-        self.chunks = completed(self.chunks)
+        self.chunks = fusion.identified(completed(self.chunks))
 
     def _allowed(self, filters: Mapping[str, Value] | None) -> DataFrame:
         return self.chunks.filter(matches(self.policy.apply(filters)))
@@ -97,10 +97,10 @@ class Retriever:
             return None, True
 
     def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False) -> Outcome:
-        """Candidates, fusion for hybrid, rerank to rerank_k, first final_k.
+        """Candidates, fusion for hybrid, rerank of the first rerank_k, first final_k.
 
         The candidates, few rows that cost the most, are checkpointed. guarded goes on without a branch
-        or reranker that fails; otherwise the failure is raised."""
+        or reranker that fails (or takes longer than reranker_timeout a query); otherwise the failure is raised."""
         mode = mode or self.config.mode
         if mode not in MODES:
             raise ValueError(f"unsupported mode: {mode}")
@@ -117,21 +117,23 @@ class Retriever:
             ranked = rows.withColumns({f"{mode}_rank": F.col("rank"), f"{other}_rank": F.lit(None).cast("int"), "sources": F.lit(mode), "backend": F.lit(mode)})
         else:
             ranked = queries.limit(0).select("query_id").withColumns({"chunk_id": F.lit(None).cast("string"), "score": F.lit(0.0), "rank": F.lit(1), "dense_rank": F.lit(1), "sparse_rank": F.lit(1), "sources": F.lit(""), "backend": F.lit(mode)})
-        candidates = self._described(queries, ranked)
+        candidates = self._described(queries, ranked if self.reranker is None else ranked.filter(F.col("rank") <= config.rerank_k))
         failed = False
         if self.reranker is None:
             final = candidates.withColumns({"rerank_score": F.lit(None).cast("double"), "rerank_rank": F.lit(None).cast("int")})
         else:
-            final, failed = rerank.with_fallback(candidates, config.rerank_k, self.reranker) if guarded else (self.reranker(candidates, config.rerank_k), False)
+            final, failed = rerank.with_fallback(candidates, config.rerank_k, self.reranker, config.reranker_timeout) if guarded else (self.reranker(candidates, config.rerank_k), False)
             final = final.withColumn("backend", F.when(F.lit(not failed), F.concat("backend", F.lit("+rerank"))).otherwise(F.col("backend")))
         final = final.withColumn("retrieval_rank", F.col("rank")).withColumn("rank", F.coalesce("rerank_rank", "rank"))
         results = final.filter(F.col("rank") <= config.final_k)
         counts = queries.select("query_id")
         for name in ("dense", "sparse"):
             rows = found.get(name)
-            own = counts.limit(0).withColumn(f"{name}_candidates", F.lit(0).cast("long")) if rows is None else rows.groupBy("query_id").agg(F.count("*").alias(f"{name}_candidates"))
+            own = queries.limit(0).select("query_id", F.lit(0).cast("long").alias(f"{name}_candidates")) if rows is None else rows.groupBy("query_id").agg(F.count("*").alias(f"{name}_candidates"))
             counts = counts.join(own, "query_id", "left")
-        counts = counts.join(ranked.groupBy("query_id").agg(F.count("*").alias("fused")), "query_id", "left").join(results.groupBy("query_id").agg(F.count("*").alias("final_chunks"), F.count("rerank_rank").alias("reranked")), "query_id", "left").na.fill(0)
+        counts = counts.join(ranked.groupBy("query_id").agg(F.count("*").alias("fused")), "query_id", "left")
+        shown = final.groupBy("query_id").agg(F.count("rerank_rank").alias("reranked_candidates"), F.count(F.when(F.col("rank") <= config.final_k, 1)).alias("final_chunks"))
+        counts = counts.join(shown, "query_id", "left").na.fill(0)
         return Outcome(results, counts.withColumns({"mode": F.lit(mode), "reranker_fallback": F.lit(failed)}))
 
     def hybrid_wide(self, queries: DataFrame, limit: int, filters: Mapping[str, Value] | None = None) -> DataFrame:

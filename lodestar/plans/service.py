@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.jobs import cut
 from lodestar.functions.prompts import correction
-from lodestar.operators import context
+from lodestar.operators import bm25, context
 from lodestar.operators.filters import Value
 from lodestar.plans.config import RetrievalConfig, from_environment
 from lodestar.plans.retrieval import Retriever, completed
@@ -52,7 +55,7 @@ class Service:
         return rows.withColumns(check)
 
     def query(self, queries: DataFrame, mode: str = "dense", filters: Mapping[str, Value] | None = None) -> DataFrame:
-        """query_id, answer, citations, refused, refusal_reason, final_chunks, context_tokens of every query.
+        """query_id, answer, citations, refused, refusal_reason, final_chunks, context_tokens and retrieval (the diagnostics) of every query.
 
         Queries whose answer cites nothing or unknown sources are asked once more, with a correction. A branch or reranker that fails is left out."""
         outcome = self.retriever.retrieve(queries, mode, filters, guarded=True)
@@ -63,9 +66,11 @@ class Service:
         asked = cut(built.join(queries.select("query_id", "query"), "query_id").withColumn("correction", F.lit("")))
         first = cut(self._answers(asked))
         again = first.filter("not valid").drop("answer", "referenced", "invalid", "valid").withColumn("correction", correction(F.map_keys("source_map")))
-        answers = first.filter("valid").unionByName(self._answers(again))
+        answers = first.filter("valid").unionByName(cut(self._answers(again)))
         counts = queries.select("query_id").join(results.groupBy("query_id").agg(F.count("*").alias("results")), "query_id", "left")
         counts = counts.join(good.groupBy("query_id").agg(F.count("*").alias("relevant")), "query_id", "left")
+        described = outcome.diagnostics.select("query_id", F.struct(*[c for c in outcome.diagnostics.columns if c != "query_id"]).alias("retrieval"))
+        counts = counts.join(described, "query_id", "left")
         found = refusal_reason(counts.join(answers.withColumnRenamed("chunks", "blocks"), "query_id", "left"))
         refused = F.col("reason").isNotNull()
         cited = F.transform("referenced", lambda s: F.struct(s.alias("source_id"), F.try_element_at(F.col("source_map"), s).alias("source")))
@@ -77,15 +82,17 @@ class Service:
             F.col("reason").alias("refusal_reason"),
             F.coalesce("blocks", "results", F.lit(0)).alias("final_chunks"),
             F.coalesce("token_count", F.lit(0)).alias("context_tokens"),
+            "retrieval",
         )
 
 
-def build_service(chunks: DataFrame, generator: Generator = extractive, env: Mapping[str, str] | None = None) -> Service:
-    """A service over a chunks table by environment settings."""
+def build_service(chunks: DataFrame, generator: Generator = extractive, env: Mapping[str, str] | None = None, index: bm25.Index | None = None) -> Service:
+    """A service over a chunks table, and the index fitted on it, by environment settings."""
     config = from_environment(env)
-    return Service(Retriever(chunks, config), generator, completed(chunks), config)
+    return Service(Retriever(chunks, config, index=index), generator, completed(chunks), config)
 
 
+LOGGER = logging.getLogger(__name__)
 MAX_QUERY = 2000
 
 
@@ -95,3 +102,37 @@ def answer_one(service: Service, spark, query: str, mode: str = "hybrid", filter
         raise ValueError(f"a query has 1 to {MAX_QUERY} characters")
     rows = service.query(spark.createDataFrame([(0, query)], "query_id long, query string"), mode, filters)
     return rows.first().asDict(recursive=True)
+
+
+def respond(service: Service, spark, body: bytes) -> tuple[int, dict]:
+    """HTTP status and answer for a request {query, mode, filters}: 400 for what the caller got wrong, 503 for failures."""
+    try:
+        asked = json.loads(body)
+        if not isinstance(asked, dict) or not isinstance(asked.get("query"), str) or not isinstance(asked.get("filters") or {}, dict):
+            raise ValueError("a request is an object with a query, and filters that are an object")
+        return 200, answer_one(service, spark, asked["query"], asked.get("mode", "hybrid"), asked.get("filters"))
+    except ValueError as problem:
+        return 400, {"detail": str(problem)}
+    except Exception:
+        LOGGER.exception("a query failed")
+        return 503, {"detail": "retrieval is unavailable"}
+
+
+def serve(service: Service, spark, port: int = 8000, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    """A server for POST /v1/rag/query; call its serve_forever()."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self) -> None:
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            status, answer = respond(service, spark, body) if self.path == "/v1/rag/query" else (404, {"detail": "not found"})
+            raw = json.dumps(answer, ensure_ascii=False, default=str).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_) -> None:
+            LOGGER.debug("request %s", self.path)
+
+    return ThreadingHTTPServer((host, port), Handler)

@@ -75,6 +75,39 @@ def test_embedding_and_nearest(spark):
         dense.nearest(asked, vectors, 0)
 
 
+def test_nearest_in_small_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"c{i:03}", [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(300)] + [("none", None), ("zero", [0.0] * 4)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(q, [rng.random() for _ in range(4)]) for q in range(9)], "query_id long, vector array<double>")
+    size = lambda v: math.sqrt(sum(x * x for x in v))
+    want = []
+    for q, v in ((r["query_id"], r["vector"]) for r in asked.collect()):
+        scored = sorted((-round(sum(a * b for a, b in zip(v, w, strict=True)) / size(v) / size(w), 9) + 0.0 if any(w) else 0.0, c) for c, w in rows if w is not None)
+        want += [(q, c, k + 1) for k, (_, c) in enumerate(scored[:7])]
+    assert rows_of(dense.nearest(asked, vectors, 7)) == want
+    best = dense._Best(3, 2)
+    import numpy as np
+
+    for a in range(0, 40, 4):
+        best.add(np.full((4, 3), 0.5) + (a == 20), 0, np.array([f"n{a + k:02}" for k in range(4)], object))
+        if a % 8 == 0:
+            best.rows()
+    assert best.rows()[2].tolist() == ["n20", "n21"] * 3
+
+
+def rows_of(found):
+    return [(r["query_id"], r["chunk_id"], r["rank"]) for r in found.orderBy("query_id", "rank").collect()]
+
+
+def test_chunks_without_an_id(spark):
+    frame = spark.createDataFrame([("a", "h", "t"), ("", "h", "t"), (None, None, "t")], "chunk_id string, chunk_hash string, text string")
+    got = [r["chunk_id"] for r in fusion.identified(frame).collect()]
+    assert got[:2] == ["a", "h"] and len(got[2]) == 64
+
+
 def test_fusion(spark):
     schema = "query_id long, chunk_id string, rank int"
     fused = fusion.fuse({"dense": spark.createDataFrame([(1, "s", 1), (1, "d", 2)], schema), "sparse": spark.createDataFrame([(1, "p", 1), (1, "s", 2)], schema)}, 10)
@@ -123,6 +156,8 @@ def test_parents(spark):
     assert (got["chunk_id"], got["text"], got["child_chunk_id"], got["rank"]) == ("p", "parent", "c0", 1)
     kept = context.expand_parents(child.withColumn("parent_id", F.lit("q")), parents).first()
     assert kept["chunk_id"] == "c0" and kept["child_chunk_id"] is None
+    other = context.expand_parents(child.withColumn("parent_id", F.lit("q")).withColumn("status", F.lit("published")), parents, None).first()
+    assert (other["chunk_id"], other["status"], other["page_number"]) == ("q", "draft", 1)
 
 
 def test_citations(spark):
@@ -146,6 +181,16 @@ def test_calibration(spark, observed):
     assert abs(evaluation.calibrate(frame).first()[0] - brute_threshold(observed)) < 1e-12
 
 
+def test_evidence_by_rare_words_and_short_pieces(spark):
+    texts = {"a": "one two three four", "b": "xone two threex two four", "c": "two  THREE", "d": "", "e": "nothing two"}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    pieces = {1: "one two three", 2: "two", 3: "e two t", 4: "absent words here", 5: "two three", 6: "two three two"}
+    asked = spark.createDataFrame([(q, [e]) for q, e in pieces.items()] + [(7, None)], "query_id long, evidence array<string>")
+    normal = lambda t: " ".join(t.lower().split())
+    want = sorted((q, c) for q, e in pieces.items() for c, t in texts.items() if normal(e) in normal(t))
+    assert rows(evaluation.evidence_chunks(asked, chunks), "query_id", "chunk_id") == want
+
+
 def test_recall(spark):
     questions = spark.createDataFrame([(1, ["Alpha  beta"]), (2, ["none"])], "query_id long, evidence array<string>")
     chunks = spark.createDataFrame([("a", "x alpha beta y"), ("b", "ALPHA BETA"), ("c", "z")], "chunk_id string, text string")

@@ -1,14 +1,22 @@
+import json
+import threading
+import time
+import urllib.request
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import rerank
+from lodestar.operators import bm25, rerank
 from lodestar.operators.chunking import Chunker
 from lodestar.operators.filters import FilterPolicy
 from lodestar.plans import evaluate, service
 from lodestar.plans.config import RetrievalConfig, from_environment
 from lodestar.plans.ingestion import Ingestion
 from lodestar.plans.retrieval import Retriever
-from lodestar.sources import files
+from lodestar.plans import kept as keeping
+from lodestar.sources import files, golden
+from lodestar.sources.providers import ModelServer
 from lodestar.sources.store import ChunkStore, merged
 
 SCHEMA = "chunk_id string, chunk_hash string, text string, source_file string, page_number int, language string, status string"
@@ -104,7 +112,7 @@ def test_ingestion_is_idempotent(spark, tmp_path):
     first = Ingestion(store, Chunker(64, 8), summarize).run(str(folder))
     assert (first.files_seen, first.files_succeeded, first.files_failed) == (4, 2, 2)
     assert (first.chunks_created, first.chunks_skipped, first.chunks_upserted) == (2, 1, 1)
-    assert len(first.warnings) == 2 and not calls
+    assert len(first.warnings) == 3 and first.warnings[-1].startswith("1 chunks have extractive") and not calls
     stored = store.read().first()
     assert stored["source_file"] == "a.md" and stored["summary_fallback"] and store.vector_size() == 384
     again = Ingestion(store, Chunker(64, 8)).run(str(folder))
@@ -162,3 +170,192 @@ def test_service_goes_on_without_a_failing_branch_and_reranker(chunks, queries):
 
     own = service.Service(Retriever(chunks, embed=broken, reranker=broken), config=RetrievalConfig(threshold=0.0))
     assert not own.query(queries.filter("query_id = 1"), "hybrid").first()["refused"]
+
+
+def test_the_reranker_sees_rerank_k_candidates(spark):
+    rows = [(f"c{i:02}", "needle " + "hay " * i, "published") for i in range(40)]
+    rows[35] = ("c35", "needle thread " + "hay " * 200, "published")  # the words of the question, but far down
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, status string")
+    asked = spark.createDataFrame([(1, "needle")], "query_id long, query string")
+    seen = []
+
+    def spy(candidates, limit):
+        seen.append((limit, candidates.count(), candidates.agg(F.max("rank")).first()[0]))
+        return rerank.lexical(candidates, limit)
+
+    outcome = Retriever(chunks, RetrievalConfig(candidate_k=30, rerank_k=20, final_k=5), reranker=spy).retrieve(asked, "sparse")
+    assert outcome.results.count() == 5 and seen == [(20, 20, 20)]
+    row = outcome.diagnostics.first()
+    assert (row["sparse_candidates"], row["reranked_candidates"], row["final_chunks"]) == (30, 20, 5)
+
+
+def test_the_21st_candidate_stays_out(spark):
+    rows = [(f"c{i:02}", "needle " * 3 + "hay " * i, "published") for i in range(20)] + [("last", "needle rope " + "hay " * 400, "published")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, status string")
+    asked = spark.createDataFrame([(1, "needle needle needle needle rope")], "query_id long, query string").withColumn("query", F.lit("needle"))
+    wins = lambda candidates, limit: candidates.withColumns({"rerank_score": F.length("text").cast("double"), "rerank_rank": F.expr("row_number() over (partition by query_id order by length(text) desc)")})
+    for k, best in ((20, "c19"), (21, "last")):
+        found = Retriever(chunks, RetrievalConfig(candidate_k=30, rerank_k=k, final_k=5), reranker=wins).retrieve(asked, "sparse").results
+        assert found.orderBy("rank").first()["chunk_id"] == best
+
+
+def test_a_slow_reranker_is_given_up(chunks, queries):
+    def slow(candidates, limit):
+        time.sleep(30)
+        return candidates
+
+    begun = time.monotonic()
+    outcome = Retriever(chunks, RetrievalConfig(reranker_timeout=0.2), reranker=slow).retrieve(queries.filter("query_id = 1"), "sparse", guarded=True)
+    assert outcome.diagnostics.first()["reranker_fallback"] and outcome.results.count() > 0 and time.monotonic() - begun < 25
+
+
+def test_blank_questions_of_any_white_space(spark, chunks):
+    asked = spark.createDataFrame([(1, "\t\n"), (2, "\u3000\u00a0"), (3, None), (4, "IAM")], "query_id long, query string")
+    for mode in ("dense", "sparse"):
+        assert {r["query_id"] for r in Retriever(chunks).retrieve(asked, mode).results.collect()} == {4}
+
+
+def test_a_kept_index_is_fitted_once(spark, chunks, queries, tmp_path):
+    index = bm25.index(chunks).save(str(tmp_path / "index"))
+    loaded = bm25.load(spark, str(tmp_path / "index"))
+    plain = Retriever(chunks).sparse(queries, 5).collect()
+    for own in (index, loaded):
+        assert Retriever(chunks, index=own).sparse(queries, 5).collect() == plain
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    source, made = str(tmp_path / "t.parquet"), []
+    spark.createDataFrame([("a", "red fox")], "chunk_id string, text string").write.parquet(source)
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(source)
+
+    first = keeping.kept(spark, [source], make)
+    assert first.chunks.count() == 1 and first.index.terms.count() == 2
+    keeping.kept(spark, [source], make)
+    assert len(made) == 1
+    spark.createDataFrame([("b", "blue whale")], "chunk_id string, text string").write.mode("append").parquet(source)
+    assert keeping.kept(spark, [source], make).chunks.count() == 2 and len(made) == 2
+
+
+GOLDEN = {"id": "q", "category": "c", "answerable": True, "question": "IAM access denied", "expected_sources": ["iam.pdf"]}
+
+
+def test_golden_sets(spark, tmp_path):
+    def write(rows):
+        (tmp_path / "golden.json").write_text(json.dumps(rows))
+        return golden.questions(spark, str(tmp_path / "golden.json"))
+
+    rows = [GOLDEN | {"id": f"q{i}", "filters": {"language": "en", "deep": {"a": 1}, "page": 3}} for i in range(15)]
+    got = write(rows).orderBy("query_id").first()
+    assert got["filters"] == {"language": "en", "page": "3"} and got["expected_sources"] == ["iam.pdf"] and got["answerable"]
+    for bad in (rows[:14], {"rows": rows}, [*rows, "x"], [*rows, GOLDEN | {"filters": ["en"]}], [*rows, {"id": "x"}]):
+        with pytest.raises(ValueError):
+            write(bad)
+    golden.write_results(spark.createDataFrame([("dense", 0.5)], "mode string, mrr double"), str(tmp_path / "out.json"))
+    text = (tmp_path / "out.json").read_text()
+    assert json.loads(text) == [{"mode": "dense", "mrr": 0.5}] and text.startswith("[\n  {")
+
+
+def test_modes_are_evaluated(spark, chunks):
+    asked = spark.createDataFrame([("a", "IAM access denied", True, ["iam.pdf"]), ("b", "bucket policy", True, ["s3.md"]), ("c", "zebra", False, [])], "query_id string, query string, answerable boolean, expected_sources array<string>")
+    rows = {r["mode"]: r for r in evaluate.evaluate_modes(chunks, asked).collect()}
+    assert set(rows) == {"dense", "dense+rerank", "hybrid+rerank"}
+    best = rows["hybrid+rerank"]
+    assert best["recall_at_5"] == best["mrr"] == 1.0 and best["refusal_accuracy"] == 1.0 and best["latency_ms"] > 0
+
+
+def test_chunk_sizes_are_evaluated(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    parts = [f"## Part {i}\n\nThe code {w} appears when a {w} table is read. " + "More on this follows here. " * 4 for i, w in enumerate("amber birch cedar dune".split())]
+    (tmp_path / "docs" / "a.md").write_text("\n\n".join(parts))
+    rows = [{"question": f"What does code {w} mean?", "reference_evidence": e} for w, e in (("amber", "code AMBER appears"), ("cedar", ["code  cedar appears"]), ("none", "nowhere to be found"))]
+    (tmp_path / "golden.json").write_text(json.dumps(rows))
+    asked = golden.evidence_questions(spark, str(tmp_path / "golden.json"))
+    for size, count in ((200, 4), (2000, 1)):
+        row = evaluate.evaluate_chunk_size(spark, str(tmp_path / "docs"), asked, str(tmp_path / f"store{size}"), size).first()
+        assert (row["chunk_size"], row["chunk_count"], row["top_k"], row["per_question"]) == (size, count, 3, [1.0, 1.0, 0.0])
+        assert abs(row["context_recall"] - 2 / 3) < 1e-9
+
+
+def test_nothing_at_a_path(spark, tmp_path):
+    assert files.discover(spark, str(tmp_path / "none")).count() == 0
+    stats = Ingestion(ChunkStore(spark, str(tmp_path / "store"))).run(str(tmp_path / "none"))
+    assert (stats.files_seen, stats.chunks_created) == (0, 0)
+    for name in ("b.md", "a.MD", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r["path"].rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path)).collect()] == ["a.MD", "b.md"]
+
+
+def test_scanned_pages(spark, tmp_path, monkeypatch):
+    (tmp_path / "lib").mkdir()
+    fake = "class Page:\n    def __init__(self, t): self.t = t\n    def extract_text(self):\n        if self.t == 'broken': raise RuntimeError\n        return self.t\n\nclass PdfReader:\n    def __init__(self, f): self.pages = [Page(t) for t in f.read().decode().split('|')]\n"
+    (tmp_path / "lib" / "pypdf.py").write_text(fake)
+    spark.sparkContext.addPyFile(str(tmp_path / "lib" / "pypdf.py"))
+    long = "A page with more than thirty characters of text."
+    (tmp_path / "x.pdf").write_text(f"{long}|scan|broken|{'*' * 40}<br>|empty")
+
+    def ocr(content, number):
+        if number == 2:
+            raise OSError
+        return {1: "read by <b>OCR</b>", 3: "stars", 4: ""}[number]
+
+    pages = lambda ocr: [(r["page_number"], r["text"], r["used_ocr"]) for r in files.parse(files.discover(spark, str(tmp_path / "x.pdf")), ocr).orderBy("page_number").collect()]
+    assert pages(ocr) == [(1, long, False), (2, "read by OCR", True), (3, "", False), (4, "stars", True), (5, "", False)]
+    assert [t for _, t, _ in pages(None)] == [long, "", "", "", ""]
+
+
+def test_http(chunks, queries):
+    spark = queries.sparkSession
+    own = service.build_service(chunks, env={"SPARSE_RELEVANCE_THRESHOLD": "0.3"})
+    ask = lambda **body: service.respond(own, spark, json.dumps(body).encode())
+    for bad in ({}, {"query": ""}, {"query": "x", "mode": "odd"}, {"query": "x", "filters": {"owner": "y"}}, {"query": "x", "filters": [1]}):
+        assert ask(**bad)[0] == 400
+    assert service.respond(own, spark, b"no json")[0] == 400
+
+    def broken(asked):
+        raise RuntimeError
+
+    own.generator, good = broken, own.generator
+    assert ask(query="IAM access denied", mode="sparse")[0] == 503
+    own.generator = good
+    server = service.serve(own, spark, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/v1/rag/query", json.dumps({"query": "IAM access denied", "mode": "sparse", "filters": {"language": "en"}}).encode())
+    with urllib.request.urlopen(request, timeout=60) as answer:
+        found = json.load(answer)
+    server.shutdown()
+    assert not found["refused"] and found["citations"][0]["source"]["source_file"] == "iam.pdf" and found["retrieval"]["sparse_candidates"] >= 1
+
+
+def test_model_server(spark, tmp_path):
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            calls.append(self.path)
+            fails = len(calls) % 2 == 1 and self.path == "/api/generate"
+            answer = {"embeddings": [[float(len(t)), 1.0] for t in body.get("input", [])]} if self.path == "/api/embed" else {"response": ' "A summary. And more." '}
+            self.send_response(500 if fails else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = ModelServer(f"http://127.0.0.1:{server.server_port}", pause=0.01)
+    assert model.summarize("text") == "A summary." and calls == ["/api/generate"] * 2
+    assert model.embed(["a", "bb"] * 40) == [[1.0, 1.0], [2.0, 1.0]] * 40 and calls.count("/api/embed") == 3
+    (tmp_path / "a.md").write_text("text to embed")
+    stats = Ingestion(ChunkStore(spark, str(tmp_path / "store")), summarize=model.summarize, embed=model.embed).run(str(tmp_path / "a.md"))
+    stored = ChunkStore(spark, str(tmp_path / "store")).read().first()
+    assert stats.chunks_upserted == 1 and stored["vector"] == [13.0, 1.0] and stored["context_summary"] == "A summary."
+    asked = spark.createDataFrame([(1, "q", "c", "")], "query_id long, query string, context string, correction string")
+    assert model.answers(asked).first()["answer"] == '"A summary. And more."'
+    server.shutdown()
+    with pytest.raises(RuntimeError):
+        ModelServer("http://127.0.0.1:9", retries=0, timeout=1).embed(["x"])

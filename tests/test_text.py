@@ -67,3 +67,17 @@ def test_identities(spark):
     assert one(spark, "A.PDF", tx.document_type) == "pdf"
     assert one(spark, "[S2] [S1] [S2] [x]", tx.citations) == ["S2", "S1"]
     assert one(spark, " A  B\n", tx.normalize_evidence) == "a b"
+
+
+def test_cjk_tokens_take_linear_time(spark):
+    import time
+
+    long = "".join(chr(0x4E00 + i * 7 % 3000) for i in range(100_000))
+    frame = spark.createDataFrame([(long,), ("ab " + long[:3] + " cd",), (long[0],), ("",), (None,)], "t string")
+    tokens = frame.select(tx.bm25_tokens(F.col("t")).alias("x"))
+    tokens.collect()
+    begun = time.monotonic()
+    got = [r["x"] for r in tokens.collect()]
+    assert time.monotonic() - begun < 5
+    assert got[0] == [*long, *(a + b for a, b in zip(long, long[1:], strict=False))]
+    assert got[1:] == [["ab", "cd", *long[:3], long[:2], long[1:3]], [long[0]], [], None]
