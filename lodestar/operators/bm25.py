@@ -53,7 +53,9 @@ def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", t
     With terms (term) the index holds these alone, and others aren't even shuffled; counts of the
     terms and of the corpus are the same."""
     # a list of one list, exploded: the tokens are a column of their own, which no later use computes again
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(F.array(bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("tokens"))
+    # texts are dealt by id once, so that a text's words are counted where they are
+    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col)).repartition("chunk_id")
+    tokens = texts.select("chunk_id", F.explode(F.array(bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("tokens"))
     lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"), "tokens")
     words = lengths.select("chunk_id", "dl", F.explode("tokens").alias("term"))
     if terms is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +21,29 @@ def bin_and_sign(token: Column, dimensions: int = DIMENSIONS) -> tuple[Column, C
 
 
 def embed_long(rows: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, idx, value): non-zero bins before scaling."""
-    tokens = rows.select(F.col(id_col), F.explode(hash_tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
+    """(id, idx, value): non-zero bins before scaling.
+
+    Texts are dealt by id once; all groups that follow lie within a task, so tokens aren't shuffled."""
+    tokens = rows.select(F.col(id_col), F.col(text_col)).repartition(id_col).select(F.col(id_col), F.explode(hash_tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
     place, sign = bin_and_sign(F.col("token"), dimensions)
     bins = tokens.select(id_col, place.alias("idx"), (sign * F.col("tf")).alias("signed")).groupBy(id_col, "idx").agg(F.sum("signed").alias("value"))
     return bins.filter("value != 0")
 
 
 def embed(rows: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, vector): unit length, or zeros for a text without tokens."""
-    bins = embed_long(rows, id_col, text_col, dimensions).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("bins"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("bins"), i) / F.col("norm"), F.lit(0.0)))
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    return rows.select(id_col).join(bins, id_col, "left").select(id_col, F.when(F.col("bins").isNull(), zeros).otherwise(dense).alias("vector"))
+    """(id, vector): unit length, or zeros for a text without tokens.
+
+    The bins of a text are laid out in batches by numpy: looking each of its places up in a map takes
+    time in the square of the dimensions."""
+
+    @F.pandas_udf("array<double>")
+    def laid_out(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.zeros((len(places), dimensions))
+        for row, place, value in zip(out, places, values, strict=True):
+            if place is not None and len(place):
+                row[place] = value / np.sqrt((value * value).sum())
+        return pd.Series(list(out))
+
+    bins = embed_long(rows, id_col, text_col, dimensions).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("bins"))
+    vectors = rows.select(id_col).join(bins, id_col, "left")
+    return vectors.select(id_col, laid_out(F.col("bins.idx"), F.col("bins.value")).alias("vector"))

@@ -169,6 +169,13 @@ def dense_topk_filtered(spark, sf_dir):
     return dense.nearest(asked, rows.filter(matches({"label": 1})), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def store_counts(spark, sf_dir):
+    """What is kept for the searches: chunks, vectors, postings and terms."""
+    own = ingested(spark, sf_dir)
+    rows = own.chunks.agg(F.count("*").alias("chunks"), F.count("vector").alias("vectors")).crossJoin(own.index.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens")))
+    return rows.crossJoin(own.index.terms.agg(F.count("*").alias("terms")))
+
+
 def bm25_term_stats(spark, sf_dir):
     return ingested(spark, sf_dir).index.terms
 
@@ -351,7 +358,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL: tuple[Query, ...] = (
     clean_text_pages, first_sentence, bm25_token_counts, hash_tokens, count_tokens, truncated_texts, chunk_metadata, normalized_evidence, recursive_chunks,
     dedup_first_wins, existing_semi, pending_anti, upsert_merge, ingestion_stats, hash_embedding_long, vector_dimensions, dense_topk, dense_topk_filtered,
-    bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_filtered_topk, hashed_dense_topk, rrf_fusion, hybrid_rerank, dense_rerank, sparse_rerank, dense_only, hybrid_wide,
+    store_counts, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_filtered_topk, hashed_dense_topk, rrf_fusion, hybrid_rerank, dense_rerank, sparse_rerank, dense_only, hybrid_wide,
     retrieval_diagnostics, relevance_threshold, context_selection, per_document_cap, context_strings, refusal_decision, answers, parent_expansion,
     citation_validation, evidence_containment, threshold_calibration, retrieval_metrics, context_recall, mode_metrics, question_recall, cjk_tokens, incremental_ingest_stream,
 )

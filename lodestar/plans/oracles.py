@@ -210,6 +210,7 @@ SQL: dict[str, str] = {
     "vector_dimensions": "SELECT len(embedding)::BIGINT AS dimensions, count(*) AS vectors FROM embeddings GROUP BY 1",
     "dense_topk": _nearest("true"),
     "dense_topk_filtered": _nearest("b.label = 1"),
+    "store_counts": _with(("chunks", "post", "terms"), "SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM chunks) AS vectors, (SELECT count(*) FROM post) AS postings, (SELECT sum(tf) FROM post)::BIGINT AS tokens, (SELECT count(*) FROM terms) AS terms"),
     "bm25_term_stats": _with(("terms",), "SELECT term, df FROM terms"),
     "bm25_corpus_stats": _with(("corpus",), "SELECT n, round(avgdl, 6) AS avgdl FROM corpus"),
     "bm25_topk": _with(("sparse",), _TOP.format("sparse")),
