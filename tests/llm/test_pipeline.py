@@ -1,9 +1,12 @@
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from test_shingle_operators import near_brute, shingle_set
 
 import corpus_pipeline as pipeline
-from lodestar.llm import decontam, langid, neardup
+from lodestar.llm import decontam, langid, neardup, sharding
 from lodestar.llm import queries as corpus
 
 
@@ -41,6 +44,58 @@ def test_stages(spark, folder):
     assert sorted(map(str, whole.select("doc_id", "shard").collect())) == sorted(map(str, last.select("doc_id", "shard").collect()))
 
 
+def brute_copies(rows):
+    """How often systematic sampling draws each (id, source, size), by one running sum a source."""
+    sizes = {}
+    for _, source, size in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    target, open_ = {}, set(sizes)
+    while True:
+        left = sum(sizes.values()) - sum(target.values())
+        now = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        above = [s for s in open_ if now[s] > 3 * sizes[s]]
+        if not above:
+            target |= now
+            break
+        target |= {s: 3.0 * sizes[s] for s in above}
+        open_ -= set(above)
+    out = {}
+    for number, source in enumerate(order, 1):
+        own = sorted((len(f"{n:b}") * 8 + (n >> max(0, len(f"{n:b}") - 4) & 7), int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16), n, i) for i, s, n in rows if s == source)
+        step = int(target[source] / sizes[source] * 2**24) if sizes[source] else 0
+        at = int(hashlib.md5(f"mix/{number}".encode()).hexdigest()[:6], 16)
+        for *_, i in own:
+            out[i] = (at + step) // 2**24 - at // 2**24
+            at += step
+    return out
+
+
+def test_stages_against_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    pairs = lambda d: sorted((r["doc_id"], r["text"]) for r in d.collect())
+    first = pairs(pipeline.identify_language(spark, docs, folder))
+    held = docs.filter(F.col("doc_id").isin([i for i, _ in first]))
+    second = pairs(pipeline.drop_near_duplicates(spark, held, folder))
+    marks = near_brute(first, width=5)
+    assert [i for i, _ in second] == [key[1] for key, _, _, kept in marks if kept] and len(second) < len(first)
+    held = docs.filter(F.col("doc_id").isin([i for i, _ in second]))
+    items = [shingle_set(r["text"], 5) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    third = pairs(pipeline.decontaminate(spark, held, folder))
+    assert third == [(i, t) for i, t in second if not any(100 * len(s & shingle_set(t, 5)) >= 80 * len(s) for s in items)] and len(third) < len(second)
+    held = docs.filter(F.col("doc_id").isin([i for i, _ in third]))
+    fourth = pipeline.mix_sources(spark, held, folder)
+    copies = brute_copies([(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in held.collect()])
+    assert sorted(r["doc_id"] for r in fourth.collect()) == sorted(i for i, n in copies.items() for _ in range(n))
+    last = pipeline.assign_shards(spark, fourth, folder).collect()
+    assert all(r["shard"] == sharding.brute(r["doc_id"], corpus.TREE) and r["grown_shard"] == sharding.brute(r["doc_id"], corpus.GROWN) for r in last)
+    slots = {}
+    for r in last:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+
+
 def test_stages_on_nothing(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:

@@ -291,13 +291,16 @@ LONG = ("A sentence of plain words, write to jane.doe@example.org or +1 (555) 01
 
 def peak_growth(run):
     """Bytes by which run() raises this process' peak memory."""
+    import os
     import subprocess
     import sys
     import textwrap
+    from pathlib import Path
 
+    root = str(Path(__file__).resolve().parents[2])
     code = "import resource, sys\nimport numpy as np\nfrom tests.llm.test_row_operators import LONG\nraw = np.frombuffer(LONG.encode(), np.uint8)\nat = np.array([0, len(raw)])\nbefore = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
     code += textwrap.dedent(run) + "\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) << 10)"
-    return int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout.split()[-1])
+    return int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": root}).stdout.split()[-1])
 
 
 @pytest.mark.parametrize(
