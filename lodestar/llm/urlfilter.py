@@ -213,7 +213,7 @@ def train(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled
     whose hash is below a bound leave the scan; the bound rises until there are enough or all."""
     source = pages.select(F.col(url_col).alias("url")) if labelled is None else labelled.filter("verdict in ('allow', 'block')").select("url", "verdict")
     source = source.filter(F.col("url").isNotNull())
-    part = min(1.0, 2.0 * train_urls / max(1, source.count()))
+    part = min(1.0, 4.0 * train_urls / max(1, source.count()))
     while True:
         some = source.filter(md5_bits(F.col("url"), 8).cast("double") / 16.0**8 <= part).distinct()
         if labelled is None:
