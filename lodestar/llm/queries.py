@@ -76,6 +76,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
     "op2_near_duplicates": neardup.NEAR_SQL,
+    "op4_repeated_passages": suffixdedup.PASSAGES_SQL,
     "op7_decontaminate": decontam.CONTAMINATED_SQL,
     "op9_shard_tree": sharding.shard_sql(TREE, GROWN),
 }

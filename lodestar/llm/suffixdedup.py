@@ -538,3 +538,21 @@ def brute(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, i
         spans = sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1]))
         out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+#: DuckDB's form of repeated_passages(), for unique ids.
+PASSAGES_SQL = f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, b[i:i + {LENGTH - 1}] AS s FROM (SELECT doc_id, b, unnest(range(1, n - {LENGTH - 2})) AS i FROM t WHERE doc_id IS NOT NULL)),
+m AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT s.doc_id, s.i FROM s JOIN m ON m.s = s.s AND m.least < s.doc_id),
+g AS (SELECT doc_id, i, lag(i) OVER w AS last, lead(i) OVER w AS next FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, sum(least({LENGTH}, coalesce(next - i, {LENGTH})))::BIGINT AS n_removed, count(CASE WHEN last IS NULL OR i > last + {LENGTH} THEN 1 END) AS n_spans FROM g GROUP BY 1),
+o AS (SELECT doc_id, i, sum(CASE WHEN last IS NULL OR i > last + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+spans AS (SELECT doc_id, min(i) AS x, max(i) + {LENGTH} AS y FROM o GROUP BY doc_id, span),
+k AS (SELECT doc_id, coalesce(lag(y) OVER (PARTITION BY doc_id ORDER BY x), 1) AS x, x - 1 AS y FROM spans UNION ALL SELECT doc_id, max(y), max(n) FROM spans JOIN t USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[x:y]), '' ORDER BY x) AS kept FROM k JOIN t USING (doc_id) WHERE y >= x GROUP BY doc_id)
+SELECT t.doc_id, t.n::BIGINT AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN r.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(kept.kept, ''))) END AS kept_sha256
+FROM t LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
