@@ -166,10 +166,11 @@ _ANCHORS = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("hashes", p
 _KEPT = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("hashes", pa.binary())])
 #: level 0: verdicts for the batch that is the number; 1: contexts of an anchor's number; 2: contexts
 #: of frequent strings for a group of batches, with their numbers; 3: those that are left of a group.
-_CONTEXTS = pa.schema([("level", pa.int64()), ("number", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("text", "length", "place", "id", "row", "start", "numbers", "verdicts"))])
+_CONTEXTS = pa.schema([("level", pa.int64()), ("number", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("text", "length", "place", "id", "times", "row", "start", "numbers", "verdicts"))])
 _VERDICTS = pa.schema([("batch", pa.int64()), ("verdicts", pa.binary())])
 _VERDICT = np.dtype([("row", "<i4"), ("start", "<i4"), ("strings", "<u8")])
-_FIELDS = (("length", np.uint8), ("place", np.uint8), ("id", np.int64), ("row", np.int32), ("start", np.int32))
+#: Of a context that one id has several times, the bytes are sent once with all its places.
+_FIELDS = (("length", np.uint8), ("place", np.uint8), ("id", np.int64), ("times", np.int32), ("row", np.int32), ("start", np.int32))
 
 
 def _sql(schema: pa.Schema) -> str:
@@ -292,13 +293,16 @@ def cut_contexts(shards: int, groups: int) -> Callable[[pa.Table, pa.Table], pa.
             begin, many, place, hashed, often, owner, row, where = (np.concatenate(x) for x in zip(*found, strict=True))
             strings = _spread(begin, many)
             whose = np.repeat(np.arange(len(begin)), many)
-            done = least_by(string_groups(text, strings), owner[whose]) < owner[whose]
+            groups_of = string_groups(text, strings)
+            done = least_by(groups_of, owner[whose]) < owner[whose]
+            upto = np.cumsum(many)
+            same = _numbered(groups_of[upto - many], groups_of[upto - 1], many, owner)
             settled = _bits(done, many)
             hit = np.flatnonzero(settled)
             if len(hit):
                 rows.append(_verdicts(0, batch, row[hit], where[hit], settled[hit]))
             open_ = settled != (np.uint64(1) << many.astype(np.uint64)) - np.uint64(1)
-            rows += _rows(1, batch, text, *(x[open_ & ~often] for x in (begin, many, place, owner, row, where)), (hashed[open_ & ~often] % np.uint64(shards)).astype(np.int64))
+            rows += _rows(1, batch, text, *(x[open_ & ~often] for x in (begin, many, place, owner, row, where)), (hashed[open_ & ~often] % np.uint64(shards)).astype(np.int64), same[open_ & ~often])
             left = np.flatnonzero(often[whose] & ~done)
             if len(left):
                 # contexts of the longer anchors, of strings next to each other
@@ -307,34 +311,49 @@ def cut_contexts(shards: int, groups: int) -> Callable[[pa.Table, pa.Table], pa.
                 at = least_grams(hashes, LONG)[start]
                 head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))))
                 many = np.diff(np.append(head, len(start)))
+                same = _numbered(groups_of[left[head]], groups_of[left[head + many - 1]], many, owner[own[head]])
                 start, own, at = start[head], own[head], at[head]
                 number = (hashes[at] % np.uint64(shards)).astype(np.int64)
                 group = batch * groups // shards * coarse + number % coarse
                 for g, i in _by_shard(group):
-                    rows += _rows(2, batch, text, start[i], many[i], at[i] - start[i], owner[own[i]], row[own[i]], (where[own] + start - begin[own])[i], np.full(len(i), g), number[i])
+                    rows += _rows(2, batch, text, start[i], many[i], at[i] - start[i], owner[own[i]], row[own[i]], (where[own] + start - begin[own])[i], np.full(len(i), g), same[i], number[i])
         return pa.Table.from_pylist(rows, _CONTEXTS)
 
     return run
 
 
-def _rows(level: int, batch: int, text: np.ndarray, begin: np.ndarray, many: np.ndarray, place: np.ndarray, owner: np.ndarray, row: np.ndarray, where: np.ndarray, number: np.ndarray, numbers: np.ndarray | None = None) -> Iterator[dict]:
-    """A row of contexts for each number."""
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """A number for each, the same where all keys are equal. Contexts with equal first and last strings and ids are so told to be the same."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _rows(level: int, batch: int, text: np.ndarray, begin: np.ndarray, many: np.ndarray, place: np.ndarray, owner: np.ndarray, row: np.ndarray, where: np.ndarray, number: np.ndarray, same: np.ndarray, numbers: np.ndarray | None = None) -> Iterator[dict]:
+    """A row of contexts for each number; of those that are the same the bytes go once."""
     length = many + LENGTH - 1
     for n, i in _by_shard(number):
-        held = {"level": level, "number": n, "batch": batch, "text": gather(text, begin[i], length[i]).tobytes()}
-        for (name, kind), values in zip(_FIELDS, (length, place, owner, row, where), strict=True):
-            held[name] = values[i].astype(kind).tobytes()
-        yield held if numbers is None else held | {"numbers": numbers[i].astype(np.int64).tobytes()}
+        i = i[np.argsort(same[i], kind="stable")]
+        head = np.flatnonzero(np.diff(same[i], prepend=-1))
+        one = i[head]
+        held = {"level": level, "number": n, "batch": batch, "text": gather(text, begin[one], length[one]).tobytes()}
+        values = (length[one], place[one], owner[one], np.diff(np.append(head, len(i))), row[i], where[i])
+        held |= {name: own.astype(kind).tobytes() for (name, kind), own in zip(_FIELDS, values, strict=True)}
+        yield held if numbers is None else held | {"numbers": numbers[one].astype(np.int64).tobytes()}
 
 
-def _contexts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray]:
-    """Bytes, starts, fields and batches of the contexts in a table's rows."""
+def _contexts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Bytes, starts and fields of the contexts in a table's rows; the context and batch of each of their places."""
     text, _ = _blobs(table.column("text"), np.uint8)
     fields = {name: _blobs(table.column(name), kind)[0] for name, kind in _FIELDS}
     fields["length"] = fields["length"].astype(np.int64)
-    sizes = _blobs(table.column("length"), np.uint8)[1]
-    batches = np.repeat(table.column("batch").to_numpy(), sizes)
-    return text, np.cumsum(fields["length"]) - fields["length"], fields, batches
+    of = np.repeat(np.arange(len(fields["times"])), fields["times"])
+    batches = np.repeat(table.column("batch").to_numpy(), _blobs(table.column("row"), np.int32)[1])
+    return text, np.cumsum(fields["length"]) - fields["length"], fields, of, batches
 
 
 def union(into: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -367,23 +386,23 @@ def merged(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 def premerge(table: pa.Table) -> pa.Table:
     """A group's level-2 contexts to level-3 ones by their own number: those that no smaller id of the group has, and verdicts on the others."""
-    text, start, fields, batches = _contexts(table)
+    text, start, fields, of, batches = _contexts(table)
     numbers, _ = _blobs(table.column("numbers"), np.int64)
-    least = least_by(merged(text, start, fields["length"]), fields["id"])
+    later = (least_by(merged(text, start, fields["length"]), fields["id"]) < fields["id"])[of]
+    many = (fields["length"] - LENGTH + 1)[of]
     rows: list[dict] = []
-    many = fields["length"] - LENGTH + 1
     for b, i in _by_shard(batches):
-        later = i[least[i] < fields["id"][i]]
-        if len(later):
-            rows.append(_verdicts(0, b, fields["row"][later], fields["start"][later], (np.uint64(1) << many[later].astype(np.uint64)) - np.uint64(1)))
-        first = i[least[i] == fields["id"][i]]
-        rows += _rows(3, b, text, start[first], many[first], *(fields[c][first] for c in ("place", "id", "row", "start")), numbers[first])
+        gone, left = i[later[i]], i[~later[i]]
+        if len(gone):
+            rows.append(_verdicts(0, b, fields["row"][gone], fields["start"][gone], (np.uint64(1) << many[gone].astype(np.uint64)) - np.uint64(1)))
+        own = of[left]
+        rows += _rows(3, b, text, start[own], many[left], fields["place"][own], fields["id"][own], fields["row"][left], fields["start"][left], numbers[own], own)
     return pa.Table.from_pylist(rows, _CONTEXTS)
 
 
 def judge(table: pa.Table, gram: int) -> pa.Table:
     """(4) a number's contexts to verdicts by batch: which strings start in a smaller id as well."""
-    text, start, fields, batches = _contexts(table)
+    text, start, fields, of, batches = _contexts(table)
     length, ids = fields["length"], fields["id"]
     # merge the batches' contexts: equal ones become one with the least id
     group = merged(text, start, length)
@@ -405,7 +424,7 @@ def judge(table: pa.Table, gram: int) -> pa.Table:
         minimum[_spread((ends - many)[several], own)] = least_by(string_groups(joined, _spread(np.cumsum(size) - size, own)), np.repeat(least[several], own))
     # every context's strings against its own id
     own = many[group]
-    smaller = _bits(minimum[_spread((ends - many)[group], own)] < np.repeat(ids, own), own)
+    smaller = _bits(minimum[_spread((ends - many)[group], own)] < np.repeat(ids, own), own)[of]
     rows = []
     for b, i in _by_shard(batches):
         i = i[smaller[i] != 0]

@@ -155,6 +155,7 @@ def test_very_frequent_passages_and_long_texts(monkeypatch):
     rows = [(i, words(rng, rng.randint(0, 300)) + shared + words(rng, 5) + phrase + "".join(rng.choice("ab") for _ in range(4)) + shared[:40]) for i in range(14)]
     rows.append((20, "".join(x + phrase for x in ("aa", "ab", "ba", "bb") * 6) + "\0" * 80 + shared))
     rows.append((21, "\0" * 70 + shared[3:] + "\0" * 61))
+    rows += [(22, (phrase + shared[:70] + "|") * 9 + "ab" * 80), (23, "ab" * 50 + (shared[:70] + "|") * 5)]
     want = sorted(suffixdedup.brute(rows))
     for frequent, array, run in ((2, 1 << 20, 1 << 14), (64, 1 << 20, 4), (3, 700, 2)):
         monkeypatch.setattr(suffixdedup, "FREQUENT", frequent)
