@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontam, langid, media, mixing, neardup, pii, sharding, suffixdedup, urlfilter
+from lodestar.llm import chat, decontam, langid, manifest, media, mixing, neardup, pii, sharding, suffixdedup, urlfilter
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.train(pages))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_duplicates": op2_near_duplicates,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_shard_tree": op9_shard_tree,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
@@ -79,4 +84,5 @@ SQL: dict[str, str] = {
     "op4_repeated_passages": suffixdedup.PASSAGES_SQL,
     "op7_decontaminate": decontam.CONTAMINATED_SQL,
     "op9_shard_tree": sharding.shard_sql(TREE, GROWN),
+    "op11_merkle_manifest": manifest.audit_sql(),
 }
