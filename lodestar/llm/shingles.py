@@ -48,18 +48,22 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = _IS_WORD[raw]
+    start, end = bounds(_IS_WORD[raw], offsets)
+    return _word_hashes(raw, start, end), np.searchsorted(start, offsets)
+
+
+def bounds(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of true bytes; none goes from one document into the next."""
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
     closes[:-1] &= ~solid[1:]
     edges = offsets[:-1][offsets[:-1] < offsets[1:]]
     opens[edges] = solid[edges]
     closes[edges[1:] - 1] = solid[edges[1:] - 1]
-    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return _word_hashes(raw, start, end), np.searchsorted(start, offsets)
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
-def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray = _LETTER) -> np.ndarray:
     """Hash of each word raw[start:end], summed STRETCH bytes at a time, however long a text or word is."""
     out = np.empty(len(start), np.uint64)
     at = 0
@@ -68,13 +72,13 @@ def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         low, high = int(start[at]), int(end[upto - 1])
         if high - low <= STRETCH:
             sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_LETTER[raw[low:high]] * _powers(_BASE, high - low), out=sums[1:])
+            np.cumsum(letters[raw[low:high]] * _powers(_BASE, high - low), out=sums[1:])
             first = start[at:upto] - low
             out[at:upto] = (sums[end[at:upto] - low] - sums[first]) * _powers(_INVERSE, high - low)[first]
         else:  # a word longer than a stretch is alone
             value = 0
             for x in range(low, high, STRETCH):
-                own = _LETTER[raw[x : min(x + STRETCH, high)]]
+                own = letters[raw[x : min(x + STRETCH, high)]]
                 value += int((own * _powers(_BASE, len(own))).sum(dtype=np.uint64)) * pow(_BASE, x - low, 2**64)
             out[at] = value % 2**64
         at = upto
