@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontam, divergence, langid, manifest, media, mixing, neardup, pii, sharding, suffixdedup, urlfilter
+from lodestar.llm import chat, decontam, divergence, langid, manifest, media, mixing, neardup, pii, sharding, substrings, suffixdedup, urlfilter
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audited(table(spark, sf_dir, "documents"))
 
 
+def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op9_shard_tree": op9_shard_tree,
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_repeated_windows": op12_repeated_windows,
     "op13_source_divergence": op13_source_divergence,
 }
 SQL: dict[str, str] = {
@@ -90,5 +95,6 @@ SQL: dict[str, str] = {
     "op7_decontaminate": decontam.CONTAMINATED_SQL,
     "op9_shard_tree": sharding.shard_sql(TREE, GROWN),
     "op11_merkle_manifest": manifest.audit_sql(),
+    "op12_repeated_windows": substrings.WINDOWS_SQL,
     "op13_source_divergence": divergence.AUDIT_SQL,
 }
