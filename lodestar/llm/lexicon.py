@@ -27,7 +27,8 @@ def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def numbers(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word, the same for equal bytes only, and the place in start of each number's first word.
 
-    Words are grouped by hash; every word is then compared with its group's first by its bytes, and those
+    Words come in ascending order of their starts and of their ends; they may overlap. They
+    are grouped by hash; every word is then compared with its group's first by its bytes, and those
     that differ (a collision) form groups of their own by their bytes."""
     _, first, number = np.unique(hashes(raw, start, end), return_index=True, return_inverse=True)
     length, view = end - start, eights(raw)

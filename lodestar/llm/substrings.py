@@ -167,9 +167,12 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
 
 def _rows(level: int, number: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray, fields: dict[str, np.ndarray]) -> Iterator[dict]:
     """A row for each number with its distinct contexts raw[start:end], each followed by a line feed, and their places."""
+    if not len(start):
+        return
+    same, first = numbers(raw, start, end)
     for n, i in _parts(number):
-        of, first = numbers(raw, start[i], end[i])
-        text = slices(raw, start[i][first], end[i][first] + 1)
+        one, of = np.unique(same[i], return_inverse=True)
+        text = slices(raw, start[first[one]], end[first[one]] + 1)
         text[0][text[1][1:] - 1] = 10
         held = {"of": of, **{name: value[i] for name, value in fields.items()}}
         yield {"level": level, "number": n, "texts": text[0].tobytes(), **{name: held[name].astype(kind).tobytes() for name, kind in _FIELDS if name in held}}
@@ -275,6 +278,7 @@ def _settle(table: pa.Table) -> pa.Table:
     rows = list(_verdicts(fields["batch"][gone], fields["row"][gone], fields["start"][gone], bits[gone]))
     if level == 2:
         left = np.flatnonzero(bits == 0)
+        left = left[np.argsort(begins[first[context[left]]], kind="stable")]
         own = first[context[left]]
         rows += _rows(1, fields["to"][left], raw, begins[own], ends[own], {name: fields[name][left] for name in ("id", "batch", "row", "start", "many", "to")})
     return pa.Table.from_pylist(rows, _CONTEXTS)
