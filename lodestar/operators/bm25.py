@@ -8,38 +8,195 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.jobs import broadcast_if_small
+from lodestar.functions.jobs import broadcast_if_small, cut
 from lodestar.functions.text import bm25_tokens
+from lodestar.functions.versions import Versions
 from lodestar.operators.filters import askable, positive, query_matches
 
 K1, B = 1.5, 0.75
 #: Scores are rounded before they rank, so that the order of a sum doesn't.
 DIGITS = 9
+#: Postings of a block, on average, and chunks for each further partition of the terms.
+BLOCK, DOCS_PER_PART = 128, 4096
+#: Postings, each query's counted, that are scored without pruning.
+PAIRS = 50_000_000
+#: For each result asked for, postings that name chunks for a query's floor, and chunks that are scored for it.
+FIRST, TRIED = 64, 8
+#: The part of the floor that the spared terms' bounds may make up; what sums in another order may differ by.
+SPARED, EDGE = 0.5, 1e-6
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (chunk_id, term, tf, dl), terms (term, df) and corpus (n, avgdl), one row."""
+    """postings (chunk_id, term, tf, dl), terms (term, df) and corpus (n, avgdl), one row; stored, if it is kept."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    stored: Stored | None = None
 
     def save(self, folder: str) -> Index:
-        """The index written to a folder (overwritten) and read from there: fitted once, searched many times.
-
-        Postings are dealt and sorted by term, so that a search reads the row groups of its terms."""
-        spark = self.postings.sparkSession
-        self.postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
-        postings = spark.read.parquet(f"{folder}/postings")
-        postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-        self.corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
-        return load(spark, folder)
+        """The index written to a folder as its only segment and read from there: fitted once, searched many times."""
+        stored = Stored(self.postings.sparkSession, folder)
+        stored.replace(self)
+        return stored.index()
 
 
 def load(spark: SparkSession, folder: str) -> Index:
-    """An index that save() wrote."""
-    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "corpus")))
+    """The index that the folder's manifest names."""
+    return Stored(spark, folder).index()
+
+
+@dataclass(frozen=True)
+class Stored:
+    """An index kept in a folder as segments, each written once.
+
+    A segment has its postings in blocks and its terms, both partitioned by a hash of the term, and the
+    ids that it removes from earlier segments. A block holds the postings of a term whose chunk ids
+    share their hash modulo 2 ** level, some BLOCK of them, with the greatest tf and the least dl: what
+    bounds every score in it, whatever the corpus becomes. The manifest lists the live segments and
+    what they count, so that adding one chunk writes one segment and reads none."""
+
+    spark: SparkSession
+    folder: str
+
+    @property
+    def versions(self) -> Versions:
+        return Versions(self.spark, f"{self.folder}/manifest")
+
+    def _write(self, segment: int, parts: int, added: Index, removed: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text") -> dict:
+        """Writes a segment's tables; gives its entry of the manifest."""
+        flat = cut(added.postings)
+        terms = flat.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        terms = terms.withColumns({"max_tf": F.col("max_tf").cast("int"), "min_dl": F.col("min_dl").cast("int")}).withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / F.lit(BLOCK)))).cast("int"))
+        part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
+        at = block_of(F.col("chunk_id"), F.col("level"))
+        blocks = flat.join(terms.select("term", "level"), "term").groupBy("term", at.alias("block")).agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("held"))
+        columns = [F.col("held")[c].alias(n) for c, n in (("chunk_id", "ids"), ("tf", "tfs"), ("dl", "dls"))]
+        blocks.select(part, "term", "block", *columns).repartition("part", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(4))).sortWithinPartitions("part", "term", "block").write.partitionBy("part").mode("overwrite").parquet(f"{self.folder}/postings/segment={segment}")
+        n, tokens = _totals(added)
+        if removed is not None:
+            less = index(removed, id_col, text_col)
+            none = F.lit(None).cast("int")
+            terms = terms.unionByName(less.postings.groupBy("term").agg((-F.count("*")).alias("df")).withColumns({"max_tf": none, "min_dl": none, "level": none}))
+            removed.select(F.col(id_col).alias("chunk_id")).distinct().write.mode("overwrite").parquet(f"{self.folder}/gone/segment={segment}")
+            n, tokens = (a - b for a, b in zip((n, tokens), _totals(less), strict=True))
+        terms = terms.select(part, "term", "df", "max_tf", "min_dl", "level")
+        terms.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{self.folder}/terms/segment={segment}")
+        return {"id": segment, "n": n, "tokens": tokens, "gone": removed is not None}
+
+    def replace(self, index: Index) -> None:
+        """Makes an index the only segment."""
+        version, held = self.versions.read()
+        segment = max((s["id"] for s in held.get("segments", [])), default=0) + 1
+        parts = max(8, min(4096, 1 << (index.corpus.first()["n"] // DOCS_PER_PART).bit_length()))
+        ids = dict(index.postings.dtypes)["chunk_id"]
+        self.versions.publish(version, {"parts": parts, "ids": ids, "segments": [self._write(segment, parts, index)]})
+
+    def refresh(self, added: DataFrame, removed: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text") -> Index:
+        """One more segment: chunks that are added, and chunks that go, which come with the texts they were indexed with.
+
+        A chunk whose text changes is both. Statistics follow by difference, so that only the new
+        segment is written and no other is read; results are those of a fresh fit."""
+        version, held = self.versions.read()
+        if version < 0:
+            self.replace(index(added, id_col, text_col))
+            return self.index()
+        segment = max(s["id"] for s in held["segments"]) + 1
+        entry = self._write(segment, held["parts"], index(added, id_col, text_col), None if removed is None or removed.isEmpty() else removed, id_col, text_col)
+        self.versions.publish(version, {**held, "segments": [*held["segments"], entry]})
+        return self.index()
+
+    def compact(self) -> Index:
+        """All segments as one, without what was removed; the folders of former ones are deleted by vacuum()."""
+        self.replace(self.index())
+        return self.index()
+
+    def vacuum(self) -> list[int]:
+        """Deletes the segments that the manifest doesn't name, once no search reads them any more."""
+        _, held = self.versions.read()
+        live, dead = {s["id"] for s in held.get("segments", [])}, set()
+        for name in ("postings", "terms", "gone"):
+            fs, top = Versions(self.spark, f"{self.folder}/{name}")._at()
+            for status in fs.listStatus(top) if fs.exists(top) else []:
+                number = status.getPath().getName().removeprefix("segment=")
+                if number.isdigit() and int(number) not in live:
+                    fs.delete(status.getPath(), True)
+                    dead.add(int(number))
+        return sorted(dead)
+
+    def table(self, name: str, segments: list[int], ids: str) -> DataFrame:
+        """A table of these segments; one that a segment has nothing for may be missing."""
+        schema = {
+            "postings": f"term string, block long, ids array<{ids}>, tfs array<long>, dls array<int>, segment int, part int",
+            "terms": "term string, df long, max_tf int, min_dl int, level int, segment int, part int",
+            "gone": f"chunk_id {ids}, segment int",
+        }[name]
+        fs, _ = Versions(self.spark, self.folder)._at()
+        paths = [f"{self.folder}/{name}/segment={s}" for s in segments]
+        paths = [p for p in paths if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))]
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def index(self) -> Index:
+        """The live segments as an index; nothing is read before a search."""
+        _, held = self.versions.read()
+        segments = held["segments"]
+        live = Live(self, held["parts"], held["ids"], [s["id"] for s in segments], [s["id"] for s in segments if s["gone"]])
+        n, tokens = (sum(s[k] for s in segments) for k in ("n", "tokens"))
+        corpus = self.spark.createDataFrame([(n, tokens / n if n else 0.0)], "n long, avgdl double")
+        terms = live.terms().groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0") if len(segments) > 1 else live.terms().select("term", "df")
+        return Index(live.flat(), terms, corpus, live)
+
+
+@dataclass(frozen=True)
+class Live:
+    """The live segments of a stored index."""
+
+    stored: Stored
+    parts: int
+    ids: str
+    segments: list[int]
+    removing: list[int]
+
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int")
+
+    def blocks(self, parts: list[int] | None = None) -> DataFrame:
+        rows = self.stored.table("postings", self.segments, self.ids)
+        return rows if parts is None else rows.filter(F.col("part").isin(parts))
+
+    def terms(self, parts: list[int] | None = None) -> DataFrame:
+        """Terms of every segment; df is below zero for what a segment removes."""
+        rows = self.stored.table("terms", self.segments, self.ids)
+        return rows if parts is None else rows.filter(F.col("part").isin(parts))
+
+    def standing(self, postings: DataFrame) -> DataFrame:
+        """postings (chunk_id, segment, ...) without those that a later segment removes."""
+        if not self.removing:
+            return postings
+        gone = self.stored.table("gone", self.removing, self.ids).groupBy("chunk_id").agg(F.max("segment").alias("until"))
+        return postings.join(gone, "chunk_id", "left").filter(F.col("until").isNull() | (F.col("segment") >= F.col("until"))).drop("until")
+
+    def flat(self) -> DataFrame:
+        """All postings (chunk_id, term, tf, dl)."""
+        return self.standing(spread(self.blocks(), "term", "segment")).select("chunk_id", "term", "tf", "dl")
+
+
+def _totals(index: Index) -> tuple[int, int]:
+    """Chunks and tokens of an index."""
+    row = index.corpus.select("n", F.round(F.col("n") * F.col("avgdl")).cast("long").alias("tokens")).first()
+    return row["n"], row["tokens"]
+
+
+def block_of(chunk_id: Column, level: Column) -> Column:
+    """The block of a chunk among 2 ** level."""
+    return F.pmod(F.xxhash64(chunk_id), F.pow(F.lit(2.0), level).cast("long"))
+
+
+def spread(blocks: DataFrame, *columns: str) -> DataFrame:
+    """Blocks as postings (chunk_id, tf, dl) with these columns."""
+    held = F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("held")
+    return blocks.select(*columns, held).select(*columns, F.col("held.ids").alias("chunk_id"), F.col("held.tfs").alias("tf"), F.col("held.dls").alias("dl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -66,25 +223,106 @@ def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", t
     return Index(postings.select("chunk_id", "term", "tf", "dl"), terms, corpus)
 
 
+def idf() -> Column:
+    return F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def saturation(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    """What a term's frequency counts for in a chunk; it rises with tf and falls with dl."""
+    return tf * (F.lit(k1) + 1) / (tf + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * dl / F.greatest(F.col("avgdl"), F.lit(1.0))))
+
+
 def weight(k1: float = K1, b: float = B) -> Column:
     """Weight of a term in a chunk, from n, df, tf, dl and avgdl."""
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0)))
-    return idf * F.col("tf") * (F.lit(k1) + 1) / norm
+    return idf() * saturation(F.col("tf"), F.col("dl"), k1, b)
 
 
-def search(queries: DataFrame, idx: Index, limit: int, candidates: DataFrame | None = None, k1: float = K1, b: float = B, fields: Sequence[str] = ()) -> DataFrame:
-    """query_id, chunk_id, score, rank of each query's best chunks; candidates (chunk_id) restricts them.
+def _permitted(scores: DataFrame, candidates: DataFrame | None, asked_fields: DataFrame | None, fields: Sequence[str]) -> DataFrame:
+    """Scores of chunks that candidates hold and that meet their query's own filters."""
+    if candidates is None:
+        return scores
+    rows = scores.join(candidates.select("chunk_id", *fields).dropDuplicates(["chunk_id"]), "chunk_id")
+    if fields:
+        rows = rows.join(broadcast_if_small(asked_fields), "query_id").filter(query_matches(fields))
+    return rows.select(*scores.columns)
 
-    With fields, columns of candidates, each query's columns filter_* restrict them further. The query's terms, counted as often as it repeats them, are the small side of the join."""
+
+def _kept(queries: DataFrame, idx: Index, limit: int, candidates: DataFrame | None, k1: float, b: float, fields: Sequence[str], prune: bool | None) -> DataFrame:
+    """(query_id, chunk_id, score) whose sums hold each query's best, from a stored index.
+
+    Only the partitions of the queries' terms are read. Up to PAIRS postings, each query's counted, all
+    are scored in one pass. Beyond, a query's rarest terms name some chunks; their whole scores give a floor that its limit-th best
+    can't be below. Terms whose bounds together stay below a share of the floor can't bring a chunk in
+    by themselves: their postings aren't read but for chunks whose score by the other terms can still
+    reach the floor with these bounds, and of these only the blocks that may hold them. Bounds hold
+    for every posting of a term, so nothing is estimated, no chunk is lost and both ways give the same."""
+    live = idx.stored
+    asked = query_terms(queries).withColumn("part", live.part())
+    parts = sorted(r[0] for r in asked.select("part").distinct().collect())  # at most as many as the index has
+    if not parts:
+        return queries.limit(0).select("query_id", F.lit(None).cast(live.ids).alias("chunk_id"), F.lit(0.0).alias("score"))
+    spots = live.terms(parts).join(broadcast_if_small(asked.select("part", "term").distinct()), ["part", "term"]).select("segment", "part", "term", "df", "max_tf", "min_dl", "level")
+    if len(live.segments) > 1:
+        spots = cut(spots)
+        merged = spots.groupBy("part", "term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")).filter("df > 0")
+    else:
+        merged = spots
+    known = merged.join(asked, ["part", "term"]).crossJoin(F.broadcast(idx.corpus))
+    known = known.withColumn("scale", F.col("qtf") * idf()).withColumn("bound", F.col("scale") * saturation(F.col("max_tf"), F.col("min_dl"), k1, b))
+    known = cut(known.select("query_id", "part", "term", "df", "scale", "bound", "avgdl"))
+    own_filters = queries.select("query_id", *[f"filter_{f}" for f in fields]) if fields else None
+
+    def scored(terms: DataFrame) -> DataFrame:
+        read = live.blocks(parts).join(broadcast_if_small(terms.select("query_id", "part", "term", "scale", "avgdl")), ["part", "term"])
+        rows = live.standing(spread(read, "query_id", "scale", "avgdl", "segment"))
+        sums = rows.groupBy("query_id", "chunk_id", "segment").agg(F.sum(F.col("scale") * saturation(F.col("tf"), F.col("dl"), k1, b)).alias("score"))
+        return _permitted(sums, candidates, own_filters, fields)
+
+    if prune is None:
+        prune = known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] > PAIRS
+    if not prune:
+        return scored(known).select("query_id", "chunk_id", "score")
+    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = known.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("before") < FIRST * limit)
+    levels = broadcast_if_small(spots.filter("level is not null").select("segment", "term", "level"))
+
+    def looked_up(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) of these terms in these chunks (query_id, chunk_id, segment): the one block that may hold a chunk, and its place there."""
+        own = terms.select("query_id", "part", "term", "scale", "avgdl").join(levels, "term")
+        wanted = pairs.select("query_id", "chunk_id", "segment").join(broadcast_if_small(own), ["query_id", "segment"]).withColumn("block", block_of(F.col("chunk_id"), F.col("level")))
+        place = F.array_position("ids", F.col("chunk_id")).cast("int")
+        found = live.blocks(parts).join(wanted, ["segment", "part", "term", "block"]).withColumn("place", place).filter("place > 0")
+        return found.select("query_id", "chunk_id", (F.col("scale") * saturation(F.element_at("tfs", F.col("place")), F.element_at("dls", F.col("place")), k1, b)).alias("score"))
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    placed = lambda rows: rows.withColumn("place", F.row_number().over(best))
+    tried = cut(placed(scored(first)).filter(F.col("place") <= TRIED * limit))
+    whole = looked_up(tried, known).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+    floors = placed(whole).filter(F.col("place") == limit).select("query_id", (F.col("score") - EDGE).alias("floor"))
+    low = Window.partitionBy("query_id").orderBy("bound", "term")
+    split = known.join(broadcast_if_small(cut(floors)), "query_id", "left").withColumn("upto", F.sum("bound").over(low.rowsBetween(Window.unboundedPreceding, 0)))
+    split = cut(split.withColumn("spared", F.coalesce(F.col("upto") < SPARED * F.col("floor"), F.lit(False))))
+    rest = split.filter("spared")
+    open_ = rest.groupBy("query_id").agg(F.max("upto").alias("rest"), F.first("floor").alias("floor"))
+    able = scored(split.filter("not spared")).join(broadcast_if_small(open_), "query_id", "left").filter(F.col("floor").isNull() | (F.col("score") + F.col("rest") >= F.col("floor")))
+    able = cut(able.select("query_id", "chunk_id", "segment", "score"))
+    return able.select("query_id", "chunk_id", "score").unionByName(looked_up(able, rest))
+
+
+def search(queries: DataFrame, idx: Index, limit: int, candidates: DataFrame | None = None, k1: float = K1, b: float = B, fields: Sequence[str] = (), prune: bool | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank of each query's best chunks; candidates (chunk_id) restricts them, if given.
+
+    With fields, columns of candidates, each query's columns filter_* restrict them further. A stored
+    index reads the partitions of the query's terms; prune says whether common terms are read only where
+    they can matter (None: if there is much to score), which changes no result. An index that is only fitted joins its postings
+    with the query's terms, which come counted as often as they repeat."""
     positive(limit=limit)
-    asked = query_terms(queries)
-    known = idx.terms.join(broadcast_if_small(asked), "term").crossJoin(F.broadcast(idx.corpus))
-    postings = idx.postings if candidates is None else idx.postings.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
-    if fields:
-        known = known.join(queries.select("query_id", *[f"filter_{f}" for f in fields]), "query_id")
-        postings = postings.join(candidates.select("chunk_id", *fields).dropDuplicates(["chunk_id"]), "chunk_id")
-    scored = postings.join(broadcast_if_small(known), "term").filter(query_matches(fields))
-    scores = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight(k1, b)), DIGITS).alias("score"))
+    if idx.stored is not None:
+        parts = _kept(queries, idx, limit, candidates, k1, b, fields, prune)
+    else:
+        known = idx.terms.join(broadcast_if_small(query_terms(queries)), "term").crossJoin(F.broadcast(idx.corpus))
+        rows = idx.postings.join(broadcast_if_small(known), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * weight(k1, b)).alias("score"))
+        parts = _permitted(rows, candidates, queries.select("query_id", *[f"filter_{f}" for f in fields]), fields)
+    scores = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scores.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

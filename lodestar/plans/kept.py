@@ -40,7 +40,7 @@ def kept(spark: SparkSession, sources: list[str], make: Callable[[], DataFrame])
     jvm = spark.sparkContext._jvm
     folder = _FOLDERS.get(key)
     if folder is not None:
-        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/index/corpus")
+        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/index/manifest/0.json")
         if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
             folder = None
     if folder is None:

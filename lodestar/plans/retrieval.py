@@ -37,14 +37,15 @@ class Outcome:
 class Retriever:
     """Searches chunks (chunk_id, text, metadata, optional vector) for queries (query_id, query, optional vector).
 
-    A column filters of queries, map<string,string>, has each query's own metadata filters."""
+    A column filters of queries, map<string,string>, has each query's own metadata filters. A stored
+    index is looked up for every search, so that its latest segments are found."""
 
     chunks: DataFrame
     config: RetrievalConfig = field(default_factory=RetrievalConfig)
     policy: FilterPolicy = field(default_factory=FilterPolicy)
     reranker: rerank.Reranker | None = rerank.lexical
     embed: object = embedding.embed
-    index: bm25.Index | None = None
+    index: bm25.Index | bm25.Stored | None = None
 
     def __post_init__(self) -> None:
         self.chunks = fusion.identified(completed(self.chunks))
@@ -79,8 +80,9 @@ class Retriever:
     def sparse(self, queries: DataFrame, limit: int, filters: Mapping[str, Value] | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank by BM25; statistics are those of all chunks."""
         queries, fields = self._own(queries)
-        index = self.index or bm25.index(self.chunks, terms=bm25.query_terms(queries))
-        return bm25.search(queries, index, limit, self._allowed(filters), fields=fields)
+        index = self.index.index() if isinstance(self.index, bm25.Stored) else self.index or bm25.index(self.chunks, terms=bm25.query_terms(queries))
+        allowed = self._allowed(filters) if fields or self.policy.apply(filters) else None
+        return bm25.search(queries, index, limit, allowed, fields=fields)
 
     def _described(self, queries: DataFrame, ranked: DataFrame) -> DataFrame:
         """Ranked ids with the query's text and the chunk's fields; only these few rows meet the texts."""
