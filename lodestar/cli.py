@@ -81,7 +81,8 @@ def api(arguments: Arguments = None) -> int:
     parser.add_argument("--model-server", help="base URL; without it answers are extracts")
     own, spark = parser.parse_args(arguments), _spark()
     chunks = completed(ChunkStore(spark, own.store).read())
-    index = bm25.index(chunks).save(f"{own.store.rstrip('/')}-index")
+    index = bm25.Stored(spark, f"{own.store.rstrip('/')}-index")
+    index.replace(bm25.index(chunks))
     generator = ModelServer(own.model_server).answers if own.model_server else service.extractive
     built = service.build_service(chunks, generator, index=index)
     service.serve(built, spark, own.port).serve_forever()

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestar.operators.filters import positive
 
 DIGITS = 9
-#: Queries that a pass over the vectors holds; more are asked in further passes.
-QUERIES_PER_PASS = 4096
+#: Queries and vectors of a block; every block of the one meets every block of the other once.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
 #: Vectors that are multiplied at once, and scores that are held at once.
 VECTORS, SCORES = 2048, 1 << 21
 
@@ -72,44 +74,54 @@ class _Best:
         return self.found[0]
 
 
+def _block(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0]
+
+
+def _product(limit: int, id_type: pa.DataType, query_type: pa.DataType, filters: Sequence[str], fields: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block of vectors and a block of queries to each query's best of the block."""
+    schema = pa.schema([("query_id", query_type), ("chunk_id", id_type), ("score", pa.float64())])
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(vectors) or not len(queries):
+            return schema.empty_table()
+        asked = _block(queries)
+        ids, matrix = asked.column("query_id"), _unit(_rows(asked.column("vector")))
+        best = _Best(len(matrix), limit)
+        for a in range(0, len(vectors), VECTORS):
+            batch = _block(vectors.slice(a, VECTORS))
+            units, names = _unit(_rows(batch.column("vector"))), np.array(batch.column("chunk_id").to_pylist(), object)
+            step = max(1, SCORES // len(batch))
+            for first in range(0, len(matrix), step):
+                scores = np.round(units @ matrix[first : first + step].T, DIGITS) + 0.0
+                if filters:
+                    scores[~_permitted([asked.column(f).slice(first, step) for f in filters], [batch.column(f) for f in fields], scores.shape)] = -np.inf
+                best.add(scores, first, names)
+        query, score, name = best.rows()
+        return pa.Table.from_arrays([ids.take(pa.array(query)), pa.array(name.tolist(), id_type), pa.array(score)], schema=schema)
+
+    return run
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, limit: int, id_col: str = "chunk_id", vector_col: str = "vector", fields: Sequence[str] = ()) -> DataFrame:
     """query_id, chunk_id, score, rank of each query's nearest chunks.
 
     Filters that all queries share belong before this: they prune the scan. Those of single queries
-    are columns filter_* of queries for the fields, and hold before the ranking. Vectors are multiplied
-    with the queries VECTORS by as many queries as SCORES allow, and a task sends its own best only.
-    queries has query_id and vector; those of one pass, and their best, are all that a task holds."""
+    are columns filter_* of queries for the fields, and hold before the ranking. Vectors and queries
+    are dealt into blocks by a hash; a task multiplies a block of each and keeps its queries' best,
+    which meet by query. Neither side reaches the driver, and vectors are copied for each further
+    QUERY_BLOCK queries only."""
     positive(limit=limit)
-    asked = queries.select("query_id", "vector", *[f"filter_{f}" for f in fields])
-    count = asked.count()
-    passes = max(1, -(-count // QUERIES_PER_PASS))
-    id_type, query_type = dict(chunks.dtypes)[id_col], dict(asked.dtypes)["query_id"]
-    found = None
-    for k in range(passes):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k).toArrow()
-        ids, matrix = block.column(0).combine_chunks(), _unit(_rows(block.column(1).combine_chunks()))
-        filters = [c.combine_chunks() for c in block.columns[2:]]
-
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, filters=filters) -> Iterator[pa.RecordBatch]:
-            best, kind = _Best(len(matrix), limit), None
-            for whole in batches:
-                kind = whole.schema.field(0).type
-                valid = whole.filter(whole.column(1).is_valid())
-                for a in range(0, len(valid) if len(matrix) else 0, VECTORS):
-                    batch = valid.slice(a, VECTORS)
-                    units = _unit(_rows(batch.column(1)))
-                    names = np.array(batch.column(0).to_pylist(), object)
-                    step = max(1, SCORES // len(batch))
-                    for first in range(0, len(matrix), step):
-                        scores = np.round(units @ matrix[first : first + step].T, DIGITS) + 0.0
-                        if filters:
-                            scores[~_permitted([f.slice(first, step) for f in filters], batch.columns[2:], scores.shape)] = -np.inf
-                        best.add(scores, first, names)
-            query, score, name = best.rows()
-            if len(query):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array(name.tolist(), kind), pa.array(score)], names=["query_id", "chunk_id", "score"])
-
-        part = chunks.select(id_col, vector_col, *fields).mapInArrow(search, f"query_id {query_type}, chunk_id {id_type}, score double")
-        found = part if found is None else found.unionByName(part)
+    own = [f"filter_{f}" for f in fields]
+    asked = queries.select("query_id", "vector", *own)
+    vectors = chunks.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("vector"), *fields)
+    across, down = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-vectors.select("chunk_id").count() // VECTOR_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    left = vectors.withColumn("__down", place("chunk_id", down)).withColumn("__across", every(across))
+    right = asked.withColumn("__across", place("query_id", across)).withColumn("__down", every(down))
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("chunk_id", vectors.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+    product = _product(limit, to_arrow_type(schema["chunk_id"].dataType), to_arrow_type(schema["query_id"].dataType), own, fields)
+    found = left.groupBy("__down", "__across").cogroup(right.groupBy("__down", "__across")).applyInArrow(product, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

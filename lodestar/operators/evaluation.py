@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.jobs import broadcast_if_small, cut
@@ -10,30 +10,52 @@ from lodestar.functions.text import normalize_evidence
 
 DIGITS = 9
 EDGE = 1e-9
+#: Characters of the strings that lead to the texts of a short piece of evidence.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct strings of `size` characters in a text; none of a shorter one."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def _holding(asked: DataFrame, texts: DataFrame, keys: Column) -> DataFrame:
+    """(query_id, chunk_id) of the texts (chunk_id, body) that hold a piece (query_id, evidence, keys).
+
+    Whatever holds a piece has all its keys among its own, so the texts of its rarest key are all that are looked at."""
+    asked = cut(asked)
+    wanted = broadcast_if_small(asked.select(F.explode("keys").alias("key")).distinct())
+    held = cut(texts.select("chunk_id", F.explode(keys).alias("key")).join(wanted, "key", "left_semi"))
+    counts = held.groupBy("key").agg(F.count("*").alias("n"))
+    keyed = asked.select("query_id", "evidence", F.explode("keys").alias("key")).join(counts, "key", "left")
+    rarest = keyed.groupBy("query_id", "evidence").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))["key"].alias("key"))
+    pairs = rarest.join(held, "key").select("query_id", "evidence", "chunk_id")
+    return texts.join(broadcast_if_small(cut(pairs)), "chunk_id").filter(F.col("body").contains(F.col("evidence"))).select("query_id", "chunk_id")
 
 
 def evidence_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id) of chunks whose text holds one of a question's pieces of evidence.
 
-    questions: query_id and evidence (a string or an array of them). A piece's words but the first and
-    last are whole words of a text that holds it: the one that fewest chunks have names the chunks that
-    are looked at. Only pieces of fewer than three words are looked for in every chunk; an empty one is in all."""
+    questions: query_id and evidence (a string or an array of them). Keys that a piece shares with every text that holds it
+    lead to the texts: of three words or more the words but the first and last, which are whole words
+    there too; of fewer words its strings of GRAM characters, or the piece itself if it is shorter. An empty piece is in all texts."""
     pieces = F.col("evidence") if dict(questions.dtypes)["evidence"].startswith("array") else F.array("evidence")
     asked = questions.select("query_id", F.explode(pieces).alias("evidence")).select("query_id", normalize_evidence(F.col("evidence")).alias("evidence")).filter("evidence is not null").distinct()
     texts = chunks.select("chunk_id", normalize_evidence(F.col("text")).alias("body"))
     words = F.split("evidence", " ")
-    asked = cut(asked.withColumn("words", F.when(F.size(words) > 2, F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))))))
-    wanted = broadcast_if_small(asked.select(F.explode("words").alias("word")).distinct())
-    held = cut(texts.select("chunk_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(wanted, "word", "left_semi"))
-    counts = held.groupBy("word").agg(F.count("*").alias("n"))
-    keyed = asked.select("query_id", "evidence", F.explode("words").alias("word")).join(counts, "word", "left")
-    rarest = keyed.groupBy("query_id", "evidence").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
-    pairs = rarest.join(held, "word").select("query_id", "evidence", "chunk_id")
-    found = texts.join(broadcast_if_small(cut(pairs)), "chunk_id").filter(F.col("body").contains(F.col("evidence"))).select("query_id", "chunk_id")
-    short = asked.filter("words is null").select("query_id", "evidence")
-    if not short.isEmpty():
-        found = found.union(texts.join(broadcast_if_small(short), F.col("body").contains(F.col("evidence"))).select("query_id", "chunk_id"))
-    return found.distinct()
+    asked = cut(asked.withColumn("size", F.when(F.size(words) > 2, F.lit(-1)).otherwise(F.least(F.length("evidence"), F.lit(GRAM)))))
+    found = None
+    for size in sorted(r[0] for r in asked.select("size").distinct().collect()):  # five values at most
+        own = asked.filter(F.col("size") == size)
+        if size < 0:
+            rows = _holding(own.withColumn("keys", F.array_distinct(F.slice(words, 2, F.size(words) - 2))), texts, F.array_distinct(F.split("body", " ")))
+        elif size:
+            rows = _holding(own.withColumn("keys", _grams(F.col("evidence"), size)), texts, _grams(F.col("body"), size))
+        else:
+            rows = _holding(own.withColumn("keys", F.array(F.lit(""))), texts.filter("body is not null"), F.array(F.lit("")))
+        found = rows if found is None else found.union(rows)
+    return texts.limit(0).join(asked.limit(0), F.lit(False)).select("query_id", "chunk_id") if found is None else found.distinct()
 
 
 def judged(questions: DataFrame, results: DataFrame) -> DataFrame:
@@ -54,12 +76,21 @@ def thresholds(observed: DataFrame) -> DataFrame:
     """(threshold, accuracy) of every candidate: beyond either end of the top scores and between neighbours.
 
     Scores are counted once and summed up from the greatest: what is accepted at a threshold is a
-    running sum. The window has a row for each distinct score of the questions."""
+    running sum. Distinct scores are dealt by ranges; each range sums up its own and is shifted by the
+    ranges before it, of which one row of sums and ends goes to all tasks."""
     counts = observed.filter("top_score is not null").groupBy("top_score").agg(F.count(F.when(F.col("answerable"), 1)).alias("known"), F.count(F.when(~F.col("answerable"), 1)).alias("unknown"))
     every = observed.agg(F.count("*").alias("all"), F.count(F.when(~F.col("answerable"), 1)).alias("refusable"))
-    line = Window.orderBy(F.desc("top_score"))
-    above = lambda c: F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.select("top_score", F.lead("top_score").over(line).alias("next"), F.lag("top_score").over(line).alias("last"), above("known").alias("right"), above("unknown").alias("wrong")).crossJoin(F.broadcast(every))
+    falling = counts.repartitionByRange(F.desc("top_score")).sortWithinPartitions(F.desc("top_score"))
+    placed = cut(falling.withColumn("part", F.shiftrightunsigned(F.monotonically_increasing_id(), 33)))
+    ranges = placed.groupBy("part").agg(F.sum("known").alias("known"), F.sum("unknown").alias("unknown"), F.max("top_score").alias("high"), F.min("top_score").alias("low"))
+    ends = ranges.agg(F.collect_list(F.struct("part", "known", "unknown", "high", "low")).alias("ranges"))
+    rows = placed.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(every))
+    line = Window.partitionBy("part").orderBy(F.desc("top_score"))
+    earlier, later = F.filter("ranges", lambda r: r["part"] < F.col("part")), F.filter("ranges", lambda r: r["part"] > F.col("part"))
+    above = lambda c: F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, 0)) + F.aggregate(earlier, F.lit(0).cast("long"), lambda total, r: total + r[c])
+    next_ = F.coalesce(F.lead("top_score").over(line), F.array_max(F.transform(later, lambda r: r["high"])))
+    last = F.coalesce(F.lag("top_score").over(line), F.array_min(F.transform(earlier, lambda r: r["low"])))
+    rows = rows.select("top_score", "all", "refusable", next_.alias("next"), last.alias("last"), above("known").alias("right"), above("unknown").alias("wrong"))
     accuracy = lambda right, wrong: (right + F.col("refusable") - wrong) / F.col("all")
     below = F.struct(F.coalesce((F.col("top_score") + F.col("next")) / 2, F.col("top_score") - EDGE).alias("threshold"), accuracy(F.col("right"), F.col("wrong")).alias("accuracy"))
     beyond = F.when(F.col("last").isNull(), F.struct((F.col("top_score") + EDGE).alias("threshold"), accuracy(F.lit(0), F.lit(0)).alias("accuracy")))

@@ -136,6 +136,34 @@ def upsert_merge(spark, sf_dir):
     return merged(_unique(rows.filter("doc_id % 2 = 0")), _unique(rows.filter("doc_id % 2 = 1 or doc_id % 3 = 0")))
 
 
+def _stages(spark, sf_dir):
+    """Documents as they were stored first, and what is changed or new: of ids divisible by 3 the text gets a further word."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    first = docs.filter("doc_id % 2 = 0")
+    changed = docs.filter("doc_id % 2 = 1 or doc_id % 3 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")))
+    return first, changed
+
+
+def upsert_store(spark, sf_dir):
+    """A store keyed by id after two writes: what the second changes is replaced."""
+    store = ChunkStore(spark, f"{shared_folder(spark)}/upsert-{uuid.uuid4()}")
+    for rows in _stages(spark, sf_dir):
+        store.upsert(rows.withColumn("chunk_hash", F.col("chunk_id")))
+    return store.read().select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+def index_refresh(spark, sf_dir):
+    """Best chunks by an index of three segments: first texts, changed and new ones, and one that only removes the ids divisible by 5."""
+    first, changed = _stages(spark, sf_dir)
+    stored = bm25.Stored(spark, f"{shared_folder(spark)}/index-{uuid.uuid4()}")
+    stored.refresh(first)
+    stored.refresh(changed, first.filter("doc_id % 3 = 0"))
+    now = first.filter("doc_id % 3 <> 0").unionByName(changed)
+    index = stored.refresh(now.limit(0), now.filter("doc_id % 5 = 0"))
+    found = bm25.search(questions(spark, sf_dir), index, 10)
+    return found.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
+
+
 def ingestion_stats(spark, sf_dir):
     rows = _hashed(spark, sf_dir)
     incoming = rows.filter("doc_id % 2 = 1")
@@ -322,8 +350,7 @@ def incremental_ingest_stream(spark, sf_dir):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
     # a pattern, for the table may be a file or a folder
     ingest_stream(spark, f"{sf_dir}/documents.parque[t]", schema, f"{here}/store", f"{here}/progress")
-    stored = ChunkStore(spark, f"{here}/store").read()
-    return spark.createDataFrame([], "chunk_hash string, point_id string") if stored is None else stored.select("chunk_hash", "point_id")
+    return ChunkStore(spark, f"{here}/store").read().select("chunk_hash", "point_id")
 
 
 def mode_metrics(spark, sf_dir):
@@ -357,7 +384,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL: tuple[Query, ...] = (
     clean_text_pages, first_sentence, bm25_token_counts, hash_tokens, count_tokens, truncated_texts, chunk_metadata, normalized_evidence, recursive_chunks,
-    dedup_first_wins, existing_semi, pending_anti, upsert_merge, ingestion_stats, hash_embedding_long, vector_dimensions, dense_topk, dense_topk_filtered,
+    dedup_first_wins, existing_semi, pending_anti, upsert_merge, upsert_store, index_refresh, ingestion_stats, hash_embedding_long, vector_dimensions, dense_topk, dense_topk_filtered,
     store_counts, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_filtered_topk, hashed_dense_topk, rrf_fusion, hybrid_rerank, dense_rerank, sparse_rerank, dense_only, hybrid_wide,
     retrieval_diagnostics, relevance_threshold, context_selection, per_document_cap, context_strings, refusal_decision, answers, parent_expansion,
     citation_validation, evidence_containment, threshold_calibration, retrieval_metrics, context_recall, mode_metrics, question_recall, cjk_tokens, incremental_ingest_stream,

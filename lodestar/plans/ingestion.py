@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lodestar.functions.jobs import cut
 from lodestar.functions.text import first_sentence
-from lodestar.operators import embedding
+from lodestar.operators import bm25, embedding
 from lodestar.operators.chunking import Chunker
 from lodestar.sources import files
 from lodestar.sources.store import ChunkStore, first_chunks
@@ -65,7 +65,7 @@ def summarized(chunks: DataFrame, summarize: Summarize | None = None) -> DataFra
 
 
 def embedded(chunks: DataFrame, embed: Embed | None = None, batch_size: int = EMBED_BATCH) -> DataFrame:
-    """Adds vector; null where the provider failed for the batch. Without a provider feature hashing."""
+    """Adds vector; null where the provider failed for the batch or gave a wrong number of vectors. Without a provider feature hashing."""
     if embed is None:
         return chunks.join(embedding.embed(chunks, "chunk_hash", "text"), "chunk_hash")
 
@@ -74,10 +74,12 @@ def embedded(chunks: DataFrame, embed: Embed | None = None, batch_size: int = EM
             for a in range(0, len(batch), batch_size):
                 some = batch.slice(a, batch_size)
                 try:
-                    vectors = embed(some.column("text").to_pylist())
+                    vectors = pa.array(list(embed(some.column("text").to_pylist())), pa.list_(pa.float64()))
+                    if len(vectors) != len(some):
+                        raise ValueError(f"{len(vectors)} vectors for {len(some)} texts")
                 except Exception:  # a provider may fail in any way
-                    vectors = [None] * len(some)
-                yield some.append_column("vector", pa.array(vectors, pa.list_(pa.float64())))
+                    vectors = pa.nulls(len(some), pa.list_(pa.float64()))
+                yield some.append_column("vector", vectors)
 
     return chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
@@ -89,11 +91,17 @@ class Ingestion:
     summarize: Summarize | None = None
     embed: Embed | None = None
     ocr: files.Ocr | None = None
+    #: A kept search index that gets a segment for every addition.
+    index: bm25.Stored | None = None
 
     def run(self, source: str) -> Stats:
         """Ingests a file or folder; what is stored already costs no summary and no embedding."""
+        return self.add_files(files.discover(self.store.spark, source))
+
+    def add_files(self, found: DataFrame) -> Stats:
+        """Ingests files (path, content)."""
         stats = Stats()
-        found = cut(files.parse(files.discover(self.store.spark, source), self.ocr))
+        found = cut(files.parse(found, self.ocr))
         pages = files.usable(found)
         chunks = cut(self.chunker.chunks(pages))
         per_file = found.groupBy("path").agg(F.count("*").alias("n")).join(chunks.groupBy("path").agg(F.count("*").alias("chunks")), "path", "left")
@@ -130,7 +138,13 @@ class Ingestion:
         if len(sizes) != 1:
             stats.warnings.append("vectors of several sizes" if sizes else "no vectors")
             return stats
-        self.store.ensure(sizes[0])
-        self.store.append(whole)
+        try:
+            self.store.ensure(sizes[0])
+            self.store.append(whole)
+        except Exception as problem:  # the counters so far are worth having whatever a store does
+            stats.warnings.append(f"storing failed: {problem}")
+            return stats
         stats.chunks_upserted = new - lost
+        if self.index is not None:
+            self.index.refresh(whole)
         return stats

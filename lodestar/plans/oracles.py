@@ -205,6 +205,11 @@ SQL: dict[str, str] = {
     "existing_semi": f"SELECT chunk_hash FROM ({_ODD}) WHERE chunk_hash IN ({_EVEN})",
     "pending_anti": f"SELECT chunk_hash, doc_id FROM ({_ODD}) WHERE chunk_hash NOT IN ({_EVEN})",
     "upsert_merge": f"SELECT chunk_hash, coalesce(min(CASE WHEN doc_id % 2 = 1 OR doc_id % 3 = 0 THEN doc_id END), min(doc_id)) AS doc_id FROM (SELECT {_HASH} AS chunk_hash, doc_id FROM documents) GROUP BY 1",
+    "upsert_store": "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' revised' ELSE coalesce(text, '') END) AS digest FROM documents WHERE doc_id IS NOT NULL",
+    "index_refresh": _with(("sparse",), "SELECT query_id, chunk_id::BIGINT AS chunk_id, rank::INT AS rank, round(score, 6) AS score FROM sparse WHERE rank <= 10").replace(
+        f"chunks AS ({_PARTS['chunks'][1]})",
+        "chunks AS (SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' revised' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id IS NOT NULL AND doc_id % 5 <> 0)",
+    ),
     "ingestion_stats": f"SELECT coalesce(sum(n), 0)::BIGINT AS created, count(*) AS unique_chunks, coalesce(sum(n - 1), 0)::BIGINT AS duplicates, count(CASE WHEN known THEN 1 END) AS existing, count(CASE WHEN NOT known THEN 1 END) AS pending FROM (SELECT chunk_hash, n, chunk_hash IN ({_EVEN}) AS known FROM (SELECT {_HASH} AS chunk_hash, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY 1))",
     "hash_embedding_long": _with(("bins",), "SELECT id AS doc_id, idx, value FROM bins WHERE kind = 0"),
     "vector_dimensions": "SELECT len(embedding)::BIGINT AS dimensions, count(*) AS vectors FROM embeddings GROUP BY 1",

@@ -86,7 +86,7 @@ class Service:
         )
 
 
-def build_service(chunks: DataFrame, generator: Generator = extractive, env: Mapping[str, str] | None = None, index: bm25.Index | None = None) -> Service:
+def build_service(chunks: DataFrame, generator: Generator = extractive, env: Mapping[str, str] | None = None, index: bm25.Index | bm25.Stored | None = None) -> Service:
     """A service over a chunks table, and the index fitted on it, by environment settings."""
     config = from_environment(env)
     return Service(Retriever(chunks, config, index=index), generator, completed(chunks), config)
