@@ -57,8 +57,7 @@ def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return urlfilter.judge(pages, urlfilter.train(pages))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train())
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

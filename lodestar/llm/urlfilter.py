@@ -1,8 +1,12 @@
-"""URL filtering: allow and block rules, and gradient-boosted trees for the rest (operator 10)."""
+"""URL filtering: allow and block rules, and gradient-boosted trees for the rest (operator 10).
+
+The trees are fitted on labelled URLs: a table that the caller has, or else what made_urls() makes. The
+rules' own URLs are never learned from: rules decide by names, trees by what a URL looks like."""
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Callable, Iterator
 
@@ -21,12 +25,12 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Labelled URLs the trees are fitted on, at most: those of least MD5.
-TRAIN_URLS = 20_000
+#: Labelled URLs the trees are fitted on, at most: those of least MD5. Without a table, as many as MADE are made.
+TRAIN_URLS, MADE = 20_000, 6_000
 TREES, DEPTH, RATE, BINS, SMOOTH, FOLDS = 60, 3, 0.2, 32, 5.0, 5
 FEATURES = (
     "url_length", "host_length", "path_length", "query_length", "host_labels", "path_depth", "digit_ratio", "host_digit_ratio",
-    "entropy", "host_entropy", "parameters", "fragment", "hyphens", "https", "first_segment_length", "longest_token", "suffix_rate", "extension_rate", "segment_rate", "suffix_segment_rate", "suffix_path_rate",
+    "entropy", "host_entropy", "parameters", "fragment", "hyphens", "https", "first_segment_length", "longest_token", "suffix_rate",
 )
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HOST = re.compile(r"[^/?#]*")
@@ -71,17 +75,13 @@ def _entropy(text: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def rate_keys(host: str, path: str) -> tuple[str, ...]:
-    """What block rates are counted by: the host's last two labels, the path's extension, its first
-    segment, that with the host's labels, and all this with the path's next character."""
-    suffix, last = ".".join(host.split(".")[-2:]), path.rpartition("/")[2]
-    extension = last.rpartition(".")[2] if "." in last else ("/" if path.endswith("/") else "")
-    segment, _, rest = path[1:].partition("/") if path.count("/") > 1 else ("", "", "")
-    return suffix, extension, segment, f"{suffix}/{segment}", f"{suffix}/{segment}/{rest[:1]}"
+def suffix(host: str) -> str:
+    """The host's last label, by which block rates are counted."""
+    return host.rpartition(".")[2]
 
 
 def lexical(url: str) -> list[float]:
-    """FEATURES of a URL but the rates, which come last."""
+    """FEATURES of a URL but the rate, which comes last."""
     host, path = split_url(url)
     rest = url.partition("://")[2][len(host) + len(path) :] if "://" in url else url
     query, mark, _ = rest.partition("#")
@@ -95,27 +95,60 @@ def lexical(url: str) -> list[float]:
 
 
 class Rates:
-    """Smoothed block rates of rate_keys(): the first three lean on the rate of all, each further one
-    on that before it, which stands for what was never seen. Each fold's URLs are also counted apart,
-    so that a URL that is learned from can be described by the others' labels."""
+    """Smoothed block rates of suffixes; the rate of all stands for what was never seen. Each fold's
+    URLs are also counted apart, so that a URL that is learned from is described by the others' labels."""
 
     def __init__(self, urls: list[str], y: np.ndarray):
         self.prior = float(y.mean())
         self.folds = np.arange(len(urls)) % FOLDS
-        self.sums: list[dict[str, np.ndarray]] = [{} for _ in rate_keys("", "")]
+        self.sums: dict[str, np.ndarray] = {}
         for url, fold, label in zip(urls, self.folds, y, strict=True):
-            for key, sums in zip(rate_keys(*split_url(url)), self.sums, strict=True):
-                entry = sums.setdefault(key, np.zeros((FOLDS + 1, 2)))
-                entry[[fold, FOLDS]] += (label, 1)
+            self.sums.setdefault(suffix(split_url(url)[0]), np.zeros((FOLDS + 1, 2)))[[fold, FOLDS]] += (label, 1)
 
     def of(self, url: str, fold: int | None = None) -> list[float]:
-        """The rates of a URL, without the labels of a fold."""
-        out: list[float] = []
-        for key, sums in zip(rate_keys(*split_url(url)), self.sums, strict=True):
-            entry = sums.get(key)
-            blocked, n = (0.0, 0.0) if entry is None else entry[FOLDS] - (0 if fold is None else entry[fold])
-            out.append((blocked + SMOOTH * (out[-1] if len(out) > 2 else self.prior)) / (n + SMOOTH))
-        return out
+        """The rate of a URL's suffix, without the labels of a fold."""
+        entry = self.sums.get(suffix(split_url(url)[0]))
+        blocked, n = (0.0, 0.0) if entry is None else entry[FOLDS] - (0 if fold is None else entry[fold])
+        return [(blocked + SMOOTH * self.prior) / (n + SMOOTH)]
+
+
+#: Traits of junk that made_urls() gives to URLs.
+TRAITS = ("chained_host", "numbered_host", "long_token", "many_parameters", "deep_path", "long_numbers", "odd_suffix")
+
+
+def made_urls(count: int = MADE, seed: int = 10, traits: tuple[str, ...] = TRAITS) -> list[tuple[str, bool]]:
+    """Labelled URLs made up for training: (url, junk), the same for the same arguments.
+
+    A clean URL has a host of one word or two, a few readable segments, seldom a parameter, and in a
+    quarter of cases one trait. Junk, a third of all, is a URL with two to four traits. So no trait by
+    itself tells junk; none of the names is a real one."""
+    rng = random.Random(seed)
+    syllables = [c + v for c in "bcdfglmnprst" for v in "aeiou"]
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    token = lambda a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+    out = []
+    for _ in range(count):
+        junk = rng.random() < 1 / 3
+        own = set(rng.sample(traits, min(len(traits), rng.randint(2, 4) if junk else int(rng.random() < 0.25))))
+        host = word() if rng.random() < 0.85 else f"{word()}-{word()}"
+        if "chained_host" in own:
+            host = "-".join(word() for _ in range(rng.randint(3, 5)))
+        if "numbered_host" in own:
+            host += str(rng.randint(10, 10 ** rng.randint(2, 6)))
+        ending = rng.choice(["top", "icu", "zz", "biz"]) if "odd_suffix" in own else rng.choice(["com", "com", "net", "org", "org", "de", "fr", "es"])
+        path = [rng.choice([word(), f"{word()}-{word()}", str(rng.randint(1, 9999)), "en", "de", "fr"]) for _ in range(rng.randint(1, 4))]
+        if "deep_path" in own:
+            path += [word() for _ in range(rng.randint(5, 9))]
+        if "long_token" in own:
+            path.insert(rng.randint(0, len(path)), token(18, 40))
+        if "long_numbers" in own:
+            path += [str(rng.randint(10**7, 10**14)) for _ in range(rng.randint(1, 2))]
+        many = rng.randint(4, 9) if "many_parameters" in own else rng.choice([0, 0, 0, 0, 0, 1, 1, 2])
+        asked = "&".join(f"{word()[:4]}={rng.choice([word(), str(rng.randint(1, 99)), token(3, 8)])}" for _ in range(many))
+        tail = rng.choice(["", "", "/", ".html"]) + (f"?{asked}" if asked else "") + rng.choice(["", "", "", "", "#top"])
+        out.append((f"http{rng.choice(['s', 's', ''])}://{rng.choice(['', '', 'www.', 'm.', 'blog.'])}{host}.{rng.choice(['', '', 'example.'])}{ending}/{'/'.join(path)}{tail}", junk))
+    return out
 
 
 def _edges(values: np.ndarray) -> np.ndarray:
@@ -155,7 +188,7 @@ class Boosted:
             at = np.zeros(len(y), int)
             for node in range(2**DEPTH - 1):
                 rows = np.flatnonzero(at == node)
-                best = (1e-9, 0, np.inf, BINS)
+                best = (1e-9, 0, np.inf, len(y) + BINS)  # without a split all rows go left, as they do in blocked()
                 for f, e in enumerate(edges):
                     if not len(e) or len(rows) < 2:
                         continue
@@ -175,6 +208,11 @@ class Boosted:
             self.trees.append((feature, threshold, value))
         return self
 
+    def importances(self) -> dict[str, float]:
+        """Each feature's part of the splits."""
+        used = np.concatenate([f[np.isfinite(t)] for f, t, _ in self.trees]) if self.trees else np.zeros(0, int)
+        return {name: float((used == k).mean()) if len(used) else 0.0 for k, name in enumerate(FEATURES)}
+
     def blocked(self, urls: list[str]) -> np.ndarray:
         """Whether the log-odds of block are above zero."""
         margin = np.full(len(urls), self.base)
@@ -189,37 +227,34 @@ class Boosted:
         return margin > 0
 
 
-def _ruled(rules: Rules, model: Boosted | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _ruled(rules: Rules, model: Boosted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls = batch.column(1).to_pylist()
             parts = [split_url(u) for u in urls]
             matched = [rules.match(*p) for p in parts]
             verdict = [m[1] for m in matched]
-            if model is not None:
-                open_ = [i for i, v in enumerate(verdict) if v is None]
-                for i, block in zip(open_, model.blocked([urls[i] or "" for i in open_]), strict=True):
-                    verdict[i] = "block" if block else "allow"
+            open_ = [i for i, v in enumerate(verdict) if v is None]
+            for i, block in zip(open_, model.blocked([urls[i] or "" for i in open_]), strict=True):
+                verdict[i] = "block" if block else "allow"
             columns = [[p[0] for p in parts], [p[1] for p in parts], [m[0] for m in matched], verdict]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], names=["id", "host", "path", "rule", "verdict"])
 
     return run
 
 
-def train(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | None = None, url_col: str = "url", train_urls: int = TRAIN_URLS) -> Boosted:
-    """Fits the trees on labelled URLs: a table (url, verdict) if given, else the URLs that a rule decides.
+def train(labelled: DataFrame | None = None, train_urls: int = TRAIN_URLS) -> Boosted:
+    """Fits the trees on labelled URLs (url, verdict), of which at most train_urls distinct ones are taken,
+    those of least MD5, the same on every run; without a table on made_urls().
 
-    At most train_urls distinct ones are taken, those of least MD5, the same on every run. Only URLs
-    whose hash is below a bound leave the scan; the bound rises until there are enough or all."""
-    source = pages.select(F.col(url_col).alias("url")) if labelled is None else labelled.filter("verdict in ('allow', 'block')").select("url", "verdict")
-    source = source.filter(F.col("url").isNotNull())
+    Only URLs whose hash is below a bound leave the scan; the bound rises until there are enough or all."""
+    if labelled is None:
+        urls, junk = zip(*made_urls(), strict=True)
+        return Boosted().fit(list(urls), list(junk))
+    source = labelled.filter("verdict in ('allow', 'block')").select("url", "verdict").filter(F.col("url").isNotNull())
     part = min(1.0, 4.0 * train_urls / max(1, source.count()))
     while True:
-        some = source.filter(md5_bits(F.col("url"), 8).cast("double") / 16.0**8 <= part).distinct()
-        if labelled is None:
-            some = some.select(F.col("url").alias("id"), "url").mapInArrow(_ruled(Rules(rules), None), "id string, host string, path string, rule string, verdict string")
-            some = some.filter("verdict is not null").select(F.col("id").alias("url"), "verdict")
-        some = cut(some)
+        some = cut(source.filter(md5_bits(F.col("url"), 8).cast("double") / 16.0**8 <= part).distinct())
         if part >= 1 or some.count() >= train_urls:
             break
         part = min(1.0, 4 * part)
@@ -231,7 +266,7 @@ def judge(pages: DataFrame, model: Boosted, rules: tuple[tuple[str, str], ...] =
     """page_id, host, path, rule and verdict of every row.
 
     A null URL, or one without `://`, has an empty host and path, fits no rule and is judged by the
-    trees as the text it is (null: empty). Without labelled URLs the trees allow. Repeated rows are
+    trees as the text it is (null: empty). Trees that were given no labels allow. Repeated rows are
     judged alike; an empty table gives no rows; other columns aren't read."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     out = rows.mapInArrow(_ruled(Rules(rules), model), f"id {dict(rows.dtypes)['id']}, host string, path string, rule string, verdict string")

@@ -453,23 +453,44 @@ def test_rules_against_all_rules_one_by_one():
         assert urlfilter.Rules(rules).match(host, path) == ((max(found)[1], max(found)[2]) if found else (None, None))
 
 
-def made_urls(rng, n):
-    word = lambda: "".join(rng.choice("the an er re on".split()) for _ in range(3))
-    return [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'www.', 'm.'])}{word()}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'en', 'en', 'fr', 'de', 'es'])}/{rng.randint(100, 9999)}{rng.choice(['', '/', '.html', '?page=2'])}" for _ in range(n)]
-
-
-def test_trees_learn_what_the_rules_decide():
-    """Held out: a quarter of the URLs that a rule decides. Always allowing is right for less than 0.75 of them."""
-    rules = urlfilter.Rules(urlfilter.RULES)
-    known = [(u, rules.match(*urlfilter.split_url(u))[1]) for u in made_urls(random.Random(4), 4000)]
-    known = [(u, v == "block") for u, v in known if v]
-    fit, held = [k for i, k in enumerate(known) if i % 4], known[::4]
-    model = urlfilter.Boosted().fit(*map(list, zip(*fit, strict=True)))
-    found, true = model.blocked([u for u, _ in held]), np.array([y for _, y in held])
-    assert (found == true).mean() >= 0.97 and found[true].mean() >= 0.95 and true.mean() > 0.25
-    # what no rule decides is blocked where the same path is, not elsewhere
-    other = [f"http://x.example.net/{path}" for path in ("fr/3000", "en/2000", "en/2000.html")]
-    assert not model.blocked(other).any()
+def test_trees_tell_junk_by_what_it_looks_like():
+    """Held out: other URLs of the maker, and URLs of a trait that was never made in training."""
+    model = urlfilter.train()
+    for seed, traits, least in ((99, urlfilter.TRAITS, 0.93), (98, ("long_token", "deep_path", "numbered_host"), 0.85)):
+        urls, junk = map(list, zip(*urlfilter.made_urls(2000, seed, traits), strict=True))
+        found, true = model.blocked(urls), np.array(junk)
+        assert (found == true).mean() >= least and 0.25 < true.mean() < 0.42
+    parts = model.importances()
+    assert max(parts.values()) < 0.5 and sum(v > 0.03 for v in parts.values()) >= 6
+    unseen = [t for t in urlfilter.TRAITS if t != "long_token"]
+    narrow = urlfilter.Boosted().fit(*map(list, zip(*urlfilter.made_urls(seed=3, traits=tuple(unseen)), strict=True)))
+    urls, junk = map(list, zip(*urlfilter.made_urls(2000, 97), strict=True))
+    assert (narrow.blocked(urls) == np.array(junk)).mean() >= 0.85
+    # names that rules decide by mean nothing to the trees
+    clean = [f"https://www.word.example.{end}/{lang}/{n}" for end in ("com", "org", "net") for lang in ("de", "es", "en") for n in (1, 17, 2000)]
+    assert not model.blocked(clean).any()
+
+
+def test_trees_follow_the_gradient():
+    """Every leaf is the loss's gradient over its curvature, by differences; every root the best split, by trying all."""
+    urls, junk = map(list, zip(*urlfilter.made_urls(300, 5), strict=True))
+    model, y = urlfilter.Boosted().fit(urls, junk), np.array(junk, float)
+    x = np.array([urlfilter.lexical(u) + model.rates.of(u, f) for u, f in zip(urls, model.rates.folds, strict=True)])
+    margin, step = np.full(len(y), model.base), 1e-4
+    loss = lambda m: np.logaddexp(0, m) - y * m
+    for feature, threshold, value in model.trees[:5]:
+        slope = -(loss(margin + step) - loss(margin - step)) / (2 * step)
+        bend = (loss(margin + step) - 2 * loss(margin) + loss(margin - step)) / step**2
+        gain = lambda m: slope[m].sum() ** 2 / (bend[m].sum() + 1) + slope[~m].sum() ** 2 / (bend[~m].sum() + 1)  # noqa: B023, E731
+        best = max(gain(x[:, f] <= t) for f in range(x.shape[1]) for t in urlfilter._edges(x[:, f]))
+        assert abs(gain(x[:, feature[0]] <= threshold[0]) - best) < 1e-3
+        at = np.zeros(len(y), int)
+        for _ in range(urlfilter.DEPTH):
+            at = 2 * at + 1 + (x[np.arange(len(y)), feature[at]] > threshold[at])
+        leaf = at - (2**urlfilter.DEPTH - 1)
+        for k in np.unique(leaf):
+            assert abs(value[k] - urlfilter.RATE * slope[leaf == k].sum() / (bend[leaf == k].sum() + 1)) < 1e-4
+        margin = margin + value[leaf]
 
 
 def test_labels_do_not_describe_their_own_url():
@@ -480,12 +501,11 @@ def test_labels_do_not_describe_their_own_url():
 
 
 def test_training_sample_is_taken_on_the_scan(spark):
-    rows = [(i, u) for i, u in enumerate(made_urls(random.Random(5), 600))]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    rules = urlfilter.Rules(urlfilter.RULES)
-    known = sorted({u for _, u in rows if rules.match(*urlfilter.split_url(u))[1]}, key=lambda u: hashlib.md5(u.encode()).hexdigest())[:50]
-    want = urlfilter.Boosted().fit(known, [rules.match(*urlfilter.split_url(u))[1] == "block" for u in known])
-    got = urlfilter.train(pages, train_urls=50)
+    rows = [(u, "block" if junk else "allow") for u, junk in urlfilter.made_urls(600, 5)]
+    labelled = spark.createDataFrame([*rows, (None, "block"), ("http://x.y", None)], "url string, verdict string")
+    known = sorted(set(rows), key=lambda r: hashlib.md5(r[0].encode()).hexdigest())[:50]
+    want = urlfilter.Boosted().fit([u for u, _ in known], [v == "block" for _, v in known])
+    got = urlfilter.train(labelled, train_urls=50)
     assert got.base == want.base and all((a == b).all() for x, z in zip(got.trees, want.trees, strict=True) for a, b in zip(x, z, strict=True))
 
 
@@ -494,14 +514,14 @@ def test_judge(spark):
     rows = [(i, f"http://{'spam-' * 3 if i % 2 else 'news'}{rng.randint(0, 99)}.{rng.choice(['com', 'net'])}/{'/'.join('ab' for _ in range(1 + 4 * (i % 2)))}/{i}") for i in range(400)]
     labelled = spark.createDataFrame([(u, "block" if i % 2 else "allow") for i, u in rows[:300]], "url string, verdict string")
     pages = spark.createDataFrame([*rows, (900, None), (901, ""), (None, rows[0][1]), (0, rows[0][1])], "page_id long, url string").withColumn("verdict", F.lit("x")).withColumn("host", F.lit("y"))
-    model = urlfilter.train(pages, labelled=labelled)
+    model = urlfilter.train(labelled)
     out = urlfilter.judge(pages, model).collect()
     assert len(out) == 404
     true = {i: "block" if i % 2 else "allow" for i, _ in rows[300:]}
     assert sum(r["verdict"] == true[r["page_id"]] for r in out if r["page_id"] in true) >= 95
-    own = urlfilter.judge(pages, urlfilter.train(pages)).collect()
-    assert all(r["verdict"] == "allow" for r in own)  # no rule fits, so nothing was learned
-    assert urlfilter.judge(pages.limit(0), urlfilter.train(pages.limit(0))).count() == 0
+    own = urlfilter.judge(pages, urlfilter.train(labelled.limit(0))).collect()
+    assert all(r["verdict"] == "allow" for r in own)  # no rule fits, and nothing was learned
+    assert urlfilter.judge(pages.limit(0), urlfilter.train()).count() == 0
 
 
 # ---------------------------------------------------------------- chats
