@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import broadcast_checked, cut
 
-#: Labelled turns that are learned from, at most, and their most frequent roles.
-TRAIN_TURNS, MAX_ROLES, SMOOTH = 20_000, 32, 0.5
-#: Rows of a conversation that make one part, and parts that are combined at once.
-MOST, FAN = 128, 256
+#: Labelled turns that are learned from, at most.
+TRAIN_TURNS, SMOOTH = 20_000, 0.5
+#: Rows of a conversation that make one part, parts that are combined at once, and numbers that these may hold.
+MOST, FAN, WAYS = 128, 256, 1 << 22
 #: Log probabilities are multiples of this, so that their sums are exact in any order.
 GRAIN = 2.0**-24
 #: Conversations of more than MOST rows that a broadcast may list.
@@ -102,7 +102,7 @@ class RoleModel:
 
     def __init__(self, transcripts: list[list[tuple[str, str]]]):
         roles = Counter(role for turns in transcripts for role, _ in turns)
-        self.roles = sorted(r for r, _ in sorted(roles.items(), key=lambda x: (-x[1], x[0]))[:MAX_ROLES]) or ["user"]
+        self.roles = sorted(roles) or ["user"]
         n = 2 * len(self.roles)
         start, move = np.full(n, SMOOTH), np.full((n, n), SMOOTH)
         emit = [np.full((n, size), SMOOTH) for size in _SIZES]
@@ -216,8 +216,8 @@ def held_out(column):
 
 def train(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", train_turns: int = TRAIN_TURNS) -> RoleModel:
     """A model from at most train_turns labelled turns of conversations that aren't held out, those of least
-    hash of the id, in order of turn (null as 0), role and text: the same on every run. Of more than
-    MAX_ROLES roles among them the most frequent are learned; others can't be predicted."""
+    hash of the id, in order of turn (null as 0), role and text: the same on every run. All their
+    roles are learned; scores grow with the square of their number."""
     rows = turns.select(F.col(conv_col).cast("string").alias("conv"), F.coalesce(F.col(turn_col), F.lit(0)).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.filter(F.col("conv").isNotNull() & F.col("role").isNotNull() & ~held_out(F.col("conv"))).withColumn("h", F.xxhash64("conv"))
     count = rows.count()
@@ -324,9 +324,10 @@ def _passages(model: RoleModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def _borders(model: RoleModel, parts: DataFrame) -> DataFrame:
     """conv, part, before and last: states of the whole conversation's best path at the borders of every part with lines.
 
-    FAN parts are combined into one of the level above until one is left, then the path is traced
-    down level by level; no task holds more of a conversation at once."""
+    FAN parts, or as many as hold WAYS numbers, are combined into one of the level above until one is
+    left, then the path is traced down level by level; no task holds more of a conversation at once."""
     states = len(model.start)
+    fan = max(2, min(FAN, WAYS // states**2))
 
     def matrices(blobs: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(b, np.float64).reshape(states + 1, states) for b in blobs]
@@ -345,11 +346,11 @@ def _borders(model: RoleModel, parts: DataFrame) -> DataFrame:
             yield _table(out, ["conv", "part", "before", "last"], [pa.string(), pa.int64(), pa.int64(), pa.int64()])
 
     def grouped(level: DataFrame) -> DataFrame:
-        above = F.floor(F.col("part") / F.lit(FAN)).alias("above")
+        above = F.floor(F.col("part") / F.lit(fan)).alias("above")
         return level.groupBy("conv", above).agg(F.array_sort(F.collect_list(F.struct("part", "ways"))).alias("own"))
 
     levels = [cut(parts)]
-    while (levels[-1].agg(F.max("part")).first()[0] or 0) >= FAN:
+    while (levels[-1].agg(F.max("part")).first()[0] or 0) >= fan:
         levels.append(cut(grouped(levels[-1]).mapInArrow(up, "conv string, part long, ways binary")))
     found = None
     for level in reversed(levels):

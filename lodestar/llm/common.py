@@ -36,6 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names made of the stems that df doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, k = stem, 0
+        while name.lower() in taken:
+            name, k = f"{stem}_{k}", k + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bytes of data that a broadcast may have.
 BROADCAST_BYTES = 16 << 20
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer
+from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer, unused
 from lodestar.llm.shingles import permutations, shingles
 
 #: The least window similarity of an item at 0.8 is 0.19; all of 64 minima miss with a chance of 1e-6.
@@ -170,9 +170,10 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that hold no test item, with their columns. Rows are dropped by id, so those with a null id stay; without_items() judges each row."""
-    hit = cut(contaminated(docs, benchmark, width, percent, id_col, text_col).select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(broadcast_checked(hit, 1_000_000), F.col(id_col) == F.col("__hit"), "left_anti")
+    """The rows of docs that hold no test item, with their columns, which may have any names. Rows are dropped by id, so those with a null id stay; without_items() judges each row."""
+    (own,) = unused(docs, "hit")
+    hit = cut(contaminated(docs, benchmark, width, percent, id_col, text_col).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(broadcast_checked(hit, 1_000_000), docs[id_col] == F.col(own), "left_anti")
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import pieces, text_buffer
 
 ORDER = 4
-#: Bounds of the training sample: whole texts, in order of a hash of their id, until a language has this many bytes, and this many languages.
-TRAIN_BYTES = 400_000
-MAX_LANGUAGES = 64
+#: Bounds of the training sample: whole texts, in order of a hash of their id, until a language has this many bytes,
+#: or its even part of what all languages may have together.
+TRAIN_BYTES, TRAIN_TOTAL = 400_000, 6_400_000
+#: Languages whose costs share a table; a table has a column for each, so that one for all would grow with their square.
+GROUP = 16
 #: A text that costs more bits a byte than bytes drawn evenly is in no learned language.
 MAX_BITS = 8.0
 PIECE = 1 << 19
@@ -88,8 +90,8 @@ def grams(text: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-class Model:
-    """Frozen costs of all languages."""
+class Trees:
+    """Frozen costs of a group of languages."""
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = sorted(texts)
@@ -155,6 +157,19 @@ class Model:
                 total[here] += np.add.reduceat(sums, np.stack([lo[here], hi[here]], 1).reshape(-1), axis=0, dtype=np.float64)[::2]
         return total
 
+
+class Model:
+    """Frozen costs of any number of languages."""
+
+    def __init__(self, texts: dict[str, list[bytes]]):
+        self.languages = sorted(texts)
+        groups = [self.languages[a : a + GROUP] for a in range(0, len(self.languages), GROUP)]
+        self.trees = [Trees({name: texts[name] for name in names}) for names in groups]
+
+    def bits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Code length of each text in each language."""
+        return np.hstack([np.zeros((len(offsets) - 1, 0)), *(t.bits(raw, offsets) for t in self.trees)])
+
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a byte of each text."""
         n = np.diff(offsets)
@@ -188,16 +203,18 @@ def held_out(column):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = TRAIN_BYTES, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = TRAIN_BYTES, train_total: int = TRAIN_TOTAL) -> Model:
     """A model from a bounded sample of the rows that may be learned from.
 
-    Ranking by a hash of the id keeps the sample the same on every run. The languages are the most
-    frequent max_languages; for each, whole texts until train_bytes are reached (the one that
+    Ranking by a hash of the id keeps the sample the same on every run. Every language is learned, from
+    whole texts until train_bytes, or its even part of train_total, are reached (the one that
     crosses the bound included, if it isn't longer than the bound itself)."""
+    languages = learning_rows(docs, id_col, lang_col).filter(F.col(text_col).isNotNull()).select(lang_col).distinct().count()
+    train_bytes = min(train_bytes, train_total // max(1, languages))
     fit = learning_rows(docs, id_col, lang_col).filter(F.col(text_col).isNotNull())
     rows = fit.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.octet_length(text_col).alias("n"))
     rows = rows.filter(F.col("n").between(1, train_bytes)).withColumn("h", F.xxhash64("id"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("c"), F.avg("n").alias("m")).orderBy(F.desc("c"), "lang").limit(max_languages).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("c"), F.avg("n").alias("m")).collect()
     # the lowest hashes: as many rows as could fill the bound if all were of the language's mean size, twofold
     means = {r["lang"]: (r["c"], max(1.0, r["m"])) for r in found}
     share = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import broadcast_checked, cut, md5_bits, words_count
+from lodestar.llm.common import broadcast_checked, cut, md5_bits, unused, words_count
 
 #: Expected copies are held in units of 1 / UNIT, so that prefix sums are exact and reruns agree.
 UNIT = 1 << 24
@@ -91,21 +91,23 @@ def mix(
     return drawn.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *ties)
 
 
-def drawn(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, each as often as mix() draws it, with their columns.
+def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, each as often as mix() draws it, with their columns, which may have any names.
 
     Rows are told apart by two hashes of all their columns (those of map type aside), never by their
     place, and meet their copies by these, so that neither null nor repeated ids share a task. Rows
     that agree in all columns are the same row several times: they come as often as all of them were drawn."""
     columns = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
-    keyed = docs.withColumns({f"__key{k}": F.xxhash64(F.lit(k), *[c.isNull() for c in columns], *columns) for k in (0, 1)})
-    keys = ("__key0", "__key1")
-    copies = mix(keyed, id_col=id_col, ties=keys, **options).groupBy(*keys).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    rows = keyed.join(copies, list(keys))
+    keys = unused(docs, "key0", "key1")
+    copies_of, rows_of, times, copy = unused(docs, "copies", "rows", "times", "copy")
+    keyed = docs.withColumns({name: F.xxhash64(F.lit(k), *[c.isNull() for c in columns], *columns) for k, name in enumerate(keys)})
+    plain = keyed.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"), (keys[0], "key0"), (keys[1], "key1"))])
+    found = mix(plain, ties=("key0", "key1"), **options).groupBy("key0", "key1").agg(F.sum("copies").alias(copies_of), F.count("*").alias(rows_of))
+    rows = keyed.join(found.withColumnsRenamed({"key0": keys[0], "key1": keys[1]}), keys)
     # of several equal rows one stands for all: that of the least place, which only says how many there are
-    several = F.when(F.col("__rows") > 1, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).otherwise(F.lit(1))
-    rows = rows.withColumn("__times", F.when(several == 1, F.col("__copies")).otherwise(F.lit(0)).cast("int")).filter("__times > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = F.when(F.col(rows_of) > 1, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).otherwise(F.lit(1))
+    rows = rows.withColumn(times, F.when(several == 1, F.col(copies_of)).otherwise(F.lit(0)).cast("int")).filter(F.col(times) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB's form of mix() with its default parameters.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer
+from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer, unused
 from lodestar.llm.shingles import mixed, permutations, shingles
 
 #: 24 bands of two permutations: a pair at 0.8 is missed by all bands with a chance of 3e-6.
@@ -340,34 +340,36 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with their columns.
+    """The rows of docs that near_duplicates() keeps, with their columns, which may have any names.
 
     Of an id that several rows have, one row stays (by a hash of its text) if any of them is kept.
     Rows with a null id have no identity to be compared by and stay; keep_rows() judges each row."""
+    own, place = unused(docs, "kept_id", "place")
     marks = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).filter("doc_id is not null")
     ids = cut(marks.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("any")).filter("rows > 1 or not any"))
-    apart = broadcast_checked(ids.select(F.col("doc_id").alias("__id")), SMALL)
-    again = broadcast_checked(ids.filter("any").select(F.col("doc_id").alias("__id")), SMALL)
-    single = docs.join(apart, F.col(id_col) == F.col("__id"), "left_anti")
+    apart = broadcast_checked(ids.select(F.col("doc_id").alias(own)), SMALL)
+    again = broadcast_checked(ids.filter("any").select(F.col("doc_id").alias(own)), SMALL)
+    single = docs.join(apart, docs[id_col] == F.col(own), "left_anti")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    several = docs.join(again, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
+    several = docs.join(again, docs[id_col] == F.col(own), "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
     return single.unionByName(several)
 
 
 def keep_rows(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs of every component, with its columns: that of the least id, null last, else the first.
+    """One row of docs of every component, with its columns, which may have any names: that of the least id, null last, else the first.
 
     Rows are told apart by their place in the scan, so docs must be read from a file or checkpoint
     (or mapped from one row by row); null and repeated ids are judged each by its own text."""
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    marks = cut(near_duplicates(keyed, width, percent, id_col="__row", text_col=text_col).select("doc_id", "component_id", "kept"))
+    (row,) = unused(docs, "row")
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    plain = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marks = cut(near_duplicates(plain, width, percent, id_col="row", text_col="text").select("doc_id", "component_id", "kept"))
     several = broadcast_checked(cut(marks.filter("not kept").select("component_id").distinct()), SMALL)
-    members = marks.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("__row"), "component_id")
-    named = keyed.select("__row", F.col(id_col).alias("id")).join(broadcast_checked(cut(members), SMALL), "__row")
-    named = cut(named)
-    chosen = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))["__row"].alias("chosen"))
-    gone = cut(named.join(chosen, "component_id").filter(F.col("__row") != F.col("chosen")).select("__row"))
-    return keyed.join(broadcast_checked(gone, SMALL), "__row", "left_anti").select(docs.columns)
+    members = marks.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("row"), "component_id")
+    named = cut(plain.select("row", "id").join(broadcast_checked(cut(members), SMALL), "row"))
+    chosen = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("chosen"))
+    gone = cut(named.join(chosen, "component_id").filter(F.col("row") != F.col("chosen")).select(F.col("row").alias(row)))
+    return keyed.join(broadcast_checked(gone, SMALL), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB's form of near_duplicates() with its default parameters.

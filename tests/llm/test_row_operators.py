@@ -606,3 +606,55 @@ def test_the_network_finds_held_out_spans_that_patterns_do_not():
         added = set(spans) - set(base)
         hit, true = hit + len(added & set(every)), true + len(added)
     assert hit / true > 0.864  # 0.870 with eight hidden units, 0.859 with six
+
+
+# ---------------------------------------------------------------- bounds and names
+
+
+def test_many_languages_are_learned(spark):
+    import pickle
+
+    alphabet = [chr(0x100 + k) for k in range(700)]
+    texts = {}
+    for k in range(70):
+        rng = random.Random(k)
+        letters = rng.sample(alphabet, 12)
+        texts[f"l{k:02}"] = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(2500)) for _ in range(12)]
+    rows = [(100 * k + i, t[:20_000], name) for k, (name, own) in enumerate(texts.items()) for i, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == sorted(texts) and len(pickle.dumps(model)) < 300 << 20
+    out = [r for r in langid.identify(docs, model).collect() if r["held_out"]]
+    true = {i: name for i, _, name in rows}
+    assert len(out) > 100 and all(r["lang_pred"] == true[r["doc_id"]] for r in out)
+
+
+def test_groups_of_languages_change_no_cost(monkeypatch):
+    texts = {name: [f"{name} the cat sat on {name} mats".encode()] for name in "abcde"}
+    raw, offsets = text_buffer(pa.array([b"a cat", b"", b"mats on e"], pa.binary()))
+    whole = langid.Model(texts).bits(raw, offsets)
+    monkeypatch.setattr(langid, "GROUP", 2)
+    assert np.allclose(langid.Model(texts).bits(raw, offsets), whole)
+
+
+def test_forty_roles_are_learned():
+    rng = random.Random(2)
+    roles = [f"role{k}" for k in range(40)]
+    made = [[(rng.choice(roles), "some words here") for _ in range(8)] for _ in range(300)]
+    model = chat.RoleModel(made)
+    assert set(model.roles) == {r for turns in made for r, _ in turns} and len(model.roles) == 40
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    from lodestar.llm import decontam, neardup
+
+    text = "one two three four five six seven eight nine ten"
+    names = "row Row_0 key0 key1 copies rows times copy hit place kept_id id n component_id".split()
+    rows = [(i, t, "en", "s", 1, *(100 * i + k for k in range(len(names)))) for i, t in enumerate([text, text, "other words are in this text number 5 and so on", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    held = sorted(map(tuple, docs.collect()), key=str)
+    benchmark = spark.createDataFrame([(1, "other words are in this text number 5 and so on")], "item_id long, text string")
+    for got, gone in ((neardup.keep_rows(docs), {1}), (neardup.keep_one(docs), {1}), (decontam.clean(docs, benchmark), {2}), (decontam.without_items(docs, benchmark), {2})):
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [r for r in held if r[0] not in gone]
+    drawn = mixing.drawn(docs)
+    assert drawn.columns == docs.columns and set(map(tuple, drawn.collect())) <= set(held) and drawn.count() > 0
