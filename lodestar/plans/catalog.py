@@ -369,12 +369,9 @@ def question_recall(spark, sf_dir):
 
 
 def cjk_tokens(spark, sf_dir):
-    """Search tokens of texts whose words are written with characters of a number each."""
-    number = F.sequence(F.lit(1), F.least(F.col("n_chars"), F.lit(40)))
-    made = F.array_join(F.transform(number, lambda i: F.decode(F.unhex(F.hex(F.lit(0x4E00) + (F.col("doc_id") * 31 + i * 7) % 50)), "UTF-16BE")), "")
-    text = F.concat(F.substring("text", 1, 20), made, F.lit(" v1.2 "), made)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.bm25_tokens(text)).alias("at", "token"))
-    return rows.select("doc_id", F.col("at").cast("long").alias("at"), "token")
+    """Search tokens of whole texts whose vowels are written as CJK characters: their number and the digest of all in order."""
+    tokens = tx.bm25_tokens(F.translate("text", "aeiou", "\u4e00\u4e01\u4e03\u4e07\u4e09"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.sha2(F.array_join(tokens, " "), 256).alias("digest"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

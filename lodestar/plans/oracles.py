@@ -278,10 +278,9 @@ SQL: dict[str, str] = {
         ("q", "evidence", "wide_re"),
         "SELECT q.query_id, round(coalesce(count(s.chunk_id)::DOUBLE / nullif(count(e.chunk_id), 0), 0), 6) AS recall FROM q LEFT JOIN evidence e ON e.query_id = q.query_id LEFT JOIN wide_re s ON s.query_id = e.query_id AND s.chunk_id = e.chunk_id GROUP BY q.query_id",
     ),
-    "cjk_tokens": f"""WITH made AS (SELECT doc_id, substr(text, 1, 20) AS head, array_to_string(list_transform(range(1, least(n_chars, 40) + 1), lambda i: chr((19968 + (doc_id * 31 + i * 7) % 50)::INT)), '') AS own FROM documents),
-t AS (SELECT doc_id, head || own || ' v1.2 ' || own AS text FROM made), s AS (SELECT doc_id, {TOKENS.format('text')} AS latin, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]') AS single FROM t),
+    "cjk_tokens": f"""WITH t AS (SELECT doc_id, translate(text, 'aeiou', '\u4e00\u4e01\u4e03\u4e07\u4e09') AS text FROM documents), s AS (SELECT doc_id, {TOKENS.format('text')} AS latin, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]') AS single FROM t),
 ts AS (SELECT doc_id, list_concat(latin, single, list_transform(range(1, greatest(len(single), 1)), lambda i: single[i] || single[i + 1])) AS ts FROM s)
-SELECT doc_id, unnest(range(0, len(ts)))::BIGINT AS at, unnest(ts) AS token FROM ts""",
+SELECT doc_id, len(ts)::BIGINT AS n_tokens, sha256(array_to_string(ts, ' ')) AS digest FROM ts""",
     "incremental_ingest_stream": f"SELECT DISTINCT chunk_hash, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT *, sha1('\\x6b\\xa7\\xb8\\x11\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::BLOB || chunk_hash::BLOB) AS h FROM (SELECT {_HASH} AS chunk_hash FROM documents WHERE text IS NOT NULL))",
     "context_recall": _with(
         ("q", "evidence", "sparse"),

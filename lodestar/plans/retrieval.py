@@ -98,18 +98,24 @@ class Retriever:
             LOGGER.exception("a search failed; going on without it")
             return None, True
 
-    def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False) -> Outcome:
+    def candidates(self, branch: str, queries: DataFrame, filters: Mapping[str, Value] | None = None, guarded: bool = False) -> DataFrame | None:
+        """The candidates of a branch, dense or sparse, checkpointed; None if it failed and is guarded."""
+        return self._branch(getattr(self, branch), queries, filters, guarded)[0]
+
+    def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False, known: Mapping[str, DataFrame | None] | None = None) -> Outcome:
         """Candidates, fusion for hybrid, rerank of the first rerank_k, first final_k.
 
         The candidates, few rows that cost the most, are checkpointed. guarded goes on without a branch
-        or reranker that fails (or takes longer than reranker_timeout a query); otherwise the failure is raised."""
+        or reranker that fails (or takes longer than reranker_timeout a query); otherwise the failure is raised.
+        known has branches' candidates for the same queries and filters, which aren't searched again."""
         mode = mode or self.config.mode
         if mode not in MODES:
             raise ValueError(f"unsupported mode: {mode}")
         self.policy.apply(filters)
         self._own(queries)  # raises for unsupported fields, guarded or not
         config = self.config
-        branches = {name: self._branch(getattr(self, name), queries, filters, guarded)[0] for name in ("dense", "sparse") if mode in (name, "hybrid")}
+        known = known or {}
+        branches = {name: known[name] if name in known else self.candidates(name, queries, filters, guarded) for name in ("dense", "sparse") if mode in (name, "hybrid")}
         found = {name: rows for name, rows in branches.items() if rows is not None}
         if mode == "hybrid" and found:
             ranked = fusion.fuse(found, config.candidate_k, config.rank_constant).withColumn("backend", F.lit("hybrid"))

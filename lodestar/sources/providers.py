@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions import prompts
+from lodestar.functions.text import NO_CONTEXT
 
 EMBED_BATCH, CONCURRENCY, RETRIES = 32, 4, 2
+# Tokens that a summary may have, and its characters.
+SUMMARY_TOKENS, SUMMARY_CHARS = 80, 240
 
 
 def _one_sentence(text: str) -> str:
-    """The first sentence, without quotes around it; a text without an end mark as it is."""
+    """What functions.text.first_sentence() gives, for one answer: bounded, and a fixed sentence for an empty one."""
     value = " ".join(text.split()).strip("\"'`- ")
-    ends = [i for i in (value.find(mark) for mark in ".!?。！？") if i >= 0]
-    return value[: min(ends) + 1] if ends else value
+    ends = [i for i in map(value.find, ".!?。！？") if i >= 0]
+    chosen = value[: min(ends) + 1] if ends else value[:SUMMARY_CHARS].rstrip(" ,;:，；：") + "."
+    return chosen[:SUMMARY_CHARS].strip() if value else NO_CONTEXT
 
 
 @dataclass(frozen=True)
@@ -52,12 +56,12 @@ class ModelServer:
                 time.sleep(self.pause * 2**attempt)
         raise AssertionError
 
-    def generate(self, prompt: str) -> str:
-        return str(self.post("/api/generate", {"model": self.generator, "stream": False, "options": {"temperature": 0}, "prompt": prompt}).get("response", ""))
+    def generate(self, prompt: str, **options: int) -> str:
+        return str(self.post("/api/generate", {"model": self.generator, "stream": False, "options": {"temperature": 0, **options}, "prompt": prompt}).get("response", ""))
 
     def summarize(self, text: str) -> str:
         """One sentence on a chunk."""
-        return _one_sentence(self.generate(prompts.summary_prompt(text)))
+        return _one_sentence(self.generate(prompts.summary_prompt(text), num_predict=SUMMARY_TOKENS))
 
     def answers(self, asked: DataFrame) -> DataFrame:
         """A generator for the service: (query_id, query, context, correction, ...) with answer; a failing call ends the job."""

@@ -1,6 +1,8 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +200,86 @@ def test_recall(spark):
     assert rows(reference, "chunk_id") == [(1, "a"), (1, "b")]
     found = spark.createDataFrame([(1, "a"), (1, "c")], "query_id long, chunk_id string")
     assert rows(evaluation.context_recall(questions, reference, found), "query_id") == [(1, 0.5), (2, 0.0)]
+
+
+def random_chunks(spark, rng, ids):
+    words = [f"w{int(rng.expovariate(0.08))}" for _ in range(4000)]
+    return spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), rng.choice(["en", "de"])) for i in ids], "chunk_id string, text string, language string")
+
+
+def test_pruning_and_segments_change_no_result(spark, tmp_path):
+    rng = random.Random(8)
+    first = random_chunks(spark, rng, [f"c{k}" for k in range(400)]).cache()
+    asked = spark.createDataFrame([(q, " ".join(f"w{int(rng.expovariate(0.08))}" for _ in range(12)) + (" w0 w0" if q % 2 else ""), {"language": "de"} if q == 3 else None) for q in range(12)] + [(98, "absent", None), (99, " ", None)], "query_id long, query string, filters map<string,string>")
+    ordered = lambda df: df.orderBy("query_id", "rank").select("query_id", "chunk_id", "score", "rank").collect()
+    stored = bm25.Stored(spark, str(tmp_path / "index"))
+    stored.replace(bm25.index(first))
+    own = asked.withColumn("filter_language", F.col("filters")["language"])
+    for limit in (1, 5):
+        for more in ({}, {"candidates": first.filter("language = 'en'")}, {"candidates": first, "fields": ["language"]}):
+            want = ordered(bm25.search(own, bm25.index(first), limit, **more))
+            assert want and all(ordered(bm25.search(own, stored.index(), limit, **more, prune=p)) == want for p in (None, False, True))
+    # chunks that are added, changed and removed: as a fresh fit
+    changed = random_chunks(spark, rng, [f"c{k}" for k in range(350, 500)]).cache()
+    stored.refresh(changed, first.join(changed, "chunk_id", "left_semi"))
+    gone = changed.filter("substring(chunk_id, -1) = '7'")
+    index = stored.refresh(changed.limit(0), gone)
+    now = first.join(changed, "chunk_id", "left_anti").unionByName(changed).join(gone, "chunk_id", "left_anti")
+    fresh = bm25.index(now)
+    compared = lambda i: (sorted(map(tuple, i.terms.collect())), [(r["n"], round(r["avgdl"], 9)) for r in i.corpus.collect()], i.postings.count(), [ordered(bm25.search(asked, i, 5, prune=p)) for p in (False, True)])
+    want = compared(fresh)
+    assert compared(index) == want
+    compact = stored.compact()
+    assert len(compact.stored.segments) == 1 and stored.vacuum() == [1, 2, 3] and compared(compact) == want
+    plan = bm25.search(asked.limit(1), compact, 5, prune=False)._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan[plan.index("PartitionFilters") :][:200]
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "word")], "query_id long, query string")
+    stored = bm25.Stored(spark, str(tmp_path / "index"))
+    assert bm25.search(asked, stored.refresh(none), 5).count() == 0
+    assert [r["chunk_id"] for r in bm25.search(asked, stored.refresh(spark.createDataFrame([("a", "a word")], none.schema)), 5).collect()] == ["a"]
+    assert bm25.search(asked.limit(0), stored.index(), 5).count() == 0
+
+
+def test_blocks_of_vectors_and_queries(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(300, 8)).round(2)
+    rows = spark.createDataFrame([(k, v.tolist(), k % 3) for k, v in enumerate(vectors)] + [(900, None, 0)], "chunk_id long, vector array<double>, kind long")
+    asked = rows.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), "vector", F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id") % 3).alias("filter_kind"))
+    want = [tuple(r) for r in dense.nearest(asked, rows, 4, fields=["kind"]).orderBy("query_id", "rank").collect()]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q, c, score, rank in want:
+        allowed = [k for k in range(300) if q % 2 or k % 3 == q % 3]
+        best = sorted(allowed, key=lambda k: (-round(float(unit[q] @ unit[k]), 9), k))
+        assert best[rank - 1] == c and abs(score - unit[q] @ unit[c]) < 1e-8
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(dense, "VECTOR_BLOCK", 50)
+    assert [tuple(r) for r in dense.nearest(asked, rows, 4, fields=["kind"]).orderBy("query_id", "rank").collect()] == want and len(want) == 160
+    assert dense.nearest(asked.limit(0), rows, 4).count() == dense.nearest(asked, rows.limit(0), 4).count() == 0
+
+
+def test_evidence_of_any_length(spark):
+    texts = ["The red fox", "a fox", "", None, "foxes and Ox", "x"]
+    pieces = ["red fox", "fox", "ox", "x", "", "the red fox", "and ox", "absent", None, " fox  "]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(pieces)), "query_id long, evidence string")
+    found = evaluation.evidence_chunks(asked, chunks)
+    low = lambda t: " ".join(t.split()).lower()
+    assert sorted(map(tuple, found.collect())) == [(q, c) for q, p in enumerate(pieces) if p is not None for c, t in enumerate(texts) if t is not None and low(p) in low(t)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert evaluation.evidence_chunks(asked.limit(0), chunks).count() == 0
+
+
+def test_thresholds_over_many_ranges(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.random() < 0.6, None if rng.random() < 0.1 else round(rng.random(), 2)) for k in range(400)]
+    observed = spark.createDataFrame(rows, "query_id long, answerable boolean, top_score double")
+    got = {round(r["threshold"], 9): r["accuracy"] for r in evaluation.thresholds(observed).collect()}
+    scores = sorted({s for *_, s in rows if s is not None})
+    wanted = [scores[0] - 1e-9, scores[-1] + 1e-9, *((a + b) / 2 for a, b in zip(scores[:-1], scores[1:], strict=True))]
+    right = lambda t: sum((s is not None and s >= t) == known for _, known, s in rows) / len(rows)
+    assert got.keys() == {round(t, 9) for t in wanted} and all(abs(got[round(t, 9)] - right(t)) < 1e-12 for t in wanted)

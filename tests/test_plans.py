@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import bm25, rerank
 from lodestar.operators.chunking import Chunker
 from lodestar.operators.filters import FilterPolicy
-from lodestar.plans import evaluate, service
+from lodestar.plans import evaluate, ingestion, service
 from lodestar.plans.config import RetrievalConfig, from_environment
 from lodestar.plans.ingestion import Ingestion
 from lodestar.plans.retrieval import Retriever
@@ -18,6 +18,7 @@ from lodestar.plans import kept as keeping
 from lodestar.sources import files, golden
 from lodestar.sources.providers import ModelServer
 from lodestar.sources.store import ChunkStore, merged
+from lodestar.streaming.ingest import ingest_files_stream
 
 SCHEMA = "chunk_id string, chunk_hash string, text string, source_file string, page_number int, language string, status string"
 
@@ -108,7 +109,7 @@ def test_ingestion_is_idempotent(spark, tmp_path):
         raise RuntimeError
 
     store = ChunkStore(spark, str(tmp_path / "store"))
-    assert store.read() is None and not store.exists()
+    assert store.read().count() == 0 and not store.exists()
     first = Ingestion(store, Chunker(64, 8), summarize).run(str(folder))
     assert (first.files_seen, first.files_succeeded, first.files_failed) == (4, 2, 2)
     assert (first.chunks_created, first.chunks_skipped, first.chunks_upserted) == (2, 1, 1)
@@ -359,3 +360,108 @@ def test_model_server(spark, tmp_path):
     server.shutdown()
     with pytest.raises(RuntimeError):
         ModelServer("http://127.0.0.1:9", retries=0, timeout=1).embed(["x"])
+
+
+def versioned(rows, spark):
+    return spark.createDataFrame([(h, t, v) for h, t, v in rows], "chunk_hash string, text string, vector array<double>").withColumn("chunk_id", F.col("chunk_hash"))
+
+
+def test_store_replaces_what_is_upserted(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    rows = [(f"h{k}", f"text {k}", [float(k), 1.0]) for k in range(200)]
+    store.upsert(versioned(rows, spark))
+    before = store.read()
+    stored = {r["chunk_hash"]: r for r in before.collect()}
+    assert len(stored) == 200 and store.vector_size() == 2 and all(r["point_id"] for r in stored.values())
+    version, held = store.versions.read()
+    store.upsert(versioned([("h7", "changed", [0.0, 0.0]), ("new", "n", [1.0, 1.0])], spark).withColumn("status", F.lit("draft")))
+    now = {r["chunk_hash"]: r for r in store.read().collect()}
+    assert len(now) == 201 and now["h7"]["text"] == "changed" and now["h7"]["status"] == "draft" and now["h8"]["text"] == "text 8" and now["h8"]["status"] is None
+    # readers of the version before still have it, and few buckets were written anew
+    assert {r["chunk_hash"]: r["text"] for r in before.collect()} == {h: r["text"] for h, r in stored.items()}
+    fresh = store.versions.read()[1]["live"]
+    assert sum(fresh[b] != own for b, own in held["live"].items()) <= 2
+    store.append(versioned([("more", "m", [1.0, 1.0])], spark))
+    assert store.compact(most=1) >= 1 and store.vacuum() >= 1 and store.read().count() == 202
+    assert all(len(own) == 1 for own in store.versions.read()[1]["live"].values())
+
+
+def test_a_run_that_dies_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    store.upsert(versioned([("a", "old", [1.0])], spark))
+
+    def dies(self, after, content):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(store.versions), "publish", dies)
+        with pytest.raises(KeyboardInterrupt):
+            store.upsert(versioned([("a", "new", [1.0])], spark))
+    assert [r["text"] for r in store.read().collect()] == ["old"] and store.vacuum() == 1
+    store.upsert(versioned([("a", "new", [1.0])], spark))
+    assert [r["text"] for r in store.read().collect()] == ["new"]
+    with pytest.raises(RuntimeError):  # another run has published this version
+        store.versions.publish(0, {})
+
+
+def test_the_store_is_not_shuffled_for_a_few_chunks(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    store.append(versioned([(f"h{k}", "t", [1.0]) for k in range(500)], spark))
+    asked = versioned([("h3", "t", [1.0]), ("x", "t", [1.0])], spark)
+    pending = store.pending(asked)
+    assert [r["chunk_hash"] for r in pending.collect()] == ["x"]
+    plan = store.existing(asked)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan") :]
+    assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0] and "ReadSchema: struct<chunk_hash:string>" in scan
+    assert len([p for p in store._near(asked).inputFiles()]) <= 2
+
+
+def test_what_a_store_refuses_is_a_warning(spark, tmp_path):
+    (tmp_path / "a.md").write_text("some text")
+    (tmp_path / "b.md").write_text("other text")
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    assert Ingestion(store, embed=lambda texts: [[1.0, 2.0]] * len(texts)).run(str(tmp_path / "a.md")).chunks_upserted == 1
+    stats = Ingestion(store).run(str(tmp_path / "b.md"))
+    assert (stats.files_succeeded, stats.chunks_created, stats.chunks_upserted) == (1, 1, 0) and "dimensions" in stats.warnings[-1]
+
+
+def test_too_few_vectors_lose_one_batch(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"h{k}", "bad" if k < 2 else "good") for k in range(6)], "chunk_hash string, text string").coalesce(1)
+
+    def embed(texts):
+        return [[1.0]] * (len(texts) - ("bad" in texts))
+
+    rows = {r["chunk_hash"]: r["vector"] for r in ingestion.embedded(chunks, embed, 2).collect()}
+    assert [k for k, v in sorted(rows.items()) if v is None] == ["h0", "h1"]
+
+
+def test_chunk_sizes_of_an_empty_folder(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    asked = spark.createDataFrame([("q", "what", ["that"])], "query_id string, query string, evidence array<string>")
+    row = evaluate.evaluate_chunk_size(spark, str(tmp_path / "docs"), asked, str(tmp_path / "store"), 256).first()
+    assert (row["chunk_count"], row["context_recall"]) == (0, 0.0)
+
+
+def test_a_file_stream_gives_the_store_of_one_run(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    index = bm25.Stored(spark, str(tmp_path / "index"))
+    streamed = Ingestion(ChunkStore(spark, str(tmp_path / "streamed")), Chunker(64, 8), index=index)
+    for k, text in enumerate(("# One\n\nThe red fox runs far away.", "# Two\n\nA blue whale swims. " + "More of it. " * 20, "# One\n\nThe red fox runs far away.")):
+        (folder / f"{k}.md").write_text(text)
+        done = ingest_files_stream(spark, str(folder), streamed, str(tmp_path / "progress"))
+        assert [s.files_seen for s in done] == [1]
+    assert ingest_files_stream(spark, str(folder), streamed, str(tmp_path / "progress")) == []
+    whole = Ingestion(ChunkStore(spark, str(tmp_path / "whole")), Chunker(64, 8))
+    whole.run(str(folder))
+    kept = lambda job: sorted((r["chunk_hash"], r["source_file"], r["text"], r["chunk_ordinal"]) for r in job.store.read().collect())
+    assert kept(streamed) == kept(whole)
+    asked = spark.createDataFrame([(1, "red fox"), (2, "whale more")], "query_id long, query string")
+    fresh = Retriever(whole.store.read()).sparse(asked, 5).orderBy("query_id", "rank").collect()
+    assert Retriever(streamed.store.read(), index=index).sparse(asked, 5).orderBy("query_id", "rank").collect() == fresh
+
+
+def test_summaries_are_bounded():
+    from lodestar.sources import providers
+
+    assert providers._one_sentence("  ") == providers.NO_CONTEXT and len(providers._one_sentence("word " * 400)) <= 240
