@@ -103,7 +103,7 @@ def test_stages_on_nothing(spark, folder):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in corpus.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in corpus.QUERIES) == list(range(1, 14))
     assert set(corpus.SQL) <= set(corpus.QUERIES)
 
 
