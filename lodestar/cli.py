@@ -80,10 +80,11 @@ def api(arguments: Arguments = None) -> int:
     parser.add_argument("--port", type=int, default=8000)
     parser.add_argument("--model-server", help="base URL; without it answers are extracts")
     own, spark = parser.parse_args(arguments), _spark()
-    chunks = completed(ChunkStore(spark, own.store).read())
+    store = ChunkStore(spark, own.store)
+    chunks = completed(store.read())
     index = bm25.Stored(spark, f"{own.store.rstrip('/')}-index")
     index.replace(bm25.index(chunks))
     generator = ModelServer(own.model_server).answers if own.model_server else service.extractive
-    built = service.build_service(chunks, generator, index=index)
+    built = service.build_service(chunks, generator, index=index, store=store)
     service.serve(built, spark, own.port).serve_forever()
     return 0

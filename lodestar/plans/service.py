@@ -17,6 +17,7 @@ from lodestar.operators import bm25, context
 from lodestar.operators.filters import Value
 from lodestar.plans.config import RetrievalConfig, from_environment
 from lodestar.plans.retrieval import Retriever, completed
+from lodestar.sources.store import ChunkStore
 
 # The answer of a refusal, and its reasons in the order in which they are looked for.
 REFUSAL = "知识库无法回答该问题。"
@@ -46,7 +47,8 @@ def refusal_reason(found: DataFrame) -> DataFrame:
 class Service:
     retriever: Retriever
     generator: Generator = extractive
-    parents: DataFrame | None = None
+    #: Chunks that may be parents: a table, or a store that is asked for the ids that results name.
+    parents: DataFrame | ChunkStore | None = None
     config: RetrievalConfig = field(default_factory=RetrievalConfig)
 
     def _answers(self, asked: DataFrame) -> DataFrame:
@@ -61,7 +63,12 @@ class Service:
         outcome = self.retriever.retrieve(queries, mode, filters, guarded=True)
         results = outcome.results
         good = relevant(results, self.config.threshold_of(mode))
-        expanded = good if self.parents is None else context.expand_parents(good, self.parents)
+        parents = self.parents
+        if isinstance(parents, ChunkStore):
+            good = cut(good)
+            ids = good.select(F.nullif(F.col("parent_id"), F.lit("")).alias("chunk_id")).filter("chunk_id is not null")
+            parents = completed(parents.by_id(ids))
+        expanded = good if parents is None else context.expand_parents(good, parents)
         built = context.build(expanded, self.config.max_context_tokens, self.config.per_document)
         asked = cut(built.join(queries.select("query_id", "query"), "query_id").withColumn("correction", F.lit("")))
         first = cut(self._answers(asked))
@@ -86,10 +93,10 @@ class Service:
         )
 
 
-def build_service(chunks: DataFrame, generator: Generator = extractive, env: Mapping[str, str] | None = None, index: bm25.Index | bm25.Stored | None = None) -> Service:
-    """A service over a chunks table, and the index fitted on it, by environment settings."""
+def build_service(chunks: DataFrame, generator: Generator = extractive, env: Mapping[str, str] | None = None, index: bm25.Index | bm25.Stored | None = None, store: ChunkStore | None = None) -> Service:
+    """A service over a chunks table, and the index fitted on it, by environment settings; parents come from the store, if it is given."""
     config = from_environment(env)
-    return Service(Retriever(chunks, config, index=index), generator, completed(chunks), config)
+    return Service(Retriever(chunks, config, index=index), generator, store or completed(chunks), config)
 
 
 LOGGER = logging.getLogger(__name__)

@@ -13,7 +13,7 @@ from lodestar.operators.filters import FilterPolicy
 from lodestar.plans import evaluate, ingestion, service
 from lodestar.plans.config import RetrievalConfig, from_environment
 from lodestar.plans.ingestion import Ingestion
-from lodestar.plans.retrieval import Retriever
+from lodestar.plans.retrieval import Retriever, completed
 from lodestar.plans import kept as keeping
 from lodestar.sources import files, golden
 from lodestar.sources.providers import ModelServer
@@ -465,3 +465,16 @@ def test_summaries_are_bounded():
     from lodestar.sources import providers
 
     assert providers._one_sentence("  ") == providers.NO_CONTEXT and len(providers._one_sentence("word " * 400)) <= 240
+
+
+def test_parents_come_from_the_store_by_id(spark, tmp_path):
+    columns = "chunk_hash string, chunk_id string, text string, source_file string, status string, parent_id string, vector array<double>"
+    rows = [("p", "p", "IAM policies in full. Access denied and what to do.", "iam.md", "published", None, [1.0]), ("d", "d", "Draft parent.", "d.md", "draft", None, [1.0]), ("c1", "c1", "IAM access denied", "iam.md", "published", "p", [1.0]), ("c2", "c2", "access denied twice", "d.md", "published", "d", [1.0])]
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame(rows, columns))
+    asked = spark.createDataFrame([(1, "IAM access denied")], "query_id long, query string")
+    children = store.read().filter("parent_id is not null").drop("vector")
+    config = RetrievalConfig(thresholds={"sparse": 0.0})
+    answers = [service.Service(Retriever(children, config), parents=parents, config=config).query(asked, "sparse").first() for parents in (store, completed(store.read()))]
+    assert answers[0]["answer"] == answers[1]["answer"] and "in full" in answers[0]["answer"] and not answers[0]["refused"]
+    assert answers[0]["citations"] == answers[1]["citations"]
