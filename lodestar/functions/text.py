@@ -1,10 +1,9 @@
 """Scalar text functions as Spark columns.
 
-Only entity decoding and token-exact truncation leave the JVM."""
+Only token-exact truncation leaves the JVM."""
 
 from __future__ import annotations
 
-import html
 import re
 from functools import reduce
 
@@ -13,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lodestar.functions.entities import decode_entities
+
 # Patterns, word classes and sentences that results depend on.
 CJK = r"[\x{4e00}-\x{9fff}]"
 LATIN_TOKEN = r"[a-z0-9][a-z0-9_.:/-]*"
@@ -53,14 +54,8 @@ def collapse(column: Column) -> Column:
     return strip(F.regexp_replace(column, rf"(?U){SPACE}+", " "))
 
 
-@F.pandas_udf(StringType())
-def decode_entities(text: pd.Series) -> pd.Series:
-    """All HTML character references decoded."""
-    return text.map(html.unescape, na_action="ignore")
-
-
 def clean_text(column: Column, entities: bool = True) -> Column:
-    """Text without HTML and Markdown; null and blank give ''. entities=False keeps the plan in the JVM."""
+    """Text without HTML and Markdown; null and blank give ''. entities=False leaves character references as they are."""
     plain = _replaced(column, CLEANING)
     plain = decode_entities(plain) if entities else plain
     return F.when(column.isNull() | (strip(column) == ""), F.lit("")).otherwise(strip(_replaced(plain, DECORATION)))

@@ -1,10 +1,14 @@
 import hashlib
+import html.entities
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
+from lodestar.functions.entities import decode_entities
+
 
 def one(spark, value, function, *more):
     return spark.createDataFrame([(value,)], "t string").select(function(F.col("t"), *more).alias("r")).first()["r"]
@@ -81,3 +85,26 @@ def test_cjk_tokens_take_linear_time(spark):
     assert time.monotonic() - begun < 5
     assert got[0] == [*long, *(a + b for a, b in zip(long, long[1:], strict=False))]
     assert got[1:] == [["ab", "cd", *long[:3], long[:2], long[1:3]], [long[0]], [], None]
+
+
+def test_every_named_reference(spark):
+    """All names, with and without what follows them, against the standard library."""
+    values = [form.format(n) for n in html.entities.html5 for form in ("a&{0}b", "&{0}", "&{0};", "&{0}=1 &{0}")]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select("t", decode_entities(F.col("t")).alias("r")).collect()
+    assert len(values) > 8000 and [r["r"] for r in rows] == [html.unescape(r["t"]) for r in rows]
+
+
+def test_references_by_number_and_broken_ones(spark):
+    points = [*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFEFF, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFF, 0x10FFFF, 0x110000]
+    values = [form.format(n) for n in points for form in ("&#{0};", "&#x{0:x};x", "&#X{0:X}", "&#000{0}z")]
+    pieces, choice = ["&", "#", "x", ";", "a", "m", "p", "l", "t", "n", "o", " ", "<", "1", "é", "&amp;", "&not", "&#12"], random.Random(5)
+    values += ["", "&", "&&", "&#;", "&#xg;", "& amp;", "&notit;", "&ampamp;amp", "&" + "x" * 40 + ";", "&amp" * 500]
+    values += ["".join(choice.choice(pieces) for _ in range(choice.randint(1, 40))) for _ in range(2000)]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select("t", decode_entities(F.col("t")).alias("r")).collect()
+    assert [r["r"] for r in rows] == [html.unescape(r["t"]) for r in rows]
+    assert one(spark, "&#" + "9" * 6000 + ";", decode_entities) == "�" and one(spark, None, decode_entities) is None
+
+
+def test_cleaning_stays_in_the_jvm(spark):
+    plan = spark.createDataFrame([("a&amp;b",)], "t string").select(tx.clean_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
