@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lodestar.operators.chunking import SEPARATORS
+
 TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9_.:/-]*')"
 HASHED = r"regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9_.:/-]*|[\x{{4e00}}-\x{{9fff}}]')"
 BUDGET = r"len(regexp_extract_all({0}, '[A-Za-z0-9_./:-]+|[\x{{4e00}}-\x{{9fff}}]|[^\s]'))"
@@ -191,6 +193,32 @@ _TOP = "SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score F
 _RERANKED = "SELECT query_id, chunk_id, rank::INT AS rank, '{1}+rerank' AS backend, round(rerank_score, 6) AS score FROM {0}"
 _CITED = "list_distinct(['S' || (turn % 5), 'S1'])"
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+def recursive_chunks(size: int, overlap: int) -> str:
+    """Chunks of documents: texts are cut at ever weaker separators until every part is shorter than `size`, then runs of parts are packed, a chunk a step."""
+    separators = "[" + ", ".join(map(_literal, SEPARATORS)) + "]"
+    stripped = _STRIPPED.format("substr(d.text, (p.off + c[a] + 1)::BIGINT, (c[b] - c[a])::BIGINT)")
+    return rf"""WITH RECURSIVE cuts AS (
+  SELECT doc_id, 0 AS depth, 0::BIGINT AS parent, 0::BIGINT AS run, 0::BIGINT AS off, text AS part, 0 AS tried, true AS open FROM documents WHERE text <> ''
+  UNION ALL
+  SELECT doc_id, depth + 1, base, (sum(CASE WHEN length(piece) >= {size} THEN 1 ELSE 0 END) OVER before)::BIGINT, base + (sum(length(piece)) OVER before)::BIGINT - length(piece), piece, use, length(piece) >= {size} AND use < {len(SEPARATORS)}
+  FROM (SELECT doc_id, depth, off AS base, use, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (
+    SELECT doc_id, depth, off, use, CASE WHEN use = {len(SEPARATORS)} THEN list_transform(range(1, length(part) + 1), lambda k: substr(part, k, 1)) ELSE list_filter(list_prepend(string_split(part, sep)[1], list_transform(string_split(part, sep)[2:], lambda p: sep || p)), lambda p: p <> '') END AS pieces
+    FROM (SELECT *, {separators}[use] AS sep FROM (SELECT doc_id, depth, off, part, list_position(list_transform({separators}, lambda s, k: k > tried AND contains(part, s)), true) AS use FROM cuts WHERE open))))
+  WINDOW before AS (PARTITION BY doc_id, depth, base ORDER BY i)),
+runs AS (SELECT doc_id, min(off) AS off, list_prepend(0::BIGINT, list(off + length(part) - first_off ORDER BY off)) AS c FROM (SELECT *, min(off) OVER (PARTITION BY doc_id, depth, parent, run) AS first_off FROM cuts WHERE NOT open) GROUP BY doc_id, depth, parent, run),
+packed AS (
+  SELECT doc_id, off, c, 1::BIGINT AS a, len(list_filter(c, lambda x: x <= {size}))::BIGINT AS b FROM runs
+  UNION ALL
+  SELECT doc_id, off, c, a, len(list_filter(c, lambda x: x <= c[a] + {size}))::BIGINT FROM (
+    SELECT doc_id, off, c, 1 + len(list_filter(c, lambda x: x < greatest(c[b] - {overlap}, c[b + 1] - {size})))::BIGINT AS a FROM packed WHERE b < len(c))),
+found AS (SELECT p.doc_id, d.source, p.off + c[a] AS start, {stripped} AS text FROM packed p JOIN documents d ON d.doc_id = p.doc_id)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk_ordinal, sha256(text) AS chunk_hash, text, CASE WHEN regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') THEN 'zh-CN' ELSE 'en' END AS language, CASE WHEN lower(source) LIKE '%.pdf' THEN 'pdf' ELSE 'markdown' END AS document_type, 'published' AS status FROM found WHERE text <> ''"""
+
+
 SQL: dict[str, str] = {
     "clean_text_pages": rf"SELECT page_id, regexp_replace({_CLEAN}, '^\s+|\s+$', '', 'g') AS clean FROM pages",
     "first_sentence": f"SELECT doc_id, {_sentence('text')} AS sentence FROM documents",
@@ -201,6 +229,7 @@ SQL: dict[str, str] = {
   substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
   FROM (SELECT *, sha1('\x6b\xa7\xb8\x11\x9d\xad\x11\xd1\x80\xb4\x00\xc0\x4f\xd4\x30\xc8'::BLOB || chunk_hash::BLOB) AS h FROM (SELECT *, {_HASH} AS chunk_hash FROM documents))""",
     "normalized_evidence": f"SELECT item_id, {_EVIDENCE.format('text')} AS evidence FROM benchmark",
+    "recursive_chunks": recursive_chunks(512, 64),
     "dedup_first_wins": f"SELECT {_HASH} AS chunk_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "existing_semi": f"SELECT chunk_hash FROM ({_ODD}) WHERE chunk_hash IN ({_EVEN})",
     "pending_anti": f"SELECT chunk_hash, doc_id FROM ({_ODD}) WHERE chunk_hash NOT IN ({_EVEN})",

@@ -3,12 +3,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import bm25, context, dense, embedding, evaluation, fusion, rerank
 from lodestar.operators.chunking import Chunker, split
 from lodestar.operators.filters import FilterPolicy, matches
+from lodestar.plans import oracles
 
 
 def rows(df, *order):
@@ -283,3 +285,18 @@ def test_thresholds_over_many_ranges(spark):
     wanted = [scores[0] - 1e-9, scores[-1] + 1e-9, *((a + b) / 2 for a, b in zip(scores[:-1], scores[1:], strict=True))]
     right = lambda t: sum((s is not None and s >= t) == known for _, known, s in rows) / len(rows)
     assert got.keys() == {round(t, 9) for t in wanted} and all(abs(got[round(t, 9)] - right(t)) < 1e-12 for t in wanted)
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(30, 8), (7, 0), (50, 49)])
+def test_chunks_equal_their_sql(size, overlap):
+    choice = random.Random(3)
+    pieces = ["a", "bb", " ", "\n", "\n\n", ". ", ", ", "; ", "。", "，", "；", "中", "word ", "x" * 30, " " * 5]
+    texts = ["".join(choice.choice(pieces[: choice.randint(2, 15)]) for _ in range(choice.randint(0, 300))) for _ in range(200)]
+    texts += ["x" * 100, "x" * (size + 1), "x" * size, "", None, "\n\n" * 40, " " * 100, "a. " * 50]
+    con = pytest.importorskip("duckdb").connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "source": "s.pdf", "text": texts}))
+    got = {}
+    for doc_id, number, text in con.sql(f"SELECT doc_id, chunk_ordinal, text FROM ({oracles.recursive_chunks(size, overlap)}) ORDER BY 1, 2").fetchall():
+        assert number == len(got.setdefault(doc_id, []))
+        got[doc_id].append(text)
+    assert got == {i: chunks for i, t in enumerate(texts) if (chunks := split(t, size, overlap) if t else [])}
