@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of data up to which a side is broadcast once it has been measured.
@@ -32,6 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """df as cut() gives it, and aggregates of its rows that the same job takes on its way.
+
+    They belong to the last stage, whose tasks count once each, whatever is run again before it."""
+    seen = Observation()
+    written = cut(df.observe(seen, *[m.alias(name) for name, m in measures.items()]))
+    return written, seen.get
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it is measured to have at most `rows` rows and BROADCAST_BYTES bytes; else as it is, and joins shuffle.
 

@@ -7,11 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.functions.jobs import cut
+from lodestar.functions.jobs import cut, cut_observed
 from lodestar.functions.text import first_sentence
 from lodestar.operators import bm25, embedding
 from lodestar.operators.chunking import Chunker
@@ -101,14 +101,18 @@ class Ingestion:
     def add_files(self, found: DataFrame) -> Stats:
         """Ingests files (path, content)."""
         stats = Stats()
-        found = cut(files.parse(found, self.ocr))
-        pages = files.usable(found)
-        chunks = cut(self.chunker.chunks(pages))
-        per_file = found.groupBy("path").agg(F.count("*").alias("n")).join(chunks.groupBy("path").agg(F.count("*").alias("chunks")), "path", "left")
-        seen, good = per_file.agg(F.count("*"), F.count("chunks")).first()
-        stats.files_seen, stats.files_succeeded, stats.files_failed = seen, good, seen - good
-        stats.pages_parsed, stats.chunks_created = pages.count(), chunks.count()
-        stats.warnings += [f"no usable content: {r['path']}" for r in per_file.filter("chunks is null").select("path").orderBy("path").limit(NAMED).collect()]
+        found = files.parse(found, self.ocr)
+        if self.ocr is not None:
+            found = cut(found)
+        pages = Observation()
+        read = files.usable(found).observe(pages, F.count(F.lit(1)).alias("n"))
+        chunks, made = cut_observed(self.chunker.chunks(read), n=F.count(F.lit(1)))
+        stats.pages_parsed, stats.chunks_created = pages.get["n"], made["n"]
+        with_chunks = chunks.select("path").distinct().withColumn("chunked", F.lit(1))
+        per_file, total = cut_observed(found.select("path").distinct().join(with_chunks, "path", "left"), seen=F.count(F.lit(1)), good=F.count("chunked"))
+        stats.files_seen, stats.files_succeeded, stats.files_failed = total["seen"], total["good"], total["seen"] - total["good"]
+        if stats.files_failed:
+            stats.warnings += [f"no usable content: {r['path']}" for r in per_file.filter("chunked is null").select("path").orderBy("path").limit(NAMED).collect()]
         if stats.files_failed > NAMED:
             stats.warnings.append(f"no usable content: {stats.files_failed - NAMED} more files")
         return self.add(chunks, stats)
@@ -118,28 +122,30 @@ class Ingestion:
         stats = stats or Stats(chunks_created=chunks.count())
         unique = first_chunks(chunks, ["path", "page_number", "chunk_ordinal"])
         try:
-            pending = cut(self.store.pending(unique))
+            pending, fresh = cut_observed(self.store.pending(unique), n=F.count(F.lit(1)))
         except Exception as problem:  # nothing is embedded unless it is known to be new
             stats.warnings.append(f"hash check failed: {problem}")
             return stats
-        new = pending.count()
+        new = fresh["n"]
         stats.chunks_skipped = stats.chunks_created - new
         if not new:
             return stats
-        rows = cut(embedded(summarized(pending, self.summarize), self.embed))
-        fallbacks = rows.filter("summary_fallback").count()
-        if fallbacks:
-            stats.warnings.append(f"{fallbacks} chunks have extractive summaries instead")
+        size = F.when(F.col("vector").isNotNull(), F.size("vector"))
+        rows, told = cut_observed(
+            embedded(summarized(pending, self.summarize), self.embed),
+            fallbacks=F.count_if("summary_fallback"), whole=F.count("vector"), least=F.min(size), most=F.max(size),
+        )
+        if told["fallbacks"]:
+            stats.warnings.append(f"{told['fallbacks']} chunks have extractive summaries instead")
         whole = rows.filter("vector is not null")
-        sizes = [r[0] for r in whole.select(F.size("vector")).distinct().limit(2).collect()]
-        lost = new - whole.count()
+        lost = new - told["whole"]
         if lost:
             stats.warnings.append(f"{lost} chunks weren't embedded")
-        if len(sizes) != 1:
-            stats.warnings.append("vectors of several sizes" if sizes else "no vectors")
+        if not told["whole"] or told["least"] != told["most"]:
+            stats.warnings.append("vectors of several sizes" if told["whole"] else "no vectors")
             return stats
         try:
-            self.store.ensure(sizes[0])
+            self.store.ensure(told["most"])
             self.store.append(whole)
         except Exception as problem:  # the counters so far are worth having whatever a store does
             stats.warnings.append(f"storing failed: {problem}")

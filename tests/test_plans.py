@@ -7,6 +7,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions.jobs import cut_observed
 from lodestar.operators import bm25, rerank
 from lodestar.operators.chunking import Chunker
 from lodestar.operators.filters import FilterPolicy
@@ -478,3 +479,22 @@ def test_parents_come_from_the_store_by_id(spark, tmp_path):
     answers = [service.Service(Retriever(children, config), parents=parents, config=config).query(asked, "sparse").first() for parents in (store, completed(store.read()))]
     assert answers[0]["answer"] == answers[1]["answer"] and "in full" in answers[0]["answer"] and not answers[0]["refused"]
     assert answers[0]["citations"] == answers[1]["citations"]
+
+
+def test_measures_come_with_the_checkpoint(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("a")).repartition(7)
+    for df, want in ((rows, (1000, 500)), (rows.filter("id < 0"), (0, 0)), (rows.join(rows.limit(0).select("id"), "id"), (0, 0)), (rows.limit(0), (0, 0))):
+        written, seen = cut_observed(df, n=F.count(F.lit(1)), a=F.count("a"))
+        assert (seen["n"], seen["a"]) == want and written.count() == want[0]
+
+
+def test_counters_of_an_ingestion_need_no_jobs_of_their_own(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.md").write_text(f"text {i // 2}" if i else "\n")
+    spark.sparkContext.setJobGroup("counted", "")
+    stats = Ingestion(ChunkStore(spark, str(tmp_path / "store"))).run(str(tmp_path))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (stats.files_seen, stats.files_succeeded, stats.files_failed, stats.pages_parsed) == (6, 5, 1, 5)
+    assert (stats.chunks_created, stats.chunks_skipped, stats.chunks_upserted) == (5, 2, 3)
+    assert jobs <= 32 and len(stats.warnings) == 1
