@@ -70,7 +70,7 @@ def evaluate_retrieval(arguments: Arguments = None) -> int:
     store = ChunkStore(spark, own.store)
     Ingestion(store, Chunker(own.chunk_size, own.chunk_overlap)).run(own.source)
     config = RetrievalConfig(candidate_k=own.candidate_k, rerank_k=own.rerank_k, final_k=10, rank_constant=own.rrf_rank_constant)
-    golden.write_results(evaluate.evaluate_modes(store.read(), golden.questions(spark, own.golden), config), own.output)
+    golden.write_results(evaluate.evaluate_modes(store.searchable(), golden.questions(spark, own.golden), config), own.output)
     return 0
 
 
@@ -81,7 +81,7 @@ def api(arguments: Arguments = None) -> int:
     parser.add_argument("--model-server", help="base URL; without it answers are extracts")
     own, spark = parser.parse_args(arguments), _spark()
     store = ChunkStore(spark, own.store)
-    chunks = completed(store.read())
+    chunks = completed(store.searchable())
     index = bm25.Stored(spark, f"{own.store.rstrip('/')}-index")
     index.replace(bm25.index(chunks))
     generator = ModelServer(own.model_server).answers if own.model_server else service.extractive

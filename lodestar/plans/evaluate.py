@@ -57,7 +57,7 @@ def evaluate_chunk_size(spark: SparkSession, source: str, questions: DataFrame,
     """chunk_size, chunk_count, top_k, context_recall and per_question (in order of query_id) of a folder cut to chunks of one size."""
     store = ChunkStore(spark, store_path)
     Ingestion(store, Chunker(size, max(32, size // 8))).run(source)
-    chunks = store.read()
+    chunks = store.searchable()
     recall = question_recall(chunks, questions, top_k)
     each = F.transform(F.array_sort(F.collect_list(F.struct("query_id", "recall"))), lambda r: r["recall"])
     return recall.agg(F.lit(size).alias("chunk_size"), F.lit(chunks.count()).alias("chunk_count"), F.lit(top_k).alias("top_k"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("context_recall"), each.alias("per_question"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.functions.jobs import shared_folder
 from lodestar.operators import bm25
+from lodestar.sources import layout
 
 _FOLDERS: dict[tuple, str] = {}
 
@@ -35,7 +36,7 @@ class Kept:
 def kept(spark: SparkSession, sources: list[str], make: Callable[[], DataFrame]) -> Kept:
     """The chunks that make() gives of the sources and their index, written once for an application and a state of the sources' files.
 
-    They lie in the shared folder and are made again when a file changes or their folder is gone."""
+    They lie in the shared folder, the chunks in folders by status and language, and are made again when a file changes or their folder is gone."""
     key = (spark.sparkContext.applicationId, *(state(spark, s) for s in sources))
     jvm = spark.sparkContext._jvm
     folder = _FOLDERS.get(key)
@@ -45,7 +46,7 @@ def kept(spark: SparkSession, sources: list[str], make: Callable[[], DataFrame])
             folder = None
     if folder is None:
         folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-        make().write.parquet(f"{folder}/chunks")
+        layout.write(make(), f"{folder}/chunks")
         bm25.index(spark.read.parquet(f"{folder}/chunks")).save(f"{folder}/index")
         _FOLDERS[key] = folder
     return Kept(spark.read.parquet(f"{folder}/chunks"), bm25.load(spark, f"{folder}/index"))

@@ -13,6 +13,7 @@ from lodestar.functions.jobs import cut
 from lodestar.operators import bm25, dense, embedding, fusion, rerank
 from lodestar.operators.filters import USER_FIELDS, FilterPolicy, Value, askable, matches
 from lodestar.plans.config import MODES, RetrievalConfig
+from lodestar.sources import layout
 
 LOGGER = logging.getLogger(__name__)
 #: Columns that results carry of their chunk.
@@ -38,7 +39,8 @@ class Retriever:
     """Searches chunks (chunk_id, text, metadata, optional vector) for queries (query_id, query, optional vector).
 
     A column filters of queries, map<string,string>, has each query's own metadata filters. A stored
-    index is looked up for every search, so that its latest segments are found."""
+    index is looked up for every search, so that its latest segments are found. Of chunks that are laid out
+    in folders (sources/layout.py) only those are read that the filters can be met in."""
 
     chunks: DataFrame
     config: RetrievalConfig = field(default_factory=RetrievalConfig)
@@ -51,7 +53,8 @@ class Retriever:
         self.chunks = fusion.identified(completed(self.chunks))
 
     def _allowed(self, filters: Mapping[str, Value] | None) -> DataFrame:
-        return self.chunks.filter(matches(self.policy.apply(filters)))
+        applied = self.policy.apply(filters)
+        return layout.in_folders(self.chunks, applied).filter(matches(applied))
 
     def _own(self, queries: DataFrame) -> tuple[DataFrame, list[str]]:
         """queries with a column filter_* for every field that their own filters may name, and these fields; system filters win."""
@@ -65,7 +68,7 @@ class Retriever:
     def dense(self, queries: DataFrame, limit: int, filters: Mapping[str, Value] | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank by cosine; filtered before the search."""
         queries, fields = self._own(queries)
-        asked, allowed = askable(queries), self._allowed(filters)
+        asked, allowed = askable(queries), layout.in_folders_of(self._allowed(filters), queries, fields)
         described = allowed.select("chunk_id", *fields)
         if "vector" not in asked.columns:
             asked = self.embed(asked, "query_id", "query")
@@ -81,7 +84,7 @@ class Retriever:
         """query_id, chunk_id, score, rank by BM25; statistics are those of all chunks."""
         queries, fields = self._own(queries)
         index = self.index.index() if isinstance(self.index, bm25.Stored) else self.index or bm25.index(self.chunks, terms=bm25.query_terms(queries))
-        allowed = self._allowed(filters) if fields or self.policy.apply(filters) else None
+        allowed = layout.in_folders_of(self._allowed(filters), queries, fields) if fields or self.policy.apply(filters) else None
         return bm25.search(queries, index, limit, allowed, fields=fields)
 
     def _described(self, queries: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from lodestar.functions.jobs import broadcast_if_small, cut
 from lodestar.functions.text import point_id
 from lodestar.functions.versions import Versions
 from lodestar.operators.fusion import first_wins
+from lodestar.sources import layout
 
 #: Buckets of a store, fixed when it is made.
 BUCKETS = 64
@@ -32,7 +34,8 @@ class ChunkStore:
     Every write makes a generation of its own, a folder with a file or more per bucket; the manifest
     says which generations a bucket consists of. New keys add a generation to their buckets; replaced
     keys have their buckets, and no others, written anew. What a version names is never changed, so that a run that
-    dies leaves the version before it readable, and readers of a former one aren't disturbed until vacuum()."""
+    dies leaves the version before it readable, and readers of a former one aren't disturbed until vacuum().
+    Within a bucket, chunks lie in folders by status and language; a store made without such folders stays without."""
 
     spark: SparkSession
     path: str
@@ -52,14 +55,20 @@ class ChunkStore:
             return self.spark.createDataFrame([], f"{COLUMNS}, bucket int")
         live = {int(b): own for b, own in held["live"].items() if buckets is None or int(b) in buckets}
         schema = T.StructType.fromJson(held["schema"])
+        folders = [layout.folder_column(f) for f in held.get("layout", [])]
         data = f"{self.path}/data"
         paths = [f"{data}/generation={g}/bucket={b}" for b, own in live.items() for g in own]
         if not paths:
-            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
-        return self.spark.read.schema(schema.add("generation", T.StringType()).add("bucket", T.IntegerType())).option("basePath", data).parquet(*paths).drop("generation")
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, *[T.StructField(c, T.IntegerType()) for c in ("bucket", *folders)]]))
+        whole = reduce(lambda s, c: s.add(c, T.IntegerType()), ("bucket", *folders), schema.add("generation", T.StringType()))
+        return self.spark.read.schema(whole).option("basePath", data).parquet(*paths).drop("generation")
 
     def read(self) -> DataFrame:
         """All stored chunks; a store that doesn't exist has none."""
+        return self.searchable().drop(*map(layout.folder_column, layout.FIELDS))
+
+    def searchable(self) -> DataFrame:
+        """All stored chunks with their folders (sources/layout.py), by which a search's filters choose what is read."""
         return self._rows().drop("bucket")
 
     def vector_size(self) -> int | None:
@@ -101,9 +110,9 @@ class ChunkStore:
 
     def _publish(self, chunks: DataFrame, replaces: bool) -> None:
         version, held = self.versions.read()
-        held = held or {"buckets": BUCKETS, "size": None, "schema": None, "live": {}}
+        held = held or {"buckets": BUCKETS, "size": None, "schema": None, "live": {}, "layout": list(layout.FIELDS)}
         bucket = bucket_of(F.col("chunk_hash"), held["buckets"]).alias("bucket")
-        fresh = cut(chunks.drop("point_id", "bucket").dropDuplicates(["chunk_hash"]).withColumn("point_id", point_id(F.col("chunk_hash"))).select("*", bucket))
+        fresh = cut(chunks.drop("point_id", "bucket", *map(layout.folder_column, layout.FIELDS)).dropDuplicates(["chunk_hash"]).withColumn("point_id", point_id(F.col("chunk_hash"))).select("*", bucket))
         written, anew = fresh, set()
         if replaces and version >= 0:
             met = self._near(fresh).join(broadcast_if_small(fresh.select("chunk_hash")), "chunk_hash", "left_semi")
@@ -117,7 +126,11 @@ class ChunkStore:
         """Writes a generation and names it in the next version; buckets in `anew` consist of it alone."""
         generation = uuid.uuid4().hex
         at = f"{self.path}/data/generation={generation}"
-        rows.repartition("bucket").sortWithinPartitions("bucket", "chunk_hash").write.partitionBy("bucket").parquet(at)
+        fields = held.get("layout", [])
+        folders = [layout.folder_column(f) for f in fields]
+        rows = rows.drop(*folders)
+        placed = layout.laid_out(rows, fields) if fields else rows
+        placed.repartition("bucket").sortWithinPartitions("bucket", *folders, "chunk_hash").write.partitionBy("bucket", *folders).parquet(at)
         fs, top = Versions(self.spark, at)._at()
         found = {s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(top) if s.isDirectory() and s.getPath().getName().startswith("bucket=")}
         live = {b: own for b, own in held["live"].items() if int(b) not in anew}
@@ -128,7 +141,7 @@ class ChunkStore:
         if size is None and "vector" in rows.columns:
             first = rows.filter("vector is not null").select(F.size("vector")).first()
             size = first and first[0]
-        self.versions.publish(version, {"buckets": held["buckets"], "size": size, "schema": {"type": "struct", "fields": list(known.values())}, "live": live})
+        self.versions.publish(version, {"buckets": held["buckets"], "layout": fields, "size": size, "schema": {"type": "struct", "fields": list(known.values())}, "live": live})
 
     def compact(self, most: int = 8) -> int:
         """Writes buckets of more than `most` generations anew; gives how many there were."""

@@ -16,7 +16,7 @@ from lodestar.plans.config import RetrievalConfig, from_environment
 from lodestar.plans.ingestion import Ingestion
 from lodestar.plans.retrieval import Retriever, completed
 from lodestar.plans import kept as keeping
-from lodestar.sources import files, golden
+from lodestar.sources import files, golden, layout
 from lodestar.sources.providers import ModelServer
 from lodestar.sources.store import ChunkStore, merged
 from lodestar.streaming.ingest import ingest_files_stream
@@ -498,3 +498,63 @@ def test_counters_of_an_ingestion_need_no_jobs_of_their_own(spark, tmp_path):
     assert (stats.files_seen, stats.files_succeeded, stats.files_failed, stats.pages_parsed) == (6, 5, 1, 5)
     assert (stats.chunks_created, stats.chunks_skipped, stats.chunks_upserted) == (5, 2, 3)
     assert jobs <= 32 and len(stats.warnings) == 1
+
+
+def described(spark):
+    rows = [(f"h{k}", f"text number {k} about access", [float(k), 1.0], ("published", "draft", None)[k % 3], ("en", "de", "fr", None, "")[k % 5]) for k in range(60)]
+    return spark.createDataFrame(rows, "chunk_hash string, text string, vector array<double>, status string, language string").withColumn("chunk_id", F.col("chunk_hash"))
+
+
+def filters_of_scan(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
+
+
+def test_filters_choose_folders_of_a_store(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    rows = described(spark)
+    store.append(rows.filter("chunk_hash < 'h3'"))
+    store.upsert(rows.filter("chunk_hash >= 'h3'"))
+    assert "in_status" not in store.read().columns and sorted(store.read().select(rows.columns).collect()) == sorted(rows.collect())
+    plain, placed = Retriever(store.read()), Retriever(store.searchable())
+    asked = spark.createDataFrame([(1, "number 3"), (2, "access")], "query_id long, query string")
+    for own in ({"language": "en"}, {"language": ""}, {"language": "none such"}, {"document_type": "pdf"}, {}):
+        assert placed.sparse(asked, 9, own).orderBy("query_id", "rank").collect() == plain.sparse(asked, 9, own).orderBy("query_id", "rank").collect()
+    assert "in_language" in filters_of_scan(placed._allowed({"language": "en"})) and "in_status" in filters_of_scan(placed._allowed({}))
+    assert "in_status" not in filters_of_scan(plain._allowed({}))
+    # values that aren't text are compared by Spark's rules for them, not by a hash
+    assert "in_language" not in filters_of_scan(placed._allowed({"language": 1}))
+
+
+def test_questions_own_filters_choose_folders(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    store.append(described(spark))
+    plain, placed = Retriever(store.read()), Retriever(store.searchable())
+    schema = "query_id long, query string, filters map<string,string>, vector array<double>"
+    for asked in ([(1, "number 3", {"language": "en"}, [1.0, 0.0]), (2, "access", {"language": "fr"}, [0.0, 1.0])], [(1, "number", {"language": "de"}, [1.0, 0.0]), (2, "access", None, [1.0, 1.0])]):
+        queries = spark.createDataFrame(asked, schema)
+        for search in ("sparse", "dense"):
+            got, want = (getattr(r, search)(queries, 7).orderBy("query_id", "rank").collect() for r in (placed, plain))
+            assert got == want and got
+    own, fields = placed._own(spark.createDataFrame([(1, "x", {"language": "en"}, [1.0])], schema))
+    assert "in_language" in filters_of_scan(layout.in_folders_of(placed._allowed({}), own, fields))
+    own, fields = placed._own(spark.createDataFrame([(1, "x", {"language": "en"}, [1.0]), (2, "x", None, [1.0])], schema))
+    assert "in_language" not in filters_of_scan(layout.in_folders_of(placed._allowed({}), own, fields))
+
+
+def test_a_store_without_folders_stays_so(spark, tmp_path, monkeypatch):
+    store, rows = ChunkStore(spark, str(tmp_path / "store")), described(spark)
+    with monkeypatch.context() as patch:
+        patch.setattr(layout, "FIELDS", ())
+        store.append(rows.filter("chunk_hash < 'h3'"))
+    store.upsert(rows)
+    assert store.compact(most=0) > 0 and "in_status" not in store.searchable().columns
+    assert sorted(store.read().select(rows.columns).collect()) == sorted(rows.collect())
+
+
+def test_many_values_make_few_folders(spark):
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("status"))
+    placed = layout.laid_out(rows)
+    assert placed.select("in_status").distinct().count() == layout.FOLDERS and placed.select("in_language").distinct().count() == 1
+    assert [r["status"] for r in layout.in_folders(placed, {"status": "77"}).filter("status = '77'").collect()] == ["77"]
+    assert layout.in_folders(rows, {"status": "77"}).count() == 5000
