@@ -658,3 +658,17 @@ def test_operators_keep_columns_of_any_name(spark):
         assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [r for r in held if r[0] not in gone]
     drawn = mixing.drawn(docs)
     assert drawn.columns == docs.columns and set(map(tuple, drawn.collect())) <= set(held) and drawn.count() > 0
+
+
+def test_the_networks_gradients_are_those_of_differences():
+    """Along three directions for each group of weights: LSTM gates, embeddings, output and CRF moves."""
+    rng = np.random.default_rng(4)
+    w = {n: v.astype(np.float64) for n, v in pii._initial(rng).items()}
+    w["moves"] = rng.normal(0, 0.5, w["moves"].shape)
+    symbols, tags = rng.integers(0, pii.CLASSES, (23, 6)), rng.integers(0, pii.TAGS, (23, 6))
+    _, grad = pii._gradients(w, symbols, tags)
+    for name in w:
+        for _ in range(3):
+            way, step = rng.normal(0, 1, w[name].shape), 1e-3
+            ends = [pii._gradients(w | {name: w[name] + s * step * way}, symbols, tags)[0] for s in (1, -1)]
+            assert (ends[0] - ends[1]) / (2 * step) == pytest.approx(float((grad[name] * way).sum()), rel=0.01, abs=1e-4), name
