@@ -81,9 +81,12 @@ def _named(reference: Column) -> Column:
 def decode_entities(column: Column) -> Column:
     """All HTML character references decoded; null stays null, and texts without `&` aren't touched.
 
-    A number beyond Unicode, however many digits it has, gives U+FFFD."""
-    references = F.regexp_extract_all(column, F.lit(REFERENCE), F.lit(1))
-    decoded = F.transform(references, lambda r: F.when(r.startswith("#"), _numeric(r)).otherwise(_named(r)))
-    between = F.split(column, REFERENCE, -1)
-    whole = F.array_join(F.zip_with(between, F.concat(decoded, F.array(F.lit(""))), lambda text, mark: F.concat(text, mark)), "")
-    return F.when(column.contains("&"), whole).otherwise(column)
+    A number beyond Unicode, however many digits it has, gives U+FFFD. The text is handed to the
+    function as one value, for else what it is made of would be computed three times."""
+
+    def whole(text: Column) -> Column:
+        decoded = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda r: F.when(r.startswith("#"), _numeric(r)).otherwise(_named(r)))
+        joined = F.zip_with(F.split(text, REFERENCE, -1), F.concat(decoded, F.array(F.lit(""))), lambda between, mark: F.concat(between, mark))
+        return F.when(text.contains("&"), F.array_join(joined, "")).otherwise(text)
+
+    return F.get(F.transform(F.array(column), whole), F.lit(0))
