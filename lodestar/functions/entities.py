@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Parts of the table of names, looked up by CRC-32, so that a look-up compares some ten names and not all.
 PARTS = 256
 REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: The same, but for those that a semicolon closes.
+CLOSED = REFERENCE.replace(";?", ";")
 UNKNOWN = "�"
 _ENTRY, _VALUE = "\x01", "\x02"
 
@@ -66,27 +68,31 @@ def _numeric(reference: Column) -> Column:
     )
 
 
-def _named(reference: Column) -> Column:
-    """What a reference by name stands for: the whole name, else the longest beginning that needs no semicolon and the rest; else itself."""
+def _named(reference: Column, closed: bool) -> Column:
+    """What a reference by name stands for: the whole name, else the longest beginning that needs no semicolon (if not closed) and the rest; else itself."""
     table = F.array(*[F.str_to_map(F.lit(p), F.lit(_ENTRY), F.lit(_VALUE)) for p in _parts()])
 
     def value(name: Column) -> Column:
         return F.try_element_at(F.get(table, (F.crc32(name.cast("binary")) % PARTS).cast("int")), name)
 
+    if closed:
+        return F.coalesce(value(reference), F.concat(F.lit("&"), reference))
     begin = F.regexp_extract(reference, _open_names(), 0)
     rest = F.concat(value(begin), F.substr(reference, F.length(begin) + 1))
     return F.coalesce(value(reference), F.when(begin != "", rest), F.concat(F.lit("&"), reference))
 
 
-def decode_entities(column: Column) -> Column:
+def decode_entities(column: Column, closed: bool = False) -> Column:
     """All HTML character references decoded; null stays null, and texts without `&` aren't touched.
 
+    closed leaves references as they are that no semicolon ends (`&amp` at the end of a cut title).
     A number beyond Unicode, however many digits it has, gives U+FFFD. The text is handed to the
     function as one value, for else what it is made of would be computed three times."""
+    pattern = CLOSED if closed else REFERENCE
 
     def whole(text: Column) -> Column:
-        decoded = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda r: F.when(r.startswith("#"), _numeric(r)).otherwise(_named(r)))
-        joined = F.zip_with(F.split(text, REFERENCE, -1), F.concat(decoded, F.array(F.lit(""))), lambda between, mark: F.concat(between, mark))
+        decoded = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda r: F.when(r.startswith("#"), _numeric(r)).otherwise(_named(r, closed)))
+        joined = F.zip_with(F.split(text, pattern, -1), F.concat(decoded, F.array(F.lit(""))), lambda between, mark: F.concat(between, mark))
         return F.when(text.contains("&"), F.array_join(joined, "")).otherwise(text)
 
     return F.get(F.transform(F.array(column), whole), F.lit(0))

@@ -54,10 +54,10 @@ def collapse(column: Column) -> Column:
     return strip(F.regexp_replace(column, rf"(?U){SPACE}+", " "))
 
 
-def clean_text(column: Column, entities: bool = True) -> Column:
-    """Text without HTML and Markdown; null and blank give ''. entities=False leaves character references as they are."""
+def clean_text(column: Column, entities: bool = True, closed: bool = False) -> Column:
+    """Text without HTML and Markdown; null and blank give ''. entities=False leaves character references as they are, closed those without a semicolon."""
     plain = _replaced(column, CLEANING)
-    plain = decode_entities(plain) if entities else plain
+    plain = decode_entities(plain, closed) if entities else plain
     return F.when(column.isNull() | (strip(column) == ""), F.lit("")).otherwise(strip(_replaced(plain, DECORATION)))
 
 

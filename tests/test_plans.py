@@ -4,6 +4,8 @@ import time
 import urllib.request
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from lodestar.functions.jobs import cut_observed
 from lodestar.operators import bm25, rerank
 from lodestar.operators.chunking import Chunker
 from lodestar.operators.filters import FilterPolicy
-from lodestar.plans import evaluate, ingestion, service
+from lodestar.plans import catalog, evaluate, ingestion, service
 from lodestar.plans.config import RetrievalConfig, from_environment
 from lodestar.plans.ingestion import Ingestion
 from lodestar.plans.retrieval import Retriever, completed
@@ -558,3 +560,17 @@ def test_many_values_make_few_folders(spark):
     assert placed.select("in_status").distinct().count() == layout.FOLDERS and placed.select("in_language").distinct().count() == 1
     assert [r["status"] for r in layout.in_folders(placed, {"status": "77"}).filter("status = '77'").collect()] == ["77"]
     assert layout.in_folders(rows, {"status": "77"}).count() == 5000
+
+
+def _sql_rows(name, tables):
+    """Rows of a query's SQL over these tables (pandas)."""
+    con = duckdb.connect()
+    for key, rows in tables.items():
+        con.register(key, rows)
+    return con.execute(catalog.SQL[name]).fetchall()
+
+
+def test_cleaned_pages_are_those_of_their_sql(spark, tmp_path):
+    pages = pd.DataFrame({"page_id": [1, 2, 3, 4], "html": ["<title>und&amp;&amp</title><p>a &copy; b</p>", "&amp;copy; &middot;", "", "x&amp"]})
+    spark.createDataFrame(pages).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, catalog.clean_text_pages(spark, str(tmp_path)).collect())) == sorted(_sql_rows("clean_text_pages", {"pages": pages}))

@@ -108,3 +108,9 @@ def test_references_by_number_and_broken_ones(spark):
 def test_cleaning_stays_in_the_jvm(spark):
     plan = spark.createDataFrame([("a&amp;b",)], "t string").select(tx.clean_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_closed_references_alone(spark):
+    """What the SQL of clean_text_pages decodes: a reference ends with a semicolon, one of a cut title doesn't."""
+    for value, want in (("and&amp</h1>", "and&amp"), ("&amp;&amp &copy;&copy", "&&amp ©&copy"), ("&#233;&#233 &notit;", "é&#233 &notit;")):
+        assert one(spark, value, lambda c: tx.clean_text(c, closed=True)) == want
