@@ -6,11 +6,11 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import chunk_hash, document_type, language
+from lodestar.functions.text import TEXTS, chunk_hash, document_type, language
 
 # Fixed value: separators, the strongest first; the last cuts between characters.
 SEPARATORS = ("\n\n", "\n", ". ", "。", "; ", "；", ", ", "，", " ", "")
@@ -73,9 +73,11 @@ class Chunker:
         """Pages (text, source_file, page_number, used_ocr, ...) to chunks with their metadata; other columns stay."""
         size, overlap = self.size, self.overlap
 
-        @F.pandas_udf("array<string>")
-        def cut(text: pd.Series) -> pd.Series:
-            return text.map(lambda t: split(t, size, overlap) if t else [])
+        @F.arrow_udf("array<string>")
+        def cut(text: pa.Array) -> pa.Array:
+            # few texts and their parts are Python's strings at once
+            parts = [pa.array([split(t, size, overlap) if t else [] for t in text.slice(a, TEXTS).to_pylist()], pa.list_(pa.string())) for a in range(0, len(text), TEXTS)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
         rows = pages.withColumn("_parts", cut("text")).select("*", F.posexplode("_parts").alias("chunk_ordinal", "_chunk")).withColumn("text", F.col("_chunk")).drop("_parts", "_chunk")
         digest = chunk_hash(F.col("text"))
