@@ -20,7 +20,7 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def _holding(asked: DataFrame, texts: DataFrame, keys: Column) -> DataFrame:
+def _holding(asked: DataFrame, texts: DataFrame, keys: Column, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id) of the texts (chunk_id, body) that hold a piece (query_id, evidence, keys).
 
     Whatever holds a piece has all its keys among its own, so the texts of its rarest key are all that are looked at."""
@@ -31,7 +31,9 @@ def _holding(asked: DataFrame, texts: DataFrame, keys: Column) -> DataFrame:
     keyed = asked.select("query_id", "evidence", F.explode("keys").alias("key")).join(counts, "key", "left")
     rarest = keyed.groupBy("query_id", "evidence").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))["key"].alias("key"))
     pairs = rarest.join(held, "key").select("query_id", "evidence", "chunk_id")
-    return texts.join(broadcast_if_small(cut(pairs)), "chunk_id").filter(F.col("body").contains(F.col("evidence"))).select("query_id", "chunk_id")
+    # the texts themselves meet the pairs: what is joined is normalized, not all
+    met = chunks.select("chunk_id", "text").join(broadcast_if_small(cut(pairs)), "chunk_id")
+    return met.filter(normalize_evidence(F.col("text")).contains(F.col("evidence"))).select("query_id", "chunk_id")
 
 
 def evidence_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -49,11 +51,11 @@ def evidence_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     for size in sorted(r[0] for r in asked.select("size").distinct().collect()):  # five values at most
         own = asked.filter(F.col("size") == size)
         if size < 0:
-            rows = _holding(own.withColumn("keys", F.array_distinct(F.slice(words, 2, F.size(words) - 2))), texts, F.array_distinct(F.split("body", " ")))
+            rows = _holding(own.withColumn("keys", F.array_distinct(F.slice(words, 2, F.size(words) - 2))), texts, F.array_distinct(F.split("body", " ")), chunks)
         elif size:
-            rows = _holding(own.withColumn("keys", _grams(F.col("evidence"), size)), texts, _grams(F.col("body"), size))
+            rows = _holding(own.withColumn("keys", _grams(F.col("evidence"), size)), texts, _grams(F.col("body"), size), chunks)
         else:
-            rows = _holding(own.withColumn("keys", F.array(F.lit(""))), texts.filter("body is not null"), F.array(F.lit("")))
+            rows = _holding(own.withColumn("keys", F.array(F.lit(""))), texts.filter("body is not null"), F.array(F.lit("")), chunks)
         found = rows if found is None else found.union(rows)
     return texts.limit(0).join(asked.limit(0), F.lit(False)).select("query_id", "chunk_id") if found is None else found.distinct()
 

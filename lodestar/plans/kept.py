@@ -41,12 +41,12 @@ def kept(spark: SparkSession, sources: list[str], make: Callable[[], DataFrame])
     jvm = spark.sparkContext._jvm
     folder = _FOLDERS.get(key)
     if folder is not None:
-        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/index/manifest/0.json")
+        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/index/corpus/_SUCCESS")
         if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
             folder = None
     if folder is None:
         folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
         layout.write(make(), f"{folder}/chunks")
-        bm25.index(spark.read.parquet(f"{folder}/chunks")).save(f"{folder}/index")
+        bm25.save_texts(spark.read.parquet(f"{folder}/chunks"), f"{folder}/index")
         _FOLDERS[key] = folder
-    return Kept(spark.read.parquet(f"{folder}/chunks"), bm25.load(spark, f"{folder}/index"))
+    return Kept(spark.read.parquet(f"{folder}/chunks"), bm25.load_texts(spark, f"{folder}/index"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.jobs import cut
+from lodestar.functions.jobs import broadcast_if_small, cut
 from lodestar.operators import bm25, dense, embedding, fusion, rerank
 from lodestar.operators.filters import USER_FIELDS, FilterPolicy, Value, askable, matches
 from lodestar.plans.config import MODES, RetrievalConfig
@@ -90,7 +90,7 @@ class Retriever:
     def _described(self, queries: DataFrame, ranked: DataFrame) -> DataFrame:
         """Ranked ids with the query's text and the chunk's fields; only these few rows meet the texts."""
         fields = self.chunks.select("chunk_id", *CARRIED)
-        return ranked.join(fields, "chunk_id").join(queries.select("query_id", "query"), "query_id")
+        return fields.join(broadcast_if_small(cut(ranked)), "chunk_id").join(queries.select("query_id", "query"), "query_id")
 
     def _branch(self, search, queries: DataFrame, filters, guarded: bool) -> tuple[DataFrame | None, bool]:
         if not guarded:

@@ -1,3 +1,5 @@
+import hashlib
+import re
 import math
 import random
 from collections import Counter
@@ -300,3 +302,31 @@ def test_chunks_equal_their_sql(size, overlap):
         assert number == len(got.setdefault(doc_id, []))
         got[doc_id].append(text)
     assert got == {i: chunks for i, t in enumerate(texts) if (chunks := split(t, size, overlap) if t else [])}
+
+
+def test_bins_of_one_id_meet_across_rows_and_tasks(spark):
+    """Rows of one id are one text; the tokens of a text are not shuffled, nor grouped in a task's memory."""
+    rows = [(1, "a b"), (2, None), (3, "中 x"), (1, "b c"), (None, "d"), (None, "d")] + [(k, f"w{k} w{k + 1}") for k in range(4, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = embedding.embed_long(docs, "doc_id", "text", 16)
+    want = {}
+    for key, text in rows:
+        for token in re.findall("[a-z0-9]+|[一-鿿]", text or ""):
+            digest = hashlib.sha256(token.encode()).digest()
+            at = key, int.from_bytes(digest[:4], "big") % 16
+            want[at] = want.get(at, 0.0) + (1.0 if digest[4] & 1 else -1.0)
+    assert {(r["doc_id"], r["idx"]): r["value"] for r in found.collect()} == {k: v for k, v in want.items() if v}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "MapInArrow" in plan
+
+
+def test_an_index_kept_by_chunk_finds_the_same(spark, tmp_path):
+    docs = [(k, " ".join(f"t{k % m}" for m in (2, 3, 5, 7)) + (" 中文中" if k % 4 else " t1 t1")) for k in range(300)] + [(300, None)]
+    chunks = spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "t1 t1 t4"), (2, "中文 t6"), (3, "nothing"), (4, " ")], "query_id long, query string")
+    kept, plain = bm25.save_texts(chunks, f"{tmp_path}/index"), bm25.index(chunks)
+    assert rows_of(bm25.search(asked, kept, 7)) == rows_of(bm25.search(asked, plain, 7))
+    some = chunks.filter("chunk_id % 3 = 0")
+    assert rows_of(bm25.search(asked, kept, 7, some)) == rows_of(bm25.search(asked, plain, 7, some))
+    assert sorted(map(tuple, kept.terms.collect())) == sorted(map(tuple, plain.terms.collect())) and kept.corpus.first() == plain.corpus.first()
+    assert "MapInArrow" in bm25.search(asked, kept, 7)._jdf.queryExecution().executedPlan().toString()
