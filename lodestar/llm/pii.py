@@ -28,6 +28,8 @@ BATCH = 512
 PIECE = 1 << 19
 #: Windows whose emissions are held at once.
 KEPT = 8192
+#: Stretches searched together at most, and how far one may be filled up to the length of another.
+TOGETHER, FILLED, FILLED_LEAST = 1024, 1.25, 8
 #: Made-up training texts, the characters seen of each, and how they are gone through.
 TRAIN_TEXTS, TRAIN_WINDOW, TRAIN_BATCH, TRAIN_STEPS, TRAIN_SEED = 6000, 64, 64, 450, 5
 
@@ -238,17 +240,16 @@ def _gradients(w: Weights, symbols: np.ndarray, tags: np.ndarray) -> tuple[float
 class Tagger:
     """Frozen weights in single precision.
 
-    A logistic gate is (1 + tanh(z / 2)) / 2: the inner half is in the gates' weights, so that one
-    tanh serves all four, and the outer half of the output gate is in what reads the state."""
+    A logistic gate is 1 / (1 + exp(-z)) and tanh(z) is 2 / (1 + exp(-2 * z)) - 1: the inner factors are in
+    the gates' weights, so that one exp serves all four, and the cell is carried as -2 times itself."""
 
     def __init__(self, w: Weights):
-        half = np.ones((4 * HIDDEN, 1))
-        half[: 3 * HIDDEN] = 0.5
-        w = w | {"gates": w["gates"].copy(), "out": w["out"] * 0.5}
-        w["gates"][:, :, :HIDDEN] *= 0.5
+        inner = np.full((4 * HIDDEN, 1), -1.0)
+        inner[3 * HIDDEN :] = -2
         self.embed = np.concatenate([w["embed"], np.ones((1, CLASSES))]).astype(np.float32)
-        self.gates = (np.concatenate([w["gates"], w["bias"]], axis=2) * half).astype(np.float32)
-        self.out, self.out_bias, self.moves = w["out"].astype(np.float32), w["out_bias"].astype(np.float32), w["moves"].astype(np.float32)
+        self.gates = (np.concatenate([w["gates"], w["bias"]], axis=2) * inner).astype(np.float32)
+        self.outs = np.stack([w["out"][:, :HIDDEN], w["out"][:, HIDDEN:]]).astype(np.float32)
+        self.out_bias, self.moves = w["out_bias"].astype(np.float32), w["moves"].astype(np.float32)
         m = w["moves"]
         #: A run of personal data gains at most the sum of its tags' leads and stays over it, less toll.
         self.stay = m[1:, 1:].max(axis=0) - m[0, 0]
@@ -259,53 +260,72 @@ class Tagger:
         batch = symbols.shape[1]
         x = np.zeros((2, HIDDEN + EMBED + 1, batch), np.float32)
         c, part, z = np.zeros((2, HIDDEN, batch), np.float32), np.empty((2, HIDDEN, batch), np.float32), np.empty((2, 4 * HIDDEN, batch), np.float32)
-        hidden = np.empty((WINDOW, 2, HIDDEN, batch), np.float32)
+        both = np.empty((2, TAGS, batch), np.float32)
         read = np.take(self.embed, symbols, axis=1, mode="clip")
-        gate = z[:, : 3 * HIDDEN]
+        above = np.ones((4 * HIDDEN, 1), np.float32)
+        above[3 * HIDDEN :] = -4
+        state = x[:, :HIDDEN]
         i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-        for t in range(WINDOW):
-            x[0, HIDDEN:], x[1, HIDDEN:] = read[:, t], read[:, WINDOW - 1 - t]
-            np.matmul(self.gates, x, out=z)
-            np.tanh(z, out=z)
-            gate += 1
-            c *= f
-            np.multiply(i, g, out=part)
-            c += part
-            c *= 0.5
-            np.tanh(c, out=part)
-            np.multiply(o, part, out=hidden[t])
-            x[:, :HIDDEN] = hidden[t]
-        ahead, behind = hidden[MARGIN : MARGIN + CORE, 0], hidden[::-1][MARGIN : MARGIN + CORE, 1]
-        np.matmul(self.out[:, :HIDDEN], ahead, out=out)
-        out += np.matmul(self.out[:, HIDDEN:], behind)
+        # what lies behind the core in a direction bears on nothing that is kept; exp may overflow, where a gate is 0 or a tanh -1
+        with np.errstate(over="ignore"):
+            for t in range(MARGIN + CORE):
+                x[0, HIDDEN:], x[1, HIDDEN:] = read[:, t], read[:, WINDOW - 1 - t]
+                np.matmul(self.gates, x, out=z)
+                np.exp(z, out=z)
+                z += 1
+                np.divide(above, z, out=z)
+                g += 2
+                np.multiply(i, g, out=part)
+                c *= f
+                c += part
+                np.exp(c, out=part)
+                part += 1
+                np.divide(2, part, out=part)
+                part -= 1
+                np.multiply(o, part, out=state)
+                if t >= MARGIN:
+                    # the core's places are met from both sides: the first to come sets, the second adds
+                    np.matmul(self.outs, state, out=both)
+                    for place, own in ((t - MARGIN, both[0]), (WINDOW - 1 - t - MARGIN, both[1])):
+                        if 2 * (t - MARGIN) < CORE:
+                            out[place] = own
+                        else:
+                            out[place] += own
         out += self.out_bias
 
-    def decode(self, emit: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
-        """Best tags of stretches begin:begin + length, between characters that are outside, of emissions (CORE, TAGS, windows).
+    def decode(self, emit: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Best tags of stretches begin:begin + length, between characters that are outside, of emissions (CORE, TAGS, windows), one after another.
 
         Stretches of like length are searched together; what fills the shorter ones up is outside."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(begin)
+        ends = np.cumsum(length)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int8)
         order = np.argsort(length, kind="stable")
+        sizes = length[order]
         filler = np.array([0.0] + [-1e6] * (TAGS - 1), np.float32)
-        moves = self.moves[:, :, None]
-        for a in range(0, len(order), 256):
-            own = order[a : a + 256]
+        moves, flat, windows = self.moves[:, :, None], emit.reshape(-1), emit.shape[2]
+        a = 0
+        while a < len(order):
+            # a long stretch is not searched beside many short ones that it would fill up
+            own = order[a : min(a + TOGETHER, max(a + 1, int(np.searchsorted(sizes, sizes[a] * FILLED + FILLED_LEAST, "right"))))]
+            a += len(own)
             steps = int(length[own].max())
-            at = np.minimum(begin[own] + np.arange(steps)[:, None], CORE * emit.shape[2] - 1)
-            outside = np.arange(steps)[:, None] >= length[own]
+            line = np.arange(steps)[:, None]
+            at = np.minimum(begin[own] + line, CORE * windows - 1)
+            at = at % CORE * (TAGS * windows) + at // CORE
+            outside = line >= length[own]
             values = np.empty((steps, TAGS, len(own)), np.float32)
             for k in range(TAGS):
-                values[:, k] = emit[:, k][at % CORE, at // CORE]
+                values[:, k] = flat[at]
                 values[:, k][outside] = filler[k]
-            score = np.empty((steps, TAGS, len(own)), np.float32)
+                at += windows
+            score, pairs = np.empty((steps, TAGS, len(own)), np.float32), np.empty((TAGS, TAGS, len(own)), np.float32)
             score[0] = values[0] + self.moves[0][:, None]
             for t in range(1, steps):
-                np.max(score[t - 1][:, None] + moves, axis=0, out=score[t])
+                np.add(score[t - 1][:, None], moves, out=pairs)
+                np.maximum.reduce(pairs, axis=0, out=score[t])
                 score[t] += values[t]
             # where the best path is outside all along, its score is the sum of that path
             best = (score[-1] + self.moves[:, :1]).max(0)
-            for i in own.tolist():
-                out[i] = np.zeros(length[i], np.int8)
             some = np.flatnonzero(best > values[:, 0].sum(0) + self.moves[0, 0] * (steps + 1) + 1e-3)
             if not len(some):
                 continue
@@ -314,8 +334,8 @@ class Tagger:
             tags[-1] = (score[-1] + self.moves[:, :1]).argmax(0)
             for t in range(steps - 1, 0, -1):
                 tags[t - 1] = (score[t - 1] + self.moves[:, tags[t]]).argmax(0)
-            for k, i in enumerate(own[some].tolist()):
-                out[i] = tags[: length[i], k]
+            inside = line < length[own[some]]
+            out[(line + (ends - length)[own[some]])[inside]] = tags[inside]
         return out
 
     def _through(self, lead: np.ndarray) -> np.ndarray:
@@ -356,7 +376,7 @@ class Tagger:
         for a in range(0, count, BATCH):
             many = min(BATCH, count - a)
             own = emit if many == count else np.empty((CORE, TAGS, many), np.float32)
-            self.emissions(np.ascontiguousarray(windows[a : a + BATCH].T, np.intp), own)
+            self.emissions(np.ascontiguousarray(windows[a : a + BATCH].T).astype(np.intp), own)
             if own is not emit and count <= KEPT:
                 emit[:, :, a : a + BATCH] = own
             best = own[:, 1] + self.stay[0]
@@ -374,7 +394,7 @@ class Tagger:
         del lead, where
         tags: list[np.ndarray] = []
         if count <= KEPT:
-            tags = self.decode(emit, begins, lengths)
+            tags.append(self.decode(emit, begins, lengths))
         else:
             first = 0
             while first < len(begins):  # stretches in as many windows as are kept, or one longer stretch
@@ -383,19 +403,22 @@ class Tagger:
                 emit = np.empty((CORE, TAGS, len(need)), np.float32)
                 for a in range(0, len(need), BATCH):
                     own = np.empty((CORE, TAGS, min(BATCH, len(need) - a)), np.float32)
-                    self.emissions(np.ascontiguousarray(windows[need[a : a + BATCH]].T, np.intp), own)
+                    self.emissions(np.ascontiguousarray(windows[need[a : a + BATCH]].T).astype(np.intp), own)
                     emit[:, :, a : a + BATCH] = own
                 at = np.searchsorted(need, begins[first:last] // CORE) * CORE + begins[first:last] % CORE
-                tags += self.decode(emit, at, lengths[first:last])
+                tags.append(self.decode(emit, at, lengths[first:last]))
                 first = last
-        out = []
-        for begin, own in zip(begins.tolist(), tags, strict=True):
-            edges = np.flatnonzero(np.diff(own, prepend=0, append=0))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if own[a]:
-                    text = int(np.searchsorted(laid, begin + a, "right")) - 1
-                    out.append((text, int(begin + a - laid[text]), int(begin + b - 1 - laid[text]) + 1, int(own[a])))
-        return out
+        # the stretches' tags, one outside after each
+        begun = np.cumsum(lengths + 1) - lengths - 1
+        line = np.zeros(int((lengths + 1).sum()), np.int8)
+        line[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate(tags)
+        edges = np.flatnonzero(np.diff(line, prepend=0, append=0))
+        first, last = edges[:-1][line[edges[:-1]] > 0], edges[1:][line[edges[:-1]] > 0]
+        own = np.searchsorted(begun, first, "right") - 1
+        places = begins[own] + first - begun[own]
+        text = np.searchsorted(laid, places, "right") - 1
+        start = places - laid[text]
+        return list(zip(text.tolist(), start.tolist(), (start + last - first).tolist(), line[first].tolist(), strict=True))
 
 
 @lru_cache(maxsize=2)

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -413,6 +414,20 @@ def test_the_bound_loses_no_path():
     assert bounded == whole and bounded
 
 
+def test_a_long_stretch_does_not_fill_up_short_ones():
+    """One stretch of 20,000 beside 255 of 20: searched in memory for its own length, with the tags that each has alone."""
+    tagger, rng = pii.trained(), np.random.default_rng(3)
+    emit = rng.normal(0, 2, (pii.CORE, pii.TAGS, 120)).astype(np.float32)
+    begin, length = np.append(20_500 + 22 * np.arange(255), 100), np.append(np.full(255, 20), 20_000)
+    alone = [tagger.decode(emit, begin[i : i + 1], length[i : i + 1]) for i in range(256)]
+    tracemalloc.start()
+    together = tagger.decode(emit, begin, length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert np.array_equal(together, np.concatenate(alone)) and together.any()
+
+
 # ---------------------------------------------------------------- URLs
 
 
