@@ -36,6 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes after which an Arrow batch ends. By Spark's 10,000 rows a batch of texts has 50 MB and more, which the JVM
+#: holds outside its heap and Python once more, both for what comes and for what goes back.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python batches of BATCH_BYTES, unless it has a bound of its own.
+
+    It is a setting of the session, since plans are run later than they are made; results don't depend on it."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def unused(df: DataFrame, *stems: str) -> list[str]:
     """Column names made of the stems that df doesn't have, in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer, unused
+from lodestar.llm.common import broadcast_checked, cut, pieces, small_batches, text_buffer, unused
 from lodestar.llm.shingles import permutations, shingles
 
 #: The least window similarity of an item at 0.8 is 0.19; all of 64 minima miss with a chance of 1e-6.
@@ -30,7 +30,13 @@ SMALL = 9
 ITEMS_PER_PASS = 20_000
 BYTES_PER_PASS = 16 << 20
 PIECE = 1 << 19
-_FILTER_BITS = 20
+#: A filter has some FILTER_SLOTS for each entry, and no more than 2**FILTER_BITS.
+FILTER_SLOTS, FILTER_BITS = 64, 20
+
+
+def _slots(entries: int) -> int:
+    """Slots of a filter for so many entries, a power of two."""
+    return 1 << min(FILTER_BITS, max(10, (FILTER_SLOTS * entries).bit_length()))
 
 
 class ItemIndex:
@@ -48,8 +54,8 @@ class ItemIndex:
         whole = np.concatenate([self.sets[i] for i in small]) if small else hashes[:0]
         order = np.argsort(whole, kind="stable")
         self.small = (whole[order], np.repeat(np.array(small, int), [len(self.sets[i]) for i in small])[order])
-        self.small_seen = np.zeros(1 << _FILTER_BITS, bool)
-        self.small_seen[whole & np.uint64((1 << _FILTER_BITS) - 1)] = True
+        self.small_seen = np.zeros(_slots(len(whole)), bool)
+        self.small_seen[whole & np.uint64(len(self.small_seen) - 1)] = True
         for i, s in enumerate(self.sets):
             if len(s) >= SMALL:
                 by_class.setdefault(max(0, (len(s) - 1).bit_length() - BLOCK.bit_length() + 1), []).append(i)
@@ -57,8 +63,8 @@ class ItemIndex:
             keys = np.stack([(((self.sets[i] >> np.uint64(32)).astype(np.uint32)[:, None] * a + b).min(axis=0)) for i in items])
             flat = keys.astype(np.uint64) << np.uint64(8) | np.arange(PERMUTATIONS, dtype=np.uint64)
             order = np.argsort(flat, axis=None, kind="stable")
-            seen = np.zeros((PERMUTATIONS, 1 << _FILTER_BITS), bool)
-            seen[np.arange(PERMUTATIONS), keys & ((1 << _FILTER_BITS) - 1)] = True
+            seen = np.zeros((PERMUTATIONS, _slots(len(items))), bool)
+            seen[np.arange(PERMUTATIONS), keys & np.uint32(seen.shape[1] - 1)] = True
             self.classes[level] = (flat.reshape(-1)[order], np.repeat(np.array(items), PERMUTATIONS)[order], np.packbits(seen, axis=1, bitorder="little"))
 
     def find(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -87,7 +93,7 @@ class ItemIndex:
             for d, a, n in zip(docs[some[one]].tolist(), low[some[one]].tolist(), many[some[one]].tolist(), strict=True):
                 found.update((d * len(self.ids) + items[a : a + n]).tolist())
 
-        hit = np.flatnonzero(self.small_seen[hashes & np.uint64((1 << _FILTER_BITS) - 1)]) if len(self.small[0]) else []
+        hit = np.flatnonzero(self.small_seen[hashes & np.uint64(len(self.small_seen) - 1)]) if len(self.small[0]) else []
         if len(hit):
             candidates(np.searchsorted(at, hit, "right") - 1, hashes[hit], *self.small)
         for level, (keys, items, seen) in self.classes.items():
@@ -98,7 +104,7 @@ class ItemIndex:
             for p in range(PERMUTATIONS):
                 row = np.append(blocks[p], np.uint32(0xFFFFFFFF))
                 window = np.minimum.reduceat(row, cuts)[::2]
-                slot = window & np.uint32((1 << _FILTER_BITS) - 1)
+                slot = window & np.uint32(8 * seen.shape[1] - 1)
                 hit = np.flatnonzero(seen[p][slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8) & 1)
                 if len(hit):
                     candidates(doc[begin[hit]], window[hit].astype(np.uint64) << np.uint64(8) | np.uint64(p), keys, items)
@@ -178,6 +184,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that hold no test item, with their columns; each is judged by its own text, whatever its id."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def without(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

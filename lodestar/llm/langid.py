@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, text_buffer
+from lodestar.llm.common import pieces, small_batches, text_buffer
 
 ORDER = 4
 #: Bounds of the training sample: whole texts, in order of a hash of their id, until a language has this many bytes,
@@ -268,4 +268,5 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", max_bits: fl
     """The rows whose text is in a learned language, with all their columns.
 
     Rejected: `und`, and texts that the best language codes in more than max_bits a byte."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_accept(model, docs.columns.index(text_col), max_bits), docs.schema)

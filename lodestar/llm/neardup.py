@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import broadcast_checked, cut, pieces, text_buffer, unused
+from lodestar.llm.common import broadcast_checked, cut, pieces, small_batches, text_buffer, unused
 from lodestar.llm.shingles import mixed, permutations, shingles
 
 #: 24 bands of two permutations: a pair at 0.8 is missed by all bands with a chance of 3e-6.
@@ -360,6 +360,7 @@ def keep_rows(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     Rows are told apart by their place in the scan, so docs must be read from a file or checkpoint
     (or mapped from one row by row); null and repeated ids are judged each by its own text."""
+    small_batches(docs.sparkSession)
     (row,) = unused(docs, "row")
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
     plain = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -1,6 +1,9 @@
 import hashlib
+import pickle
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_shingle_operators import near_brute, shingle_set
@@ -8,6 +11,7 @@ from test_shingle_operators import near_brute, shingle_set
 import corpus_pipeline as pipeline
 from lodestar.llm import decontam, langid, neardup, sharding
 from lodestar.llm import queries as corpus
+from lodestar.llm.common import BATCH_BYTES, BATCH_SETTING, text_buffer
 
 
 @pytest.fixture(scope="module")
@@ -153,3 +157,33 @@ def test_run_writes_and_rereads_every_stage(spark, folder, monkeypatch):
     assert pipeline.run(spark, folder).count() > 0
     names = [n for n, _ in pipeline.STAGES]
     assert seen == list(zip(names, [{"documents.parquet"}, *({n} for n in names)], strict=False))
+
+
+@pytest.mark.parametrize("stage", [pipeline.identify_language, pipeline.drop_near_duplicates, pipeline.decontaminate])
+def test_python_gets_texts_in_small_batches(spark, folder, tmp_path, stage):
+    row = F.struct(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), 400).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    spark.range(0, 4000, 1, 1).select(row.alias("r")).select("r.*").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        stage(spark, docs, folder)
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+        assert 10_000_000 < sum(r["n"] for r in sizes) and max(r["n"] for r in sizes) <= 1.5 * BATCH_BYTES
+        spark.conf.set(BATCH_SETTING, "1000000")
+        stage(spark, docs, folder)
+        assert spark.conf.get(BATCH_SETTING) == "1000000"
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
+def test_filters_of_few_items_are_small():
+    rng = random.Random(13)
+    say = lambda n: " ".join("".join(rng.choice("the and of ing tion er ou".split()) for _ in range(3)) for _ in range(n))
+    items = [say(n) for n in (6, 9, 20, 30, 50, 90) for _ in range(20)]
+    index = decontam.ItemIndex(list(range(len(items))), items, 5, 80)
+    assert len(index.classes) == 4 and len(pickle.dumps(index)) < 1_000_000
+    texts = [f"{say(30)} {item} {say(30)}" for item in items] + [say(200) for _ in range(50)]
+    sets = [shingle_set(t, 5) for t in items]
+    want = [(d, i) for d, t in enumerate(texts) for i, s in enumerate(sets) if 100 * len(s & shingle_set(t, 5)) >= 80 * len(s)]
+    raw, offsets = text_buffer(pa.array(texts))
+    assert [hit[:2] for hit in index.find(np.array(raw), offsets)] == want and len(want) >= len(items)
