@@ -42,6 +42,7 @@ def lexical(candidates: DataFrame, limit: int, lexical_weight: float = LEXICAL_W
 def with_fallback(candidates: DataFrame, limit: int, reranker: Reranker, timeout: float | None = None) -> tuple[DataFrame, bool]:
     """The reranker's rows, or the first `limit` candidates and True if it fails or takes too long.
 
+    Their scores are not the reranker's, so a threshold for those says nothing of them; callers must tell of the failure.
     The plan is run here, to the checkpoint folder, to see. timeout is in seconds a query that has
     candidates; beyond all queries' time together the reranker's jobs are cancelled."""
     tag = f"rerank-{uuid.uuid4().hex}"

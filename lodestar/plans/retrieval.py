@@ -28,7 +28,7 @@ def completed(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class Outcome:
-    """results (query_id, query, rank, chunk_id, score, ...) and diagnostics (query_id and counts)."""
+    """results (query_id, query, rank, chunk_id, score, ...) and diagnostics (query_id, counts, and failed: the branches and reranker that were left out)."""
 
     results: DataFrame
     diagnostics: DataFrame
@@ -92,25 +92,27 @@ class Retriever:
         fields = self.chunks.select("chunk_id", *CARRIED)
         return fields.join(broadcast_if_small(cut(ranked)), "chunk_id").join(queries.select("query_id", "query"), "query_id")
 
-    def _branch(self, search, queries: DataFrame, filters, guarded: bool) -> tuple[DataFrame | None, bool]:
+    def _branch(self, search, queries: DataFrame, filters, guarded: bool) -> tuple[DataFrame | None, Exception | None]:
         if not guarded:
-            return cut(search(queries, self.config.candidate_k, filters)), False
+            return cut(search(queries, self.config.candidate_k, filters)), None
         try:
-            return cut(search(queries, self.config.candidate_k, filters)), False
-        except Exception:  # one failing branch must not end a hybrid search
-            LOGGER.exception("a search failed; going on without it")
-            return None, True
+            return cut(search(queries, self.config.candidate_k, filters)), None
+        except Exception as problem:  # one failing branch must not end a hybrid search
+            LOGGER.exception("a search failed")
+            return None, problem
 
     def candidates(self, branch: str, queries: DataFrame, filters: Mapping[str, Value] | None = None, guarded: bool = False) -> DataFrame | None:
         """The candidates of a branch, dense or sparse, checkpointed; None if it failed and is guarded."""
         return self._branch(getattr(self, branch), queries, filters, guarded)[0]
 
-    def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False, known: Mapping[str, DataFrame | None] | None = None) -> Outcome:
+    def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False, known: Mapping[str, DataFrame | None] | None = None, kept: bool = False) -> Outcome:
         """Candidates, fusion for hybrid, rerank of the first rerank_k, first final_k.
 
         The candidates, few rows that cost the most, are checkpointed. guarded goes on without a branch
-        or reranker that fails (or takes longer than reranker_timeout a query); otherwise the failure is raised.
-        known has branches' candidates for the same queries and filters, which aren't searched again."""
+        or reranker that fails (or takes longer than reranker_timeout a query), and diagnostics name it; where
+        every branch fails, and without guarded, the failure is raised. kept checkpoints reranked rows too, for
+        callers that read results and diagnostics. known has branches' candidates for the same queries and
+        filters, which aren't searched again."""
         mode = mode or self.config.mode
         if mode not in MODES:
             raise ValueError(f"unsupported mode: {mode}")
@@ -118,22 +120,28 @@ class Retriever:
         self._own(queries)  # raises for unsupported fields, guarded or not
         config = self.config
         known = known or {}
-        branches = {name: known[name] if name in known else self.candidates(name, queries, filters, guarded) for name in ("dense", "sparse") if mode in (name, "hybrid")}
-        found = {name: rows for name, rows in branches.items() if rows is not None}
-        if mode == "hybrid" and found:
+        branches = {name: (known[name], None) if name in known else self._branch(getattr(self, name), queries, filters, guarded) for name in ("dense", "sparse") if mode in (name, "hybrid")}
+        found = {name: rows for name, (rows, _) in branches.items() if rows is not None}
+        if not found:  # no rows of a failed search would read as nothing found
+            raise next((p for _, p in branches.values() if p is not None), None) or RuntimeError("every search failed")
+        missing = [name for name in branches if name not in found]
+        if mode == "hybrid":
             ranked = fusion.fuse(found, config.candidate_k, config.rank_constant).withColumn("backend", F.lit("hybrid"))
-        elif found:
+        else:
             rows = found[mode]
             other = "sparse" if mode == "dense" else "dense"
             ranked = rows.withColumns({f"{mode}_rank": F.col("rank"), f"{other}_rank": F.lit(None).cast("int"), "sources": F.lit(mode), "backend": F.lit(mode)})
-        else:
-            ranked = queries.limit(0).select("query_id").withColumns({"chunk_id": F.lit(None).cast("string"), "score": F.lit(0.0), "rank": F.lit(1), "dense_rank": F.lit(1), "sparse_rank": F.lit(1), "sources": F.lit(""), "backend": F.lit(mode)})
         candidates = self._described(queries, ranked if self.reranker is None else ranked.filter(F.col("rank") <= config.rerank_k))
         failed = False
         if self.reranker is None:
             final = candidates.withColumns({"rerank_score": F.lit(None).cast("double"), "rerank_rank": F.lit(None).cast("int")})
         else:
-            final, failed = rerank.with_fallback(candidates, config.rerank_k, self.reranker, config.reranker_timeout) if guarded else (self.reranker(candidates, config.rerank_k), False)
+            if guarded:
+                final, failed = rerank.with_fallback(candidates, config.rerank_k, self.reranker, config.reranker_timeout)
+            else:
+                final = self.reranker(candidates, config.rerank_k)
+                final = cut(final) if kept else final
+            missing += ["reranker"] * failed
             final = final.withColumn("backend", F.when(F.lit(not failed), F.concat("backend", F.lit("+rerank"))).otherwise(F.col("backend")))
         final = final.withColumn("retrieval_rank", F.col("rank")).withColumn("rank", F.coalesce("rerank_rank", "rank"))
         results = final.filter(F.col("rank") <= config.final_k)
@@ -145,7 +153,8 @@ class Retriever:
         counts = counts.join(ranked.groupBy("query_id").agg(F.count("*").alias("fused")), "query_id", "left")
         shown = final.groupBy("query_id").agg(F.count("rerank_rank").alias("reranked_candidates"), F.count(F.when(F.col("rank") <= config.final_k, 1)).alias("final_chunks"))
         counts = counts.join(shown, "query_id", "left").na.fill(0)
-        return Outcome(results, counts.withColumns({"mode": F.lit(mode), "reranker_fallback": F.lit(failed)}))
+        left_out = F.array(*[F.lit(name) for name in missing]).cast("array<string>")
+        return Outcome(results, counts.withColumns({"mode": F.lit(mode), "reranker_fallback": F.lit(failed), "failed": left_out}))
 
     def hybrid_wide(self, queries: DataFrame, limit: int, filters: Mapping[str, Value] | None = None) -> DataFrame:
         """Hybrid search that takes three times `limit` from each branch and reranks to `limit`; failures propagate."""

@@ -22,6 +22,8 @@ from lodestar.sources.store import ChunkStore
 # The answer of a refusal, and its reasons in the order in which they are looked for.
 REFUSAL = "知识库无法回答该问题。"
 REASONS = ("no_retrieval_results", "below_relevance_threshold", "empty_context", "invalid_citation")
+#: The reason where one of the first three may come of a failed branch or reranker: nothing is known then, so there is no answer either.
+FAILED = "retrieval_failed"
 #: Takes (query_id, query, context, correction) rows and returns them with a column answer.
 Generator = Callable[[DataFrame], DataFrame]
 
@@ -50,6 +52,8 @@ class Service:
     #: Chunks that may be parents: a table, or a store that is asked for the ids that results name.
     parents: DataFrame | ChunkStore | None = None
     config: RetrievalConfig = field(default_factory=RetrievalConfig)
+    #: Goes on without a branch or reranker that fails; else the failure is raised, and no reranker_timeout holds.
+    guarded: bool = True
 
     def _answers(self, asked: DataFrame) -> DataFrame:
         rows = self.generator(asked)
@@ -59,8 +63,9 @@ class Service:
     def query(self, queries: DataFrame, mode: str = "dense", filters: Mapping[str, Value] | None = None) -> DataFrame:
         """query_id, answer, citations, refused, refusal_reason, final_chunks, context_tokens and retrieval (the diagnostics) of every query.
 
-        Queries whose answer cites nothing or unknown sources are asked once more, with a correction. A branch or reranker that fails is left out."""
-        outcome = self.retriever.retrieve(queries, mode, filters, guarded=True)
+        Queries whose answer cites nothing or unknown sources are asked once more, with a correction. A guarded service leaves out a branch or reranker
+        that fails and names it in retrieval.failed; what is found then may be answered, but is no ground for a refusal: that has reason FAILED and no answer."""
+        outcome = self.retriever.retrieve(queries, mode, filters, guarded=self.guarded, kept=True)
         results = outcome.results
         good = relevant(results, self.config.threshold_of(mode))
         parents = self.parents
@@ -79,11 +84,13 @@ class Service:
         described = outcome.diagnostics.select("query_id", F.struct(*[c for c in outcome.diagnostics.columns if c != "query_id"]).alias("retrieval"))
         counts = counts.join(described, "query_id", "left")
         found = refusal_reason(counts.join(answers.withColumnRenamed("chunks", "blocks"), "query_id", "left"))
+        doubtful = F.col("reason").isin(*REASONS[:3]) & (F.size("retrieval.failed") > 0)
+        found = found.withColumn("reason", F.when(doubtful, FAILED).otherwise(F.col("reason")))
         refused = F.col("reason").isNotNull()
         cited = F.transform("referenced", lambda s: F.struct(s.alias("source_id"), F.try_element_at(F.col("source_map"), s).alias("source")))
         return found.select(
             "query_id",
-            F.when(refused, F.lit(REFUSAL)).otherwise(F.col("answer")).alias("answer"),
+            F.when(refused, F.when(F.col("reason") != FAILED, F.lit(REFUSAL))).otherwise(F.col("answer")).alias("answer"),
             F.when(~refused, cited).alias("citations"),
             refused.alias("refused"),
             F.col("reason").alias("refusal_reason"),
@@ -117,7 +124,8 @@ def respond(service: Service, spark, body: bytes) -> tuple[int, dict]:
         asked = json.loads(body)
         if not isinstance(asked, dict) or not isinstance(asked.get("query"), str) or not isinstance(asked.get("filters") or {}, dict):
             raise ValueError("a request is an object with a query, and filters that are an object")
-        return 200, answer_one(service, spark, asked["query"], asked.get("mode", "hybrid"), asked.get("filters"))
+        answer = answer_one(service, spark, asked["query"], asked.get("mode", "hybrid"), asked.get("filters"))
+        return (503, {"detail": "retrieval is unavailable"}) if answer["refusal_reason"] == FAILED else (200, answer)
     except ValueError as problem:
         return 400, {"detail": str(problem)}
     except Exception:

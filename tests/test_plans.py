@@ -595,3 +595,24 @@ def test_a_refreshed_index_is_scored_where_chunks_are_read(spark, tmp_path):
     assert "MapInArrow" in plan and "Generate" not in plan
     got = sorted(map(tuple, found.collect()))
     assert got and got == sorted(_sql_rows("index_refresh", {"documents": docs, "benchmark": asked}))
+
+
+def test_a_failed_retrieval_is_no_refusal(spark, chunks, queries, monkeypatch):
+    def broken(*_):
+        raise RuntimeError
+
+    late = lambda candidates, limit: rerank.lexical(candidates, limit).withColumn("rerank_score", F.raise_error(F.lit("late")).cast("double"))
+    config = RetrievalConfig(threshold=0.3)
+    monkeypatch.setattr(catalog, "retriever", lambda *_: Retriever(chunks, config, reranker=late))
+    monkeypatch.setattr(catalog, "questions", lambda *_: queries)
+    with pytest.raises(Exception, match="late"):
+        catalog.answers(spark, "").collect()
+    row = service.Service(Retriever(chunks, reranker=late), config=config).query(queries.filter("query_id = 1"), "hybrid").first()
+    assert (row["answer"], row["refusal_reason"], row["retrieval"]["failed"]) == (None, "retrieval_failed", ["reranker"])
+    monkeypatch.setattr(service, "answer_one", lambda *_: row.asDict())
+    assert service.respond(None, spark, b'{"query": "IAM access denied"}')[0] == 503
+    half = service.Service(Retriever(chunks, embed=broken), config=config)
+    got = {r["query_id"]: r for r in half.query(queries.filter("query_id <> 2"), "hybrid").collect()}
+    assert not got[1]["refused"] and got[1]["retrieval"]["failed"] == ["dense"] and got[3]["refusal_reason"] == "retrieval_failed"
+    with pytest.raises(RuntimeError):
+        half.query(queries, "dense")
