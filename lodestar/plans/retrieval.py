@@ -101,11 +101,11 @@ class Retriever:
             LOGGER.exception("a search failed")
             return None, problem
 
-    def candidates(self, branch: str, queries: DataFrame, filters: Mapping[str, Value] | None = None, guarded: bool = False) -> DataFrame | None:
-        """The candidates of a branch, dense or sparse, checkpointed; None if it failed and is guarded."""
-        return self._branch(getattr(self, branch), queries, filters, guarded)[0]
+    def candidates(self, branch: str, queries: DataFrame, filters: Mapping[str, Value] | None = None) -> DataFrame:
+        """The candidates of a branch, dense or sparse, checkpointed; its failure is raised."""
+        return self._branch(getattr(self, branch), queries, filters, False)[0]
 
-    def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False, known: Mapping[str, DataFrame | None] | None = None, kept: bool = False) -> Outcome:
+    def retrieve(self, queries: DataFrame, mode: str | None = None, filters: Mapping[str, Value] | None = None, guarded: bool = False, known: Mapping[str, DataFrame] | None = None, kept: bool = False) -> Outcome:
         """Candidates, fusion for hybrid, rerank of the first rerank_k, first final_k.
 
         The candidates, few rows that cost the most, are checkpointed. guarded goes on without a branch
@@ -123,7 +123,7 @@ class Retriever:
         branches = {name: (known[name], None) if name in known else self._branch(getattr(self, name), queries, filters, guarded) for name in ("dense", "sparse") if mode in (name, "hybrid")}
         found = {name: rows for name, (rows, _) in branches.items() if rows is not None}
         if not found:  # no rows of a failed search would read as nothing found
-            raise next((p for _, p in branches.values() if p is not None), None) or RuntimeError("every search failed")
+            raise next(problem for _, problem in branches.values())
         missing = [name for name in branches if name not in found]
         if mode == "hybrid":
             ranked = fusion.fuse(found, config.candidate_k, config.rank_constant).withColumn("backend", F.lit("hybrid"))

@@ -616,3 +616,18 @@ def test_a_failed_retrieval_is_no_refusal(spark, chunks, queries, monkeypatch):
     assert not got[1]["refused"] and got[1]["retrieval"]["failed"] == ["dense"] and got[3]["refusal_reason"] == "retrieval_failed"
     with pytest.raises(RuntimeError):
         half.query(queries, "dense")
+
+
+@pytest.mark.parametrize("part", ["dense", "sparse", "reranker"])
+def test_a_mode_that_fails_has_no_metrics(spark, chunks, monkeypatch, part):
+    def late(candidates, limit):
+        return rerank.lexical(candidates, limit).withColumn("rerank_score", F.raise_error(F.lit("late")).cast("double"))
+
+    asked = spark.createDataFrame([("a", "IAM access denied", True, ["iam.pdf"]), ("b", "zebra", False, [])], "query_id string, query string, answerable boolean, expected_sources array<string>")
+    if part == "reranker":
+        monkeypatch.setattr(evaluate, "dense_rerank_pipeline", lambda chunks, config: Retriever(chunks, config, reranker=late))
+    else:
+        search = getattr(Retriever, part)
+        monkeypatch.setattr(Retriever, part, lambda *a: search(*a).withColumn("score", F.raise_error(F.lit("late")).cast("double")))
+    with pytest.raises(Exception, match="late"):
+        evaluate.evaluate_modes(chunks, asked)
